@@ -9,9 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, exact_dedup, mixing, quality, simhash
+from opinara.llm import bpe, exact_dedup, langid, mixing, quality, sharding, simhash, surrogates
 
 #: Folder of public tokenizer files; the environment may name another.
+SURROGATE_KEY = os.environ.get("OPINARA_SURROGATE_KEY", "example key, set your own").encode()
 TOKENIZERS = os.environ.get("OPINARA_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -43,6 +44,18 @@ def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("tokens").alias("n_tokens"), *shares, "rate")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, sf_dir), SURROGATE_KEY)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(documents(spark, sf_dir))
 
@@ -92,7 +105,10 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_soft_mixing": op3_soft_mixing,
+    "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_surrogates": op9_surrogates,
     "op10_simhash": op10_simhash,
     "pipeline": pipeline,
 }
