@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, exact_dedup, langid, mixing, quality, sharding, simhash, suffix_dedup, surrogates
+from opinara.llm import bpe, compact_windows, exact_dedup, langid, mixing, quality, sharding, simhash, suffix_dedup, surrogates
 
 #: Folder of public tokenizer files; the environment may name another.
 SURROGATE_KEY = os.environ.get("OPINARA_SURROGATE_KEY", "example key, set your own").encode()
@@ -56,6 +56,10 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replaced(documents(spark, sf_dir), SURROGATE_KEY)
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(documents(spark, sf_dir))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir))
 
@@ -111,6 +115,7 @@ QUERIES = {
     "op3_soft_mixing": op3_soft_mixing,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
+    "op6_compact_windows": op6_compact_windows,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_surrogates": op9_surrogates,
