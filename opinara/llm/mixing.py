@@ -30,8 +30,8 @@ TARGETS = {"clean": 0.93, "poor": 0.04, "toxic": 0.03}
 #: Bounds of the classifier's fit: labelled rows per domain, and word buckets.
 SAMPLE_PER_DOMAIN = 2000
 BUCKETS = 2048
-#: Posteriors are softened by this temperature.
-TEMPERATURE = 4.0
+#: Membership stays soft: the word evidence of a text counts as that of this many words at most.
+EVIDENCE = 40.0
 #: Steps folded into one expression before rates are checkpointed.
 FOLD = 8
 
@@ -71,7 +71,8 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], ke
 
     def logit(prior: float, row: list[float]) -> Column:
         weights = F.from_json(F.lit(json.dumps(row)), "array<double>")
-        return (F.lit(prior) + F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(weights, b))) / TEMPERATURE
+        share = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.size("_b"), F.lit(1)))
+        return F.lit(prior) + share * F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(weights, b))
 
     logits = [logit(prior, row) for prior, row in zip(priors, likely)]
     scored = read.select(*kept, F.size("_b").cast("long").alias("tokens"), F.array(*logits).alias("_z"))
