@@ -4,12 +4,14 @@ A multinomial naive Bayes classifier, fitted on a bounded sample of labelled row
 gives each document a posterior over domains from hashed word counts; scoring is
 column functions only.  Rates r >= 0 then solve the least-squares problem
 
-    minimise |A r - T|^2 in the norm of (A A')^-1,  A[d, i] = tokens_i * posterior_i(d)
+    minimise |A r - T|^2 in the norm of (A W A')^-1,  A[d, i] = tokens_i * posterior_i(d)
 
 by distributed projected gradient from r = 1: each step is one aggregation of a few
 sums over the narrow table (tokens, posteriors), and the step vectors, one number per
-domain, are folded into the rate expression.  In that norm the Hessian's eigenvalues
-are 0 and 1, so the step size is 1.
+domain, are folded into the rate expression.  Steps are
+taken in the metric W = diag(1 / tokens), in which the projection on r >= 0 is the same
+and a document's rate depends on its membership, not its length.  The Hessian's
+eigenvalues are then 0 and 1, so the step size is 1.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from opinara.llm.quality import words_of
 from opinara.session import cut
 
 #: Share of the corpus' tokens that each domain shall have.
-TARGETS = {"clean": 0.93, "poor": 0.04, "toxic": 0.03}
+TARGETS = {"clean": 0.96, "poor": 0.01, "toxic": 0.03}
 #: Bounds of the classifier's fit: labelled rows per domain, and word buckets.
 SAMPLE_PER_DOMAIN = 2000
 BUCKETS = 2048
@@ -81,12 +83,12 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], ke
 
 
 def _stepped(start: Column, steps: list[list[float]], size: int) -> Column:
-    """Rates after ``steps``, each a vector u: r <- max(0, r - tokens * <p, u>)."""
+    """Rates after ``steps``, each a vector u: r <- max(0, r - <p, u>); a text without tokens keeps its rate."""
     if not steps:
         return start
     plan = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
     move = lambda u: sum((F.get("p", F.lit(d)) * F.get(u, F.lit(d)) for d in range(size)), F.lit(0.0))
-    return F.aggregate(plan, start, lambda r, u: F.greatest(F.lit(0.0), r - F.col("tokens") * move(u)))
+    return F.aggregate(plan, start, lambda r, u: F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), r - move(u))).otherwise(r))
 
 
 def solve(table: DataFrame, targets: dict[str, float], budget: float | None = None, tolerance: float = 1e-7, max_steps: int = 64) -> tuple[DataFrame, float]:
@@ -97,7 +99,7 @@ def solve(table: DataFrame, targets: dict[str, float], budget: float | None = No
     """
     size = len(targets)
     mass = [F.coalesce(F.sum(F.col("tokens") * F.get("p", F.lit(d))), F.lit(0.0)).alias(f"m{d}") for d in range(size)]
-    gram = [F.coalesce(F.sum(F.col("tokens") * F.col("tokens") * F.get("p", F.lit(a)) * F.get("p", F.lit(b))), F.lit(0.0)).alias(f"g{a}_{b}") for a in range(size) for b in range(a, size)]
+    gram = [F.coalesce(F.sum(F.col("tokens") * F.get("p", F.lit(a)) * F.get("p", F.lit(b))), F.lit(0.0)).alias(f"g{a}_{b}") for a in range(size) for b in range(a, size)]
     got = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), *mass, *gram).first()
     total = float(budget if budget is not None else got["n"])
     want = total * np.array(list(targets.values())) / sum(targets.values())

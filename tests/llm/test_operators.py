@@ -225,9 +225,9 @@ def test_projected_gradient_equals_brute_force(spark):
     df = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "tokens bigint, p array<double>")
     got, _ = mixing.solve(df, targets, max_steps=40)
     a = t * p.T
-    inverse, want, r = np.linalg.pinv(a @ a.T), t.sum() * np.array(list(targets.values())), np.ones(50)
+    inverse, want, r = np.linalg.pinv(a @ p), t.sum() * np.array(list(targets.values())), np.ones(50)
     for _ in range(40):
-        r = np.maximum(0, r - a.T @ (inverse @ (a @ r - want)))
+        r = np.maximum(0, r - p @ (inverse @ (a @ r - want)))
     rows = {(x.tokens, tuple(x.p)): x.rate for x in got.collect()}
     assert [rows[int(n), tuple(x.tolist())] for n, x in zip(t, p)] == pytest.approx(r.tolist(), abs=1e-6)
 
