@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens that one task remembers; the table is emptied when it is full.
-REMEMBERED = 200_000
+#: Pre-tokens that one task remembers, twice over: a full table becomes the older one.
+REMEMBERED = 250_000
 #: Longer pre-tokens (in characters) are merged anew each time.
 LONG = 64
 SLICE = 64
@@ -37,6 +37,25 @@ def byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
 
 
+class Known(dict):
+    """Pre-tokens merged before; others are merged when they are asked for."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.older = merge, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.merge(word.encode())
+        if len(word) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """A tokenizer file's vocabulary, merges and added tokens."""
 
@@ -45,10 +64,12 @@ class Codec:
         vocab, names = data["model"]["vocab"], byte_names()
         value = {c: b for b, c in enumerate(names)}
         self.single = [vocab[c] for c in names]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << 32 | vocab[b], rank)
+            self.made.append(vocab[a + b])
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
@@ -56,65 +77,59 @@ class Codec:
             self.bytes[at] = bytes(value[c] for c in token)
         for token, at in self.added.items():
             self.bytes[at] = token.encode()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.merge)
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Token ids of one pre-token."""
-        ids = [self.single[b] for b in word]
+        single, rank_of, made = self.single, self.merges.get, self.made
+        ids = [single[b] for b in word]
         n = len(ids)
         if n < 2:
             return tuple(ids)
-        merges = self.merges
         size = 1 << (n - 2).bit_length() if n > 2 else 1
-        tree = [NONE] * (2 * size)
-        made = [0] * n
+        # tree[size + k]: rank of the pair that begins at k
+        tree = [NONE] * size + [rank_of(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+        tree += [NONE] * (2 * size - len(tree))
+        for at in range(size - 1, 0, -1):
+            a, b = tree[2 * at], tree[2 * at + 1]
+            tree[at] = a if a <= b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for k in range(n - 1):
-            if got := merges.get(ids[k] << 32 | ids[k + 1]):
-                tree[size + k], made[k] = got
-        for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a <= b else b
-
-        def put(k: int) -> None:
-            """Renew the pair that begins at k."""
-            m = after[k]
-            got = merges.get(ids[k] << 32 | ids[m]) if m < n else None
-            at = size + k
-            tree[at], made[k] = got or (NONE, 0)
-            at >>= 1
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                tree[at] = a if a <= b else b
-                at >>= 1
-
         while (low := tree[1]) < NONE:
             at = 1
             while at < size:
-                at = 2 * at if tree[2 * at] == low else 2 * at + 1
+                at += at
+                if tree[at] != low:
+                    at += 1
             k = at - size
             gone = after[k]
-            ids[k] = made[k]
-            after[k] = after[gone]
-            if after[gone] < n:
-                before[after[gone]] = k
-            ids[gone] = -1
+            ids[k], ids[gone] = made[low], -1
+            after[k] = nxt = after[gone]
+            prev = before[k]
+            if nxt < n:
+                before[nxt] = k
+            new = rank_of(ids[k] << 32 | ids[nxt], NONE) if nxt < n else NONE
+            puts = [(k, new)]
             if gone < n - 1:
-                tree_at = size + gone
-                if tree[tree_at] < NONE:
-                    tree[tree_at] = NONE
-                    tree_at >>= 1
-                    while tree_at:
-                        a, b = tree[2 * tree_at], tree[2 * tree_at + 1]
-                        tree[tree_at] = a if a <= b else b
-                        tree_at >>= 1
-            if k < n - 1:
-                put(k)
-            if before[k] >= 0:
-                put(before[k])
-        return tuple(x for x in ids if x >= 0)
+                puts.append((gone, NONE))
+            if prev >= 0:
+                puts.append((prev, rank_of(ids[prev] << 32 | ids[k], NONE)))
+            for at, rank in puts:
+                at += size
+                if tree[at] == rank:
+                    continue
+                tree[at] = rank
+                at >>= 1
+                while at:
+                    a, b = tree[2 * at], tree[2 * at + 1]
+                    if b < a:
+                        a = b
+                    if tree[at] == a:
+                        break
+                    tree[at] = a
+                    at >>= 1
+        return tuple([x for x in ids if x >= 0])
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -122,20 +137,7 @@ class Codec:
             if piece in self.added:
                 out.append(self.added[piece])
                 continue
-            words = self.split.findall(piece)
-            known = self.known
-            try:
-                out.extend(chain.from_iterable([known[w] for w in words]))
-            except KeyError:
-                for word in words:
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = self.merge(word.encode())
-                        if len(word) <= LONG:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            known[word] = ids
-                    out.extend(ids)
+            out.extend(chain.from_iterable(map(self.known.__getitem__, self.split.findall(piece))))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -173,7 +175,8 @@ def _encoded(tool: Codec, texts: pa.Array) -> pa.Array:
 
 
 def _decoded(tool: Codec, ids: pa.Array) -> pa.Array:
-    return pa.array([tool.decode(x or []) for x in ids.to_pylist()], pa.string())
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return pa.array([tool.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
 
 def encode(docs: DataFrame, spec: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
