@@ -144,5 +144,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def kept_rows(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, all their columns unchanged."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    got = measures(packed, "_text", ["_row"])
-    return got.where(~base_failed() & compiled(rules)).select("_row.*")
+    # a column that is not deterministic keeps the filter above the measures, which would
+    # otherwise be written out into it and computed many times over
+    got = measures(packed, "_text", ["_row"]).withColumn("_part", F.spark_partition_id())
+    return got.where((F.col("_part") >= 0) & ~base_failed() & compiled(rules)).select("_row.*")
