@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,33 +191,63 @@ def spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, 1):
-            h, owner, s, _ = minimizers(texts, length)
+            h, owner, s, e = minimizers(texts, length)
             ids = np.array(part.column(0).to_pylist(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[owner]), pa.array(s)], ["h", "id", "s"])
+            digest = [xxhash.xxh3_64_intdigest(texts[k][lo:hi]) for k, lo, hi in zip(owner.tolist(), s.tolist(), (e + length).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(ids[owner]), pa.array(s), pa.array(e + length)], ["h", "d", "id", "s", "e"])
 
     again = cut(first.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    placed = first.mapInArrow(place, "h bigint, id bigint, s bigint").join(_bounded(again, again.count() * 40), "h")
-    at = cut(placed.groupBy("id").agg(F.collect_list("s").alias("at")))
+    placed = first.mapInArrow(place, "h bigint, d bigint, id bigint, s bigint, e bigint").join(_bounded(again, again.count() * 40), "h")
+    sorted_ = placed.repartition("h").sortWithinPartitions("h", "d", "id", "s")
+    judged = cut(sorted_.mapInArrow(_equal, "id bigint, lo bigint, hi bigint, ask boolean"))
+    at = cut(judged.where("ask").groupBy("id").agg(F.collect_list("lo").alias("at")))
     bytes_at = at.agg(F.coalesce(F.sum(F.size("at") * 8 + 40), F.lit(0)).alias("n")).first()["n"]
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, 1):
             h, owner, s, e = minimizers(texts, length)
-            ids, wanted = part.column(0).to_pylist(), part.column(2).to_pylist()
-            ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-            out: list[list] = [[], [], [], []]
-            for k, text in enumerate(texts):
-                lo, hi = ends[k], ends[k + 1]
-                for m in lo + np.nonzero(np.isin(s[lo:hi], wanted[k]))[0]:
-                    out[0].append(h[m])
-                    out[1].append(ids[k])
-                    out[2].append(s[m])
-                    out[3].append(text[s[m] : e[m] + length])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int64()), pa.array(np.array(out[2], np.int64)), pa.array(out[3], pa.binary())], ["h", "id", "s", "ctx"])
+            lists = part.column(2)
+            asked = lists.flatten().to_numpy(zero_copy_only=False)
+            whose = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            pick = np.nonzero(np.isin(owner << 40 | s, whose << 40 | asked))[0]
+            ids = np.array(part.column(0).to_pylist(), np.int64)
+            ctx = [texts[k][lo:hi] for k, lo, hi in zip(owner[pick].tolist(), s[pick].tolist(), (e[pick] + length).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(ids[owner[pick]]), pa.array(s[pick]), pa.array(ctx, pa.binary())], ["h", "id", "s", "ctx"])
 
     around = first.join(_bounded(at, bytes_at), "id").select("id", "text", "at").mapInArrow(surround, "h bigint, id bigint, s bigint, ctx binary")
     found = around.repartition("h").sortWithinPartitions("h", "id", "s").mapInArrow(lambda b: _find(b, length), "id bigint, lo bigint, hi bigint")
-    return cut(found), copies
+    return judged.where("NOT ask").drop("ask").unionByName(cut(found)), copies
+
+
+def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of surroundings sorted by (minimizer, digest, id, start): those equal to an earlier one
+    are repeats from end to end (ask false); the first of each digest is asked for where its
+    minimizer has another digest, too, so that texts travel for partial repeats only."""
+    last: tuple[int, int] | None = None
+    held: tuple[int, int, int, int, bool] | None = None
+    for batch in batches:
+        h, d, i, s, e = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(h):
+            continue
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        if last is not None:
+            new[0] = (int(h[0]), int(d[0])) != last
+        last = int(h[-1]), int(d[-1])
+        rep = ~new
+        f = np.nonzero(new)[0]
+        fh, fi, fs, fe, done = h[f], i[f], s[f], e[f], np.zeros(len(f), bool)
+        if held is not None:
+            fh, fi, fs, fe, done = (np.concatenate([[x], y]) for x, y in zip(held, (fh, fi, fs, fe, done)))
+        ask = np.zeros(len(fh), bool)
+        same = fh[1:] == fh[:-1]
+        ask[1:] |= same
+        ask[:-1] |= same
+        if len(fh):
+            held = int(fh[-1]), int(fi[-1]), int(fs[-1]), int(fe[-1]), bool(ask[-1] or done[-1])
+        ask &= ~done.astype(bool)
+        flags = np.concatenate([np.zeros(int(rep.sum()), bool), np.ones(int(ask.sum()), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[rep], y[ask]])) for x, y in ((i, fi), (s, fs), (e, fe))] + [pa.array(flags)], ["id", "lo", "hi", "ask"])
 
 
 def removed(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
