@@ -3,8 +3,8 @@
 Every byte covered by a string of ``length`` bytes that also starts earlier (smaller
 id, or earlier in the same text) is removed.  Each string of that length has a
 minimizer, the k-gram of smallest hash in it; equal strings have equal minimizers, so
-strings meet by minimizer.  Minimizers that occur once cannot be in a repeat and drop
-out early.  The texts around the others meet in tasks, each of which orders its
+strings meet by minimizer.  Surroundings of a minimizer that are equal from end to end
+are settled by their digests; the texts of the others meet in tasks, each of which orders its
 strings as a suffix array does (prefix doubling, cut at ``length`` bytes, ties by
 position); in a run of equal prefixes positions ascend, so a string's previous smaller
 position in suffix order is its left neighbour, there is no next smaller one in the
@@ -14,7 +14,7 @@ neighbour shares the whole prefix.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.session import cut
+from opinara.session import cut, ensure_checkpoint_dir
 
 GRAM = 32
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 20
 BATCH = 4 << 20
-#: Bytes of a table that may be sent to all executors; larger ones are joined by shuffle.
-BROADCAST_BYTES = 24 << 20
-
-
-def _bounded(table: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+#: Low bits of a packed run that hold its bytes beyond the length.
+EXTENT_BITS = 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -159,11 +155,15 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         keep = [r for r, f in zip(rows, fresh) if f and r[0] == rows[-1][0]]
         return keep, pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["id", "lo", "hi"])
 
-    rows, size = [], 0
+    rows, size, last = [], 0, None
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
-            new = list(zip(*(c.to_pylist() for c in part.columns)))
+            new = []
+            for r in zip(*(c.to_pylist() for c in part.columns)):
+                if r[:3] != last:
+                    new.append(r)
+                last = r[:3]
             rows += new
             size += sum(len(r[3]) for r in new)
             if size >= BATCH:
@@ -174,34 +174,40 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         yield work(held + rows, len(held))[1]
 
 
-def spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(spans, copies): removed runs (id, lo, hi) of the first document of each text, and
-    (id) of the documents whose whole text is an earlier document's."""
-    read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    named = read.where(F.octet_length("text") >= length).select("id", F.sha2("text", 256).alias("sha"))
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text as bytes) of rows with an id, as a table in the checkpoint folder that is
+    bucketed by id: joins on the id move only their other side."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")).where("id IS NOT NULL")
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+    read.repartition(buckets, "id").write.bucketBy(buckets, "id").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    # the files stay, and the relation knows its buckets
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def spans(base: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text as bytes): removed runs (id, p) of the first document of each text, and
+    (id) of the documents whose whole text is an earlier document's.  A run is packed: its
+    first byte, shifted by EXTENT_BITS, and how many bytes it has beyond ``length``."""
+    long = base.where(F.octet_length("text") >= length)
+    named = long.select("id", F.sha2("text", 256).alias("sha"))
     firsts = named.groupBy("sha").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = cut(named.join(firsts, "sha").where("id > keep").select("id"))
-    copied = copies.count()
-    first = read.where(F.octet_length("text") >= length).join(_bounded(copies, copied * 40), "id", "left_anti")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _slices(batches, 1):
-            got, n = np.unique(minimizers(texts, length)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n)], ["h", "n"])
+    copies = cut(named.join(firsts, "sha").where("id > keep").select("id").distinct())
+    first = long.join(copies, "id", "left_anti")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, 1):
             h, owner, s, e = minimizers(texts, length)
             ids = np.array(part.column(0).to_pylist(), np.int64)
             digest = [xxhash.xxh3_64_intdigest(texts[k][lo:hi]) for k, lo, hi in zip(owner.tolist(), s.tolist(), (e + length).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(ids[owner]), pa.array(s), pa.array(e + length)], ["h", "d", "id", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(ids[owner]), pa.array(s << EXTENT_BITS | (e - s))], ["h", "d", "id", "p"])
 
-    again = cut(first.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    placed = first.mapInArrow(place, "h bigint, d bigint, id bigint, s bigint, e bigint").join(_bounded(again, again.count() * 40), "h")
-    sorted_ = placed.repartition("h").sortWithinPartitions("h", "d", "id", "s")
-    judged = cut(sorted_.mapInArrow(_equal, "id bigint, lo bigint, hi bigint, ask boolean"))
-    at = cut(judged.where("ask").groupBy("id").agg(F.collect_list("lo").alias("at")))
-    bytes_at = at.agg(F.coalesce(F.sum(F.size("at") * 8 + 40), F.lit(0)).alias("n")).first()["n"]
+    placed = first.mapInArrow(place, "h bigint, d bigint, id bigint, p bigint")
+    judged = cut(placed.repartition("h").sortWithinPartitions("h", "d", "id", "p").mapInArrow(_equal, "id bigint, p bigint, ask boolean"))
+    at = judged.where("ask").groupBy("id").agg(F.collect_list(F.shiftright("p", EXTENT_BITS)).alias("at"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, 1):
@@ -214,40 +220,45 @@ def spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
             ctx = [texts[k][lo:hi] for k, lo, hi in zip(owner[pick].tolist(), s[pick].tolist(), (e[pick] + length).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(ids[owner[pick]]), pa.array(s[pick]), pa.array(ctx, pa.binary())], ["h", "id", "s", "ctx"])
 
-    around = first.join(_bounded(at, bytes_at), "id").select("id", "text", "at").mapInArrow(surround, "h bigint, id bigint, s bigint, ctx binary")
+    around = long.join(at, "id").select("id", "text", "at").mapInArrow(surround, "h bigint, id bigint, s bigint, ctx binary")
     found = around.repartition("h").sortWithinPartitions("h", "id", "s").mapInArrow(lambda b: _find(b, length), "id bigint, lo bigint, hi bigint")
-    return judged.where("NOT ask").drop("ask").unionByName(cut(found)), copies
+    packed = F.shiftleft("lo", EXTENT_BITS) + F.col("hi") - F.col("lo") - length
+    found = found.select("id", packed.alias("p"))
+    return judged.where("NOT ask").drop("ask").unionByName(found), copies
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of surroundings sorted by (minimizer, digest, id, start): those equal to an earlier one
+    """Of surroundings sorted by (minimizer, digest, id, place): those equal to an earlier one
     are repeats from end to end (ask false); the first of each digest is asked for where its
-    minimizer has another digest, too, so that texts travel for partial repeats only."""
-    last: tuple[int, int] | None = None
-    held: tuple[int, int, int, int, bool] | None = None
+    minimizer has another digest, too, so that texts travel for partial repeats only.  A row
+    that repeats the one before is the same place of the same document."""
+    last: tuple[int, int, int, int] | None = None
+    held: tuple[int, int, int, bool] | None = None
     for batch in batches:
-        h, d, i, s, e = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        h, d, i, p = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(h):
             continue
-        new = np.ones(len(h), bool)
+        new, again = np.ones(len(h), bool), np.zeros(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        again[1:] = ~new[1:] & (i[1:] == i[:-1]) & (p[1:] == p[:-1])
         if last is not None:
-            new[0] = (int(h[0]), int(d[0])) != last
-        last = int(h[-1]), int(d[-1])
-        rep = ~new
+            new[0] = (int(h[0]), int(d[0])) != last[:2]
+            again[0] = (int(h[0]), int(d[0]), int(i[0]), int(p[0])) == last
+        last = int(h[-1]), int(d[-1]), int(i[-1]), int(p[-1])
+        rep = ~new & ~again
         f = np.nonzero(new)[0]
-        fh, fi, fs, fe, done = h[f], i[f], s[f], e[f], np.zeros(len(f), bool)
+        fh, fi, fp, done = h[f], i[f], p[f], np.zeros(len(f), bool)
         if held is not None:
-            fh, fi, fs, fe, done = (np.concatenate([[x], y]) for x, y in zip(held, (fh, fi, fs, fe, done)))
+            fh, fi, fp, done = (np.concatenate([[x], y]) for x, y in zip(held, (fh, fi, fp, done)))
         ask = np.zeros(len(fh), bool)
         same = fh[1:] == fh[:-1]
         ask[1:] |= same
         ask[:-1] |= same
         if len(fh):
-            held = int(fh[-1]), int(fi[-1]), int(fs[-1]), int(fe[-1]), bool(ask[-1] or done[-1])
+            held = int(fh[-1]), int(fi[-1]), int(fp[-1]), bool(ask[-1] or done[-1])
         ask &= ~done.astype(bool)
         flags = np.concatenate([np.zeros(int(rep.sum()), bool), np.ones(int(ask.sum()), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[rep], y[ask]])) for x, y in ((i, fi), (s, fs), (e, fe))] + [pa.array(flags)], ["id", "lo", "hi", "ask"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[rep], y[ask]])) for x, y in ((i, fi), (p, fp))] + [pa.array(flags)], ["id", "p", "ask"])
 
 
 def removed(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,11 +269,11 @@ def removed(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
     id are left whole and count as copies of nothing.  Texts shorter than ``length``
     lose nothing.  An empty table gives no rows.
     """
-    found, copies = spans(docs, length, id_col, text_col)
-    per = cut(found.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("found")))
-    size = per.agg(F.coalesce(F.sum(F.size("found") * 16 + 40), F.lit(0)).alias("n")).first()["n"]
-    read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    marked = read.join(_bounded(copies.distinct().withColumn("copy", F.lit(True)), copies.count() * 40), "id", "left").join(_bounded(per, size), "id", "left")
+    base = located(docs, id_col, text_col)
+    found, copies = spans(base, length)
+    per = found.groupBy("id").agg(F.collect_list("p").alias("found"))
+    marked = base.join(copies.withColumn("copy", F.lit(True)), "id", "left").join(per, "id", "left").select("id", "text", "copy", "found")
+    nameless = docs.where(F.col(f"`{id_col}`").cast("long").isNull()).select(F.lit(None).cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<bigint>").alias("found"))
     runs = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,14 +283,16 @@ def removed(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
                 if copy:
                     lo, hi = [0], [len(text)]
                 elif got:
-                    lo, hi = (x.tolist() for x in _unioned(np.array([g["lo"] for g in got]), np.array([g["hi"] for g in got])))
+                    packed = np.array(got, np.int64)
+                    start = packed >> EXTENT_BITS
+                    lo, hi = (x.tolist() for x in _unioned(start, start + (packed & (1 << EXTENT_BITS) - 1) + length))
                 else:
                     lo, hi = [], []
                 many.append([{"lo": a, "hi": b} for a, b in zip(lo, hi)])
                 kept.append(b"".join(text[a:b] for a, b in zip([0, *hi], [*lo, len(text)])))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(many, runs), pa.array(kept, pa.binary())], ["id", "n_bytes", "runs", "kept"])
 
-    got = marked.select("id", "text", "copy", "found").mapInArrow(strip, "id bigint, n_bytes bigint, runs array<struct<lo:bigint,hi:bigint>>, kept binary")
+    got = marked.unionByName(nameless).mapInArrow(strip, "id bigint, n_bytes bigint, runs array<struct<lo:bigint,hi:bigint>>, kept binary")
     return got.withColumnRenamed("id", id_col)
 
 
