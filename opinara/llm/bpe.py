@@ -2,8 +2,9 @@
 
 Each pre-token is merged with a segment tree over the ranks of its adjacent pairs:
 the root holds the lowest rank, a descent to the left finds its leftmost pair, and a
-merge updates two pairs in logarithmic time, until no pair can be merged.  Merged
-pre-tokens are remembered in a bounded table per task.
+merge updates its neighbours' pairs in logarithmic time, until no pair can be merged.
+The trees of a slice's new pre-tokens are rows of one array and take their steps
+together; merged pre-tokens are remembered in a bounded table per worker.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens that one task remembers, twice over: a full table becomes the older one.
 REMEMBERED = 250_000
-#: Longer pre-tokens (in characters) are merged anew each time.
-LONG = 64
-SLICE = 64
-NONE = 1 << 60
+#: Longer pre-tokens (in bytes) have a tree of their own and are merged anew in each slice.
+LONG = 63
+SLICE = 128
+NONE = 1 << 30
 
 # Fixed value: the split pattern of byte-level tokenizers, with white space as in Unicode.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -37,25 +38,6 @@ def byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
 
 
-class Known(dict):
-    """Pre-tokens merged before; others are merged when they are asked for."""
-
-    def __init__(self, merge):
-        super().__init__()
-        self.merge, self.older = merge, {}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.merge(word.encode())
-        if len(word) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Codec:
     """A tokenizer file's vocabulary, merges and added tokens."""
 
@@ -77,7 +59,13 @@ class Codec:
             self.bytes[at] = bytes(value[c] for c in token)
         for token, at in self.added.items():
             self.bytes[at] = token.encode()
-        self.known = Known(self.merge)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        keys = np.fromiter(self.merges.keys(), np.int64, len(self.merges))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.fromiter(self.merges.values(), np.int32, len(keys))[order], NONE).astype(np.int32)
+        self.made_ids, self.single_ids = np.array(self.made, np.int32), np.array(self.single, np.int32)
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
@@ -131,14 +119,85 @@ class Codec:
                     at >>= 1
         return tuple([x for x in ids if x >= 0])
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.special.split(text) if self.special else [text]:
-            if piece in self.added:
-                out.append(self.added[piece])
-                continue
-            out.extend(chain.from_iterable(map(self.known.__getitem__, self.split.findall(piece))))
-        return out
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NONE where they do not merge; an id of -1 never does."""
+        key = (a.astype(np.int64) << 32) + b
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(NONE))
+
+    def merge_together(self, words: list[bytes], size: int) -> list[tuple[int, ...]]:
+        """Token ids of words of fewer than ``size`` bytes, a power of two: a row of
+        ``trees`` is one word's tree, and every step merges one pair of every word that
+        still has one.  Places past a word's end, and place -1, have id -1."""
+        n, depth = len(words), size.bit_length() - 1
+        raw = np.frombuffer(b"".join([w.ljust(size, b"\0") for w in words]), np.uint8).reshape(n, size)
+        inside = np.arange(size) < np.fromiter(map(len, words), np.int64, n)[:, None]
+        ids = np.where(inside, self.single_ids[raw], np.int32(-1))
+        trees = np.full((n, 2 * size), NONE, np.int32)
+        trees[:, size:-1] = self.ranks(ids[:, :-1], ids[:, 1:])
+        for d in range(depth - 1, -1, -1):
+            below = trees[:, 2 << d : 4 << d]
+            trees[:, 1 << d : 2 << d] = np.minimum(below[:, ::2], below[:, 1::2])
+        after = np.tile(np.minimum(np.arange(1, size + 1), size - 1), (n, 1))
+        before = np.tile(np.arange(-1, size - 1) % size, (n, 1))
+        ids, trees, after, before = ids.ravel(), trees.ravel(), after.ravel(), before.ravel()
+        rows = np.arange(n)
+        while len(rows := rows[trees[rows * 2 * size + 1] < NONE]):
+            root, base = rows * 2 * size, rows * size
+            low, at = trees[root + 1], np.ones(len(rows), np.int64)
+            for _ in range(depth):
+                at += at
+                at += trees[root + at] != low
+            k = at - size
+            gone = after[base + k]
+            nxt, prev = after[base + gone], before[base + k]
+            ids[base + k], ids[base + gone] = self.made_ids[low], -1
+            after[base + k], before[base + nxt] = nxt, k
+            trees[root + size + gone] = NONE
+            trees[root + size + prev] = self.ranks(ids[base + prev], ids[base + k])
+            trees[root + size + k] = self.ranks(ids[base + k], ids[base + nxt])
+            paths = [size + gone, size + prev, at]
+            for _ in range(depth):
+                for i, path in enumerate(paths):
+                    paths[i] = path = path >> 1
+                    left = root + 2 * path
+                    trees[root + path] = np.minimum(trees[left], trees[left + 1])
+        ids = ids.reshape(n, size)
+        ends = np.cumsum((ids >= 0).sum(axis=1)).tolist()
+        flat = ids[ids >= 0].tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def merged(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Token ids of each pre-token, from the tables or merged now."""
+        known, older = self.known, self.older
+        here = dict(zip(words, map(known.get, words)))
+        classes: dict[int, list[tuple[str, bytes]]] = {}
+        for word in [w for w, ids in here.items() if ids is None]:
+            if (ids := older.get(word)) is None:
+                raw = word.encode()
+                if len(raw) <= LONG:
+                    classes.setdefault(max(4, 1 << len(raw).bit_length()), []).append((word, raw))
+                    continue
+                ids = self.merge(raw)
+            here[word] = ids
+        for size, found in classes.items():
+            new = dict(zip([w for w, _ in found], self.merge_together([r for _, r in found], size)))
+            here |= new
+            if len(known) >= REMEMBERED:
+                self.older, self.known = known, (known := {})
+            known |= new
+        return here
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the texts in one row, and where each text's ids begin and end."""
+        split = self.split.findall
+        pieces = [self.special.split(t or "") if self.special else [t or ""] for t in texts]
+        # an added token is a number in place of a word, so that no pre-token can be taken for it
+        words = [[w for p in ps for w in ([self.added[p]] if p in self.added else split(p))] if len(ps) > 1 else split(ps[0]) for ps in pieces]
+        alone = {k: (k,) for k in self.added.values()}
+        here = self.merged(set().union(*words).difference(alone)) | alone
+        ids = [np.fromiter(chain.from_iterable(map(here.__getitem__, ws)), np.int32) for ws in words]
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum([0, *map(len, ids)])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -169,9 +228,8 @@ def _columns(docs: DataFrame, add: str, kind: str, source: str, spec: str, work)
 
 
 def _encoded(tool: Codec, texts: pa.Array) -> pa.Array:
-    ids = [np.array(tool.encode(t or ""), np.int32) for t in texts.to_pylist()]
-    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+    ids, ends = tool.encode(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
 
 def _decoded(tool: Codec, ids: pa.Array) -> pa.Array:
