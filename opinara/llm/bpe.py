@@ -188,7 +188,10 @@ class Codec:
             known |= new
         return here
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the texts in one row, and where each text's ids begin and end."""
         split = self.split.findall
         pieces = [self.special.split(t or "") if self.special else [t or ""] for t in texts]
@@ -228,7 +231,7 @@ def _columns(docs: DataFrame, add: str, kind: str, source: str, spec: str, work)
 
 
 def _encoded(tool: Codec, texts: pa.Array) -> pa.Array:
-    ids, ends = tool.encode(texts.to_pylist())
+    ids, ends = tool.encode_all(texts.to_pylist())
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
 
