@@ -7,6 +7,10 @@ Fingerprints that share a key meet in one sorted run and are compared bit-sliced
 blocks of 64 fingerprints are stored as 64 bit planes, a query's bits select each
 plane or its complement, carry-save counters add up all 64 distances at once, and a
 block is abandoned when every member exceeds the radius.  Links form components.
+
+At Jaccard 0.8 the bits of two texts differ in about ten places, too many for keys of
+64 bits, so ``kept_rows`` (the pipeline's stage) has candidates meet by bands of min-hashes
+and verifies them by their sets of shingles.
 """
 
 from __future__ import annotations
@@ -20,12 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.llm.compact_windows import SHINGLE, shingles
 from opinara.llm.graph import connected_components
 from opinara.session import cut
 
 SEED = 42
 #: Members of one key that are compared in one group; larger keys are dealt out in pairs of chunks.
 CHUNK = 4096
+#: Keys of four min-hashes each under which texts meet for an exact comparison.
+BANDS = 24
 #: Texts that are turned into Python objects at a time.
 SLICE = 64
 
@@ -232,7 +239,124 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their group, all columns unchanged (one of rows that repeat an id)."""
-    stay = components(docs, id_col, text_col, width, radius).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
+def _sets(docs: DataFrame, id_col: str, text_col: str, full: bool) -> DataFrame:
+    """(id, k, s): k names the set of five-word shingles of a text (a shorter text is one shingle);
+    s is the set if ``full``, else its min-hashes, a band of four 16-bit values in each long."""
+    rng = np.random.default_rng(SEED)
+    odd, plus = (rng.integers(0, 1 << 63, 4 * BANDS).astype(np.uint64) << np.uint64(1) | np.uint64(k) for k in (1, 0))
+
+    def one(text: str | None) -> tuple[int, np.ndarray]:
+        words = (text or "").encode().lower().split()
+        each = np.unique(shingles(text)) if len(words) >= SHINGLE else np.full(min(1, len(words)), xxhash.xxh64_intdigest(b" ".join(words), SEED), np.uint64)
+        k = xxhash.xxh3_64_intdigest(each.tobytes())
+        if full or not len(each):
+            return k, each
+        low = np.array([(each * m + c).min() for m, c in zip(odd, plus)])
+        return k, np.ascontiguousarray((low >> np.uint64(40)).astype(np.uint16)).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                got = [one(t) for t in part.column(1).to_pylist()]
+                keys = np.array([k for k, _ in got], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([x.view(np.int64) for _, x in got], pa.list_(pa.int64()))], ["id", "k", "s"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, k bigint, s array<bigint>")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows that agree on their first four columns, from batches sorted by these."""
+    held: list[tuple] = []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            part = batch.slice(lo, SLICE)
+            lists = [c.flatten().to_numpy(zero_copy_only=False) for c in part.columns[5:]]
+            ends = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in part.columns[5:]]
+            for n, r in enumerate(zip(*(c.to_pylist() for c in part.columns[:5]))):
+                if held and held[0][:4] != r[:4]:
+                    yield held
+                    held = []
+                held.append((*r, *(x[e[n] : e[n + 1]].copy() for x, e in zip(lists, ends))))
+    if held:
+        yield held
+
+
+def _likely(rows: list[tuple], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of a group whose min-hashes agree in at least ``least``, the most similar first;
+    a pair that meets under several bands belongs to the first of them."""
+    bands = np.array([r[5] for r in rows])
+    low = bands.view(np.uint16)
+    found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+    for i in range(len(rows) - 1):
+        share = (low[i + 1 :] == low[i]).mean(axis=1)
+        j = np.nonzero(share >= least)[0]
+        j = j[(bands[i + 1 + j] == bands[i]).argmax(axis=1) == rows[0][0]]
+        found.append((np.full(len(j), i), i + 1 + j, share[j]))
+    i, j, share = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-share, kind="stable")
+    return i[order], j[order]
+
+
+def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, chunk: int = 512) -> DataFrame:
+    """(src, dst) of ``classes`` (k, least, s as min-hashes) whose shingle sets have at least the
+    Jaccard similarity ``similar``: at least a spanning forest of all such links.
+
+    Classes meet under bands of min-hashes: at 0.8, a pair meets under none with a chance of
+    (1 - 0.8^4)^24 = 3e-6.  Pairs whose min-hashes agree in more than ``similar`` - 0.2 (five
+    deviations) are compared by their sets; these travel to groups where such a pair is."""
+    order = ["t", "key", "lo", "hi"]
+    keyed = classes.where(F.size("s") > 0).select("k", "s", F.posexplode("s").alias("t", "key"))
+    counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = keyed.join(counts, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
+    dealt = met.select("k", "s", "t", "key", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")).select("t", "key", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "k", "s")
+    least = similar - 0.2
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            i, j = _likely(rows, least)
+            some = [rows[x] for x in np.unique(np.concatenate([i, j])).tolist()]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], [*order, "k", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            up = list(range(len(rows)))
+
+            def root(x: int) -> int:
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            out = []
+            for i, j in zip(*(x.tolist() for x in _likely(rows, least))):
+                a, b = root(i), root(j)
+                x, y = rows[i][6], rows[j][6]
+                if a != b and min(len(x), len(y)) >= similar * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similar * (len(x) + len(y) - both):
+                        up[b] = a
+                        out.append((rows[i][4], rows[j][4]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
+
+    shape = "t int, key bigint, lo int, hi int, k bigint, s array<bigint>"
+    asked = cut(dealt.repartition(*order).sortWithinPartitions(*order, "k").mapInArrow(ask, shape))
+    wanted = asked.select("k").distinct().join(classes.select("k", "least"), "k").select("least").distinct()
+    again = docs.join(wanted, F.col(f"`{id_col}`").eqNullSafe(F.col("least")), "left_semi")
+    sets = _sets(again, id_col, text_col, True).select("k", F.col("s").alias("full")).dropDuplicates(["k"])
+    return asked.join(sets, "k").select(*order, "k", "s", "full").repartition(*order).sortWithinPartitions(*order, "k").mapInArrow(compare, "src bigint, dst bigint")
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of their group, all columns unchanged (one of rows
+    that repeat an id).  Texts are linked whose sets of five-word shingles have at least the
+    Jaccard similarity ``similar``; texts without a word are alike."""
+    rows = cut(_sets(docs, id_col, text_col, False))
+    classes = cut(rows.groupBy("k").agg(F.min("id").alias("least"), F.first("s").alias("s")))
+    joined = connected_components(jaccard_links(docs, classes, id_col, text_col, similar)).withColumnRenamed("node", "k")
+    merged = classes.join(joined, "k", "left").select("least", F.coalesce("component", "k").alias("component"))
+    stay = merged.groupBy("component").agg(F.min("least").alias("_stay")).select("_stay").distinct()
     return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col])

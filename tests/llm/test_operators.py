@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF, oracle_rows, spark_rows
+from pyspark.sql import functions as F
 
 from opinara.llm import bpe, compact_windows, exact_dedup, langid, mixing, quality, queries, sharding, simhash, suffix_dedup, surrogates
 
@@ -129,6 +130,55 @@ def test_simhash_equals_brute_force(spark):
     assert got == {i: (f"{rows[i]:016x}", want[i]) for i in ids}
 
 
+def five_word_sets(rows):
+    out = {}
+    for i, t in rows:
+        w = t.lower().split()
+        out[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    return out
+
+
+def near_fixture():
+    """Edited copies on both sides of the similarity 0.8, and texts of one frequent phrase."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    rows = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice([4, 25, 60, 300]))]
+        for _ in range(4):
+            text = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 30)):
+                text[rng.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text)))
+    line = [word() for _ in range(40)]
+    rows += [(len(rows) + k, " ".join(line + [word() for _ in range(rng.randint(0, 12))])) for k in range(80)]
+    return rows
+
+
+def near_want(rows):
+    sets = five_word_sets(rows)
+    ids = sorted(sets)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return components(ids, pairs)
+
+
+def test_near_copies_equal_brute_force_jaccard(spark):
+    rows = near_fixture()
+    want = {i for i, c in near_want(rows).items() if i == c}
+    got = simhash.kept_rows(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in got} == want and 20 < len(want) < len(rows) - 60
+
+
+def test_near_copies_of_a_hot_band_in_chunks(spark):
+    rows = near_fixture()
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    classes = simhash._sets(d, "doc_id", "text", False).groupBy("k").agg(F.min("id").alias("least"), F.first("s").alias("s"))
+    name = {r.k: r.least for r in classes.collect()}
+    got = [(name[r.src], name[r.dst]) for r in simhash.jaccard_links(d, classes, chunk=8).collect()]
+    want = near_want(rows)
+    assert components(sorted(name.values()), got) == {i: want[i] for i in name.values()}
+
+
 def test_links_of_a_hot_key_in_chunks(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)
