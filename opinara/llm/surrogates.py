@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from opinara.session import cut
 
 SLICE = 64
+#: Attempts that draw a name from the pool.
+POOL_DRAWS = 3
 # Titles with gender, and given names to draw from.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f"}
 NAMES = {
@@ -70,18 +72,21 @@ def _luhn(digits: str) -> int:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """A replacement of the same type and format."""
+    """A replacement of the same type and format.  Names leave the pool after POOL_DRAWS
+    attempts for letters of their own length and script; of names and mail addresses, whose
+    spaces may be small, later attempts draw longer ones."""
     draw = _Draw(key, kind, value, attempt)
+    longer = "".join(_char("x", draw) for _ in range(attempt // POOL_DRAWS - 1)) if attempt >= 2 * POOL_DRAWS else ""
     if kind == "name":
         title, *rest = value.split(" ")
         pool = NAMES[TITLES[title.rstrip(".")]]
-        return " ".join([title, pool[draw.below(len(pool))] if rest[0].isascii() else "".join(_char(c, draw) for c in rest[0])] + ["".join(_char(c, draw) for c in w) for w in rest[1:]])
+        return " ".join([title, pool[draw.below(len(pool))] if rest[0].isascii() and attempt < POOL_DRAWS else "".join(_char(c, draw) for c in rest[0]) + longer] + ["".join(_char(c, draw) for c in w) for w in rest[1:]])
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return "".join(_char(c, draw) for c in local) + "@" + "".join(_char(c, draw) for c in host) + "." + top
+        return "".join(_char(c, draw) for c in local) + longer + "@" + "".join(_char(c, draw) for c in host) + "." + top
     if kind == "phone":
         lead = re.match(r"\+\d{1,3}?(?=[ (-])|\+\d", value).group()
         return lead + "".join(_char(c, draw) for c in value[len(lead) :])
@@ -97,7 +102,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
 
 
 def assigned(found: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
-    """(kind, value, surrogate) of distinct entities (kind, value), free of collisions."""
+    """(kind, value, surrogate) of distinct entities (kind, value), free of collisions;
+    an error where ``rounds`` further draws leave one."""
     secret = bytes(key)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +113,18 @@ def assigned(found: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
 
     table = cut(found.distinct().withColumn("attempt", F.lit(0)).mapInArrow(draw, "kind string, value string, attempt int, surrogate string"))
     originals = table.select(F.col("kind").alias("k0"), F.col("value").alias("v0"))
-    for _ in range(rounds):
+    for n in range(rounds + 1):
         order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
         real = table.join(originals, (F.col("kind") == F.col("k0")) & (F.col("surrogate") == F.col("v0")), "left")
         marked = cut(real.withColumn("clash", (F.row_number().over(order) > 1) | F.col("v0").isNotNull()).select("kind", "value", "attempt", "surrogate", "clash"))
         if not marked.where("clash").limit(1).count():
+            return table.select("kind", "value", "surrogate")
+        if n == rounds:
             break
         again = marked.where("clash").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, "kind string, value string, attempt int, surrogate string")
         table = cut(marked.where("NOT clash").drop("clash").unionByName(again))
         originals = table.select(F.col("kind").alias("k0"), F.col("value").alias("v0"))
-    return table.select("kind", "value", "surrogate")
+    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -332,6 +332,20 @@ def test_colliding_surrogates_draw_again(spark, monkeypatch):
     assert len(set(got)) == len(got) == 5
 
 
+def test_many_names_of_one_title_stay_distinct(spark):
+    values = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQR" for b in "abcdefghijklmnopqr"] + [f"Mr Smith{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    found = spark.createDataFrame([("name", v) for v in values], "kind string, value string")
+    got = {r.value: r.surrogate for r in surrogates.assigned(found, b"k").collect()}
+    assert set(got) == set(values) and len(set(got.values())) == len(values) and not set(got.values()) & set(values)
+    assert all(surrogates.entities(v) == [("name", v)] for v in got.values())
+
+
+def test_collisions_that_are_left_raise(spark):
+    found = spark.createDataFrame([("name", f"Mr Q{x}") for x in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string")
+    with pytest.raises(RuntimeError):
+        surrogates.assigned(found, b"k", rounds=1)
+
+
 def test_pipeline_equals_its_parts(spark):
     import corpus_pipeline
 
