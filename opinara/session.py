@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "6g")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -25,17 +26,36 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; only where neither it nor
-    ``setCheckpointDir`` names one (tests, notebooks), take a temporary folder."""
+    """Use the folder named by ``spark.checkpoint.dir``; where neither it nor
+    ``setCheckpointDir`` names one, a local session (tests, notebooks) takes a temporary
+    folder and any other raises, as executors could not read that folder back."""
     sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir():
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
+    if sc.getCheckpointDir():
         return
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    named = sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared checkpoint folder and continue from
+    there: for tables of which only some columns or rows are read again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(table: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
