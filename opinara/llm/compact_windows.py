@@ -1,18 +1,31 @@
 """Near-duplicate passages by compact windows.
 
-A text is a sequence of five-word shingles.  Under each of several hash functions a
-Cartesian tree over the shingles' hashes gives, for each node that is the minimum of
-some window of ``width`` shingles, its compact window (l, c, r): every subsequence
-inside [l, r] that holds c has the hash at c as its min-hash.  Windows of different
-documents with one min-hash meet; an interval join keeps, inside a document, places
-where windows of two functions overlap by ``width``, so that passages
-meet by the min-hashes of two functions at once; the meeting passages are verified
-shingle by shingle.  Links join documents into classes.
+A text is a sequence of five-word shingles.  Under a hash function a Cartesian tree over
+the shingles' hashes gives, for each node that is the minimum of some window of a given
+width, its compact window (l, c, r): every subsequence inside [l, r] that holds c has the
+hash at c as its min-hash.
+
+Two stretches of WIDTH shingles with a Jaccard similarity of SIMILAR share so many
+shingles that, as one changed word breaks SHINGLE - 1 neighbours at least, a run of
+``run_of`` consecutive ones is common to both.  Equal runs have equal min-hashes, so with
+windows as wide as that run no pair is lost, whatever the hash functions are:
+
+1. the compact windows of the first function meet by min-hash over all texts; those that
+   no other text has drop out.  Windows whose surroundings (WIDTH - 1 shingles to either
+   side) are equal are one class, linked through their smallest id;
+2. where classes of one min-hash differ, an interval join with the compact windows of the
+   other functions cuts each representative's windows into segments of one signature;
+   representatives meet by signature, in groups too large by the exact runs in it;
+3. pairs that meet are verified on their surroundings, shingle by shingle.
+
+Links join documents into classes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +33,10 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from opinara.llm.graph import connected_components
-from opinara.session import cut
+from opinara.session import cut, drop_stored, stored
 
 SHINGLE = 5
 #: 46 shingles of five words span 50 words.
@@ -30,12 +44,12 @@ WIDTH = 46
 FUNCTIONS = 4
 SIMILAR = 0.8
 SLICE = 64
-#: Pairs of passages that are compared at once.
-COMPARED = 2000
-#: Low bits of a min-hash that hold the function, and bits of each reach in a packed window.
-FUNCTION_BITS = 6
-REACH_BITS = 18
+#: Members of a signature that are compared in one group; larger groups are dealt out in pairs of chunks.
+CHUNK = 1024
+#: Surroundings that are compared at once.
+COMPARED = 4096
 BROADCAST_BYTES = 24 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -52,13 +66,24 @@ def shingles(text: str | None) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def share_of(width: int, similar: float) -> int:
+    """Shingles that two stretches of ``width`` have in common at least, at a Jaccard similarity of ``similar``."""
+    return math.ceil(2 * similar / (1 + similar) * width - 1e-9)
+
+
+def run_of(width: int, similar: float) -> int:
+    """Consecutive shingles that they have in common at least: a break inside costs SHINGLE - 1 or more."""
+    share = share_of(width, similar)
+    return math.ceil(share / ((width - share) // (SHINGLE - 1) + 1))
+
+
 def _mixed(values: np.ndarray, function: int) -> np.ndarray:
     out = values ^ np.uint64((0xA24BAED4963EE407 * (function + 1)) % (1 << 64))
     out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(27))
 
 
-def compact_windows(values: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of the Cartesian tree nodes whose window [l, r] has ``width`` elements or more.
 
     Those nodes are the minima of windows of ``width``; as they are the top of the
@@ -90,80 +115,116 @@ def compact_windows(values: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray,
     return np.array(left), nodes, np.array(right)
 
 
-def _windows(docs: DataFrame, width: int, functions: int) -> DataFrame:
-    """(v, id, p) of all texts: v is the min-hash with the function's number in its low
-    bits; p packs the place c and how far the window reaches to the left and right, two
-    widths at most, as minima that meet are less than one width apart."""
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
+
+
+class Digests:
+    """Digests of stretches [lo, hi) of a sequence, from sums of its prefixes."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers(max(1 << 16, 1 << (len(values) + 1).bit_length()))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[hi] - self.sums[lo]) * self.down[lo], 7)
+
+
+def _batch(columns: list[list[np.ndarray]], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), t) for x, t in zip(columns, kinds)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _windows(docs: DataFrame, width: int, run: int) -> DataFrame:
+    """(v, id, c, after, d) of the compact windows of the first function: min-hash, place,
+    shingles of the surroundings after it, and a digest of the surroundings."""
+    names, kinds = ["v", "id", "c", "after", "d"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                out: list[list[np.ndarray]] = [[] for _ in range(3)]
+                out: list[list[np.ndarray]] = [[] for _ in names]
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     each = shingles(text)
                     if len(each) < width:
                         continue
-                    for f in range(functions):
-                        value = _mixed(each, f)
-                        l, c, r = compact_windows(value, width)
-                        v = value[c] >> np.uint64(FUNCTION_BITS) << np.uint64(FUNCTION_BITS) | np.uint64(f)
-                        reach = np.minimum(c - l, 2 * width) << REACH_BITS | np.minimum(r - c, 2 * width)
-                        for k, x in enumerate((v.view(np.int64), np.full(len(c), i), c << 2 * REACH_BITS | reach)):
-                            out[k].append(x)
+                    value = _mixed(each, 0)
+                    _, c, _ = compact_windows(value, run)
+                    hi = np.minimum(c + width, len(each))
+                    d = Digests(each).of(np.maximum(c - width + 1, 0), hi) >> np.uint64(33)
+                    for column, x in zip(out, (value[c].view(np.int64), np.full(len(c), i), c, hi - 1 - c, d.astype(np.int64))):
+                        column.append(x)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["v", "id", "p"])
-
-    return docs.mapInArrow(run, "v bigint, id bigint, p bigint")
-
-
-def _sized(table: DataFrame, row_bytes: int) -> DataFrame:
-    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
-
-
-def _places(rows: DataFrame, width: int) -> DataFrame:
-    """(key, id, c): places where windows of two functions overlap by ``width``; the key is made of their min-hashes."""
-    low = (1 << REACH_BITS) - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    yield _batch(out, names, kinds)
+
+    return docs.mapInArrow(work, "v bigint, id bigint, c int, after int, d int")
+
+
+def segments(each: np.ndarray, at: np.ndarray, run: int, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Interval join of the functions' compact windows: (c, first, last, signature) of the
+    segments of starts in which every window of ``run`` has the same minima, for the
+    windows of the first function whose place is in ``at``."""
+    firsts, minima = [], []
+    for f in range(functions):
+        value = _mixed(each, f)
+        l, c, _ = compact_windows(value, run)
+        firsts.append(np.maximum(l, c - run + 1))
+        minima.append(value[c])
+        if not f:
+            places = c
+    cuts = np.unique(np.concatenate(firsts))
+    owners = [np.searchsorted(x, cuts, side="right") - 1 for x in firsts]
+    pick = np.nonzero(np.isin(places[owners[0]], at))[0]
+    signature = np.zeros(len(pick), np.uint64)
+    for f in range(functions):
+        signature = _mixed(signature * np.uint64(_BASE) + minima[f][owners[f][pick]], 3)
+    last = np.append(cuts[1:], len(each) - run + 1) - 1
+    return places[owners[0][pick]], cuts[pick], last[pick], signature
+
+
+def _surroundings(docs: DataFrame, width: int, run: int, functions: int) -> DataFrame:
+    """Of rows (id, text, at): (id, c, low, s, sig, runs) for each place c in ``at``: the
+    surroundings' first shingle and their shingles (32 bits each), and of each segment the
+    signature and the digests of the runs in it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-            flat = lists.flatten()
-            v, p = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-            order = np.lexsort((v, p, ids))
-            ids, v, p = ids[order], v[order], p[order]
-            c = p >> 2 * REACH_BITS
-            l, r, f = c - (p >> REACH_BITS & low), c + (p & low), v & (1 << FUNCTION_BITS) - 1
-            hashed = _mixed(v.view(np.uint64), 0)
-            # sorted by place, so the partners of a window are its next neighbours
-            step = 1
-            while step < len(c):
-                near = (ids[step:] == ids[:-step]) & (c[step:] - c[:-step] < width)
-                if not near.any():
-                    break
-                lo, hi = np.maximum(l[step:], l[:-step]), np.minimum(r[step:], r[:-step])
-                x = np.nonzero(near & (f[step:] != f[:-step]) & (hi - lo + 1 >= width) & (lo <= c[:-step]) & (c[step:] <= hi))[0]
-                y = x + step
-                swap = f[x] > f[y]
-                first, second = np.where(swap, y, x), np.where(swap, x, y)
-                key = _mixed(hashed[first] * np.uint64(0x9E3779B97F4A7C15) + hashed[second], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[x]), pa.array(c[first])], ["key", "id", "c"])
-                step += 1
-
-    per = rows.groupBy("id").agg(F.collect_list(F.struct("v", "p")).alias("w"))
-    return per.mapInArrow(run, "key bigint, id bigint, c bigint")
-
-
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a list column: each element with its row's number above it, its row, and its place in the row."""
-    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                rows: list[tuple] = []
+                for i, text, at in zip(*(x.to_pylist() for x in part.columns)):
+                    each = shingles(text)
+                    digests = Digests(each)
+                    short = (each >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    place, first, last, signature = segments(each, np.array(at), run, functions)
+                    for c in np.unique(place).tolist():
+                        mine = np.nonzero(place == c)[0] if len(place) < 64 else np.arange(*np.searchsorted(place, [c, c + 1]))
+                        low = max(0, c - width + 1)
+                        runs = [digests.of(s := np.arange(first[k], last[k] + 1), s + run).view(np.int64) for k in mine]
+                        rows.append((i, c, low, short[low : c + width], signature[mine].view(np.int64), runs))
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), kinds)], ["id", "c", "low", "s", "sig", "runs"])
+
+    return docs.mapInArrow(work, "id bigint, c bigint, low bigint, s array<int>, sig array<bigint>, runs array<array<bigint>>")
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of arrays: each element with its array's number above it, that number, and its place in the array."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     row = np.repeat(np.arange(len(sizes)), sizes)
-    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
+    values = np.concatenate(lists).view(np.uint32).astype(np.int64)
     return row << 32 | values, row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _extents(x: tuple, y: tuple, n: int, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+def _extents(x: tuple, y: tuple, n: int, width: int, share: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of n pairs, the first and last element of x in windows of ``width`` of which
     at least ``share`` occur in the pair's y; -1 where there is none."""
     values, row, place = x
@@ -177,84 +238,140 @@ def _extents(x: tuple, y: tuple, n: int, width: int, share: float) -> tuple[np.n
     return first, last
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, functions: int = FUNCTIONS, similar: float = SIMILAR) -> DataFrame:
-    """Verified pairs (a, b, a_lo, a_hi, b_lo, b_hi): shingle intervals of two documents.
+def linked(ids: np.ndarray, shingle: list[np.ndarray], group: np.ndarray, width: int, share: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(i, j, i_lo, i_hi, j_lo, j_hi): verified pairs of rows of one group with different ids;
+    pairs that earlier links join already are not compared.  ``group`` is ascending."""
+    n, out = len(ids), []
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    ends = np.searchsorted(group, group, side="right")
+    leader = np.unique(group, return_index=True)[1]
+    while len(leader := leader[leader + 1 < ends[leader]]):
+        # each round compares one row of every group with the rows behind it
+        i = np.repeat(leader, ends[leader] - leader - 1)
+        j = np.concatenate([np.arange(a + 1, b) for a, b in zip(leader.tolist(), ends[leader].tolist())])
+        tree = np.fromiter(map(root, range(n)), np.int64, n)
+        open_ = (ids[i] != ids[j]) & (tree[i] != tree[j])
+        i, j = i[open_], j[open_]
+        for lo in range(0, len(i), COMPARED):
+            a, b = i[lo : lo + COMPARED], j[lo : lo + COMPARED]
+            x, y = _flat([shingle[k] for k in a.tolist()]), _flat([shingle[k] for k in b.tolist()])
+            p, q = _extents(x, y, len(a), width, share), _extents(y, x, len(a), width, share)
+            for k in np.nonzero((p[0] >= 0) & (q[0] >= 0))[0].tolist():
+                r, s = root(a[k]), root(b[k])
+                up[max(r, s)] = min(r, s)
+                out.append((int(a[k]), int(b[k]), int(p[0][k]), int(p[1][k]), int(q[0][k]), int(q[1][k])))
+        # groups that are one tree are done
+        tree = np.fromiter(map(root, range(n)), np.int64, n)
+        whole = np.logical_and.reduceat(tree == np.repeat(tree[first := np.unique(group, return_index=True)[1]], np.diff(np.append(first, n))), first)
+        numbers = np.searchsorted(group[first], group[leader])
+        leader = leader[~whole[numbers]] + 1
+    return out
+
+
+def _verified(met: DataFrame, width: int, share: int) -> DataFrame:
+    """Spanning links of the groups (sig, run, lo, hi) of rows (id, low, s)."""
+    order = ["sig", "run", "lo", "hi"]
+    names = ["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def compare(rows: list[tuple]) -> pa.RecordBatch:
+            ids, low = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+            new = [k == 0 or rows[k][:4] != rows[k - 1][:4] for k in range(len(rows))]
+            got = linked(ids, [r[6] for r in rows], np.cumsum(new), width, share)
+            i, j, *at = (np.array(x, np.int64) for x in zip(*got)) if got else [np.zeros(0, np.int64)] * 6
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], low[i] + at[0], low[i] + at[1], low[j] + at[2], low[j] + at[3])], names)
 
-    Of the documents that meet under a key, each is compared with the one whose id
-    hashes lowest under that key; a passage meets under many keys with different
-    partners, so links are not all pairs, yet chain all of a class.
-    """
-    read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    windows = cut(_windows(read, width, functions))
-    again = cut(windows.groupBy("v").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("v"))
-    rows = windows.join(_sized(again, 64), "v")
-    places = cut(_places(rows, width))
-    order = F.struct(F.xxhash64("key", "id").alias("o"), "id", "c")
-    met = places.groupBy("key").agg(F.min(order).alias("first"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y")
-    # written first, so that the join's sides come from shuffles alone and a hot key can be split
-    met = cut(met.select("key", F.col("first.id").alias("a"), F.col("first.c").alias("a_c")))
-    pairs = places.join(_sized(met, 64), "key").where("id <> a").select("a", "a_c", F.col("id").alias("b"), F.col("c").alias("b_c"))
-    # one comparison for each pair of documents and stretch of ``width`` shingles
-    pairs = cut(pairs.groupBy("a", "b", F.floor(F.col("b_c") / width).alias("stretch")).agg(F.min(F.struct("b_c", "a_c")).alias("p")).select("a", F.col("p.a_c").alias("a_c"), "b", F.col("p.b_c").alias("b_c")))
-    wanted = pairs.select(F.col("a").alias("id"), F.col("a_c").alias("c")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_c").alias("c"))).distinct()
-    wanted = cut(wanted.groupBy("id").agg(F.collect_list("c").alias("at")))
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                ids, cs, lows, got = [], [], [], []
-                for i, text, at in zip(*(x.to_pylist() for x in part.columns)):
-                    each = (shingles(text) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    for c in at:
-                        ids.append(i)
-                        cs.append(c)
-                        lows.append(max(0, c - width + 1))
-                        got.append(each[lows[-1] : c + width])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cs, pa.int64()), pa.array(lows, pa.int64()), pa.array(got, pa.list_(pa.int32()))], ["id", "c", "low", "s"])
-
-    bytes_at = wanted.agg(F.coalesce(F.sum(F.size("at") * 8 + 40), F.lit(0)).alias("n")).first()["n"]
-    small = F.broadcast(wanted) if bytes_at <= BROADCAST_BYTES else wanted
-    seen = cut(read.join(small, "id").select("id", "text", "at").mapInArrow(around, "id bigint, c bigint, low bigint, s array<int>"))
-    left = seen.select(F.col("id").alias("a"), F.col("c").alias("a_c"), F.col("low").alias("a_low"), F.col("s").alias("a_s"))
-    right = seen.select(F.col("id").alias("b"), F.col("c").alias("b_c"), F.col("low").alias("b_low"), F.col("s").alias("b_s"))
-    share = 2 * similar / (1 + similar) * width
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, COMPARED):
-                part = batch.slice(at, COMPARED)
-                n = part.num_rows
-                a, b, a_low, b_low = (part.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-                x, y = (_flat(part.column(k)) for k in (4, 5))
-                # a shingle is counted inside its own pair only
-                p, q = _extents(x, y, n, width, share), _extents(y, x, n, width, share)
-                good = (p[0] >= 0) & (q[0] >= 0)
-                cols = [a, b, a_low + p[0], a_low + p[1], b_low + q[0], b_low + q[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c[good].astype(np.int64)) for c in cols], ["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"])
+            lists = batch.column(6)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            for k, r in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]))):
+                # groups stay whole; many small ones are compared together
+                if len(held) >= COMPARED and held[-1][:4] != r[:4]:
+                    yield compare(held)
+                    held = []
+                held.append((*r, flat[ends[k] : ends[k + 1]].copy()))
+        if held:
+            yield compare(held)
 
-    both = pairs.join(left, ["a", "a_c"]).join(right, ["b", "b_c"]).select("a", "b", "a_low", "b_low", "a_s", "b_s")
-    return cut(both.mapInArrow(verify, "a bigint, b bigint, a_lo bigint, a_hi bigint, b_lo bigint, b_hi bigint"))
+    rows = met.select(*order, "id", "low", "s").repartition(*order).sortWithinPartitions(*order, "id", "low")
+    return rows.mapInArrow(work, ", ".join(f"{x} bigint" for x in names))
 
 
-def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, functions: int = FUNCTIONS, similar: float = SIMILAR) -> DataFrame:
-    """One row per document with a passage of ``width`` shingles or more that is nearly
-    repeated in another document: id, class_id (smallest id reachable by links), n_links,
-    n_passages (maximal runs), n_words (words in them).
+def _sized(table: DataFrame, row_bytes: int) -> DataFrame:
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
 
-    Documents without one do not appear.  Null ids and texts, and texts that are too
-    short, have no passages; rows that repeat an id are one document; other columns are
-    ignored; an empty table gives no rows.
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, functions: int = FUNCTIONS, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
+    """(a, b, a_lo, a_hi, b_lo, b_hi): shingle intervals of two documents that are nearly
+    equal; at least a spanning forest of all such pairs."""
+    run, share = run_of(width, similar), share_of(width, similar)
+    read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    windows = stored(_windows(read, width, run))
+    again = stored(windows.groupBy("v").count().where("count > 1").select("v"))
+    shared = stored(windows.join(_sized(again, 48), "v"))
+    drop_stored(windows)
+    drop_stored(again)
+    classes = stored(shared.groupBy("v", "d").agg(F.min(F.struct("id", "c", "after")).alias("first"), F.max("id").alias("last")).select("v", "d", "first.*", "last"))
+    copies = classes.where("id < last").select("v", "d", F.col("id").alias("b"), F.col("c").alias("b_c"))
+    lo = lambda c: F.greatest(F.col(c) - (width - 1), F.lit(0))
+    equal = cut(
+        shared.join(copies, ["v", "d"]).where("id <> b")
+        .select(F.col("id").alias("a"), "b", lo("c").alias("a_lo"), (F.col("c") + F.col("after")).alias("a_hi"), lo("b_c").alias("b_lo"), (F.col("b_c") + F.col("after")).alias("b_hi"))
+        .select(*[F.col(x).cast("long").alias(x) for x in ("a", "b", "a_lo", "a_hi", "b_lo", "b_hi")])
+        .distinct()
+    )
+    drop_stored(shared)
+    unlike = classes.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("n > 1 AND x < y").select("v")
+    wanted = classes.join(unlike, "v").select("id", "c").distinct().groupBy("id").agg(F.collect_list("c").alias("at"))
+    around = stored(_surroundings(read.join(wanted, "id").select("id", "text", "at"), width, run, functions))
+    drop_stored(classes)
+    # a repeated id is one document: of its rows one stays
+    narrow = around.select("id", "c", F.posexplode(F.arrays_zip("sig", "runs")).alias("k", "x")).select("id", "c", "k", "x.sig", "x.runs").dropDuplicates(["id", "c", "k"])
+    whole = narrow.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.xxhash64("id", "c") % (1 << 40)).alias("set")).where("x < y").select("sig", "n", "set")
+    # of a place's segments that the same places share, the first is enough
+    before = F.lag("set").over(Window.partitionBy("id", "c").orderBy("k"))
+    first = narrow.join(whole, "sig").withColumn("before", before).where("before IS NULL OR before <> set")
+    runs = F.when(F.col("n") <= chunk, F.array(F.lit(0).cast("long"))).otherwise(F.col("runs"))
+    keyed = stored(first.select("id", "c", "sig", F.explode(runs).alias("run")))
+    groups = keyed.groupBy("sig", "run").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y")
+    met = keyed.join(groups, ["sig", "run"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("p", F.pmod(F.xxhash64("id", "c"), F.col("chunks")))
+    dealt = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "run", F.least("p", "q").cast("long").alias("lo"), F.greatest("p", "q").cast("long").alias("hi"), "id", "c")
+    near = cut(_verified(dealt.join(around.select("id", "c", "low", "s").dropDuplicates(["id", "c"]), ["id", "c"]), width, share))
+    drop_stored(keyed)
+    drop_stored(around)
+    return equal.unionByName(near)
+
+
+def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, functions: int = FUNCTIONS, similar: float = SIMILAR) -> DataFrame:
+    """One row per input row: id, class_id (smallest id reachable by links, its own without
+    one), n_passages (maximal runs of words that are nearly repeated in another document, as
+    far as the links found show) and n_words (words in them).
+
+    Texts are linked where ``width`` consecutive shingles of each have a Jaccard similarity
+    of ``similar``, or as many common shingles within the surroundings of a common run.  Null
+    ids have a null class; null texts, and texts that are too short, have no passages; rows
+    that repeat an id are one document; other columns are ignored; an empty table gives no rows.
     """
     got = passages(docs, id_col, text_col, width, functions, similar)
     kinds = connected_components(got.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-    ends = got.select(F.col("a").alias("id"), F.col("b").alias("other"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).unionByName(got.select(F.col("b").alias("id"), F.col("a").alias("other"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi")))
-    spans = ends.groupBy("id", "lo", "hi").agg(F.count(F.lit(1)).alias("_n"))
+    words = lambda x: got.select(F.col(x).alias("id"), F.col(f"{x}_lo").alias("lo"), (F.col(f"{x}_hi") + SHINGLE).alias("hi"))
+    ends = words("a").unionByName(words("b"))
     runs = F.expr(
-        f"aggregate(array_sort(collect_list(struct(lo, hi))), named_struct('end', -1L, 'n', 0L, 'words', 0L), (s, x) -> CASE WHEN x.lo > s.end "
-        f"THEN named_struct('end', x.hi, 'n', s.n + 1, 'words', s.words + x.hi - x.lo + {SHINGLE}) "
+        "aggregate(array_sort(collect_list(struct(lo, hi))), named_struct('end', -1L, 'n', 0L, 'words', 0L), (s, x) -> CASE WHEN x.lo > s.end "
+        "THEN named_struct('end', x.hi, 'n', s.n + 1, 'words', s.words + x.hi - x.lo) "
         "WHEN x.hi > s.end THEN named_struct('end', x.hi, 'n', s.n, 'words', s.words + x.hi - s.end) ELSE s END)"
     )
-    per = spans.groupBy("id").agg(runs.alias("r"))
-    linked = ends.select("id", "other").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    return per.join(linked, "id").join(kinds.withColumnRenamed("node", "id"), "id").select(F.col("id").alias(id_col), F.col("component").alias("class_id"), "n_links", F.col("r.n").alias("n_passages"), F.col("r.words").alias("n_words"))
+    per = ends.distinct().groupBy("id").agg(runs.alias("r"))
+    found = per.join(kinds.withColumnRenamed("node", "id"), "id").select(F.col("id").alias("_id"), "component", "r")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id")).join(found, F.col("id").cast("long") == F.col("_id"), "left")
+    none = F.lit(0).cast("long")
+    return rows.select(F.col("id").alias(id_col), F.coalesce("component", F.col("id").cast("long")).alias("class_id"), F.coalesce("r.n", none).alias("n_passages"), F.coalesce("r.words", none).alias("n_words"))

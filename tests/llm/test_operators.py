@@ -304,11 +304,76 @@ def test_passages_that_repeat_are_found(spark):
         words = r.text.encode().lower().split()
         for k in range(len(words) - 49):
             seen[tuple(words[k : k + 50])].add(r.doc_id)
-    want = {i for v in seen.values() if len(v) > 1 for i in v}
-    got = compact_windows.near_passages(docs(spark)).collect()
-    assert want <= {r.doc_id for r in got} and len(got) <= len(want) + 20
+    linked = [(max(v), x) for v in seen.values() if len(v) > 1 for x in v]
+    ids = [r.doc_id for r in docs(spark).collect()]
+    least = components(ids, linked)
+    got = {r.doc_id: r for r in compact_windows.near_passages(docs(spark)).collect()}
+    assert sorted(got) == sorted(ids)
+    assert all(got[i].n_passages > 0 and got[i].class_id <= least[i] for i in {x for p in linked for x in p})
     assert compact_windows.near_passages(empty(spark)).collect() == []
-    assert len(compact_windows.near_passages(awkward(spark)).collect()) == 2
+    odd = compact_windows.near_passages(awkward(spark)).collect()
+    assert len(odd) == 15 and sorted(r.doc_id for r in odd if r.n_passages) == [7, 8]
+
+
+def passage_fixture():
+    """Texts with passages of 50 to 90 words that were edited up to three times, a frequent
+    line of 15 words and one of 30, and a passage that many hold."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 9000)}"
+    many = lambda n: [word() for _ in range(n)]
+    bases, short, middle, common = [many(rng.choice([50, 55, 60, 75, 90])) for _ in range(14)], many(15), many(30), many(52)
+    rows = []
+    for k in range(90):
+        part = list(bases[k % 14])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            at, how = rng.randrange(len(part)), rng.randrange(3)
+            part[at : at + (how != 1)] = many(how != 2)
+        pieces = [part, short if k % 2 else middle, common if k % 5 == 0 else [], many(rng.randint(0, 40))]
+        rng.shuffle(pieces)
+        rows.append((k, " ".join(w for p in pieces for w in [*many(rng.randint(1, 30)), *p])))
+    return rows
+
+
+def linked_passages(rows):
+    """Pairs of texts with a window of 46 shingles each that have a Jaccard similarity of 0.8, by comparing all windows."""
+    names: dict[tuple, int] = {}
+    seq = {}
+    for i, t in rows:
+        w = t.lower().split()
+        seq[i] = np.array([names.setdefault(tuple(w[k : k + 5]), len(names)) for k in range(len(w) - 4)])
+    assert all(len(set(s.tolist())) == len(s) for s in seq.values())
+    pairs = []
+    for a in seq:
+        for b in seq:
+            if b < a:
+                total = np.zeros((len(seq[a]) + 1, len(seq[b]) + 1), int)
+                total[1:, 1:] = (seq[a][:, None] == seq[b][None, :]).cumsum(0).cumsum(1)
+                common = total[46:, 46:] - total[:-46, 46:] - total[46:, :-46] + total[:-46, :-46]
+                if common.size and common.max() >= 0.8 * (92 - common.max()):
+                    pairs.append((a, b))
+    return pairs
+
+
+@pytest.mark.parametrize("chunk", [1024, 6])
+def test_near_passages_equal_brute_force(spark, chunk):
+    rows = passage_fixture()
+    want = linked_passages(rows)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = compact_windows.passages(d, chunk=chunk).collect()
+    ids = [i for i, _ in rows]
+    # nothing is lost, and what is found beside holds 41 common shingles within a run's surroundings
+    got = components(ids, [(r.a, r.b) for r in found])
+    assert components(ids, want + [(r.a, r.b) for r in found]) == got and len(want) > 100
+    sets = {i: t.split() for i, t in rows}
+    for r in found:
+        x, y = (sets[i][lo : hi + 5] for i, lo, hi in ((r.a, r.a_lo, r.a_hi), (r.b, r.b_lo, r.b_hi)))
+        grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        assert len(grams(x) & grams(y)) >= 41 and min(len(x), len(y)) >= 50
+    assert len(set(got.values())) > 5
+
+
+def test_runs_that_two_near_stretches_share():
+    assert (compact_windows.share_of(46, 0.8), compact_windows.run_of(46, 0.8)) == (41, 21)
 
 
 def test_surrogates_hide_originals_and_keep_types(spark):
