@@ -1,6 +1,7 @@
 """Near-duplicate passages by compact windows.
 
-A text is a sequence of five-word shingles.  Under a hash function a Cartesian tree over
+A text is a sequence of five-word shingles, in which a word that is repeated counts five
+times at most.  Under a hash function a Cartesian tree over
 the shingles' hashes gives, for each node that is the minimum of some window of a given
 width, its compact window (l, c, r): every subsequence inside [l, r] that holds c has the
 hash at c as its min-hash.
@@ -44,16 +45,21 @@ WIDTH = 46
 FUNCTIONS = 4
 SIMILAR = 0.8
 SLICE = 64
-#: Members of a signature that are compared in one group; larger groups are dealt out in pairs of chunks.
+#: Members of a signature that meet as they are; larger groups are split by the exact runs.
+SPLIT = 128
+#: Members of a run that are compared in one group; larger groups are dealt out in pairs of chunks.
 CHUNK = 1024
-#: Surroundings that are compared at once.
-COMPARED = 4096
+#: Rows whose groups are compared together, and pairs of surroundings at once.
+TOGETHER = 4096
+COMPARED = 256
 BROADCAST_BYTES = 24 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """64-bit hash of each run of five words, A-Z in lower case."""
+    """64-bit hash of each run of five words, A-Z in lower case.  A shingle that equals the
+    one before adds nothing to a set and is left out: a word repeated more than five times
+    in a row counts five times."""
     words = (text or "").encode().lower().split()
     n = len(words) - SHINGLE + 1
     if n < 1:
@@ -62,7 +68,8 @@ def shingles(text: str | None) -> np.ndarray:
     one = np.fromiter(map(digest, words), np.uint64, len(words))
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + one[k : k + n]
+        out = out * np.uint64(_BASE) + one[k : k + n]
+    out = out[np.append(True, out[1:] != out[:-1])]
     return out ^ (out >> np.uint64(31))
 
 
@@ -190,88 +197,83 @@ def segments(each: np.ndarray, at: np.ndarray, run: int, functions: int) -> tupl
 
 
 def _surroundings(docs: DataFrame, width: int, run: int, functions: int) -> DataFrame:
-    """Of rows (id, text, at): (id, c, low, s, sig, runs) for each place c in ``at``: the
+    """Of rows (id, text, at): (id, c, low, s, sig, first, last) for each place c in ``at``: the
     surroundings' first shingle and their shingles (32 bits each), and of each segment the
-    signature and the digests of the runs in it."""
+    signature and its first and last start."""
+    names = ["id", "c", "low", "s", "sig", "first", "last"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
-                rows: list[tuple] = []
+                flat: list[list[np.ndarray]] = [[] for _ in range(7)]
+                sizes: list[list[np.ndarray]] = [[], []]
                 for i, text, at in zip(*(x.to_pylist() for x in part.columns)):
                     each = shingles(text)
-                    digests = Digests(each)
-                    short = (each >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     place, first, last, signature = segments(each, np.array(at), run, functions)
-                    for c in np.unique(place).tolist():
-                        mine = np.nonzero(place == c)[0] if len(place) < 64 else np.arange(*np.searchsorted(place, [c, c + 1]))
-                        low = max(0, c - width + 1)
-                        runs = [digests.of(s := np.arange(first[k], last[k] + 1), s + run).view(np.int64) for k in mine]
-                        rows.append((i, c, low, short[low : c + width], signature[mine].view(np.int64), runs))
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), kinds)], ["id", "c", "low", "s", "sig", "runs"])
-
-    return docs.mapInArrow(work, "id bigint, c bigint, low bigint, s array<int>, sig array<bigint>, runs array<array<bigint>>")
-
-
-def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of arrays: each element with its array's number above it, that number, and its place in the array."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    values = np.concatenate(lists).view(np.uint32).astype(np.int64)
-    return row << 32 | values, row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def _extents(x: tuple, y: tuple, n: int, width: int, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n pairs, the first and last element of x in windows of ``width`` of which
-    at least ``share`` occur in the pair's y; -1 where there is none."""
-    values, row, place = x
-    first, last = np.full(n, -1), np.full(n, -1)
-    if len(values) < width:
-        return first, last
-    total = np.concatenate([[0], np.cumsum(np.isin(values, y[0]))])
-    starts = np.nonzero((total[width:] - total[:-width] >= share) & (row[width - 1 :] == row[: len(row) - width + 1]))[0]
-    last[row[starts]] = place[starts] + width - 1
-    first[row[starts[::-1]]] = place[starts[::-1]]
-    return first, last
-
-
-def linked(ids: np.ndarray, shingle: list[np.ndarray], group: np.ndarray, width: int, share: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(i, j, i_lo, i_hi, j_lo, j_hi): verified pairs of rows of one group with different ids;
-    pairs that earlier links join already are not compared.  ``group`` is ascending."""
-    n, out = len(ids), []
-    up = list(range(n))
+                    c, begin = np.unique(place, return_index=True)
+                    low, high = np.maximum(c - width + 1, 0), np.minimum(c + width, len(each))
+                    short = (each >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    around = [short[a:b] for a, b in zip(low.tolist(), high.tolist())]
+                    for column, x in zip(flat, (np.full(len(c), i), c, low, np.concatenate([short[:0], *around]), signature.view(np.int64), first, last)):
+                        column.append(x)
+                    sizes[0].append(high - low)
+                    sizes[1].append(np.diff(np.append(begin, len(place))))
+                if flat[0]:
+                    one = [np.concatenate(x) for x in flat]
+                    ends = [pa.array(np.concatenate([[0], np.cumsum(np.concatenate(x))]).astype(np.int32)) for x in sizes]
+                    lists = [pa.ListArray.from_arrays(ends[0 if k == 3 else 1], pa.array(one[k])) for k in range(3, 7)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in one[:3]), *lists], names)
+
+    return docs.mapInArrow(work, "id bigint, c bigint, low bigint, s array<int>, sig array<bigint>, first array<bigint>, last array<bigint>")
+
+
+def extents(x: np.ndarray, y: np.ndarray, width: int, share: int) -> tuple[np.ndarray, ...]:
+    """Of pairs of rows of x and y: first and last element of x in windows of ``width`` of
+    which at least ``share`` occur in y, then those of y in x; -1 where there is none.
+    Rows are filled up with negative numbers that occur on one side only."""
+    same = x[:, :, None] == y[:, None, :]
+    out = []
+    for hit in (same.any(axis=2), same.any(axis=1)):
+        total = np.zeros((len(x), hit.shape[1] + 1), np.int32)
+        np.cumsum(hit, axis=1, out=total[:, 1:])
+        good = total[:, width:] - total[:, :-width] >= share
+        some = good.any(axis=1)
+        out.append(np.where(some, good.argmax(axis=1), -1))
+        out.append(np.where(some, good.shape[1] - 1 - good[:, ::-1].argmax(axis=1) + width - 1, -1))
+    return tuple(out)
+
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def linked(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, group: np.ndarray, width: int, share: int) -> list[tuple[int, ...]]:
+    """(i, j, i_lo, i_hi, j_lo, j_hi): verified pairs of rows of one group with different ids;
+    pairs that earlier links join already are not compared.
 
+    rows: the surroundings' shingles, of which row k has ``sizes[k]``; group: ascending."""
+    n, out = len(ids), []
+    inside = np.arange(rows.shape[1]) < sizes[:, None]
+    # shingles lose their sign, so that what fills rows up is like nothing else
+    left, right = (np.where(inside, rows & 0x7FFFFFFF, fill) for fill in (np.int32(-1), np.int32(-2)))
     ends = np.searchsorted(group, group, side="right")
-    leader = np.unique(group, return_index=True)[1]
-    while len(leader := leader[leader + 1 < ends[leader]]):
+    begins = np.searchsorted(group, group)
+    tree, missing = np.arange(n), ends - begins - 1
+    leader = np.unique(begins)
+    while len(leader := leader[(leader + 1 < ends[leader]) & (missing[begins[leader]] > 0)]):
         # each round compares one row of every group with the rows behind it
         i = np.repeat(leader, ends[leader] - leader - 1)
         j = np.concatenate([np.arange(a + 1, b) for a, b in zip(leader.tolist(), ends[leader].tolist())])
-        tree = np.fromiter(map(root, range(n)), np.int64, n)
-        open_ = (ids[i] != ids[j]) & (tree[i] != tree[j])
-        i, j = i[open_], j[open_]
+        apart = (ids[i] != ids[j]) & (tree[i] != tree[j])
+        i, j = i[apart], j[apart]
         for lo in range(0, len(i), COMPARED):
             a, b = i[lo : lo + COMPARED], j[lo : lo + COMPARED]
-            x, y = _flat([shingle[k] for k in a.tolist()]), _flat([shingle[k] for k in b.tolist()])
-            p, q = _extents(x, y, len(a), width, share), _extents(y, x, len(a), width, share)
-            for k in np.nonzero((p[0] >= 0) & (q[0] >= 0))[0].tolist():
-                r, s = root(a[k]), root(b[k])
-                up[max(r, s)] = min(r, s)
-                out.append((int(a[k]), int(b[k]), int(p[0][k]), int(p[1][k]), int(q[0][k]), int(q[1][k])))
-        # groups that are one tree are done
-        tree = np.fromiter(map(root, range(n)), np.int64, n)
-        whole = np.logical_and.reduceat(tree == np.repeat(tree[first := np.unique(group, return_index=True)[1]], np.diff(np.append(first, n))), first)
-        numbers = np.searchsorted(group[first], group[leader])
-        leader = leader[~whole[numbers]] + 1
+            p = extents(left[a], right[b], width, share)
+            for k in np.nonzero((p[0] >= 0) & (p[2] >= 0))[0].tolist():
+                u, v = int(a[k]), int(b[k])
+                out.append((u, v, *(int(x[k]) for x in p)))
+                if tree[u] != tree[v]:
+                    mine = tree[begins[u] : ends[u]]
+                    mine[mine == tree[v]] = tree[u]
+                    missing[begins[u]] -= 1
+        leader = leader + 1
     return out
 
 
@@ -279,28 +281,39 @@ def _verified(met: DataFrame, width: int, share: int) -> DataFrame:
     """Spanning links of the groups (sig, run, lo, hi) of rows (id, low, s)."""
     order = ["sig", "run", "lo", "hi"]
     names = ["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"]
+    wide = 2 * width - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def compare(rows: list[tuple]) -> pa.RecordBatch:
-            ids, low = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-            new = [k == 0 or rows[k][:4] != rows[k - 1][:4] for k in range(len(rows))]
-            got = linked(ids, [r[6] for r in rows], np.cumsum(new), width, share)
+        def compare(cols: list[np.ndarray], new: np.ndarray) -> pa.RecordBatch:
+            ids, low, sizes, rows = cols[4:]
+            got = linked(ids, rows, sizes, np.cumsum(new), width, share)
             i, j, *at = (np.array(x, np.int64) for x in zip(*got)) if got else [np.zeros(0, np.int64)] * 6
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], low[i] + at[0], low[i] + at[1], low[j] + at[2], low[j] + at[3])], names)
 
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            lists = batch.column(6)
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
-            for k, r in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]))):
-                # groups stay whole; many small ones are compared together
-                if len(held) >= COMPARED and held[-1][:4] != r[:4]:
-                    yield compare(held)
-                    held = []
-                held.append((*r, flat[ends[k] : ends[k + 1]].copy()))
-        if held:
-            yield compare(held)
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]]
+            sizes = pa.compute.list_value_length(batch.column(6)).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.zeros((len(sizes), wide), np.int32)
+            rows[np.arange(wide) < sizes[:, None]] = batch.column(6).flatten().to_numpy(zero_copy_only=False)
+            cols += [sizes, rows]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = False
+            for c in cols[:4]:
+                new[1:] |= c[1:] != c[:-1]
+            # groups stay whole; many small ones are compared together
+            at = np.nonzero(new)[0]
+            done = 0
+            for stop in at[1:].tolist():
+                if stop - done >= TOGETHER or stop == at[-1]:
+                    yield compare([c[done:stop] for c in cols], new[done:stop])
+                    done = stop
+            held = [c[done:].copy() for c in cols]
+        if held is not None and len(held[0]):
+            new = np.zeros(len(held[0]), bool)
+            yield compare(held, new)
 
     rows = met.select(*order, "id", "low", "s").repartition(*order).sortWithinPartitions(*order, "id", "low")
     return rows.mapInArrow(work, ", ".join(f"{x} bigint" for x in names))
@@ -310,7 +323,7 @@ def _sized(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, functions: int = FUNCTIONS, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, functions: int = FUNCTIONS, similar: float = SIMILAR, split: int = SPLIT, chunk: int = CHUNK) -> DataFrame:
     """(a, b, a_lo, a_hi, b_lo, b_hi): shingle intervals of two documents that are nearly
     equal; at least a spanning forest of all such pairs."""
     run, share = run_of(width, similar), share_of(width, similar)
@@ -335,18 +348,22 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     around = stored(_surroundings(read.join(wanted, "id").select("id", "text", "at"), width, run, functions))
     drop_stored(classes)
     # a repeated id is one document: of its rows one stays
-    narrow = around.select("id", "c", F.posexplode(F.arrays_zip("sig", "runs")).alias("k", "x")).select("id", "c", "k", "x.sig", "x.runs").dropDuplicates(["id", "c", "k"])
-    whole = narrow.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.xxhash64("id", "c") % (1 << 40)).alias("set")).where("x < y").select("sig", "n", "set")
+    each = around.select("id", "c", F.posexplode(F.arrays_zip("sig", "first", "last")).alias("k", "x")).select("id", "c", "k", "x.*").dropDuplicates(["id", "c", "k"])
+    whole = each.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.xxhash64("id", "c") % (1 << 40)).alias("set")).where("x < y").select("sig", "n", "set")
     # of a place's segments that the same places share, the first is enough
     before = F.lag("set").over(Window.partitionBy("id", "c").orderBy("k"))
-    first = narrow.join(whole, "sig").withColumn("before", before).where("before IS NULL OR before <> set")
-    runs = F.when(F.col("n") <= chunk, F.array(F.lit(0).cast("long"))).otherwise(F.col("runs"))
-    keyed = stored(first.select("id", "c", "sig", F.explode(runs).alias("run")))
-    groups = keyed.groupBy("sig", "run").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y")
-    met = keyed.join(groups, ["sig", "run"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("p", F.pmod(F.xxhash64("id", "c"), F.col("chunks")))
-    dealt = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "run", F.least("p", "q").cast("long").alias("lo"), F.greatest("p", "q").cast("long").alias("hi"), "id", "c")
-    near = cut(_verified(dealt.join(around.select("id", "c", "low", "s").dropDuplicates(["id", "c"]), ["id", "c"]), width, share))
+    keyed = stored(each.join(whole, "sig").withColumn("before", before).where("before IS NULL OR before <> set").select("id", "c", "sig", "first", "last", "n"))
+    texts = around.select("id", "c", "low", "s").dropDuplicates(["id", "c"])
+    zero = F.lit(0).cast("long")
+    few = keyed.where(F.col("n") <= split).select("sig", zero.alias("run"), zero.alias("lo"), zero.alias("hi"), "id", "c")
+    exact = F.transform(F.sequence("first", "last"), lambda k: F.xxhash64(F.slice("s", (k - F.col("low") + 1).cast("int"), F.lit(run))))
+    runs = stored(keyed.where(F.col("n") > split).join(texts, ["id", "c"]).select("sig", F.explode(exact).alias("run"), "id", "c"))
+    groups = runs.groupBy("sig", "run").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("sig", "run", "n")
+    met = runs.join(groups, ["sig", "run"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("p", F.pmod(F.xxhash64("id", "c"), F.col("chunks")))
+    many = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "run", F.least("p", "q").cast("long").alias("lo"), F.greatest("p", "q").cast("long").alias("hi"), "id", "c")
+    near = cut(_verified(few.unionByName(many).join(texts, ["id", "c"]), width, share))
     drop_stored(keyed)
+    drop_stored(runs)
     drop_stored(around)
     return equal.unionByName(near)
 

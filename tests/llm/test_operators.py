@@ -354,12 +354,12 @@ def linked_passages(rows):
     return pairs
 
 
-@pytest.mark.parametrize("chunk", [1024, 6])
-def test_near_passages_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize("split, chunk", [(128, 1024), (3, 6), (3, 1024)])
+def test_near_passages_equal_brute_force(spark, split, chunk):
     rows = passage_fixture()
     want = linked_passages(rows)
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = compact_windows.passages(d, chunk=chunk).collect()
+    found = compact_windows.passages(d, split=split, chunk=chunk).collect()
     ids = [i for i, _ in rows]
     # nothing is lost, and what is found beside holds 41 common shingles within a run's surroundings
     got = components(ids, [(r.a, r.b) for r in found])
