@@ -46,9 +46,9 @@ FUNCTIONS = 4
 SIMILAR = 0.8
 SLICE = 64
 #: Members of a signature that meet as they are; larger groups are split by the exact runs.
-SPLIT = 128
+SPLIT = 256
 #: Members of a run that are compared in one group; larger groups are dealt out in pairs of chunks.
-CHUNK = 1024
+CHUNK = 4096
 #: Rows whose groups are compared together, and pairs of surroundings at once.
 TOGETHER = 4096
 COMPARED = 256
@@ -245,8 +245,8 @@ def extents(x: np.ndarray, y: np.ndarray, width: int, share: int) -> tuple[np.nd
 
 
 def linked(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, group: np.ndarray, width: int, share: int) -> list[tuple[int, ...]]:
-    """(i, j, i_lo, i_hi, j_lo, j_hi): verified pairs of rows of one group with different ids;
-    pairs that earlier links join already are not compared.
+    """(i, j, i_lo, i_hi, j_lo, j_hi): verified pairs of rows of one group with different ids,
+    without those that earlier ones join already.
 
     rows: the surroundings' shingles, of which row k has ``sizes[k]``; group: ascending."""
     n, out = len(ids), []
@@ -268,11 +268,12 @@ def linked(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, group: np.ndarr
             p = extents(left[a], right[b], width, share)
             for k in np.nonzero((p[0] >= 0) & (p[2] >= 0))[0].tolist():
                 u, v = int(a[k]), int(b[k])
+                if tree[u] == tree[v]:
+                    continue
                 out.append((u, v, *(int(x[k]) for x in p)))
-                if tree[u] != tree[v]:
-                    mine = tree[begins[u] : ends[u]]
-                    mine[mine == tree[v]] = tree[u]
-                    missing[begins[u]] -= 1
+                mine = tree[begins[u] : ends[u]]
+                mine[mine == tree[v]] = tree[u]
+                missing[begins[u]] -= 1
         leader = leader + 1
     return out
 
@@ -323,6 +324,15 @@ def _sized(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
+def _first_of_sets(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (id, c, k, key) whose key two documents or more have, with n, its number of
+    rows.  Of a place's keys that the same places share, the first by k is enough."""
+    mark = F.sum(F.xxhash64("id", "c") % (1 << 40)).alias("set")
+    whole = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), mark).where("x < y").select(key, "n", "set")
+    before = F.lag("set").over(Window.partitionBy("id", "c").orderBy("k"))
+    return rows.join(whole, key).withColumn("before", before).where("before IS NULL OR before <> set").drop("before", "set")
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, functions: int = FUNCTIONS, similar: float = SIMILAR, split: int = SPLIT, chunk: int = CHUNK) -> DataFrame:
     """(a, b, a_lo, a_hi, b_lo, b_hi): shingle intervals of two documents that are nearly
     equal; at least a spanning forest of all such pairs."""
@@ -349,18 +359,15 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     drop_stored(classes)
     # a repeated id is one document: of its rows one stays
     each = around.select("id", "c", F.posexplode(F.arrays_zip("sig", "first", "last")).alias("k", "x")).select("id", "c", "k", "x.*").dropDuplicates(["id", "c", "k"])
-    whole = each.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.sum(F.xxhash64("id", "c") % (1 << 40)).alias("set")).where("x < y").select("sig", "n", "set")
-    # of a place's segments that the same places share, the first is enough
-    before = F.lag("set").over(Window.partitionBy("id", "c").orderBy("k"))
-    keyed = stored(each.join(whole, "sig").withColumn("before", before).where("before IS NULL OR before <> set").select("id", "c", "sig", "first", "last", "n"))
+    keyed = stored(_first_of_sets(each, "sig"))
     texts = around.select("id", "c", "low", "s").dropDuplicates(["id", "c"])
     zero = F.lit(0).cast("long")
     few = keyed.where(F.col("n") <= split).select("sig", zero.alias("run"), zero.alias("lo"), zero.alias("hi"), "id", "c")
     exact = F.transform(F.sequence("first", "last"), lambda k: F.xxhash64(F.slice("s", (k - F.col("low") + 1).cast("int"), F.lit(run))))
-    runs = stored(keyed.where(F.col("n") > split).join(texts, ["id", "c"]).select("sig", F.explode(exact).alias("run"), "id", "c"))
-    groups = runs.groupBy("sig", "run").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("sig", "run", "n")
-    met = runs.join(groups, ["sig", "run"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("p", F.pmod(F.xxhash64("id", "c"), F.col("chunks")))
-    many = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "run", F.least("p", "q").cast("long").alias("lo"), F.greatest("p", "q").cast("long").alias("hi"), "id", "c")
+    hot = keyed.where(F.col("n") > split).join(texts, ["id", "c"]).select("id", "c", "first", F.posexplode(exact).alias("k", "run"))
+    runs = stored(_first_of_sets(hot.withColumn("k", F.col("first") + F.col("k")), "run"))
+    met = runs.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("p", F.pmod(F.xxhash64("id", "c"), F.col("chunks")))
+    many = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(zero.alias("sig"), "run", F.least("p", "q").cast("long").alias("lo"), F.greatest("p", "q").cast("long").alias("hi"), "id", "c")
     near = cut(_verified(few.unionByName(many).join(texts, ["id", "c"]), width, share))
     drop_stored(keyed)
     drop_stored(runs)
