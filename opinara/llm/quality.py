@@ -71,7 +71,7 @@ def measures(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         F.size("_words").cast("long").alias("n_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
     others = [c for c in counted.columns if c != "_hashes"]
@@ -97,7 +97,9 @@ def measures(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         ).alias("_at"),
     )
     covered = f"aggregate(transform(_at, (p, k) -> least({WINDOW}, coalesce(get(_at, k + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x)"
-    return placed.select(*[f"`{c}`" for c in others], F.expr(covered).alias("n_repeat_words"))
+    # an expression that is not deterministic keeps filters on the result above the measures,
+    # which would otherwise be written out into the filter and computed many times over
+    return placed.select(*[f"`{c}`" for c in others], F.expr(f"{covered} + 0 * spark_partition_id()").alias("n_repeat_words"))
 
 
 def ratios() -> dict[str, Column]:
@@ -142,9 +144,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, all their columns unchanged."""
+    """The rows of ``docs`` that pass, all their columns unchanged, whatever their names;
+    nulls and repeats as in ``judge``, an empty table gives no rows."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    # a column that is not deterministic keeps the filter above the measures, which would
-    # otherwise be written out into it and computed many times over
-    got = measures(packed, "_text", ["_row"]).withColumn("_part", F.spark_partition_id())
-    return got.where((F.col("_part") >= 0) & ~base_failed() & compiled(rules)).select("_row.*")
+    return measures(packed, "_text", ["_row"]).where(~base_failed() & compiled(rules)).select("_row.*")

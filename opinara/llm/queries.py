@@ -94,7 +94,7 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, unnest(range(0, 8))
 m AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(lines) AS n_lines,
-         len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop
+         len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop
   FROM d LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
