@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.compact_windows import SHINGLE, shingles
@@ -35,6 +35,8 @@ CHUNK = 4096
 BANDS = 24
 #: Texts that are turned into Python objects at a time.
 SLICE = 64
+#: Bytes that a table may take when it is sent to all executors.
+BROADCAST_BYTES = 24 << 20
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -240,8 +242,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, full: bool) -> DataFrame:
-    """(id, k, s): k names the set of five-word shingles of a text (a shorter text is one shingle);
-    s is the set if ``full``, else its min-hashes, a band of four 16-bit values in each long."""
+    """(id, h, k, s): h is a hash of the text, k names its set of five-word shingles (a shorter text is
+    one shingle); s is the set if ``full``, else its min-hashes, a band of four 16-bit values in each long."""
     rng = np.random.default_rng(SEED)
     odd, plus = (rng.integers(0, 1 << 63, 4 * BANDS).astype(np.uint64) << np.uint64(1) | np.uint64(k) for k in (1, 0))
 
@@ -260,10 +262,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, full: bool) -> DataFrame:
                 part = batch.slice(at, SLICE)
                 got = [one(t) for t in part.column(1).to_pylist()]
                 keys = np.array([k for k, _ in got], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([x.view(np.int64) for _, x in got], pa.list_(pa.int64()))], ["id", "k", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys), pa.array([x.view(np.int64) for _, x in got], pa.list_(pa.int64()))], ["id", "h", "k", "s"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, k bigint, s array<bigint>")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("h")).mapInArrow(run, f"id {kind}, h bigint, k bigint, s array<bigint>")
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -300,7 +306,7 @@ def _likely(rows: list[tuple], least: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, chunk: int = 512) -> DataFrame:
-    """(src, dst) of ``classes`` (k, least, s as min-hashes) whose shingle sets have at least the
+    """(src, dst) of ``classes`` (k, least: id and h of a row, s as min-hashes) whose shingle sets have at least the
     Jaccard similarity ``similar``: at least a spanning forest of all such links.
 
     Classes meet under bands of min-hashes: at 0.8, a pair meets under none with a chance of
@@ -344,19 +350,37 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
 
     shape = "t int, key bigint, lo int, hi int, k bigint, s array<bigint>"
     asked = cut(dealt.repartition(*order).sortWithinPartitions(*order, "k").mapInArrow(ask, shape))
-    wanted = asked.select("k").distinct().join(classes.select("k", "least"), "k").select("least").distinct()
-    again = docs.join(wanted, F.col(f"`{id_col}`").eqNullSafe(F.col("least")), "left_semi")
-    sets = _sets(again, id_col, text_col, True).select("k", F.col("s").alias("full")).dropDuplicates(["k"])
+    wanted = asked.select("k").distinct().join(classes.select("k", "least"), "k").select("least.id", "least.h").distinct()
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("h"))
+    again = named.join(_sized(wanted), named["id"].eqNullSafe(wanted["id"]) & (named["h"] == wanted["h"]), "left_semi")
+    sets = _sets(again, "id", "text", True).select("k", F.col("s").alias("full")).dropDuplicates(["k"])
     return asked.join(sets, "k").select(*order, "k", "s", "full").repartition(*order).sortWithinPartitions(*order, "k").mapInArrow(compare, "src bigint, dst bigint")
 
 
+def _sized(table: DataFrame, row_bytes: int = 64) -> DataFrame:
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their group, all columns unchanged (one of rows
-    that repeat an id).  Texts are linked whose sets of five-word shingles have at least the
-    Jaccard similarity ``similar``; texts without a word are alike."""
+    """Of each group of linked texts, the row with the smallest id, all columns unchanged, whatever
+    their names.
+
+    Texts are linked whose sets of five-word shingles have at least the Jaccard similarity
+    ``similar``; texts without a word, null or not, are alike.  A null id loses to any other; of a
+    group with null ids only, the text of the smallest hash stays.  Of rows that repeat an id and
+    text one stays; rows that repeat an id with another text are documents of their own.  An empty
+    table gives no rows.  Only what goes, or is repeated, is joined with the texts: these move only
+    where that list exceeds BROADCAST_BYTES."""
     rows = cut(_sets(docs, id_col, text_col, False))
-    classes = cut(rows.groupBy("k").agg(F.min("id").alias("least"), F.first("s").alias("s")))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")
+    classes = cut(rows.groupBy("k").agg(least, F.first("s").alias("s")))
     joined = connected_components(jaccard_links(docs, classes, id_col, text_col, similar)).withColumnRenamed("node", "k")
     merged = classes.join(joined, "k", "left").select("least", F.coalesce("component", "k").alias("component"))
-    stay = merged.groupBy("component").agg(F.min("least").alias("_stay")).select("_stay").distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col])
+    stay = merged.groupBy("component").agg(F.min("least").alias("x")).select(F.col("x.id").alias("i"), F.col("x.h").alias("g"), F.lit(True).alias("stays"))
+    each = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
+    marks = each.join(stay, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").where("stays IS NULL OR n > 1")
+    marks = cut(marks.select("id", "h", F.coalesce("stays", F.lit(False)).alias("stays")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("_id"), _text_hash(text_col).alias("_h"))
+    judged = packed.join(_sized(marks), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left")
+    alone, repeated = judged.where("stays IS NULL"), judged.where("stays").dropDuplicates(["_id", "_h"])
+    return alone.select("row.*").unionByName(repeated.select("row.*"))
