@@ -48,7 +48,7 @@ SLICE = 64
 #: Members of a signature that meet as they are; larger groups are split by the exact runs.
 SPLIT = 256
 #: Members of a run that are compared in one group; larger groups are dealt out in pairs of chunks.
-CHUNK = 4096
+CHUNK = 8192
 #: Rows whose groups are compared together, and pairs of surroundings at once.
 TOGETHER = 4096
 COMPARED = 256
@@ -366,9 +366,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     exact = F.transform(F.sequence("first", "last"), lambda k: F.xxhash64(F.slice("s", (k - F.col("low") + 1).cast("int"), F.lit(run))))
     hot = keyed.where(F.col("n") > split).join(texts, ["id", "c"]).select("id", "c", "first", F.posexplode(exact).alias("k", "run"))
     runs = stored(_first_of_sets(hot.withColumn("k", F.col("first") + F.col("k")), "run"))
-    met = runs.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("p", F.pmod(F.xxhash64("id", "c"), F.col("chunks")))
+    whole = runs.where(F.col("n") <= chunk).select(zero.alias("sig"), "run", zero.alias("lo"), zero.alias("hi"), "id", "c")
+    met = runs.where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("p", F.pmod(F.xxhash64("id", "c"), F.col("chunks")))
     many = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(zero.alias("sig"), "run", F.least("p", "q").cast("long").alias("lo"), F.greatest("p", "q").cast("long").alias("hi"), "id", "c")
-    near = cut(_verified(few.unionByName(many).join(texts, ["id", "c"]), width, share))
+    near = cut(_verified(few.unionByName(whole).unionByName(many).join(texts, ["id", "c"]), width, share))
     drop_stored(keyed)
     drop_stored(runs)
     drop_stored(around)
