@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinara.functions import rules
+
 SPACES = r"(?U)\s+"
 
 
@@ -20,7 +22,8 @@ def dedup_key(text: Column) -> Column:
 
 def keyword_tokens(text: Column) -> Column:
     """Lower-cased runs of three ASCII letters or more."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z]{3,}"), F.lit(0)), lambda w: F.lower(w))
+    runs = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-zA-Z]+", " ")), " ")
+    return F.filter(runs, lambda w: F.length(w) >= 3)
 
 
 def bigrams(tokens: Column) -> Column:
@@ -33,9 +36,47 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
 
 
-def has_term(text: Column, term: str) -> Column:
+def term_pattern(term: str) -> str:
     """Whole-term match without case; word characters as in Unicode."""
-    return text.rlike(r"(?iuU)(?<!\w)\Q" + term + r"\E(?!\w)")
+    return r"(?iU)(?<!\w)\Q" + term + r"\E(?!\w)"
+
+
+def has_term(text: Column, term: str) -> Column:
+    return text.rlike(term_pattern(term))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """All matches of a pattern as structs (start, end, text), in code points from 0.
+
+    What lies between the matches gives their places, so that no user function is needed."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    sizes = F.arrays_zip(F.transform(between, lambda x: F.length(x)), found)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+
+    def step(acc, x):
+        gap, match = x["0"], x["1"]
+        begin = acc["at"] + F.coalesce(gap, F.lit(0))
+        end = begin + F.coalesce(F.length(match), F.lit(0))
+        item = F.array(F.named_struct(F.lit("start"), begin, F.lit("end"), end, F.lit("text"), match))
+        return F.named_struct(F.lit("at"), end, F.lit("out"), F.when(match.isNotNull(), F.concat(acc["out"], item)).otherwise(acc["out"]))
+
+    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
+def sentence_spans(text: Column) -> Column:
+    """Spans of the sentences of a text, without white space at their ends; a sentence that
+    a line break cuts off is none."""
+    found = spans(F.coalesce(text, F.lit("")), SENTENCE)
+
+    def trimmed(x):
+        left = F.length(x["text"]) - F.length(F.regexp_replace(x["text"], r"(?U)^\s+", ""))
+        bare = F.regexp_replace(x["text"], r"(?U)^\s+|\s+\z", "")
+        return F.named_struct(F.lit("start"), x["start"] + left, F.lit("end"), x["start"] + left + F.length(bare), F.lit("text"), bare)
+
+    return F.filter(F.transform(found, trimmed), lambda x: x["start"] < x["end"])
+
+
+SENTENCE = r"[^.!?\n]+(?:[.!?]|\z)"
 
 
 def parse_date(raw: Column) -> Column:
@@ -76,22 +117,19 @@ def canonical_url(url: Column) -> Column:
     return F.when(scheme.isin("http", "https") & host.isNotNull(), F.concat(scheme, F.lit("://"), host, port, F.regexp_replace(path, "/+$", "")))
 
 
-#: Brand labels by a substring of the host, in this order.
-SOURCE_LABELS = (("amazon", "Amazon"), ("flipkart", "Flipkart"), ("reddit.com", "Reddit"), ("youtube.com", "YouTube"), ("x.com", "Twitter/X"), ("example.com", "Example"))
-
-
-def source_label(url: Column) -> Column:
+def source_label(url: Column, labels: tuple[tuple[str, str], ...] = rules.SOURCE_LABELS) -> Column:
     """Brand of a URL's host, else the host without www., else the raw text (at most 100)."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    out = F.coalesce(F.regexp_replace(host, r"^www\.", ""), F.trim(url))
-    for part, label in reversed(SOURCE_LABELS):
-        out = F.when(host.contains(part), label).otherwise(out)
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    out = F.coalesce(host, F.trim(url))
+    for part, label in reversed(labels):
+        bare = host == part.rstrip(".") if part.endswith(".") else F.lit(False)
+        out = F.when(host.contains(part) | bare, label).otherwise(out)
     return F.substring(out, 1, 100)
 
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
-PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+# What is redacted.
+EMAIL = r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
+PHONE = r"(?<!\w)(?:\+?\d[\d .()-]{7,}\d)(?!\w)"
 
 
 def redact(text: Column) -> Column:
@@ -99,23 +137,91 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, EMAIL, "[EMAIL]"), PHONE, "[PHONE]")
 
 
+def _share(text: Column, of: str, among: str) -> Column:
+    """Characters of class ``of`` for each of class ``among``; 0 without any."""
+    count = lambda c: F.length(F.regexp_replace(text, f"[^{c}]", ""))
+    return count(of) / F.greatest(F.lit(1), count(among))
+
+
+def uppercase_ratio(text: Column) -> Column:
+    return _share(F.coalesce(text, F.lit("")), r"\p{Lu}", r"\p{L}")
+
+
+def ascii_alpha_ratio(text: Column) -> Column:
+    return _share(F.coalesce(text, F.lit("")), "A-Za-z", r"\p{L}")
+
+
+def english_hint_ratio(text: Column, hints: list[str] = rules.ENGLISH_HINTS) -> Column:
+    """Share of the tokens ``[A-Za-z']+`` that are frequent English words; null without a token."""
+    tokens = F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z']+", " ")), " "), lambda w: w != "")
+    return F.size(F.filter(tokens, lambda w: w.isin(*hints))) / F.nullif(F.size(tokens), F.lit(0))
+
+
+#: Flags of a row's text, in this order.
+FLAGS = ("empty_text", "extremely_short_text", "excessive_caps", "url_heavy", "repeated_characters")
+
+
 def quality_flags(text: Column) -> Column:
-    """empty, short (< 10), caps (>= 0.5 of the letters), urls (>= 3), run (5 equal characters)."""
+    """Flags: empty, under 10 characters, half of the letters or more in upper case, three URLs or
+    more, a run of five equal characters."""
     t = F.coalesce(text, F.lit(""))
-    letters, upper = F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
-    return F.array_compact(
-        F.array(
-            F.when(F.trim(t) == "", "empty"),
-            F.when((F.trim(t) != "") & (F.length(F.trim(t)) < 10), "short"),
-            F.when((letters > 0) & (upper / F.nullif(letters, F.lit(0)) >= 0.5), "caps"),
-            F.when(F.regexp_count(t, F.lit(r"https?://")) >= 3, "urls"),
-            F.when(t.rlike(r"(.)\1{4,}"), "run"),
-        )
-    )
+    blank = F.trim(t) == ""
+    tests = (blank, ~blank & (F.length(F.trim(t)) < 10), uppercase_ratio(t) >= 0.5, F.regexp_count(t, F.lit(r"(?i)https?://\S+|www\.\S+")) >= 3, t.rlike(r"(.)\1{4,}"))
+    return F.array_compact(F.array(*[F.when(test, name) for test, name in zip(tests, FLAGS)]))
 
 
 def language_hint(text: Column) -> Column:
+    """A guess by script, not language identification."""
     t = F.coalesce(text, F.lit(""))
-    dense = F.length(F.regexp_replace(t, r"\s", ""))
-    ascii_share = F.length(F.regexp_replace(t, "[^A-Za-z]", "")) / F.nullif(dense, F.lit(0))
-    return F.when(dense == 0, "empty").when(ascii_share < 0.4, "non_english_or_unknown").otherwise("english_likely")
+    return F.when(F.trim(t) == "", "empty").when(ascii_alpha_ratio(t) < 0.4, "non_english_or_unknown").otherwise("english_likely")
+
+
+def truncated(text: Column, most: int = 300, kept: int = 270, marker: str = "...") -> Column:
+    """Evidence of at most ``most`` characters; longer ones are cut to ``kept`` and marked."""
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, kept)), F.lit(marker))).otherwise(text)
+
+
+def sanitized(text: Column, most: int = 8000) -> Column:
+    """Without control characters other than tab and line ends, ``most`` characters at most."""
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")), 1, most)
+
+
+def safe_url(url: Column) -> Column:
+    """http(s) URL without trailing punctuation, user, query and fragment: host in lower case, port,
+    path of at most 512; null for anything else."""
+    bare = F.regexp_replace(url, r"[.,;:!?)\]}>]+\z", "")
+    part = lambda k: F.regexp_extract(bare, URL_PARTS, k)
+    port = F.when(part(3) != "", F.concat(F.lit(":"), part(3))).otherwise("")
+    return F.when(bare.rlike(URL_PARTS), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), port, F.substring(part(4), 1, 512)))
+
+
+URL_PARTS = r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#:@]+)(?::([0-9]+))?([^?#]*)"
+
+
+def rating_in_text(text: Column) -> Column:
+    """The first number of a text where it is a rating from 0 to 5."""
+    return parse_rating(F.nullif(F.regexp_extract(text, r"[\d.]+", 0), F.lit("")))
+
+
+def slug_name(url: Column) -> Column:
+    """Product name in a URL's first path segment of letters: hyphens become spaces."""
+    slug = F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"^/([^/]*[A-Za-z][^/]*)", 1)
+    return F.trim(F.regexp_replace(slug, r"[-_+]+", " "))
+
+
+def unique_terms(terms: Column) -> Column:
+    """Trimmed terms without blanks; of those that differ in case only, the first."""
+    clean = F.filter(F.transform(terms, lambda x: F.trim(x)), lambda x: x != "")
+    low = F.transform(clean, lambda x: F.lower(x))
+    return F.filter(clean, lambda x, k: F.array_position(low, F.lower(x)) == k + 1)
+
+
+def ordered_union(a: Column, b: Column) -> Column:
+    """Items of ``a``, then those of ``b``, each once, in order."""
+    return F.array_distinct(F.concat(a, b))
+
+
+def metadata_or_null(metadata: Column, most: int = 8192) -> Column:
+    """JSON text of a struct or map where it takes ``most`` bytes at most."""
+    text = F.to_json(metadata)
+    return F.when(F.octet_length(text) <= most, text)

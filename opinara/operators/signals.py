@@ -7,37 +7,92 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opinara.functions import text as T
+from opinara.functions.rules import REASON, SWITCHES, VERSION, phrase
 from opinara.session import cut
 
 
-def categories(df: DataFrame, rules: dict[str, str], text_col: str = "text") -> DataFrame:
-    """(review_id, category): every rule that matches, OTHER where none does."""
-    hits = F.array_compact(F.array(*[F.when(F.lower(F.col(text_col)).rlike(rx), c) for c, rx in rules.items()]))
+def _any(patterns: list[str]) -> str:
+    return "|".join(f"(?:{x})" for x in patterns)
+
+
+def categories(df: DataFrame, rules: dict[str, str], text_col: str = "text", tails: dict[str, str] | None = None, configured: dict[str, list[str]] | None = None, findings: dict[str, tuple[str, str]] | None = None, finding_category: dict[str, str] | None = None) -> DataFrame:
+    """The columns of ``df`` but its text, and category: every rule of which a phrase stands in
+    the text, each configured category (COMPETITIVE, SECURITY) of which a term does, and what
+    security findings add; OTHER where there is none.
+
+    One search for any phrase finds the texts with a category; only these are searched by rule."""
+    text, tails = F.col(text_col), tails or {}
+    tests = [(c, text.rlike(phrase(x, tails.get(c, "")))) for c, x in rules.items()]
+    pre = [x + tails.get(c, "") for c, x in rules.items()]
+    for c, terms in (configured or {}).items():
+        if terms:
+            tests.append((c, text.rlike(_any([T.term_pattern(x) for x in terms]))))
+            pre += [r"\Q" + x + r"\E" for x in terms]
+    for kind, (_, x) in (findings or {}).items():
+        tests.append(((finding_category or {}).get(kind, "SECURITY"), text.rlike(phrase(x))))
+        pre.append(x)
+    hits = F.when(text.rlike("(?iU)" + _any(pre)), F.array_distinct(F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests]))))
     keep = [c for c in df.columns if c != text_col]
-    return df.select(*keep, hits.alias("_h")).select(*keep, F.explode(F.when(F.size("_h") > 0, F.col("_h")).otherwise(F.array(F.lit("OTHER")))).alias("category"))
+    return df.select(*keep, F.explode_outer(hits).alias("category")).withColumn("category", F.coalesce("category", F.lit("OTHER")))
+
+
+def category_evidence(df: DataFrame, rules: dict[str, str], tails: dict[str, str] | None = None) -> DataFrame:
+    """(review_id, category, start, end, evidence): every match of every rule, in code points."""
+    found = [F.transform(T.spans(F.col("text"), phrase(x, (tails or {}).get(c, ""))), _named(c)) for c, x in rules.items()]
+    some = df.where(F.col("text").rlike("(?iU)" + _any([x + (tails or {}).get(c, "") for c, x in rules.items()])))
+    return some.select("review_id", F.explode(F.concat(*found)).alias("x")).select("review_id", "x.*")
+
+
+def _named(category: str):
+    return lambda x: F.struct(F.lit(category).alias("category"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("evidence"))
 
 
 def competitors(df: DataFrame, names: list[str]) -> DataFrame:
-    """(review_id, project_id, competitor, switching, reason) per mention."""
-    text = F.lower(F.col("text"))
-    each = F.array_compact(F.array(*[F.when(text.rlike(rf"(^|[^a-z0-9_]){n}([^a-z0-9_]|$)"), F.struct(F.lit(n).alias("competitor"), text.rlike(rf"(switch(ed|ing)?|moved|mov(e|ing)|changed) [^.!?]{{0,80}}to {n}([^a-z0-9_]|$)").alias("switching"))) for n in names]))
-    reason = F.trim(F.substring(F.regexp_extract(F.col("text"), r"(?i)\b(because|since|as) ([^.!?\n]{1,240})", 2), 1, 240))
-    return df.select("review_id", "project_id", reason.alias("reason"), F.explode(each).alias("c")).select("review_id", "project_id", "c.*", "reason")
+    """(review_id, project_id, competitor, mentions, switching, reason) of each name in a text.
+
+    Switching: in a sentence with the name, wording whose destination is this name; reason: what
+    such a sentence gives after because, since or as."""
+    some = df.where(F.col("text").rlike(_any([T.term_pattern(n) for n in names])))
+    each = some.select("review_id", "project_id", "text", T.sentence_spans(F.col("text")).alias("_s"), F.explode(F.array(*[F.lit(n) for n in names])).alias("competitor"))
+    term = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.col("competitor"), F.lit(r"\E(?!\w)"))
+    named = each.where(F.rlike("text", term)).withColumn("mentions", F.size(F.regexp_extract_all("text", term, F.lit(0))))
+    to = F.concat(F.lit("(?iU)(?:" + _any(list(SWITCHES)) + r")\s*\Q"), F.col("competitor"), F.lit(r"\E(?!\w)"))
+    moved = F.filter("_s", lambda x: F.rlike(x["text"], to))
+    why = F.array_compact(F.transform("_moved", lambda x: F.nullif(F.trim(F.regexp_extract(x["text"], "(?iU)" + REASON, 1)), F.lit(""))))
+    got = named.withColumn("_moved", moved).withColumn("switching", F.size("_moved") > 0)
+    return got.select("review_id", "project_id", "competitor", "mentions", "switching", F.get(why, F.lit(0)).alias("reason"))
 
 
 def security_signals(df: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
-    """(review_id, finding_type, severity, evidence): the first match of each rule."""
-    text = F.lower(F.col("text"))
-    each = F.array_compact(F.array(*[F.when(text.rlike(rx), F.struct(F.lit(k).alias("finding_type"), F.lit(sev).alias("severity"), F.regexp_extract(text, rx, 0).alias("evidence"))) for k, (rx, sev) in rules.items()]))
-    return df.select("review_id", "source", F.explode(each).alias("f")).select("review_id", "source", "f.*")
+    """(review_id, source, finding_type, severity, evidence): the first match of each rule."""
+    text = F.col("text")
+    each = F.array_compact(F.array(*[F.when(text.rlike(phrase(x)), F.struct(F.lit(k).alias("finding_type"), F.lit(sev).alias("severity"), F.regexp_extract(text, phrase(x), 0).alias("evidence"))) for k, (sev, x) in rules.items()]))
+    hits = F.when(text.rlike("(?iU)" + _any([x for _, x in rules.values()])), each)
+    return df.select("review_id", "source", F.explode(hits).alias("f")).select("review_id", "source", "f.*")
+
+
+# Syntax of indicators.
+URL = r"(?i)https?://[^\s<>\"']+"
+CVE = r"(?i)\bCVE-[0-9]{4}-[0-9]{4,}\b"
+IP = r"(?U)(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w.])"
+SHA256 = r"(?i)(?<![0-9a-f])[0-9a-f]{64}(?![0-9a-f])"
+DOMAIN = r"(?iU)(?<![\w.-])(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}(?![\w.-])"
 
 
 def indicators(df: DataFrame) -> DataFrame:
-    """(review_id, source, kind, value): distinct e-mail domains, addresses, CVE ids and URLs of each text."""
+    """(review_id, source, kind, value): distinct URLs (without query), CVE ids, addresses, SHA-256
+    digests and domains of each text, as observations; a domain inside a URL counts once."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    found = [("CVE", r"(?i)CVE-[0-9]{4}-[0-9]{4,7}"), ("IPV4", T.IPV4), ("URL", r"https?://[A-Za-z0-9./?=_%&-]+"), ("DOMAIN", r"[A-Za-z0-9-]+\.example\.(?:com|net|org)"), ("HEX40", r"\b[0-9a-f]{40}\b")]
-    structs = [F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(rx), F.lit(0))), _pair(kind)) for kind, rx in found]
-    return df.select("review_id", "source", F.explode(F.concat(*structs)).alias("i")).select("review_id", "source", "i.kind", F.lower("i.value").alias("value")).distinct()
+    found = lambda rx: F.regexp_extract_all(t, F.lit(rx), F.lit(0))
+    urls = F.array_compact(F.transform(found(URL), T.safe_url))
+    hosts = F.filter(F.transform("_urls", lambda u: F.regexp_extract(u, "^https?://([^/:]+)", 1)), lambda h: h.contains("."))
+    octets = F.filter(found(IP), lambda v: F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255))
+    bare = F.regexp_replace(t, URL, " ")
+    some = df.where(F.col("text").rlike(r"(?i)://|cve-|[0-9]\.[0-9]|[0-9a-f]{64}|[a-z0-9]\.[a-z]"))
+    read = some.select("review_id", "source", F.col("text"), urls.alias("_urls"))
+    kinds = [("URL", F.col("_urls")), ("DOMAIN", hosts), ("CVE", F.transform(found(CVE), lambda v: F.upper(v))), ("IP", octets), ("HASH_SHA256", F.transform(found(SHA256), lambda v: F.lower(v))), ("DOMAIN", F.transform(F.regexp_extract_all(bare, F.lit(DOMAIN), F.lit(0)), lambda v: F.lower(v)))]
+    pairs = F.array_distinct(F.concat(*[F.transform(v, _pair(k)) for k, v in kinds]))
+    return read.select("review_id", "source", F.explode(pairs).alias("i")).select("review_id", "source", "i.kind", "i.value")
 
 
 def _pair(kind: str):
@@ -46,37 +101,64 @@ def _pair(kind: str):
 
 def correlate(found: DataFrame, least: int = 2) -> DataFrame:
     """Indicators that ``least`` reviews share; several sources make a possible incident."""
-    by = found.groupBy("kind", "value").agg(F.countDistinct("review_id").alias("reviews"), F.countDistinct("source").alias("sources"))
+    each = found.groupBy("kind", "value", "review_id").agg(F.min("source").alias("source"))
+    by = each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("reviews"), F.size(F.collect_set("source")).alias("sources"))
     return by.where(F.col("reviews") >= least).withColumn("status", F.when(F.col("sources") >= 2, "POSSIBLE_INCIDENT").otherwise("OBSERVED_PATTERN"))
 
 
-def duplicate_links(df: DataFrame, least_chars: int = 24) -> DataFrame:
-    """(anchor_id, review_id): later reviews of a project whose long enough normalised text equals an earlier one's."""
-    keyed = df.withColumn("_k", T.dedup_key(F.col("text"))).where(F.length("_k") >= least_chars).select("project_id", "review_id", "source", F.sha2("_k", 256).alias("_k"))
-    first = keyed.groupBy("project_id", "_k").agg(F.min("review_id").alias("anchor_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return keyed.join(first, ["project_id", "_k"]).where("review_id > anchor_id").select("project_id", "anchor_id", "review_id")
-
-
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """(node, component) by smallest label, each round written to the checkpoint folder."""
+def duplicate_links(keyed: DataFrame, least_chars: int = 24) -> DataFrame:
+    """(project_id, anchor_id, review_id, method): later reviews of a project whose canonical URL, or
+    else whose long enough normalised text, equals an earlier one's.
+
+    keyed: narrow rows (project_id, review_id, content_key, content_chars, and url_key if there are
+    URLs), so that no text is shuffled; a pair found both ways is stored once, as found by URL."""
+    found = [("NORMALIZED_CONTENT_SHA256", "content_key", keyed.where(F.col("content_chars") >= least_chars))]
+    if "url_key" in keyed.columns:
+        found.insert(0, ("CANONICAL_URL", "url_key", keyed.where("url_key IS NOT NULL")))
+    out = None
+    for rank, (method, key, rows) in enumerate(found):
+        first = rows.groupBy("project_id", key).agg(F.min("review_id").alias("anchor_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        links = rows.select("project_id", "review_id", key).join(first, ["project_id", key]).where("review_id > anchor_id").select("project_id", "anchor_id", "review_id", F.struct(F.lit(rank).alias("r"), F.lit(method).alias("method")).alias("m"))
+        out = links if out is None else out.unionByName(links)
+    if len(found) > 1:
+        out = out.groupBy("project_id", "anchor_id", "review_id").agg(F.min("m").alias("m"))
+    return out.select("project_id", "anchor_id", "review_id", "m.method")
+
+
+def components(edges: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
+    """(node, component): the smallest node reachable.  Each round takes the smallest label among the
+    neighbours and then that label's own label, so that a chain's length halves at least."""
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("other"))
-        new = cut(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label")))
+        nearer = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("step"))
+        jump = nearer.select(F.col("node").alias("step"), F.col("step").alias("label"))
+        new = cut(nearer.join(jump, "step").select("node", "old", "label"))
         labels = new.select("node", "label")
         if not new.where("old <> label").limit(1).count():
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("components did not settle")
 
 
-def source_statistics(df: DataFrame, links: DataFrame) -> DataFrame:
-    """Per source: records, duplicates (by link), canonical, date span, label histogram."""
-    dup = links.select("review_id").distinct().withColumn("_dup", F.lit(True))
-    return df.join(dup, "review_id", "left").groupBy("source").agg(
-        F.count(F.lit(1)).alias("records"), F.count_if(F.col("_dup")).alias("duplicates"), F.count_if(F.col("_dup").isNull()).alias("canonical"), F.min("review_date").alias("first_date"),
+def source_statistics(df: DataFrame, links: DataFrame, roots: DataFrame, sources: DataFrame, categorized: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per source of ``sources``, also those without a review: records, canonical (reviews that are
+    their component's root), duplicates, date span, label histogram, categories and findings.
+
+    df: reviews without text; links, roots: duplicate links and (node, component); categorized:
+    (source, category); findings: (source, ...)."""
+    later = links.select(F.col("review_id")).distinct().withColumn("_dup", F.lit(True))
+    moved = roots.where("node <> component").select(F.col("node").alias("review_id"), F.lit(True).alias("_moved"))
+    base = df.join(later, "review_id", "left").join(moved, "review_id", "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("_moved").isNull()).alias("canonical"), F.count_if(F.col("_dup")).alias("duplicates"), F.min("review_date").alias("first_date"),
         F.max("review_date").alias("last_date"), F.count("review_date").alias("dated"), *[F.count_if(F.col("label") == x).alias(x) for x in ("positive", "negative", "neutral")],
     )
+    by = categorized.where("category <> 'OTHER'").groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"))
+    histogram = by.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))), lambda x: F.concat_ws("=", x["category"], x["n"])), ",").alias("categories"))
+    found = findings.groupBy("source").agg(F.count(F.lit(1)).alias("findings"))
+    full = sources.join(base, "source", "left").join(histogram, "source", "left").join(found, "source", "left")
+    zero = ["records", "canonical", "duplicates", "dated", "positive", "negative", "neutral", "findings"]
+    return full.fillna(0, zero).fillna("", ["categories"])
 
 
 def windows(df: DataFrame, today: str, days: int = 7, baseline_days: int = 7) -> DataFrame:
@@ -87,11 +169,57 @@ def windows(df: DataFrame, today: str, days: int = 7, baseline_days: int = 7) ->
     return df.withColumn("win", F.when(F.col("review_date").between(start, end), "current").when((F.col("review_date") >= before) & (F.col("review_date") < start), "baseline")).where("win IS NOT NULL")
 
 
+def themes(scored: DataFrame, categorized: DataFrame, linked: DataFrame | None = None, volume: bool = False) -> DataFrame:
+    """(theme, review_id, source, review_date) of the signals whose counts are compared: negative
+    reviews, categories, analysed aspects, and with ``volume`` every review."""
+    columns = ["theme", "review_id", "source", "review_date"]
+    out = categorized.where("category <> 'OTHER'").withColumnRenamed("category", "theme").select(*columns)
+    out = out.unionByName(scored.where("label = 'negative'").withColumn("theme", F.lit("NEGATIVE_SENTIMENT")).select(*columns))
+    if linked is not None:
+        out = out.unionByName(linked.withColumn("theme", F.concat(F.lit("ASPECT:"), "aspect")).select(*columns))
+    return out.unionByName(scored.withColumn("theme", F.lit("REVIEW_VOLUME")).select(*columns)) if volume else out
+
+
 def emerging(tagged: DataFrame, key: str, days: int, baseline_days: int, least: float = 1.5) -> DataFrame:
     """Keys with three rows or more now, and none before or a rate ``least`` times as high."""
-    by = tagged.groupBy(key).agg(F.count_if(F.col("win") == "current").alias("current_count"), F.count_if(F.col("win") == "baseline").alias("baseline_count"), F.countDistinct(F.when(F.col("win") == "current", F.col("source"))).alias("sources"))
-    ratio = F.when(F.col("baseline_count") > 0, F.bround((F.col("current_count") / days) / (F.col("baseline_count") / baseline_days), 3))
-    return by.withColumn("rate_ratio", ratio).where((F.col("current_count") >= 3) & ((F.col("baseline_count") == 0) | (F.col("rate_ratio") >= max(1.0, least))))
+    now = F.col("win") == "current"
+    by = tagged.groupBy(key).agg(F.count_if(now).alias("current_count"), F.count_if(F.col("win") == "baseline").alias("baseline_count"), F.size(F.collect_set(F.when(now, F.col("source")))).alias("sources"))
+    exact = (F.col("current_count") / days) / (F.col("baseline_count") / baseline_days)
+    rose = (F.col("baseline_count") == 0) | (F.when(F.col("baseline_count") > 0, exact) >= max(1.0, least))
+    return by.where((F.col("current_count") >= 3) & rose).withColumn("rate_ratio", F.when(F.col("baseline_count") > 0, F.bround(exact, 3)))
+
+
+def evidence(tagged: DataFrame, key: str, n: int = 100) -> DataFrame:
+    """(key, rank, review_id): the newest ``n`` reviews of each key in the current window."""
+    order = Window.partitionBy(key).orderBy(F.desc("review_date"), "review_id")
+    return tagged.where("win = 'current'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(key, "rank", "review_id")
+
+
+def root_causes(tagged: DataFrame, texts: DataFrame, days: int, baseline_days: int, least: float = 1.5) -> DataFrame:
+    """(category, type, claim, evidence_count): what the windows say of each category.
+
+    FACT: three rows or more now; OBSERVATION: a rate 1.5 times as high as before; and where it
+    rose, of the evidence's versions the one named first twice or more gives a CORRELATION, a
+    HYPOTHESIS and a RECOMMENDATION.  tagged: rows (theme, review_id, review_date, win); texts:
+    (review_id, text)."""
+    some = tagged.where("theme NOT LIKE 'ASPECT:%'")
+    by = some.groupBy("theme").agg(F.count_if(F.col("win") == "current").alias("new"), F.count_if(F.col("win") == "baseline").alias("old")).where("new >= 3")
+    rise = (F.col("old") > 0) & (F.when(F.col("old") > 0, (F.col("new") / days) / (F.col("old") / baseline_days)) >= least)
+    shown = F.least("new", F.lit(100))
+    fact = by.select("theme", F.lit("FACT").alias("type"), F.format_string("%d eligible dated reviews matched the %s phrase rules in the comparison period.", "new", "theme").alias("claim"), shown.alias("evidence_count"))
+    rose = by.where(rise)
+    seen = rose.select("theme", F.lit("OBSERVATION").alias("type"), F.format_string("%s mentions increased from %d in the baseline window to %d in the comparison window.", "theme", "old", "new").alias("claim"), shown.alias("evidence_count"))
+    ids = evidence(some.join(rose.select("theme"), "theme"), "theme")
+    hits = texts.where(F.col("text").rlike("(?iU)" + VERSION)).select("review_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?iU)\b" + VERSION + r"\b"), F.lit(1))).alias("k", "version"))
+    told = ids.join(hits, "review_id").groupBy("theme", "version").agg(F.count(F.lit(1)).alias("reports"), F.min(F.struct("rank", "k")).alias("at"), F.size(F.collect_set("review_id")).alias("evidence_count")).where("reports >= 2")
+    first = told.groupBy("theme").agg(F.min_by(F.struct("version", "reports", "evidence_count"), "at").alias("x")).select("theme", "x.*")
+    lines = {
+        "CORRELATION": F.format_string("The %s increase overlaps with %d reports mentioning version %s.", "theme", "reports", "version"),
+        "HYPOTHESIS": F.format_string("Version %s may be associated with the increase in %s reports.", "version", "theme"),
+        "RECOMMENDATION": F.format_string("Compare telemetry and release history of version %s with the %s evidence.", "version", "theme"),
+    }
+    rest = first.select("theme", F.explode(F.array(*[F.struct(F.lit(k).alias("type"), v.alias("claim")) for k, v in lines.items()])).alias("c"), "evidence_count").select("theme", "c.*", "evidence_count")
+    return fact.unionByName(seen).unionByName(rest).withColumnRenamed("theme", "category").withColumn("evidence_count", F.col("evidence_count").cast("long"))
 
 
 def confusion(pairs: DataFrame, classes: list[int]) -> DataFrame:
@@ -125,6 +253,29 @@ def evaluate_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(metrics, "metric").withColumn("triggered", F.coalesce(hit, F.lit(False))).select("rule", "project_id", "metric", "value", "threshold", "triggered")
 
 
+def alert_window(df: DataFrame, today: str, days: int | None) -> DataFrame:
+    """Reviews from ``today`` - ``days`` on, that day included; all without ``days``."""
+    return df if not days else df.where(F.col("review_date") >= F.date_sub(F.lit(today).cast("date"), days))
+
+
+def alert_edges(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(rule, project_id, event): ``raised`` where a rule triggers now and did not before, ``open``
+    where it did, ``cleared`` where it no longer does."""
+    old = before.select("rule", "project_id", F.col("triggered").alias("was"))
+    both = now.join(old, ["rule", "project_id"], "left").withColumn("was", F.coalesce("was", F.lit(False)))
+    event = F.when(F.col("triggered") & ~F.col("was"), "raised").when(F.col("triggered"), "open").when(F.col("was"), "cleared")
+    return both.withColumn("event", event).where("event IS NOT NULL").select("rule", "project_id", "event")
+
+
+def overall_status(steps: DataFrame, key: str) -> DataFrame:
+    """(key, status) of a workflow from its steps: failed before running, running before partial;
+    completed where all steps are completed or skipped."""
+    any_ = lambda *x: F.bool_or(F.col("status").isin(*x))
+    done = F.bool_and(F.col("status").isin("completed", "skipped"))
+    state = F.when(any_("failed") & any_("completed"), "partial").when(any_("failed"), "failed").when(any_("running"), "running").when(done, "completed").otherwise("pending")
+    return steps.groupBy(key).agg(state.alias("status"), F.count(F.lit(1)).alias("steps"))
+
+
 def latest(df: DataFrame, entity: str, at: str, columns: list[str]) -> DataFrame:
     """The newest row of each entity."""
     return df.groupBy(entity).agg(F.max_by(F.struct(*columns), at).alias("_x")).select(entity, *[F.col(f"_x.{c}").alias(c) for c in columns])
@@ -133,3 +284,11 @@ def latest(df: DataFrame, entity: str, at: str, columns: list[str]) -> DataFrame
 def ranked(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows per key."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def accuracy(pairs: DataFrame, classes: list[int]) -> DataFrame:
+    """One row: total, accuracy and the unweighted means of precision, recall and F1, four digits."""
+    grid = confusion(pairs, classes)
+    whole = grid.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
+    means = class_metrics(pairs, classes).agg(*[F.bround(F.avg(x), 4).alias(f"macro_{x}") for x in ("precision", "recall", "f1")])
+    return whole.join(F.broadcast(means)).select("total", F.bround(F.coalesce(F.try_divide("right", "total"), F.lit(0.0)), 4).alias("accuracy"), "macro_precision", "macro_recall", "macro_f1")

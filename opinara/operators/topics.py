@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StopWordsRemover
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import keyword_tokens
+from opinara.session import cut
 
 
 def document_frequencies(df: DataFrame, least: int = 1) -> DataFrame:
@@ -17,11 +19,41 @@ def document_frequencies(df: DataFrame, least: int = 1) -> DataFrame:
     return terms.join(F.broadcast(n)).select("term", "df", F.round(1000 * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).cast("long").alias("idf_milli"))
 
 
-def topics(df: DataFrame, k: int = 8, features: int = 500, seed: int = 42) -> DataFrame:
-    """(review_id, topic): clusters of L2-normalised TF-IDF vectors of the ``features`` most frequent terms."""
+def topics(df: DataFrame, k: int = 8, features: int = 500, seed: int = 42, starts: int = 3) -> DataFrame:
+    """(review_id, topic, name, relevance): clusters of L2-normalised TF-IDF vectors of the
+    ``features`` most frequent terms; of ``starts`` runs the one of least cost.
+
+    A topic is named by its centroid's three heaviest terms (``General Feedback`` without any;
+    a name that is taken gets a number); relevance is the product of a review's vector with its
+    centroid, from 0 to 1.  Fewer than two usable texts are an error."""
     words = StopWordsRemover(inputCol="words", outputCol="kept").transform(df.select("review_id", keyword_tokens(F.col("text")).alias("words")))
-    counted = CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=features).fit(words).transform(words)
+    n = words.count()
+    if n < 2:
+        raise ValueError("topics need two reviews with a text at least")
+    if not words.where(F.size("kept") > 0).limit(1).count():
+        return words.select("review_id", F.lit(0).alias("topic"), F.lit("General Feedback").alias("name"), F.lit(1.0).alias("relevance"))
+    counter = CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=features).fit(words)
+    counted = counter.transform(words)
     weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
-    normal = Normalizer(inputCol="tfidf", outputCol="features").transform(weighted).select("review_id", "features")
-    model = KMeans(k=min(k, 20), seed=seed).fit(normal)
-    return model.transform(normal).select("review_id", F.col("prediction").alias("topic"))
+    normal = cut(Normalizer(inputCol="tfidf", outputCol="features").transform(weighted).select("review_id", "features"))
+    fits = [KMeans(k=max(2, min(k, 20, n)), seed=seed + x).fit(normal) for x in range(starts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
+    names: list[str] = []
+    for number, center in enumerate(model.clusterCenters()):
+        heavy = [counter.vocabulary[i] for i in (-center).argsort(kind="stable")[:3] if center[i] > 0]
+        name, again = " / ".join(heavy) or f"Topic {number + 1}", 2
+        while name in names:
+            name, again = " / ".join(heavy) + f" ({again})", again + 1
+        names.append(name)
+    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    placed = model.transform(normal).withColumn("_v", vector_to_array("features"))
+    product = F.aggregate(F.zip_with("_v", F.get(centers, F.col("prediction")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    named = F.get(F.array(*[F.lit(x) for x in names]), F.col("prediction"))
+    return placed.select("review_id", F.col("prediction").alias("topic"), named.alias("name"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), product)), 4).alias("relevance"))
+
+
+def topic_distribution(assigned: DataFrame, scored: DataFrame) -> DataFrame:
+    """Per topic: reviews, and how many are positive, negative, neutral and not analysed."""
+    labels = ("positive", "negative", "neutral")
+    both = assigned.join(scored.select("review_id", "label"), "review_id", "left")
+    return both.groupBy("topic", "name").agg(F.count(F.lit(1)).alias("reviews"), *[F.count_if(F.col("label") == x).alias(x) for x in labels], F.count_if(F.col("label").isNull()).alias("unanalysed"))

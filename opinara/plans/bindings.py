@@ -1,35 +1,86 @@
-"""The canonical relations, derived from the test tables by integer arithmetic."""
+"""The canonical relations, derived from the test tables by integer arithmetic.
+
+The corpus is invented prose without product talk, so every fifth review says one of the
+sentences below after its own text; the rule tables are the library's defaults."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from opinara.functions.rules import ASPECTS, CATEGORIES, LEXICON, SECURITY  # noqa: F401
 from opinara.functions.text import dedup_key
+from opinara.session import stored
 
-#: Parameters: words of the corpus with a valence, aspects and phrases that occur in it.
-LEXICON = {"best": 2.5, "idiot": -2.5, "stupid": -2.0, "worthless": -2.0, "trash": -1.5, "scum": -2.5, "clown": -1.0, "moron": -2.0, "pathetic": -1.5, "loser": -1.5, "disgusting": -2.0}
-ASPECTS = {"licence": ["license", "licence"], "token": ["token"], "article": ["the", "der", "la", "el"], "link": ["and the", "to the", "de la"]}
-CATEGORIES = {"BUG": r"(^|[^a-z0-9_])(error|token|trash)([^a-z0-9_]|$)", "LEGAL": r"(^|[^a-z0-9_])(license|copyright|warranty)([^a-z0-9_]|$)", "PRAISE": r"(^|[^a-z0-9_])(best|great)([^a-z0-9_]|$)", "ABUSE": r"(^|[^a-z0-9_])(idiot|stupid|moron|scum|clown|loser)([^a-z0-9_]|$)"}
-COMPETITORS = ["apache", "mit", "idiot", "clown"]
-SECURITY = {"CREDENTIAL_EXPOSURE": (r"\btoken = ", "high"), "ABUSE": (r"\b(scum|disgusting)\b", "low"), "LICENCE_NOTICE": (r"\blicense\b", "info")}
+SENTENCES = [
+    "I love the screen, excellent quality and great sound.",
+    "Terrible battery, it does not work and I hate the charging.",
+    "The app freezes and shows an error message since version 2.4.1.",
+    "Please add a dark display, would like to see it soon.",
+    "Why is the delivery so slow?",
+    "Customer support was rude; the helpline is useless.",
+    "Too expensive, the price is awful. I will cancel my plan.",
+    "I switched from Acme to Globex because the camera is better there.",
+    "We are leaving Acme for Initech as the interface is confusing.",
+    "Someone logged in without permission, my account was taken over from 203.0.113.9.",
+    "A fake support account sent a phishing link https://Login.Example.net/reset?id=5#top, beware.",
+    "They leaked my personal data, see CVE-2024-12345 and http://acme.test:8080/report/.",
+    "Release 2.4.1 crashed again, version 2.4.1 is buggy and slow.",
+    "Fast shipping and sturdy packaging, highly recommend it.",
+    "I choose Globex. It is easy to use, since the design is beautiful.",
+    "Possible scam: unauthorised charge after I replaced Acme with Globex.",
+    "Expired TLS certificate on files.globex.test, certificate warning every day.",
+    "It downloaded malware 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08 to my box.",
+    "Call me at +1 (212) 555-0100 or write to ann.lee@corp.example.com.",
+    "Globex is fine, Initech is okay, nothing special.",
+]
+COMPETITORS = ["Acme", "Globex", "Initech"]
+_FLAGS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _text() -> Column:
+    i = F.col("doc_id")
+    said = F.element_at(F.array(*[F.lit(x) for x in SENTENCES]), (F.floor(i / 5) % len(SENTENCES) + 1).cast("int"))
+    return F.when(i % 5 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said)).otherwise(F.col("text"))
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ingestion keeps of each review beside its text: the digest and length of the
+    normalised text, the first review of the project with that text, and the flags.
+
+    A table of narrow rows, written once for a session and directory, as the flags of a
+    stored review are; no text is shuffled for it."""
+    return _ingested(spark, sf_dir)[0]
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _FLAGS:
+        i = F.col("doc_id")
+        named = table(spark, sf_dir, "documents").select(i.alias("review_id"), (i % 4).alias("project_id"), "source", (i % 23 == 0).alias("is_deleted"), dedup_key(_text()).alias("_k"))
+        keyed = named.select("review_id", "project_id", "source", "is_deleted", F.sha2("_k", 256).alias("content_key"), F.length("_k").alias("content_chars"))
+        first = keyed.groupBy("project_id", "content_key").agg(F.min("review_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("review_id"), F.lit(True).alias("is_spam")).distinct()
+        both = keyed.join(first, ["project_id", "content_key"], "left").join(bad, "review_id", "left")
+        flags = stored(both.withColumn("is_spam", F.coalesce("is_spam", F.lit(False))).withColumn("is_duplicate", F.coalesce(F.col("review_id") > F.col("first_id"), F.lit(False))).drop("first_id"))
+        marked = flags.where("is_spam OR is_duplicate").select("review_id", "is_spam", "is_duplicate")
+        # the list of flagged reviews is sent to all executors where its size allows it
+        _FLAGS[at] = flags, F.broadcast(marked) if marked.count() * 64 <= 24 << 20 else marked
+    return _FLAGS[at]
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; duplicates are flagged per project, first row wins."""
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct().withColumn("is_spam", F.lit(True))
-    base = d.join(bad, "doc_id", "left").select(
-        i.alias("review_id"), (i % 4).alias("project_id"), "text", "source", "lang",
+    i = F.col("doc_id")
+    base = table(spark, sf_dir, "documents").select(
+        i.alias("review_id"), (i % 4).alias("project_id"), _text().alias("text"), "source", "lang",
         F.when(i % 17 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (i % 120).cast("int"))).alias("review_date"),
         F.when(i % 7 != 0, (i % 11) / 2.0).alias("rating"),
-        F.coalesce("is_spam", F.lit(False)).alias("is_spam"),
-        (i % 23 == 0).alias("is_deleted"),
+        (i % 23 == 0).alias("is_deleted"), (i % 3).alias("dataset_id"),
     )
-    first = Window.partitionBy("project_id", F.sha2(dedup_key(F.col("text")), 256)).orderBy("review_id")
-    return base.withColumn("is_duplicate", F.row_number().over(first) > 1)
+    marked = base.join(_ingested(spark, sf_dir)[1], "review_id", "left")
+    return marked.withColumn("is_spam", F.coalesce("is_spam", F.lit(False))).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.functions import rules as X
 from opinara.functions import text as T
 from opinara.operators import ingest as I
 from opinara.operators import reviews as R
@@ -15,8 +16,6 @@ from opinara.plans.bindings import reviews, table
 
 STOP = ["the", "and", "of", "to", "in", "is", "that", "for", "der", "die", "und", "les", "des", "que", "una", "los"]
 TODAY = "2024-04-15"
-SF = tuple[SparkSession, str]
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,17 +30,22 @@ def query(sql: str | None = None):
     return add
 
 
-_LEX = "CASE w " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in B.LEXICON.items()) + " ELSE 0 END"
+_LEX = "CASE lower(w) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in B.LEXICON.items()) + " ELSE 0 END"
 _CLEAN = r"trim(regexp_replace(regexp_replace(coalesce({0}, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 _KEY = "lower(" + _CLEAN.format("text") + ")"
 
 
 def _score(col: str) -> str:
-    return f"greatest(-1.0, least(1.0, coalesce(list_sum(list_transform(regexp_extract_all(lower(coalesce({col}, '')), '[a-z'']+'), lambda w: CAST({_LEX} AS DOUBLE))), 0) / 3))"
+    return f"greatest(-1.0, least(1.0, coalesce(list_sum(list_transform(regexp_extract_all(coalesce({col}, ''), '[A-Za-z'']+'), lambda w: CAST({_LEX} AS DOUBLE))), 0) / 3))"
+
 
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
+
+_SAID = "[" + ", ".join(map(lit, B.SENTENCES)) + f"][1 + (doc_id // 5) % {len(B.SENTENCES)}]"
 WITH = f"""WITH r0 AS (
-  SELECT doc_id AS review_id, doc_id % 4 AS project_id, text, source, lang,
+  SELECT doc_id AS review_id, doc_id % 4 AS project_id, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || ' ' || {_SAID} ELSE text END AS text, source, lang, doc_id % 3 AS dataset_id,
          CASE WHEN doc_id % 17 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 120 AS INT) END AS review_date,
          CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 11) / 2.0 END AS rating,
          EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0) AS is_spam, doc_id % 23 = 0 AS is_deleted
@@ -74,7 +78,7 @@ def sentiment_lexicon_score(spark, d):
     return scored(spark, d).select("review_id", "compound", F.col("confidence").cast("double").alias("confidence"), "label")
 
 
-@query(WITH + f", g AS (SELECT project_id, count(*) AS total, {_COUNTS}, {_CONF} FROM scored GROUP BY 1) SELECT *, {_pcts()} FROM g")
+@query(WITH + f", g AS (SELECT project_id, count(*) AS total, count(label) AS analysed, {_COUNTS}, {_CONF} FROM scored GROUP BY 1) SELECT *, {_pcts()} FROM g")
 def sentiment_summary(spark, d):
     return R.summary(scored(spark, d))
 
@@ -123,8 +127,8 @@ def trend_direction_lag(spark, d):
 def _kw_sql(n: int, bigrams: bool) -> str:
     terms = "list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))" if bigrams else "list_distinct(t)"
     stops = ", ".join(f"'{w}'" for w in STOP)
-    return WITH + f""", t AS (SELECT project_id, label, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]{{3,}}'), lambda w: lower(w)), lambda w: w NOT IN ({stops})) AS t FROM scored WHERE NOT is_spam),
-k AS (SELECT project_id, label, unnest({terms}) AS keyword FROM t), g AS (SELECT project_id, keyword, count(*) AS frequency, {_COUNTS} FROM k GROUP BY 1, 2),
+    return WITH + f""", t AS (SELECT project_id, label, compound, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]{{3,}}'), lambda w: lower(w)), lambda w: w NOT IN ({stops})) AS t FROM scored WHERE NOT is_spam),
+k AS (SELECT project_id, label, compound, unnest({terms}) AS keyword FROM t), g AS (SELECT project_id, keyword, count(*) AS frequency, {_COUNTS}, round_even(CAST(sum(CAST(compound AS DECIMAL(6,4))) AS DOUBLE) / count(*), 4) AS avg_score FROM k GROUP BY 1, 2),
 x AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY frequency DESC, keyword) AS rank FROM g)
 SELECT *, CASE WHEN positive > greatest(negative, neutral) THEN 'positive' WHEN negative > greatest(positive, neutral) THEN 'negative' ELSE 'neutral' END AS majority FROM x WHERE rank <= {n}"""
 
@@ -145,19 +149,19 @@ def word_cloud(spark, d):
 
 
 def _rx(forms: list[str]) -> str:
-    return "(?i)(^|[^A-Za-z0-9_])(" + "|".join(sorted(forms, key=len, reverse=True)) + ")([^A-Za-z0-9_]|$)"
+    return "(?i)(^|[^A-Za-z0-9_])(" + "|".join(sorted(forms, key=lambda x: (-len(x), x))) + ")([^A-Za-z0-9_]|$)"
 
 
 _ASPECTS = " UNION ALL ".join(
-    f"""SELECT review_id, project_id, review_date, '{a}' AS aspect,
+    f"""SELECT review_id, project_id, review_date, source, '{a}' AS aspect,
  coalesce(nullif(array_to_string(list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\x0B]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '' AND regexp_matches(s, '{_rx(f)}')), ' '), ''), text) AS context
  FROM eligible WHERE regexp_matches(text, '{_rx(f)}')"""
     for a, f in sorted(B.ASPECTS.items())
 )
 _LINKS = WITH + f""", ctx AS ({_ASPECTS}), c1 AS (SELECT *, round_even({_score('context')}, 4) AS compound FROM ctx),
-links AS (SELECT review_id, project_id, review_date, aspect, CAST(abs(compound) AS DECIMAL(5,4)) AS confidence, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM c1)"""
+links AS (SELECT review_id, project_id, review_date, source, aspect, CAST(abs(compound) AS DECIMAL(5,4)) AS confidence, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM c1)"""
 _STATS = _LINKS + f""", g AS (SELECT project_id, aspect, count(*) AS frequency, {_COUNTS}, {_CONF} FROM links GROUP BY 1, 2),
-names AS (SELECT DISTINCT project_id, aspect FROM (SELECT DISTINCT project_id FROM reviews), (SELECT unnest(['article', 'licence', 'link', 'token', 'warranty']) AS aspect)),
+names AS (SELECT DISTINCT project_id, aspect FROM (SELECT DISTINCT project_id FROM reviews), (SELECT unnest([{', '.join(lit(a) for a in sorted([*B.ASPECTS, 'warranty']))}]) AS aspect)),
 f AS (SELECT names.project_id, names.aspect, coalesce(frequency, 0) AS frequency, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative, coalesce(neutral, 0) AS neutral, avg_confidence FROM names LEFT JOIN g USING (project_id, aspect)),
 stats AS (SELECT *, {_pcts('frequency')} FROM f)"""
 
@@ -186,15 +190,15 @@ def top_aspect_argmax(spark, d):
     return R.argmax_aspect(stats(spark, d), "negative")
 
 
-@query(_LINKS + f", h AS (SELECT * FROM scored WHERE review_id IN (SELECT review_id FROM links WHERE aspect = 'licence') AND review_date IS NOT NULL), g AS (SELECT project_id, strftime(review_date, '%Y-%m') AS period, count(*) AS total, {_COUNTS}, {_CONF} FROM h GROUP BY 1, 2) SELECT *, {_pcts()} FROM g")
+@query(_LINKS + f", h AS (SELECT * FROM scored WHERE review_id IN (SELECT review_id FROM links WHERE aspect = 'price') AND review_date IS NOT NULL), g AS (SELECT project_id, strftime(review_date, '%Y-%m') AS period, count(*) AS total, {_COUNTS}, {_CONF} FROM h GROUP BY 1, 2) SELECT *, {_pcts()} FROM g")
 def trend_aspect_semi(spark, d):
-    return R.trend(scored(spark, d).join(links(spark, d).where("aspect = 'licence'"), "review_id", "left_semi"), "monthly")
+    return R.trend(scored(spark, d).join(links(spark, d).where("aspect = 'price'"), "review_id", "left_semi"), "monthly")
 
 
 @query(_STATS + """ SELECT project_id, aspect, frequency, negative_pct, CASE WHEN negative_pct >= 75 THEN 'high' WHEN negative_pct >= 60 THEN 'medium' ELSE 'low' END AS priority
-FROM stats WHERE frequency >= 3 AND negative_pct >= 50 AND NOT (project_id = 1 AND aspect = 'token')""")
+FROM stats WHERE frequency >= 3 AND negative_pct >= 50 AND NOT (project_id = 1 AND aspect = 'battery')""")
 def recommendations(spark, d):
-    return S.recommendations(stats(spark, d), spark.createDataFrame([(1, "token")], "project_id bigint, aspect string"))
+    return S.recommendations(stats(spark, d), spark.createDataFrame([(1, "battery")], "project_id bigint, aspect string"))
 
 
 @query(WITH + " SELECT review_id FROM alive WHERE text ILIKE '%apache license%' OR lower(text) LIKE '%idiot of%'")
@@ -213,10 +217,10 @@ def dedup_first_seen(spark, d):
     return reviews(spark, d).select("review_id", "is_duplicate")
 
 
-@query(WITH + " SELECT e.review_id FROM eligible e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.review_id) AND trim(e.text) <> ''")
+@query(WITH + r" SELECT e.review_id FROM eligible e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.review_id) AND regexp_matches(e.text, '\S')")
 def pending_reviews_anti(spark, d):
     done = table(spark, d, "labels").select(F.col("doc_id").alias("review_id"))
-    return R.eligible(reviews(spark, d)).where(F.trim("text") != "").join(done, "review_id", "left_anti").select("review_id")
+    return R.usable(R.eligible(reviews(spark, d))).join(done, "review_id", "left_anti").select("review_id")
 
 
 _RAW = """WITH raw AS (SELECT doc_id + 2 AS row_no, CASE WHEN doc_id % 31 = 0 THEN '  ' ELSE text END AS text,
@@ -268,16 +272,29 @@ def rating_label_mismatch(spark, d):
     return I.rating_mismatch(scored(spark, d)).select("review_id", "rating", "compound")
 
 
-def _cats() -> str:
-    return ", ".join(f"CASE WHEN regexp_matches(lower(text), '{rx}') THEN '{c}' END" for c, rx in B.CATEGORIES.items())
+def hit(words: str, tail: str = "", text: str = "text") -> str:
+    """SQL test of a phrase between word boundaries of any script."""
+    edge = X.EDGE
+    end = rf"(?:\?|[^\p{{L}}\p{{N}}_.!?\n][^.!?\n]{{0,179}}\?)" if tail else f"(?:$|{edge})"
+    return f"regexp_matches({text}, {lit(f'(?i)(?:^|{edge})(?:{words}){end}')})"
 
 
-_CATS = WITH + f""", h AS (SELECT review_id, source, review_date, list_filter([{_cats()}], lambda x: x IS NOT NULL) AS h FROM eligible),
+def _cats(configured: bool) -> str:
+    tests = [(c, hit(rx, X.TAILS.get(c, ""))) for c, rx in X.CATEGORIES.items()]
+    tests += [("COMPETITIVE", " OR ".join(hit(n) for n in B.COMPETITORS))] if configured else []
+    tests += [(X.FINDING_CATEGORY.get(k, "SECURITY"), hit(rx)) for k, (_, rx) in X.SECURITY.items()]
+    found = ", ".join(f"CASE WHEN {t} THEN '{c}' END" for c, t in tests)
+    return f"""h AS (SELECT review_id, source, review_date, list_distinct(list_filter([{found}], lambda x: x IS NOT NULL)) AS h FROM eligible),
 cats AS (SELECT review_id, source, review_date, unnest(CASE WHEN len(h) > 0 THEN h ELSE ['OTHER'] END) AS category FROM h)"""
 
 
-def cats(spark, d):
-    return S.categories(R.eligible(reviews(spark, d)).select("review_id", "source", "review_date", "text"), B.CATEGORIES)
+_CATS, _BASE_CATS = WITH + ", " + _cats(True), WITH + ", " + _cats(False)
+
+
+def cats(spark, d, configured: bool = True):
+    terms = {"COMPETITIVE": B.COMPETITORS} if configured else {}
+    rows = R.eligible(reviews(spark, d)).select("review_id", "source", "review_date", "text")
+    return S.categories(rows, X.CATEGORIES, tails=X.TAILS, configured=terms, findings=X.SECURITY, finding_category=X.FINDING_CATEGORY)
 
 
 @query(_CATS + " SELECT review_id, category FROM cats")
@@ -287,26 +304,30 @@ def feedback_categories(spark, d):
 
 @query(_CATS + " SELECT category, count(*) AS n, count(DISTINCT review_id) AS reviews, count(DISTINCT source) AS sources FROM cats GROUP BY 1")
 def feedback_totals(spark, d):
-    return cats(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("review_id").alias("reviews"), F.countDistinct("source").alias("sources"))
+    # a review has a category once, so its reviews are its rows
+    by = cats(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("source")).cast("long").alias("sources"))
+    return by.select("category", "n", F.col("n").alias("reviews"), "sources")
 
 
-_COMP = WITH + ", comp AS (" + " UNION ALL ".join(
-    f"SELECT review_id, project_id, '{n}' AS competitor, regexp_matches(lower(text), '(switch(ed|ing)?|moved|mov(e|ing)|changed) [^.!?]{{0,80}}to {n}([^a-z0-9_]|$)') AS switching FROM eligible WHERE regexp_matches(lower(text), '(^|[^a-z0-9_]){n}([^a-z0-9_]|$)')" for n in B.COMPETITORS
-) + ")"
+_MOVED = "|".join(f"(?:{x})" for x in X.SWITCHES)
+_SENT = "regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]|\\z)')"
+_COMP = WITH + ", comp0 AS (" + " UNION ALL ".join(
+    f"SELECT review_id, project_id, '{n}' AS competitor, len(regexp_extract_all(text, '(?i)\\b{n}\\b')) AS mentions, list_filter({_SENT}, lambda s: regexp_matches(s, '(?i)(?:{_MOVED})\\s*{n}(?:$|{X.EDGE})')) AS moved FROM eligible WHERE {hit(n)}" for n in B.COMPETITORS
+) + f"), comp AS (SELECT review_id, project_id, competitor, mentions, len(moved) > 0 AS switching, list_filter(list_transform(moved, lambda s: trim(regexp_extract(s, '(?i){X.REASON}', 1))), lambda x: x <> '')[1] AS reason FROM comp0)"
 
 
 @query(_COMP + " SELECT * FROM comp")
 def competitor_mentions(spark, d):
-    return S.competitors(R.eligible(reviews(spark, d)), B.COMPETITORS).drop("reason")
+    return S.competitors(R.eligible(reviews(spark, d)), B.COMPETITORS)
 
 
 @query(_COMP + " SELECT project_id, count(*) AS mentions, count(*) FILTER (switching) AS switching_intent, count(DISTINCT competitor) AS competitors FROM comp GROUP BY 1")
 def competitor_summary(spark, d):
     got = S.competitors(R.eligible(reviews(spark, d)), B.COMPETITORS)
-    return got.groupBy("project_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_if("switching").alias("switching_intent"), F.countDistinct("competitor").alias("competitors"))
+    return got.groupBy("project_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_if("switching").alias("switching_intent"), F.size(F.collect_set("competitor")).cast("long").alias("competitors"))
 
 
-_SEC = WITH + ", sec AS (" + " UNION ALL ".join(f"SELECT review_id, source, '{k}' AS finding_type, '{sev}' AS severity, regexp_extract(lower(text), '{rx}', 0) AS evidence FROM alive WHERE regexp_matches(lower(text), '{rx}')" for k, (rx, sev) in B.SECURITY.items()) + ")"
+_SEC = WITH + ", sec AS (" + " UNION ALL ".join(f"SELECT review_id, source, '{k}' AS finding_type, '{sev}' AS severity, regexp_extract(text, '(?i)\\b(?:{rx})\\b', 0) AS evidence FROM alive WHERE {hit(rx)}" for k, (sev, rx) in X.SECURITY.items()) + ")"
 
 
 def findings(spark, d):
@@ -318,23 +339,27 @@ def security_signals(spark, d):
     return findings(spark, d)
 
 
-@query(_SEC + """, old AS (SELECT review_id, finding_type, CASE WHEN review_id % 3 = 0 THEN 'changed' ELSE evidence END AS evidence FROM sec WHERE review_id % 2 = 0 UNION ALL SELECT 900001, 'ABUSE', 'gone')
+@query(_SEC + """, old AS (SELECT review_id, finding_type, CASE WHEN review_id % 3 = 0 THEN 'changed' ELSE evidence END AS evidence FROM sec WHERE review_id % 2 = 0 UNION ALL SELECT 900001, 'MALWARE_REPORT', 'gone')
 SELECT coalesce(n.review_id, o.review_id) AS review_id, coalesce(n.finding_type, o.finding_type) AS finding_type, coalesce(n.evidence, o.evidence) AS evidence,
  CASE WHEN o.review_id IS NULL THEN 'inserted' WHEN n.review_id IS NULL THEN 'stale' WHEN o.evidence <> n.evidence THEN 'updated' ELSE 'unchanged' END AS state
 FROM old o FULL JOIN sec n ON o.review_id = n.review_id AND o.finding_type = n.finding_type""")
 def finding_reconcile(spark, d):
     new = findings(spark, d)
     old = new.where("review_id % 2 = 0").select("review_id", "finding_type", F.when(F.col("review_id") % 3 == 0, "changed").otherwise(F.col("evidence")).alias("evidence"))
-    old = old.unionByName(spark.createDataFrame([(900001, "ABUSE", "gone")], "review_id bigint, finding_type string, evidence string"))
-    return S_reconcile(old, new)
-
-
-def S_reconcile(old, new):
+    old = old.unionByName(spark.createDataFrame([(900001, "MALWARE_REPORT", "gone")], "review_id bigint, finding_type string, evidence string"))
     return R.reconcile(old, new, ["review_id", "finding_type"], "evidence")
 
 
-_KINDS = (("CVE", r"(?i)CVE-[0-9]{4}-[0-9]{4,7}"), ("IPV4", T.IPV4), ("URL", r"https?://[A-Za-z0-9./?=_%&-]+"), ("DOMAIN", r"[A-Za-z0-9-]+\.example\.(?:com|net|org)"), ("HEX40", r"\b[0-9a-f]{40}\b"))
-_IND = WITH + ", ind AS (SELECT DISTINCT review_id, source, kind, lower(value) AS value FROM (" + " UNION ALL ".join(f"SELECT review_id, source, '{k}' AS kind, unnest(regexp_extract_all(text, '{rx}')) AS value FROM alive" for k, rx in _KINDS) + "))"
+_PARTS = T.URL_PARTS
+# separators are doubled, so that one of them can end a match and another begin the next
+_IND = WITH + rf""", u AS (SELECT review_id, source, regexp_replace(unnest(regexp_extract_all(text, '(?i)https?://[^\s<>"'']+')), '[.,;:!?)\]}}>]+$', '') AS b FROM alive),
+urls AS (SELECT review_id, source, lower(regexp_extract(b, '{_PARTS}', 1)) || '://' || lower(regexp_extract(b, '{_PARTS}', 2)) || CASE WHEN regexp_extract(b, '{_PARTS}', 3) <> '' THEN ':' || regexp_extract(b, '{_PARTS}', 3) ELSE '' END || left(regexp_extract(b, '{_PARTS}', 4), 512) AS value FROM u WHERE regexp_matches(b, '{_PARTS}')),
+ips AS (SELECT review_id, source, unnest(regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{N}}_.])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_.])((?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})(?:$|[^\p{{L}}\p{{N}}_.])', 1)) AS value FROM alive),
+sha AS (SELECT review_id, source, lower(unnest(regexp_extract_all(regexp_replace(text, '([^0-9a-fA-F])', '\1\1', 'g'), '(?:^|[^0-9a-fA-F])([0-9a-fA-F]{{64}})(?:$|[^0-9a-fA-F])', 1))) AS value FROM alive),
+dom AS (SELECT review_id, source, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '(?i)https?://[^\s<>"'']+', ' ', 'g'), '([^\p{{L}}\p{{N}}_.-])', '\1\1', 'g'), '(?i)(?:^|[^\p{{L}}\p{{N}}_.-])((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,63}})(?:$|[^\p{{L}}\p{{N}}_.-])', 1))) AS value FROM alive),
+ind AS (SELECT review_id, source, 'URL' AS kind, value FROM urls UNION SELECT review_id, source, 'DOMAIN', regexp_extract(value, '^https?://([^/:]+)', 1) FROM urls WHERE contains(regexp_extract(value, '^https?://([^/:]+)', 1), '.')
+ UNION SELECT review_id, source, 'CVE', upper(unnest(regexp_extract_all(text, '(?i)\bCVE-[0-9]{{4}}-[0-9]{{4,}}\b'))) FROM alive UNION SELECT review_id, source, 'IP', value FROM ips WHERE list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT))) <= 255
+ UNION SELECT review_id, source, 'HASH_SHA256', value FROM sha UNION SELECT review_id, source, 'DOMAIN', value FROM dom)"""
 
 
 @query(_IND + " SELECT * FROM ind")
@@ -347,7 +372,7 @@ def indicator_correlate(spark, d):
     return S.correlate(S.indicators(alive(spark, d)))
 
 
-@query(f"SELECT doc_id AS review_id, sha256(regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '{T.PHONE}', '[PHONE]', 'g')) AS redacted_sha256 FROM documents")
+@query(rf"SELECT doc_id AS review_id, sha256(regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '(^|{X.EDGE})(\+?[0-9][0-9 .()-]{{7,}}[0-9])($|{X.EDGE})', '\1[PHONE]\3', 'g')) AS redacted_sha256 FROM documents")
 def pii_redact(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), F.sha2(T.redact(F.col("text")), 256).alias("redacted_sha256"))
 
@@ -357,18 +382,18 @@ def canonical_url(spark, d):
     return table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
 
 
-@query("SELECT page_id, CASE " + " ".join(f"WHEN contains(h, '{a}') THEN '{b}'" for a, b in T.SOURCE_LABELS) + r" ELSE regexp_replace(h, '^www\.', '') END AS label FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS h FROM pages)")
+@query("SELECT page_id, CASE " + " ".join(f"WHEN contains(h, '{a}') OR h = '{a.rstrip('.') if a.endswith('.') else a}' THEN '{b}'" for a, b in X.SOURCE_LABELS) + r" ELSE h END AS label FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS h FROM pages)")
 def source_label(spark, d):
     return table(spark, d, "pages").select("page_id", T.source_label(F.col("url")).alias("label"))
 
 
 _DUP = WITH + f""", k AS (SELECT project_id, review_id, source, {_KEY} AS k FROM eligible2 WHERE length({_KEY}) >= 24),
-f AS (SELECT *, min(review_id) OVER (PARTITION BY project_id, k) AS anchor_id FROM k), dup AS (SELECT project_id, anchor_id, review_id FROM f WHERE review_id > anchor_id)"""
+f AS (SELECT *, min(review_id) OVER (PARTITION BY project_id, k) AS anchor_id FROM k), dup AS (SELECT project_id, anchor_id, review_id, 'NORMALIZED_CONTENT_SHA256' AS method FROM f WHERE review_id > anchor_id)"""
 _DUP = _DUP.replace(", k AS", ", eligible2 AS (SELECT * FROM alive WHERE NOT is_spam), k AS", 1)
 
 
 def dups(spark, d):
-    return S.duplicate_links(alive(spark, d).where("NOT is_spam"))
+    return S.duplicate_links(B.keys(spark, d).where("NOT is_deleted AND NOT is_spam"))
 
 
 @query(_DUP + " SELECT * FROM dup")
@@ -378,7 +403,7 @@ def dup_links(spark, d):
 
 @query(_DUP + " SELECT l.anchor_id, l.review_id, a.source AS left_source, b.source AS right_source FROM dup l JOIN alive a ON a.review_id = l.anchor_id JOIN alive b ON b.review_id = l.review_id WHERE a.source <> b.source")
 def dup_links_eligible_selfjoin(spark, d):
-    r = alive(spark, d).select("review_id", "source")
+    r = B.keys(spark, d).where("NOT is_deleted").select("review_id", "source")
     a, b = r.select(F.col("review_id").alias("anchor_id"), F.col("source").alias("left_source")), r.withColumnRenamed("source", "right_source")
     return dups(spark, d).join(a, "anchor_id").join(b, "review_id").where("left_source <> right_source").select("anchor_id", "review_id", "left_source", "right_source")
 
@@ -389,9 +414,21 @@ def dup_components(spark, d):
     return S.components(dups(spark, d), "anchor_id", "review_id")
 
 
-@query(_DUP + f" SELECT s.source, count(*) AS records, count(*) FILTER (x.review_id IS NOT NULL) AS duplicates, count(*) FILTER (x.review_id IS NULL) AS canonical, min(review_date) AS first_date, max(review_date) AS last_date, count(review_date) AS dated, {_COUNTS} FROM scored s LEFT JOIN (SELECT DISTINCT review_id FROM dup) x USING (review_id) GROUP BY 1")
+_HIST = "string_agg(category || '=' || n, ',' ORDER BY category)"
+
+
+@query(
+    _DUP + ", " + _cats(False) + ", " + _SEC.split(WITH + ", ", 1)[1]
+    + f""", st AS (SELECT s.source, count(*) AS records, count(*) FILTER (x.review_id IS NULL) AS canonical, count(*) FILTER (x.review_id IS NOT NULL) AS duplicates, min(review_date) AS first_date, max(review_date) AS last_date, count(review_date) AS dated, {_COUNTS}
+ FROM scored s LEFT JOIN (SELECT DISTINCT review_id FROM dup) x USING (review_id) GROUP BY 1), hs AS (SELECT source, {_HIST} AS categories FROM (SELECT source, category, count(*) AS n FROM cats WHERE category <> 'OTHER' GROUP BY 1, 2) GROUP BY 1),
+fs AS (SELECT source, count(*) AS findings FROM sec GROUP BY 1), names AS (SELECT DISTINCT source FROM reviews UNION SELECT 'a source without reviews')
+SELECT names.source, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('records', 'canonical', 'duplicates', 'dated', 'positive', 'negative', 'neutral', 'findings'))}, first_date, last_date, coalesce(categories, '') AS categories
+ FROM names LEFT JOIN st USING (source) LEFT JOIN hs USING (source) LEFT JOIN fs USING (source)"""
+)
 def source_statistics(spark, d):
-    return S.source_statistics(scored(spark, d), dups(spark, d))
+    names = B.keys(spark, d).select("source").unionByName(spark.createDataFrame([("a source without reviews",)], "source string")).distinct()
+    links = dups(spark, d)
+    return S.source_statistics(scored(spark, d).drop("text"), links, S.components(links, "anchor_id", "review_id"), names, cats(spark, d, False), findings(spark, d))
 
 
 @query(WITH + " SELECT project_id, source, lang, count(*) AS n, count(review_date) AS dated, min(review_date) AS first_date, max(review_date) AS last_date FROM eligible GROUP BY 1, 2, 3")
@@ -399,28 +436,55 @@ def source_provenance(spark, d):
     return R.eligible(reviews(spark, d)).groupBy("project_id", "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count("review_date").alias("dated"), F.min("review_date").alias("first_date"), F.max("review_date").alias("last_date"))
 
 
-def _emerge(src: str, key: str) -> str:
-    return f""", win AS (SELECT *, CASE WHEN review_date BETWEEN DATE '{TODAY}' - 6 AND DATE '{TODAY}' THEN 'current' WHEN review_date BETWEEN DATE '{TODAY}' - 13 AND DATE '{TODAY}' - 7 THEN 'baseline' END AS win FROM {src}),
-em AS (SELECT {key} AS {key}, count(*) FILTER (win = 'current') AS current_count, count(*) FILTER (win = 'baseline') AS baseline_count, count(DISTINCT CASE WHEN win = 'current' THEN source END) AS sources FROM win WHERE win IS NOT NULL GROUP BY 1),
-er AS (SELECT *, CASE WHEN baseline_count > 0 THEN round_even((current_count / 7) / (baseline_count / 7), 3) END AS rate_ratio FROM em)
-SELECT * FROM er WHERE current_count >= 3 AND (baseline_count = 0 OR rate_ratio >= LEAST)"""
+_THEMES = _LINKS + ", " + _cats(False) + """, es AS (SELECT s.* FROM scored s WHERE NOT is_spam AND NOT is_duplicate),
+themes0 AS (SELECT category AS theme, review_id, source, review_date FROM cats WHERE category <> 'OTHER' UNION ALL SELECT 'NEGATIVE_SENTIMENT', review_id, source, review_date FROM es WHERE label = 'negative' UNION ALL SELECT 'ASPECT:' || aspect, review_id, source, review_date FROM links)"""
+
+
+def _emerge(volume: bool, least: float = 1.5) -> str:
+    more = " UNION ALL SELECT 'REVIEW_VOLUME', review_id, source, review_date FROM es" if volume else ""
+    return _THEMES + f""", themes AS (SELECT * FROM themes0{more}),
+win AS (SELECT *, CASE WHEN review_date BETWEEN DATE '{TODAY}' - 6 AND DATE '{TODAY}' THEN 'current' WHEN review_date BETWEEN DATE '{TODAY}' - 13 AND DATE '{TODAY}' - 7 THEN 'baseline' END AS win FROM themes),
+em AS (SELECT theme, count(*) FILTER (win = 'current') AS current_count, count(*) FILTER (win = 'baseline') AS baseline_count, count(DISTINCT CASE WHEN win = 'current' THEN source END) AS sources FROM win WHERE win IS NOT NULL GROUP BY 1),
+er AS (SELECT *, CASE WHEN baseline_count > 0 THEN round_even((current_count / 7) / (baseline_count / 7), 3) END AS rate_ratio FROM em
+ WHERE current_count >= 3 AND (baseline_count = 0 OR (current_count / 7) / (baseline_count / 7) >= {least}))"""
+
 
+def tagged(spark, d, volume: bool = False):
+    rows = R.eligible(scored(spark, d)).drop("text")
+    return S.windows(S.themes(rows, cats(spark, d, False), links(spark, d), volume), TODAY)
 
-@query(_CATS + _emerge("cats", "category").replace("LEAST", "1.0"))
+
+@query(_emerge(False) + " SELECT * FROM er")
 def emerging_themes(spark, d):
-    return S.emerging(S.windows(cats(spark, d), TODAY), "category", 7, 7, 1.0)
+    return S.emerging(tagged(spark, d), "theme", 7, 7)
 
 
-@query(_CATS + ", joined AS (SELECT review_id, source, review_date, category FROM cats UNION ALL SELECT review_id, source, review_date, 'REVIEW_VOLUME' FROM eligible)" + _emerge("joined", "category").replace("LEAST", "1.0"))
+@query(_emerge(True) + " SELECT * FROM er")
 def anomalies(spark, d):
-    volume = R.eligible(reviews(spark, d)).select("review_id", "source", "review_date", F.lit("REVIEW_VOLUME").alias("category"))
-    return S.emerging(S.windows(cats(spark, d).unionByName(volume), TODAY), "category", 7, 7, 1.0)
+    return S.emerging(tagged(spark, d, True), "theme", 7, 7)
+
 
+@query(_emerge(False) + " SELECT theme, rank, review_id FROM (SELECT theme, review_id, row_number() OVER (PARTITION BY theme ORDER BY review_date DESC, review_id) AS rank FROM win WHERE win = 'current') WHERE rank <= 100")
+def theme_evidence(spark, d):
+    return S.evidence(tagged(spark, d), "theme")
 
-@query(WITH + r", v AS (SELECT review_id, unnest(regexp_extract_all(lower(text), '(?:version|release|v) ?[0-9]+\.[0-9]+')) AS version FROM eligible) SELECT version, count(*) AS mentions, count(DISTINCT review_id) AS reviews, CASE WHEN count(*) >= 2 THEN 'CORRELATION' ELSE 'OBSERVATION' END AS claim FROM v GROUP BY 1")
+
+@query(
+    _emerge(False)
+    + rf""", b AS (SELECT theme, current_count AS new, baseline_count AS old FROM em WHERE theme NOT LIKE 'ASPECT:%' AND current_count >= 3), rose AS (SELECT * FROM b WHERE old > 0 AND (new / 7) / (old / 7) >= 1.5),
+ev AS (SELECT theme, rank, review_id FROM (SELECT theme, review_id, row_number() OVER (PARTITION BY theme ORDER BY review_date DESC, review_id) AS rank FROM win WHERE win = 'current' AND theme IN (SELECT theme FROM rose)) WHERE rank <= 100),
+vs AS (SELECT review_id, unnest(regexp_extract_all(text, '(?i)\b{X.VERSION}\b', 1)) AS version, unnest(range(len(regexp_extract_all(text, '(?i)\b{X.VERSION}\b', 1)))) AS k FROM eligible),
+told AS (SELECT theme, version, count(*) AS reports, min(rank * 1000 + k) AS place, count(DISTINCT review_id) AS n FROM ev JOIN vs USING (review_id) GROUP BY 1, 2 HAVING count(*) >= 2),
+f AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY theme ORDER BY place) = 1)
+SELECT theme AS category, 'FACT' AS type, new || ' eligible dated reviews matched the ' || theme || ' phrase rules in the comparison period.' AS claim, least(new, 100) AS evidence_count FROM b
+UNION ALL SELECT theme, 'OBSERVATION', theme || ' mentions increased from ' || old || ' in the baseline window to ' || new || ' in the comparison window.', least(new, 100) FROM rose
+UNION ALL SELECT theme, 'CORRELATION', 'The ' || theme || ' increase overlaps with ' || reports || ' reports mentioning version ' || version || '.', n FROM f
+UNION ALL SELECT theme, 'HYPOTHESIS', 'Version ' || version || ' may be associated with the increase in ' || theme || ' reports.', n FROM f
+UNION ALL SELECT theme, 'RECOMMENDATION', 'Compare telemetry and release history of version ' || version || ' with the ' || theme || ' evidence.', n FROM f"""
+)
 def root_cause_claims(spark, d):
-    v = R.eligible(reviews(spark, d)).select("review_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:version|release|v) ?[0-9]+\.[0-9]+"), F.lit(0))).alias("version"))
-    return v.groupBy("version").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("review_id").alias("reviews"), F.when(F.count(F.lit(1)) >= 2, "CORRELATION").otherwise("OBSERVATION").alias("claim"))
+    texts = R.eligible(reviews(spark, d)).select("review_id", "text")
+    return S.root_causes(tagged(spark, d), texts, 7, 7)
 
 
 @query(WITH + f", g AS (SELECT project_id, count(*) AS total, {_COUNTS}, round_even(avg(rating), 2) AS avg_rating, count(review_date) AS dated FROM scored GROUP BY 1) SELECT *, {_pcts()} FROM g")
@@ -449,13 +513,35 @@ def prf_metrics(spark, d):
     return S.class_metrics(pairs(spark, d), [0, 1])
 
 
-_METRICS = WITH + """, m AS (SELECT project_id, 'review_volume' AS metric, CAST(count(*) AS DOUBLE) AS value FROM scored GROUP BY 1 UNION ALL SELECT project_id, 'negative_count', CAST(count(*) FILTER (label = 'negative') AS DOUBLE) FROM scored GROUP BY 1
- UNION ALL SELECT project_id, 'average_rating', round_even(avg(rating), 2) FROM scored GROUP BY 1)"""
+_METRICS = _STATS + f""", sw AS (SELECT * FROM scored WHERE review_date >= DATE '{TODAY}' - 30), sg AS (SELECT project_id, count(*) AS total, {_COUNTS} FROM sw GROUP BY 1),
+m AS (SELECT project_id, 'review_volume' AS metric, CAST(total AS DOUBLE) AS value FROM sg UNION ALL SELECT project_id, 'negative_review_count', CAST(negative AS DOUBLE) FROM sg
+ UNION ALL SELECT project_id, 'negative_sentiment_percentage', round_even(negative / total * 100, 2) FROM sg UNION ALL SELECT project_id, 'average_rating', round_even(avg(rating), 2) FROM sw GROUP BY 1
+ UNION ALL SELECT project_id, 'keyword_frequency', CAST(count(*) FILTER (NOT is_spam AND list_contains(list_transform(regexp_extract_all(text, '[a-zA-Z]+'), lambda w: lower(w)), 'screen')) AS DOUBLE) FROM sw GROUP BY 1
+ UNION ALL SELECT project_id, 'aspect_negativity_percentage', negative_pct FROM stats WHERE aspect = 'price'
+ UNION ALL SELECT project_id, 'recommendation_priority', CAST(count(*) AS DOUBLE) FROM stats WHERE frequency >= 3 AND negative_pct >= 75 GROUP BY 1)"""
+_RULES = [("many", "review_volume", ">=", 60.0), ("angry", "negative_review_count", ">", 8.0), ("share", "negative_sentiment_percentage", ">=", 10.0), ("poor", "average_rating", "<", 2.5), ("screen", "keyword_frequency", ">=", 3.0), ("price", "aspect_negativity_percentage", ">", 60.0), ("act", "recommendation_priority", ">=", 1.0)]
 
 
 def metrics(spark, d):
-    by = scored(spark, d).groupBy("project_id").agg(F.count(F.lit(1)).cast("double").alias("review_volume"), F.count_if(F.col("label") == "negative").cast("double").alias("negative_count"), F.bround(F.avg("rating"), 2).alias("average_rating"))
-    return by.unpivot("project_id", ["review_volume", "negative_count", "average_rating"], "metric", "value")
+    """The seven metrics of each project, reviews of the last 30 days (31 dates); aspects over all time."""
+    rows = S.alert_window(scored(spark, d), TODAY, 30)
+    named = F.array_contains(T.keyword_tokens(F.col("text")), "screen") & ~F.col("is_spam")
+    by = rows.groupBy("project_id").agg(
+        F.count(F.lit(1)).cast("double").alias("review_volume"), F.count_if(F.col("label") == "negative").cast("double").alias("negative_review_count"), T.percentage(F.count_if(F.col("label") == "negative"), F.count(F.lit(1))).alias("negative_sentiment_percentage"),
+        F.bround(F.avg("rating"), 2).alias("average_rating"), F.count_if(named).cast("double").alias("keyword_frequency"),
+    )
+    found = stats(spark, d)
+    price = found.where("aspect = 'price'").select("project_id", F.lit("aspect_negativity_percentage").alias("metric"), F.col("negative_pct").alias("value"))
+    urgent = found.where("frequency >= 3 AND negative_pct >= 75").groupBy("project_id").agg(F.count(F.lit(1)).cast("double").alias("value")).select("project_id", F.lit("recommendation_priority").alias("metric"), "value")
+    return by.unpivot("project_id", [c for c in by.columns if c != "project_id"], "metric", "value").unionByName(price).unionByName(urgent)
+
+
+def rules(spark):
+    return spark.createDataFrame(_RULES, "rule string, metric string, operator string, threshold double")
+
+
+_EVALUATED = _METRICS + ", rules(rule, metric, op, threshold) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', CAST({t} AS DOUBLE))" for a, b, c, t in _RULES) + """),
+ev AS (SELECT rule, project_id, m.metric AS metric, value, threshold, coalesce(CASE op WHEN '>=' THEN value >= threshold WHEN '>' THEN value > threshold ELSE value < threshold END, false) AS triggered FROM rules JOIN m ON rules.metric = m.metric)"""
 
 
 @query(_METRICS + " SELECT * FROM m")
@@ -463,10 +549,16 @@ def alert_metrics(spark, d):
     return metrics(spark, d)
 
 
-@query(_METRICS + ", rules AS (SELECT * FROM (VALUES ('many', 'review_volume', '>=', 200.0), ('angry', 'negative_count', '>', 20.0), ('poor', 'average_rating', '<', 2.5)) t(rule, metric, op, threshold)) SELECT rule, project_id, m.metric AS metric, value, CAST(threshold AS DOUBLE) AS threshold, coalesce(CASE op WHEN '>=' THEN value >= threshold WHEN '>' THEN value > threshold ELSE value < threshold END, false) AS triggered FROM rules JOIN m USING (metric)")
+@query(_EVALUATED + " SELECT * FROM ev")
 def alert_evaluate(spark, d):
-    rules = spark.createDataFrame([("many", "review_volume", ">=", 200.0), ("angry", "negative_count", ">", 20.0), ("poor", "average_rating", "<", 2.5)], "rule string, metric string, operator string, threshold double")
-    return S.evaluate_alerts(metrics(spark, d), rules)
+    return S.evaluate_alerts(metrics(spark, d), rules(spark))
+
+
+@query(_EVALUATED + ", old AS (SELECT rule, project_id, project_id % 2 = 0 AS was FROM ev WHERE project_id < 3), x AS (SELECT ev.*, coalesce(was, false) AS was FROM ev LEFT JOIN old USING (rule, project_id)) SELECT rule, project_id, CASE WHEN triggered AND NOT was THEN 'raised' WHEN triggered THEN 'open' ELSE 'cleared' END AS event FROM x WHERE triggered OR was")
+def alert_edges(spark, d):
+    now = S.evaluate_alerts(metrics(spark, d), rules(spark))
+    old = now.where("project_id < 3").withColumn("triggered", F.col("project_id") % 2 == 0)
+    return S.alert_edges(old, now)
 
 
 @query(WITH + f", g AS (SELECT project_id, count(*) AS total, {_COUNTS}, {_CONF} FROM scored GROUP BY 1), p AS (SELECT *, {_pcts()} FROM g) SELECT project_id, 'Of ' || total || ' analysed reviews, ' || positive_pct || '% are positive, ' || negative_pct || '% negative and ' || neutral_pct || '% neutral.' AS sentence FROM p")
@@ -489,14 +581,22 @@ def sentiment_upsert(spark, d):
     return merged.join(corrected, "review_id", "left").select("review_id", F.coalesce("corrected", "label").alias("label"))
 
 
-@query(r"""SELECT page_id, left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 400) AS title, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS h1, sha256(html) AS content_hash FROM pages""")
+_CLEANED = "trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_HEADS = ", ".join(f"list_transform(regexp_extract_all(html, '(?is)<{h}\\b[^>]*>(.*?)</{h}>', 1), lambda x: {_CLEANED.format('x')})" for h in ("h1", "h2"))
+_BODY = r"regexp_replace(regexp_replace(html, '(?is)^.*?<body\b[^>]*>|</body>.*$', '', 'g'), '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>', ' ', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, html, list_filter(list_concat({_HEADS}), lambda x: x <> '') AS heads, regexp_extract(html, '(?is)<meta\s[^>]*name=["'']description["''][^>]*>', 0) AS meta,
+ regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t, {_BODY} AS body FROM pages)
+SELECT page_id, left({_CLEANED.format('t')}, 400) AS title, left({_CLEANED.format(r"""regexp_extract(meta, '(?is)content=["'']([^"'']*)', 1)""")}, 600) AS description,
+ array_to_string(list_filter(heads, lambda x, i: list_position(heads, x) = i)[1:8], ' | ') AS headings, left({_CLEANED.format('body')}, 1800) AS excerpt, sha256(html) AS content_hash FROM p""")
 def website_context(spark, d):
     return I.website_context(table(spark, d, "pages"))
 
 
-@query(WITH + ", t AS (SELECT review_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z]{3,}'), lambda w: lower(w)))) AS term FROM eligible), n AS (SELECT count(*) AS n FROM eligible) SELECT term, count(*) AS df, CAST(round(1000 * (ln((1 + n.n) / (1 + count(*))) + 1)) AS BIGINT) AS idf_milli FROM t, n GROUP BY term, n.n HAVING count(*) >= 20")
+@query(WITH + ", t AS (SELECT review_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z]{3,}'), lambda w: lower(w)))) AS term FROM eligible), n AS (SELECT count(*) AS n FROM eligible) SELECT term, count(*) AS df, CAST(round(1000 * (ln((1 + n.n) / (1 + count(*))) + 1)) AS BIGINT) AS idf_milli FROM t, n GROUP BY term, n.n")
 def topic_tfidf_terms(spark, d):
-    return M.document_frequencies(R.eligible(reviews(spark, d)), 20)
+    return M.document_frequencies(R.eligible(reviews(spark, d)))
 
 
 @query()

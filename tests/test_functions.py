@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
+from opinara.operators import collect as C
 from opinara.operators import ingest as I
 from opinara.operators import reviews as R
 from opinara.operators import signals as S
@@ -32,7 +33,7 @@ def test_text_functions(spark):
     assert one(spark, "a b? c", T.sentences) == ["a b?", "c"]
     assert one(spark, "HTTP://u@Ex.com:80/a/?q=1#z", T.canonical_url) == "http://ex.com:80/a"
     assert one(spark, "mail a.b@c.de or +1 (212) 555-1234", T.redact) == "mail [EMAIL] or [PHONE]"
-    assert one(spark, "AAAAAAA", T.quality_flags) == ["short", "caps", "run"]
+    assert one(spark, "AAAAAAA", T.quality_flags) == ["extremely_short_text", "excessive_caps", "repeated_characters"]
     assert one(spark, "Привет всем", T.language_hint) == "non_english_or_unknown"
     assert one(spark, "éfoo", lambda c: T.has_term(c, "foo")) is False
     assert one(spark, "=1+1", files.safe_cell) == "'=1+1"
@@ -74,3 +75,107 @@ def test_stream_equals_batch(spark, tmp_path):
     q = ST.windowed_trend(stream, lex).writeStream.format("memory").queryName("got").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("got").collect())) == sorted(map(tuple, ST.windowed_trend(df, lex).collect()))
+
+
+def test_spans_and_rules(spark):
+    text = "It is slow. I switched from Acme to Globex because it works! Why? é slow"
+    got = one(spark, text, lambda c: T.spans(c, r"(?i)\bslow\b"))
+    assert [(x.start, x.end, x.text) for x in got] == [(6, 10, "slow"), (68, 72, "slow")] and text[68:72] == "slow"
+    assert [x.text for x in one(spark, text, T.sentence_spans)][-2:] == ["Why?", "é slow"]
+    df = spark.createDataFrame([(1, 0, text), (2, 0, "Globex, moved to Acmes"), (3, 0, None)], "review_id int, project_id int, text string")
+    rows = {(r.review_id, r.competitor): (r.switching, r.reason) for r in S.competitors(df, ["Acme", "Globex"]).collect()}
+    assert rows == {(1, "Acme"): (False, None), (1, "Globex"): (True, "it works!"[:-1]), (2, "Globex"): (False, None)}
+
+
+def test_urls_and_terms(spark):
+    assert one(spark, "HTTPS://u@Ex.com:8443/a/b?x=1#y).", T.safe_url) == "https://ex.com:8443/a/b"
+    assert one(spark, "ftp://ex.com", T.safe_url) is None
+    assert one(spark, "https://www.amazon.in/x", T.source_label) == "Amazon"
+    assert one(spark, "https://shop.example/Best-Phone_2/p?id=1", T.slug_name) == "Best Phone 2"
+    assert one(spark, ["a", " A ", "b", ""], T.unique_terms, "x array<string>"[2:]) == ["a", "b"]
+    assert one(spark, "rated 4.5 of 5", T.rating_in_text) == 4.5
+    assert one(spark, "x" * 301, T.truncated) == "x" * 270 + "..."
+    assert one(spark, "a\x00b", T.sanitized) == "ab"
+    assert C.canonical_name("Acme Phone", "Phone X2") == "Acme Phone X2" and C.discovered("Acme Phone X2") == ("Acme", "X2")
+
+
+def test_heuristics_turn_and_strengthen(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "not good"), (3, "very good"), (4, "not a very good one"), (5, "table")], "review_id int, text string")
+    got = {r.review_id: r.compound for r in R.heuristic_sentiment(df, {"good": 1.9}).collect()}
+    assert got[2] < 0 < got[1] < got[3] and got[4] < got[2] and got[5] == 0
+
+
+def test_identity(spark):
+    entity = C.Entity(name="Acme One", brand="Acme", model="X2", sku="S-1", url="https://a.b/p", aliases=("Oney",))
+    rows = [("Acme One", None, None), ("Acme One Max", None, None), ("new acme x2", None, None), ("Oney!", None, None), ("other", "s-1", None), ("other", None, "https://A.b/p/?q=1"), ("other", None, None)]
+    got = C.identified(spark.createDataFrame(rows, "title string, sku string, url string"), entity).collect()
+    assert [(r.method, r.confidence) for r in got] == [("name", 0.95), ("brand_model", 0.92), ("alias", 0.9), ("sku", 0.99), ("url", 0.98)]
+
+
+def test_payloads(spark):
+    payload = json.dumps({"product_title": "P", "data": [{"items": [{"reviewText": "a text that is long enough", "stars": 4}]}, {"body": "short"}]})
+    got = C.normalize(C.walk(spark.createDataFrame([(payload,), ("no json",), (None,)], "payload string"))).collect()
+    assert [(r.title, r.stars) for r in got] == [("P", 4.0)]
+
+
+def test_excel_and_key_order(spark, tmp_path):
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>text</t></si><si><t>good one</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>stars</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>4</v></c></row><row><c r="B3"><v>5</v></c></row></sheetData></worksheet>')
+    got = files.read_rows(spark, str(tmp_path / "a.xlsx"), "excel")
+    assert got.columns == ["text", "stars"] and [tuple(r) for r in got.collect()] == [("good one", "4"), (None, "5")]
+    (tmp_path / "b.json").write_text('[{"z": 1, "a": 2}, {"m": 3}]')
+    assert files.read_rows(spark, str(tmp_path / "b.json"), "json").columns == ["z", "a", "m"]
+    (tmp_path / "up").mkdir()
+    for name, text in (("1", "x"), ("2", "x"), ("3", "")):
+        (tmp_path / "up" / name).write_text(text)
+    uploads = spark.createDataFrame([(f"file:{tmp_path}/up/{k}",) for k in "123"], "path string")
+    state = {r.path[-1]: r.status for r in files.file_registry(spark, str(tmp_path / "up"), uploads=uploads).collect()}
+    assert state == {"1": "new", "2": "duplicate", "3": "empty"}
+
+
+def test_vocabulary_and_writes(spark):
+    assert R.overlaid({"price": ["price"]}, [("Price", ["Cost", "cost "]), ("new", [])]) == {"price": ["price", "cost"], "new": ["new"]}
+    old, new = (spark.createDataFrame(x, "a int, b int") for x in ([(2, 1)], [(1, 2), (1, 3)]))
+    assert [tuple(r) for r in R.insert_missing(old, new, "a", "b").collect()] == [(1, 3)]
+    assert R.dimension(old, new, ["a"]).count() == 2
+    flagged = R.flag(spark.createDataFrame([(1, False), (2, False)], "review_id int, is_spam boolean"), spark.createDataFrame([(2,)], "review_id int"), "is_spam")
+    assert {r.review_id: r.is_spam for r in flagged.collect()} == {1: False, 2: True}
+    with pytest.raises(ValueError):
+        files.strict_json('{"a": 1, "a": 2}', {"a"})
+
+
+def test_long_chain_is_one_component(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "a int, b int")
+    assert {r.component for r in S.components(chain, "a", "b").collect()} == {0}
+
+
+def test_alert_stream_raises_on_edges(spark, tmp_path):
+    rows = [("r", 1, dt.datetime(2024, 1, 1, k), k in (2, 3, 6)) for k in range(8)]
+    df = spark.createDataFrame(rows, "rule string, project_id long, ts timestamp, triggered boolean")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = ST.raised_alerts(stream).writeStream.format("memory").queryName("raised").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.ts.hour for r in spark.table("raised").collect()) == [2, 6]
+
+
+def test_stream_compares_adjacent_days(spark, tmp_path):
+    rows = [("t", dt.datetime(2024, 1, d)) for d in (1, 1, 2, 2, 2)]
+    df = spark.createDataFrame(rows, "theme string, ts timestamp")
+    df.write.parquet(str(tmp_path / "in"))
+    q = ST.adjacent_days(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("days").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.current_count, r.baseline_count) for r in spark.table("days").collect()] == [(3, 2)]
+
+
+def test_first_seen_stream_drops_repeats(spark, tmp_path):
+    rows = [(0, dt.datetime(2024, 1, 1), t) for t in ("One text", "one  TEXT", "two")]
+    df = spark.createDataFrame(rows, "project_id int, ts timestamp, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    q = ST.first_seen(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("first").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("first").count() == 2

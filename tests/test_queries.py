@@ -1,7 +1,7 @@
 import pytest
 from conftest import SF, oracle_rows, spark_rows
 
-from opinara.plans.queries import ORACLES, QUERIES
+from opinara.plans.more import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -13,3 +13,17 @@ def test_query_equals_oracle(spark, name):
 def test_topics_assign_every_review_once(spark):
     got = QUERIES["topic_kmeans"](spark, SF).collect()
     assert len({r.review_id for r in got}) == len(got) and {r.topic for r in got} <= set(range(6))
+    assert len({r.name for r in got}) == len({r.topic for r in got}) and all(0 <= r.relevance <= 1 for r in got)
+
+
+def test_every_oracle_has_rows(spark):
+    from conftest import oracle_rows as rows
+
+    for name in ("recommendations", "root_cause_claims", "emerging_themes", "competitor_summary", "finding_reconcile"):
+        columns = sorted(QUERIES[name](spark, "/root/testdata/sf0.01").columns)
+        assert rows(ORACLES[name], columns, "/root/testdata/sf0.01"), name
+
+
+def test_page_records(spark):
+    got = QUERIES["page_records"](spark, SF).collect()
+    assert got and all(r.text and r.k == 0 for r in got)
