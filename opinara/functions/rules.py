@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Valences of the starter lexicon.
 LEXICON = {
     "good": 1.5, "great": 2.0, "excellent": 2.5, "amazing": 2.5, "love": 2.0, "loved": 2.0, "best": 2.0, "perfect": 2.5,
@@ -84,3 +86,18 @@ EDGE = r"[^\p{L}\p{N}_]"
 def phrase(words: str, tail: str = "") -> str:
     """Regular expression of phrases between word boundaries, without case."""
     return rf"(?iU)\b(?:{words})\b{tail}"
+
+
+def literals(words: str) -> list[str]:
+    """Of each alternative of a phrase pattern, what it begins with for certain, in lower case:
+    plain texts to look for before a regular expression runs."""
+    out, depth, start = [], 0, 0
+    for k, c in enumerate(words + "|"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            plain = re.match(r"[^()\[\]\\?*+{}.|^$]*", words[start:k]).group()
+            rest = words[start + len(plain) : k]
+            # an optional last letter is not certain
+            out.append((plain[:-1] if rest[:1] in ("?", "*", "{") else plain).lower())
+            start = k + 1
+    return sorted(set(out))

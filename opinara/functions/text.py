@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from opinara.functions import rules
 
-SPACES = r"(?U)\s+"
+#: Runs of white space that are not one space already; replacing the others would cost most.
+SPACES = r"(?U)[\s&&[^ ]]\s*| \s+"
 
 
 def clean_text(text: Column) -> Column:
@@ -22,8 +23,8 @@ def dedup_key(text: Column) -> Column:
 
 def keyword_tokens(text: Column) -> Column:
     """Lower-cased runs of three ASCII letters or more."""
-    runs = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-zA-Z]+", " ")), " ")
-    return F.filter(runs, lambda w: F.length(w) >= 3)
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z]{3,}"), F.lit(0))
+    return F.transform(runs, lambda w: F.lower(w))
 
 
 def bigrams(tokens: Column) -> Column:
@@ -153,7 +154,7 @@ def ascii_alpha_ratio(text: Column) -> Column:
 
 def english_hint_ratio(text: Column, hints: list[str] = rules.ENGLISH_HINTS) -> Column:
     """Share of the tokens ``[A-Za-z']+`` that are frequent English words; null without a token."""
-    tokens = F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z']+", " ")), " "), lambda w: w != "")
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z']+"), lambda w: w != "")
     return F.size(F.filter(tokens, lambda w: w.isin(*hints))) / F.nullif(F.size(tokens), F.lit(0))
 
 

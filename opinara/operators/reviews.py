@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,14 +51,15 @@ def keyword_policy(text: Column, include: list[str], exclude: list[str], groups:
 
 
 def _tokens(text: Column) -> Column:
-    return F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z']+", " ")), " ")
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z']+")
 
 
 def lexicon_sum(text: Column, lexicon: dict[str, float]) -> Column:
     """Sum of the valences of a text's tokens ``[A-Za-z']+``."""
     valence = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
-    # the few tokens of the lexicon are found by hash; only these are looked up
-    hits = F.filter(_tokens(text), lambda w: w.isin(*lexicon))
+    # only tokens of the lexicon are taken out of the text
+    words = "|".join(sorted(lexicon, key=len, reverse=True))
+    hits = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![a-z'])(?:{words})(?![a-z'])"), F.lit(0))
     return F.aggregate(hits, F.lit(0.0), lambda a, w: a + F.element_at(valence, w))
 
 
@@ -213,10 +216,12 @@ def aspects(df: DataFrame, vocabulary: dict[str, list[str]], lexicon: dict[str,
     """(review_id, project_id, review_date, source, aspect, label, confidence): each aspect of which
     a surface form stands in the text, scored on the sentences that hold it.
 
-    One search for any form finds the texts with an aspect; only these are searched by aspect."""
+    An aspect's regular expression runs where the text holds one of its forms."""
     rx = {a: _surface(forms) for a, forms in sorted(vocabulary.items())}
-    text = F.col("text")
-    hits = F.when(text.rlike(_surface([f for forms in vocabulary.values() for f in forms])), F.array_compact(F.array(*[F.when(text.rlike(x), F.struct(F.lit(a).alias("aspect"), F.lit(x).alias("rx"))) for a, x in rx.items()])))
+    text, low = F.col("text"), F.col("_low")
+    held = lambda forms: reduce(lambda a, b: a | b, [low.contains(x.lower()) for x in forms])
+    hits = F.array_compact(F.array(*[F.when(held(vocabulary[a]) & text.rlike(x), F.struct(F.lit(a).alias("aspect"), F.lit(x).alias("rx"))) for a, x in rx.items()]))
+    df = df.withColumn("_low", F.lower(text))
     keep = ["review_id", "project_id", "review_date", "source"]
     found = df.select(*keep, "text", F.explode(hits).alias("a")).select(*keep, "text", "a.*")
     local = F.array_join(F.filter(T.sentences(F.col("text")), lambda s: F.rlike(s, F.col("rx"))), " ")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opinara.functions import text as T
-from opinara.functions.rules import REASON, SWITCHES, VERSION, phrase
+from opinara.functions.rules import REASON, SWITCHES, VERSION, literals, phrase
 from opinara.session import cut
 
 
@@ -15,31 +17,34 @@ def _any(patterns: list[str]) -> str:
     return "|".join(f"(?:{x})" for x in patterns)
 
 
+def holds(low: Column, plain: list[str]) -> Column:
+    """Whether lower-cased text holds one of some plain texts."""
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in plain])
+
+
 def categories(df: DataFrame, rules: dict[str, str], text_col: str = "text", tails: dict[str, str] | None = None, configured: dict[str, list[str]] | None = None, findings: dict[str, tuple[str, str]] | None = None, finding_category: dict[str, str] | None = None) -> DataFrame:
     """The columns of ``df`` but its text, and category: every rule of which a phrase stands in
     the text, each configured category (COMPETITIVE, SECURITY) of which a term does, and what
     security findings add; OTHER where there is none.
 
-    One search for any phrase finds the texts with a category; only these are searched by rule."""
-    text, tails = F.col(text_col), tails or {}
-    tests = [(c, text.rlike(phrase(x, tails.get(c, "")))) for c, x in rules.items()]
-    pre = [x + tails.get(c, "") for c, x in rules.items()]
+    A rule's regular expression runs where the text holds the plain beginning of one of its phrases."""
+    text, low, tails = F.col(text_col), F.col("_low"), tails or {}
+    # a question's words are everywhere, its mark is not
+    tests = [(c, (low.contains("?") if c in tails else holds(low, literals(x))) & text.rlike(phrase(x, tails.get(c, "")))) for c, x in rules.items()]
     for c, terms in (configured or {}).items():
         if terms:
-            tests.append((c, text.rlike(_any([T.term_pattern(x) for x in terms]))))
-            pre += [r"\Q" + x + r"\E" for x in terms]
+            tests.append((c, holds(low, [x.lower() for x in terms]) & text.rlike(_any([T.term_pattern(x) for x in terms]))))
     for kind, (_, x) in (findings or {}).items():
-        tests.append(((finding_category or {}).get(kind, "SECURITY"), text.rlike(phrase(x))))
-        pre.append(x)
-    hits = F.when(text.rlike("(?iU)" + _any(pre)), F.array_distinct(F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests]))))
+        tests.append(((finding_category or {}).get(kind, "SECURITY"), holds(low, literals(x)) & text.rlike(phrase(x))))
+    hits = F.array_distinct(F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests])))
     keep = [c for c in df.columns if c != text_col]
-    return df.select(*keep, F.explode_outer(hits).alias("category")).withColumn("category", F.coalesce("category", F.lit("OTHER")))
+    return df.withColumn("_low", F.lower(text)).select(*keep, F.explode_outer(hits).alias("category")).withColumn("category", F.coalesce("category", F.lit("OTHER")))
 
 
 def category_evidence(df: DataFrame, rules: dict[str, str], tails: dict[str, str] | None = None) -> DataFrame:
     """(review_id, category, start, end, evidence): every match of every rule, in code points."""
     found = [F.transform(T.spans(F.col("text"), phrase(x, (tails or {}).get(c, ""))), _named(c)) for c, x in rules.items()]
-    some = df.where(F.col("text").rlike("(?iU)" + _any([x + (tails or {}).get(c, "") for c, x in rules.items()])))
+    some = df.where(holds(F.lower("text"), sorted({y for x in rules.values() for y in literals(x)})))
     return some.select("review_id", F.explode(F.concat(*found)).alias("x")).select("review_id", "x.*")
 
 
@@ -52,7 +57,7 @@ def competitors(df: DataFrame, names: list[str]) -> DataFrame:
 
     Switching: in a sentence with the name, wording whose destination is this name; reason: what
     such a sentence gives after because, since or as."""
-    some = df.where(F.col("text").rlike(_any([T.term_pattern(n) for n in names])))
+    some = df.where(holds(F.lower("text"), [n.lower() for n in names]))
     each = some.select("review_id", "project_id", "text", T.sentence_spans(F.col("text")).alias("_s"), F.explode(F.array(*[F.lit(n) for n in names])).alias("competitor"))
     term = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.col("competitor"), F.lit(r"\E(?!\w)"))
     named = each.where(F.rlike("text", term)).withColumn("mentions", F.size(F.regexp_extract_all("text", term, F.lit(0))))
@@ -65,10 +70,9 @@ def competitors(df: DataFrame, names: list[str]) -> DataFrame:
 
 def security_signals(df: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
     """(review_id, source, finding_type, severity, evidence): the first match of each rule."""
-    text = F.col("text")
-    each = F.array_compact(F.array(*[F.when(text.rlike(phrase(x)), F.struct(F.lit(k).alias("finding_type"), F.lit(sev).alias("severity"), F.regexp_extract(text, phrase(x), 0).alias("evidence"))) for k, (sev, x) in rules.items()]))
-    hits = F.when(text.rlike("(?iU)" + _any([x for _, x in rules.values()])), each)
-    return df.select("review_id", "source", F.explode(hits).alias("f")).select("review_id", "source", "f.*")
+    text, low = F.col("text"), F.col("_low")
+    each = F.array_compact(F.array(*[F.when(holds(low, literals(x)) & text.rlike(phrase(x)), F.struct(F.lit(k).alias("finding_type"), F.lit(sev).alias("severity"), F.regexp_extract(text, phrase(x), 0).alias("evidence"))) for k, (sev, x) in rules.items()]))
+    return df.withColumn("_low", F.lower(text)).select("review_id", "source", F.explode(each).alias("f")).select("review_id", "source", "f.*")
 
 
 # Syntax of indicators.
