@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from opinara.session import cut, drop_stored, stored
 
-WHITE = r"[\x20\x09-\x0D]+"
+#: Runs of ASCII white space that are not one space already; replacing the others would cost most.
+WHITE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 #: Bytes that the words of one range's filter may take when they are sent to all executors.
 FILTER_BYTES = 64 << 20
 #: Bytes that the list of rows that go may take when it is sent to all executors.

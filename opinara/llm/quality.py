@@ -61,12 +61,11 @@ def measures(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         *kept,
         words_of(F.col(text_col)).alias("_words"),
         F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != "").alias("_lines"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
     )
     counted = read.select(
         *kept,
-        "word_chars",
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size("_words").cast("long").alias("n_words"),
         F.size("_lines").cast("long").alias("n_lines"),

@@ -4,12 +4,14 @@ Every byte covered by a string of ``length`` bytes that also starts earlier (sma
 id, or earlier in the same text) is removed.  Each string of that length has a
 minimizer, the k-gram of smallest hash in it; equal strings have equal minimizers, so
 strings meet by minimizer.  Surroundings of a minimizer that are equal from end to end
-are settled by their digests; the texts of the others meet in tasks, each of which orders its
-strings as a suffix array does (prefix doubling, cut at ``length`` bytes, ties by
-position); in a run of equal prefixes positions ascend, so a string's previous smaller
-position in suffix order is its left neighbour, there is no next smaller one in the
-run, and its longest previous factor reaches ``length`` exactly when the left
-neighbour shares the whole prefix.
+are settled by their digests; the texts of the others meet in tasks, each of which builds a
+suffix array of its strings by prefix doubling (cut at ``length`` bytes) and from it the
+longest previous factors: the nearest smaller positions before and after a string in suffix
+order are the earlier strings with the longest common prefixes, and a string whose longest
+previous factor reaches ``length`` is a later copy.
+
+Surroundings of one minimizer that outnumber HOT do not meet in a task: their strings meet
+by digest, in groups that aggregate before they shuffle.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.session import cut, ensure_checkpoint_dir
+from opinara.session import cut, drop_stored, ensure_checkpoint_dir, stored
 
 GRAM = 32
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 20
-BATCH = 4 << 20
+BATCH = 2 << 20
+#: Different surroundings of one minimizer that one task compares; it holds no more of them.
+HOT = 4096
+BROADCAST_BYTES = 24 << 20
 #: Low bits of a packed run that hold its bytes beyond the length.
 EXTENT_BITS = 20
 
@@ -95,22 +100,66 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of ``starts`` (ascending positions) have a longest previous factor of ``length`` or more among them."""
+def smaller_before(position: np.ndarray) -> np.ndarray:
+    """Of each place in ``position`` (different values), the nearest place before it with a smaller one, or -1."""
+    at = np.arange(-1, len(position) - 1)
+    open_ = np.arange(len(position))
+    while True:
+        # a larger value is skipped together with what its own pointer has skipped
+        open_ = open_[at[open_] >= 0]
+        open_ = open_[position[at[open_]] > position[open_]]
+        if not len(open_):
+            return at
+        at[open_] = at[at[open_]]
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Longest previous factors among ``starts`` (ascending positions), ``length`` at most: of each,
+    the longest prefix that an earlier one of them has, too."""
     padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
     n = len(data)
     keys = np.zeros(n, np.uint64)
     for k in range(8):
         keys = keys << np.uint64(8) | padded[k : n + k]
-    ranks, depth = _ranks(keys), 8
+    levels, depth = [_ranks(keys)], 8
     while depth * 2 <= length:
-        ahead = np.concatenate([ranks[depth:], np.zeros(min(depth, n), np.uint64)])[:n]
-        ranks, depth = _ranks(ranks << np.uint64(32) | ahead), depth * 2
-    key = ranks[starts] << np.uint64(32) | ranks[np.minimum(starts + length - depth, n - 1)]
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(starts), bool)
-    same[order[1:]] = key[order[1:]] == key[order[:-1]]
-    return same
+        ahead = np.concatenate([levels[-1][depth:], np.zeros(min(depth, n), np.uint64)])[:n]
+        levels.append(_ranks(levels[-1] << np.uint64(32) | ahead))
+        depth *= 2
+    key = levels[-1][starts] << np.uint64(32) | levels[-1][np.minimum(starts + length - depth, n - 1)]
+    order = starts[np.argsort(key, kind="stable")]
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefix of the strings at a and b, ``length`` at most."""
+        out, width = np.zeros(len(a), np.int64), depth
+        for ranks in reversed(levels):
+            for _ in range(2 if width == depth else 1):
+                x, y = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
+                out += width * ((ranks[x] == ranks[y]) & (np.maximum(a, b) + out < n))
+            width //= 2
+        differ = keys[np.minimum(a + out, n - 1)] ^ keys[np.minimum(b + out, n - 1)]
+        for shift in range(56, -1, -8):
+            same = differ >> np.uint64(shift) == 0
+            if not same.any():
+                break
+            out += same
+        return np.minimum(out, length)
+
+    longest = np.zeros(len(order), np.int64)
+    for side in (order, order[::-1]):
+        before = smaller_before(side)
+        some = np.nonzero(before >= 0)[0]
+        got = common(side[some], side[before[some]])
+        where = some if side is order else len(order) - 1 - some
+        longest[where] = np.maximum(longest[where], got)
+    out = np.zeros(len(order), np.int64)
+    out[np.searchsorted(starts, order)] = longest
+    return out
+
+
+def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``starts`` have a longest previous factor of ``length`` among them."""
+    return longest_previous(data, starts, length) >= length
 
 
 def _unioned(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +176,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     """Covered intervals from strings' surroundings sorted by (h, id, s).
 
     What is held over from one piece to the next is, of the last minimizer, those
-    surroundings that had a string not seen before; all others repeat them."""
+    surroundings that had a string not seen before, HOT at most; all others repeat them."""
     held: list[tuple[int, int, int, bytes]] = []
 
     def work(rows: list[tuple[int, int, int, bytes]], old: int):
@@ -206,7 +255,8 @@ def spans(base: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(ids[owner]), pa.array(s << EXTENT_BITS | (e - s))], ["h", "d", "id", "p"])
 
     placed = first.mapInArrow(place, "h bigint, d bigint, id bigint, p bigint")
-    judged = cut(placed.repartition("h").sortWithinPartitions("h", "d", "id", "p").mapInArrow(_equal, "id bigint, p bigint, ask boolean"))
+    judged = cut(placed.repartition("h").sortWithinPartitions("h", "d", "id", "p").mapInArrow(_equal, "h bigint, id bigint, p bigint, ask boolean"))
+    hot = cut(judged.where("ask").groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
     at = judged.where("ask").groupBy("id").agg(F.collect_list(F.shiftright("p", EXTENT_BITS)).alias("at"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +270,20 @@ def spans(base: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
             ctx = [texts[k][lo:hi] for k, lo, hi in zip(owner[pick].tolist(), s[pick].tolist(), (e[pick] + length).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(ids[owner[pick]]), pa.array(s[pick]), pa.array(ctx, pa.binary())], ["h", "id", "s", "ctx"])
 
-    around = long.join(at, "id").select("id", "text", "at").mapInArrow(surround, "h bigint, id bigint, s bigint, ctx binary")
-    found = around.repartition("h").sortWithinPartitions("h", "id", "s").mapInArrow(lambda b: _find(b, length), "id bigint, lo bigint, hi bigint")
+    around = stored(long.join(at, "id").select("id", "text", "at").mapInArrow(surround, "h bigint, id bigint, s bigint, ctx binary"))
+    marked = around.join(F.broadcast(hot) if hot.count() * 32 <= BROADCAST_BYTES else hot, "h", "left")
+    found = marked.where("hot IS NULL").select("h", "id", "s", "ctx").repartition("h").sortWithinPartitions("h", "id", "s").mapInArrow(lambda b: _find(b, length), "id bigint, lo bigint, hi bigint")
     packed = F.shiftleft("lo", EXTENT_BITS) + F.col("hi") - F.col("lo") - length
-    found = found.select("id", packed.alias("p"))
-    return judged.where("NOT ask").drop("ask").unionByName(found), copies
+    found = cut(found.select("id", packed.alias("p")))
+    # strings of a hot minimizer: the first of each digest stays, by id and place
+    strings = marked.where("hot").select("id", "s", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - length)).alias("k"), "ctx")
+    named = stored(strings.select("id", (F.col("s") + F.col("k")).alias("s"), F.sha2(F.substring("ctx", F.col("k") + 1, F.lit(length)), 256).alias("d")).distinct())
+    first = named.groupBy("d").agg(F.min(F.struct("id", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first")
+    later = named.join(first, "d").where(F.struct("id", "s") > F.col("first")).select("id", F.shiftleft("s", EXTENT_BITS).alias("p"))
+    later = cut(later)
+    drop_stored(named)
+    drop_stored(around)
+    return judged.where("NOT ask").select("id", "p").unionByName(found).unionByName(later), copies
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +317,7 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = int(fh[-1]), int(fi[-1]), int(fp[-1]), bool(ask[-1] or done[-1])
         ask &= ~done.astype(bool)
         flags = np.concatenate([np.zeros(int(rep.sum()), bool), np.ones(int(ask.sum()), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[rep], y[ask]])) for x, y in ((i, fi), (p, fp))] + [pa.array(flags)], ["id", "p", "ask"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[rep], y[ask]])) for x, y in ((h, fh), (i, fi), (p, fp))] + [pa.array(flags)], ["h", "id", "p", "ask"])
 
 
 def removed(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

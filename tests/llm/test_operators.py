@@ -208,7 +208,9 @@ def test_links_of_a_hot_key_in_chunks(spark):
     assert components(signed, pairs) == components(signed, [tuple(r) for r in got])
 
 
-def test_suffix_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(11)
     shared = ["".join(rng.choice("abcd é") for _ in range(160)) for _ in range(4)]
     rows = [(k, "".join(rng.choice([rng.choice(shared)[rng.randint(0, 40) :], "".join(rng.choice("wxyz ") for _ in range(rng.randint(0, 90)))]) for _ in range(rng.randint(0, 6)))) for k in range(60)]
@@ -226,6 +228,25 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert got == want and sum(v[1] for v in want.values()) > 3000
 
 
+def test_longest_previous_factors_equal_the_definition():
+    rng = random.Random(4)
+    for length in (8, 20, 100):
+        data = np.frombuffer("".join(rng.choice(["ab", "abab" * 6, "c", "abcabc" * 20]) for _ in range(60)).encode(), np.uint8)
+        starts = np.array(sorted(rng.sample(range(len(data) - length), 150)))
+        text = data.tobytes()
+        want = []
+        for k, p in enumerate(starts):
+            best = 0
+            for q in starts[:k]:
+                n = 0
+                while n < length and text[p + n] == text[q + n]:
+                    n += 1
+                best = max(best, n)
+            want.append(best)
+        assert suffix_dedup.longest_previous(data, starts, length).tolist() == want
+    assert suffix_dedup.smaller_before(np.array([5, 3, 4, 6, 1, 2])).tolist() == [-1, -1, 1, 2, -1, 4]
+
+
 def test_small_pieces_give_the_same_repeats(spark, monkeypatch):
     texts = [("abc" * 90 + str(k % 3) * 120).encode() for k in range(40)]
     h = suffix_dedup.minimizers(texts, 100)
