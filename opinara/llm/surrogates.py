@@ -5,6 +5,10 @@ gets a replacement of its own type, script and format drawn from a keyed hash.
 table is checked for collisions (two originals with one surrogate, or a surrogate that
 is itself an original) and colliding entries draw again, so distinct entities stay
 distinct and one entity has one surrogate everywhere.
+
+A person's name is replaced word by word: given names by names of the same gender,
+surnames by words of their own script and length.  So "James Bond" and "Mr Bond" keep one
+surname, and so does "Bond" alone in a text that names him in full or by title.
 """
 
 from __future__ import annotations
@@ -29,15 +33,32 @@ NAMES = {
     "m": "Adrian Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Louis Marco Nils Oscar Paul Rafael Simon Thomas Victor".split(),
     "f": "Anna Berta Clara Diana Elena Flora Greta Helena Ines Julia Karla Laura Maria Nora Olga Paula Rosa Sofia Teresa Vera".split(),
 }
+GIVEN = {name: gender for gender, names in NAMES.items() for name in names} | {"James": "m", "John": "m", "Peter": "m", "Michael": "m", "David": "m", "Robert": "m", "Mary": "f", "Jane": "f", "Anne": "f", "Elizabeth": "f", "Sarah": "f", "Emma": "f"}
+_LATER = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+"
+_KEYED = "|".join(f"(?<={re.escape(word + sep)})" for word in ("token", "secret", "api_key", "password") for sep in (' = "', '="', "=", ": ", ': "'))
 PATTERN = re.compile(
     r"(?P<email>[^\W_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?<=token = \")[0-9A-Za-z_-]{16,}(?=\"))"
+    r"|(?P<secret>(?<![0-9A-Za-z_-])(?=[0-9A-Za-z_-]{16})(?:" + _KEYED + r")[0-9A-Za-z_-]+)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))"
     r"|(?P<phone>\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3}[ -]?\d{4}(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
-    r"|(?P<name>\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? [^\W\d_]+(?: [A-ZÀ-ÖØ-Þ][^\W\d_]+)?)"
+    r"|\b(?P<name>(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? [^\W\d_]+(?: " + _LATER + r")?)"
+    r"|\b(?P<person>(?:" + "|".join(sorted(GIVEN)) + r") " + _LATER + r")"
 )
+#: A text without any of these has no entity.
+HINT = r"[0-9@]|\b(" + "|".join([*TITLES, *sorted(GIVEN)]) + r")\b|(token|secret|api_key|password)( = |=|: )"
+
+
+def _words(kind: str, value: str) -> list[tuple[str, str]]:
+    """(type, value) of the parts of a match that are replaced: the words of a name, else all of it."""
+    if kind not in ("name", "person"):
+        return [(kind, value)]
+    first, *rest = value.split(" ")
+    if kind == "person":
+        return [(f"given_{GIVEN[first]}", first), ("surname", rest[0])]
+    gender = TITLES[first.rstrip(".")]
+    return [("surname", rest[0])] if len(rest) == 1 else [(f"given_{gender}", rest[0]), ("surname", rest[1])]
 
 
 def entities(text: str | None) -> list[tuple[str, str]]:
@@ -45,6 +66,25 @@ def entities(text: str | None) -> list[tuple[str, str]]:
     return list(dict.fromkeys((m.lastgroup, m.group()) for m in PATTERN.finditer(text or "")))
 
 
+def parts(text: str | None) -> list[tuple[str, str]]:
+    """Distinct (type, value) of what is replaced in a text."""
+    return list(dict.fromkeys(w for kind, value in entities(text) for w in _words(kind, value)))
+
+
+def rewritten(text: str, to: dict[tuple[str, str], str]) -> str:
+    """``text`` with the surrogates ``to`` of its parts, surnames that stand alone included."""
+    surnames = sorted((v for k, v in to if k == "surname" and len(v) > 2 and v[0].isupper()), key=len, reverse=True)
+    alone = re.compile(r"\b(?:" + "|".join(map(re.escape, surnames)) + r")\b") if surnames else None
+    rest = lambda x: alone.sub(lambda m: to["surname", m.group()], x) if alone else x
+    out, at = [], 0
+    for m in PATTERN.finditer(text):
+        words = _words(m.lastgroup, m.group())
+        title = [m.group().split(" ")[0]] if m.lastgroup == "name" else []
+        out += [rest(text[at : m.start()]), " ".join([*title, *(to[w] for w in words)])]
+        at = m.end()
+    return "".join([*out, rest(text[at:])])
+
+
 class _Draw:
     """Keyed numbers for one (type, value, attempt)."""
 
@@ -72,15 +112,16 @@ def _luhn(digits: str) -> int:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """A replacement of the same type and format.  Names leave the pool after POOL_DRAWS
+    """A replacement of the same type and format.  Given names leave the pool after POOL_DRAWS
     attempts for letters of their own length and script; of names and mail addresses, whose
     spaces may be small, later attempts draw longer ones."""
     draw = _Draw(key, kind, value, attempt)
     longer = "".join(_char("x", draw) for _ in range(attempt // POOL_DRAWS - 1)) if attempt >= 2 * POOL_DRAWS else ""
-    if kind == "name":
-        title, *rest = value.split(" ")
-        pool = NAMES[TITLES[title.rstrip(".")]]
-        return " ".join([title, pool[draw.below(len(pool))] if rest[0].isascii() and attempt < POOL_DRAWS else "".join(_char(c, draw) for c in rest[0]) + longer] + ["".join(_char(c, draw) for c in w) for w in rest[1:]])
+    if kind.startswith("given_") and value.isascii() and attempt < POOL_DRAWS:
+        pool = NAMES[kind[-1]]
+        return pool[draw.below(len(pool))]
+    if kind == "surname" or kind.startswith("given_"):
+        return "".join(_char(c, draw) for c in value) + longer
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "email":
@@ -130,8 +171,9 @@ def assigned(found: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
 def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_entities (distinct in the text), text with surrogates.
 
-    Null texts stay null with no entities, rows that repeat an id and text repeat the
-    result, other columns are ignored.  Texts without an entity do not shuffle.
+    Null texts stay null with no entities, empty texts empty; rows that repeat an id and text
+    repeat the result, other columns are ignored; an empty table gives no rows.  Texts
+    without an entity do not shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -142,21 +184,18 @@ def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                got = [[{"kind": k, "value": v} for k, v in entities(t)] for t in part.column(1).to_pylist()]
+                got = [[{"kind": k, "value": v} for k, v in parts(t)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pair)], ["id", "text", "found"])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = []
-                for text, pairs in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    to = {(p["kind"], p["value"]): p["surrogate"] for p in pairs}
-                    texts.append(PATTERN.sub(lambda m, to=to: to[m.lastgroup, m.group()], text))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(p) for p in part.column(2).to_pylist()], pa.int64()), pa.array(texts, pa.string())], ["id", "n_entities", "text"])
-
-    # a text without a digit and without a title has none
-    may = F.coalesce(F.col("text").rlike(r"[0-9@]|\b(" + "|".join(TITLES) + r")\b|token = "), F.lit(False))
+                texts, counts = part.column(1).to_pylist(), [len(entities(t)) for t in part.column(1).to_pylist()]
+                made = [rewritten(t, {(p["kind"], p["value"]): p["surrogate"] for p in pairs}) for t, pairs in zip(texts, part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(made, pa.string())], ["id", "n_entities", "text"])
+
+    may = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     found = read.where(may).mapInArrow(detect, f"id {kind}, text string, found {shape}")
     marked = cut(found.where(F.size("found") > 0).withColumn("uid", F.monotonically_increasing_id()))
     each = marked.select("uid", F.explode("found").alias("e")).select("uid", "e.*")

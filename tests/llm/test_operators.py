@@ -474,27 +474,60 @@ def test_surrogates_hide_originals_and_keep_types(spark):
 
 def test_colliding_surrogates_draw_again(spark, monkeypatch):
     monkeypatch.setitem(surrogates.NAMES, "m", surrogates.NAMES["m"][:9])
-    found = spark.createDataFrame([("name", f"Mr Q{x}") for x in "abcde"], "kind string, value string")
-    made = [surrogates.surrogate(b"k", "name", f"Mr Q{x}") for x in "abcde"]
+    found = spark.createDataFrame([("given_m", f"Q{x}") for x in "abcde"], "kind string, value string")
+    made = [surrogates.surrogate(b"k", "given_m", f"Q{x}") for x in "abcde"]
     assert len(set(made)) < 5
     got = [r.surrogate for r in surrogates.assigned(found, b"k", rounds=60).collect()]
     assert len(set(got)) == len(got) == 5
 
 
-def test_many_names_of_one_title_stay_distinct(spark):
-    values = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQR" for b in "abcdefghijklmnopqr"] + [f"Mr Smith{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
-    found = spark.createDataFrame([("name", v) for v in values], "kind string, value string")
-    got = {r.value: r.surrogate for r in surrogates.assigned(found, b"k").collect()}
-    assert set(got) == set(values) and len(set(got.values())) == len(values) and not set(got.values()) & set(values)
-    assert all(surrogates.entities(v) == [("name", v)] for v in got.values())
+def test_a_thousand_names_of_one_title_stay_distinct(spark):
+    values = [f"Mr Name{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQR" for b in "abcdefghijklmnopqr"]
+    rows = spark.createDataFrame([(k, v + " was here.") for k, v in enumerate(values)], "doc_id int, text string")
+    got = {r.doc_id: r.text.removesuffix(" was here.") for r in surrogates.replaced(rows, b"k").collect()}
+    assert len(values) == 1000 == len(set(got.values())) and not set(got.values()) & set(values)
+    assert all(v.startswith("Mr ") for v in got.values())
 
 
 def test_collisions_that_are_left_raise(spark):
-    found = spark.createDataFrame([("name", f"Mr Q{x}") for x in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string")
+    found = spark.createDataFrame([("given_m", f"Q{x}") for x in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string")
     with pytest.raises(RuntimeError):
         surrogates.assigned(found, b"k", rounds=1)
 
 
+def slow_surrogates(texts, key):
+    """Surrogates by drawing again, one round after the other, until all are distinct."""
+    table = {p: (0, surrogates.surrogate(key, *p)) for t in texts for p in surrogates.parts(t)}
+    while True:
+        taken, again = set(), []
+        for p in sorted(table, key=lambda p: (table[p][0], p[1])):
+            made = (p[0], table[p][1])
+            again += [p] if made in taken or made in table else []
+            taken.add(made)
+        if not again:
+            return {p: made for p, (_, made) in table.items()}
+        for p in again:
+            table[p] = (table[p][0] + 1, surrogates.surrogate(key, *p, table[p][0] + 1))
+
+
+def test_surrogates_equal_brute_force(spark):
+    rng = random.Random(9)
+    pieces = ["James Bond", "Mr Bond", "Mr. James Bond", "Frau Müller", "Maria Müller", "ann.lee@corp.example.com", "10.20.30.40", "+1 (212) 555-0100", "4111 1111 1111 1111", "123-45-6789", 'api_key="0123456789abcdef0123"', "password: hunter2hunter2hunter2", "Mr Li", "Mr Lo", "Mrs Li"]
+    texts = [" and ".join(rng.sample(pieces, rng.randint(1, 4))) + ", said Bond." for _ in range(60)] + ["", None, "nothing"]
+    to = slow_surrogates(texts, b"key")
+    got = {r.doc_id: (r.n_entities, r.text) for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), b"key").collect()}
+    own = lambda t: {p: to[p] for p in surrogates.parts(t)}
+    assert got == {k: (len(surrogates.entities(t)), t and surrogates.rewritten(t, own(t))) for k, t in enumerate(texts)}
+
+
+def test_one_person_keeps_one_surname(spark):
+    texts = ["James Bond met Maria Li. Later Bond left.", "Mr Bond wrote; Bond signed.", "Bond is also a word here."]
+    a, b, c = (r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), b"key").orderBy("doc_id").collect())
+    bond = b.split()[1]
+    assert a.split()[1] == bond == b.split()[3] and f"Later {bond} left" in a and "Bond" not in a + b and c == texts[2]
+    assert a.split()[0] in surrogates.NAMES["m"] and a.split()[3] in surrogates.NAMES["f"]
+
+
 def test_pipeline_equals_its_parts(spark):
     import corpus_pipeline
 
