@@ -313,10 +313,12 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
     (1 - 0.8^4)^24 = 3e-6.  Pairs whose min-hashes agree in more than ``similar`` - 0.2 (five
     deviations) are compared by their sets; these travel to groups where such a pair is."""
     order = ["t", "key", "lo", "hi"]
-    keyed = classes.where(F.size("s") > 0).select("k", "s", F.posexplode("s").alias("t", "key"))
+    # min-hashes stay behind until it is known who meets
+    keyed = classes.where(F.size("s") > 0).select("k", F.posexplode("s").alias("t", "key"))
     counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keyed.join(counts, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
-    dealt = met.select("k", "s", "t", "key", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")).select("t", "key", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "k", "s")
+    groups = met.select("t", "key", "c", "k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")).select("t", "key", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "k")
+    dealt = groups.join(classes.select("k", "s"), "k").select(*order, "k", "s")
     least = similar - 0.2
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
