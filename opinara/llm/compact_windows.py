@@ -360,7 +360,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # a repeated id is one document: of its rows one stays
     each = around.select("id", "c", F.posexplode(F.arrays_zip("sig", "first", "last")).alias("k", "x")).select("id", "c", "k", "x.*").dropDuplicates(["id", "c", "k"])
     keyed = stored(_first_of_sets(each, "sig"))
-    texts = around.select("id", "c", "low", "s").dropDuplicates(["id", "c"])
+    # not so here: a row more of the same document is never compared with it
+    texts = around.select("id", "c", "low", "s")
     zero = F.lit(0).cast("long")
     few = keyed.where(F.col("n") <= split).select("sig", zero.alias("run"), zero.alias("lo"), zero.alias("hi"), "id", "c")
     exact = F.transform(F.sequence("first", "last"), lambda k: F.xxhash64(F.slice("s", (k - F.col("low") + 1).cast("int"), F.lit(run))))
