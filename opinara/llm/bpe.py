@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens that one task remembers, twice over: a full table becomes the older one.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Longer pre-tokens (in bytes) have a tree of their own and are merged anew in each slice.
 LONG = 63
 SLICE = 128
