@@ -252,10 +252,13 @@ def spans(base: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
             h, owner, s, e = minimizers(texts, length)
             ids = np.array(part.column(0).to_pylist(), np.int64)
             digest = [xxhash.xxh3_64_intdigest(texts[k][lo:hi]) for k, lo, hi in zip(owner.tolist(), s.tolist(), (e + length).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(ids[owner]), pa.array(s << EXTENT_BITS | (e - s))], ["h", "d", "id", "p"])
+            rows, later = _settled(h.view(np.int64), np.array(digest, np.uint64).view(np.int64), ids[owner], s << EXTENT_BITS | (e - s))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, later)], ["h", "d", "id", "p", "later"])
 
-    placed = first.mapInArrow(place, "h bigint, d bigint, id bigint, p bigint")
-    judged = cut(placed.repartition("h").sortWithinPartitions("h", "d", "id", "p").mapInArrow(_equal, "h bigint, id bigint, p bigint, ask boolean"))
+    placed = first.mapInArrow(place, "h bigint, d bigint, id bigint, p bigint, later boolean")
+    # what a slice has settled needs no meeting and is dealt out to all tasks
+    by = F.when(F.col("later"), F.xxhash64("id", "p")).otherwise(F.col("h"))
+    judged = cut(placed.repartition(by).sortWithinPartitions("later", "h", "d", "id", "p").mapInArrow(_equal, "h bigint, id bigint, p bigint, ask boolean"))
     hot = cut(judged.where("ask").groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
     at = judged.where("ask").groupBy("id").agg(F.collect_list(F.shiftright("p", EXTENT_BITS)).alias("at"))
 
@@ -286,15 +289,31 @@ def spans(base: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     return judged.where("NOT ask").select("id", "p").unionByName(found).unionByName(later), copies
 
 
+def _settled(h: np.ndarray, d: np.ndarray, i: np.ndarray, p: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Surroundings (minimizer, digest, id, place) without repeated rows, and which of them have an
+    equal one before them, by id and place: these are repeats whatever else there is, so that of
+    a frequent one each slice sends only its first to the others."""
+    order = np.lexsort((p, i, d, h))
+    rows = [x[order] for x in (h, d, i, p)]
+    alike = np.array([x[1:] == x[:-1] for x in rows])
+    same = np.append(np.zeros(min(1, len(h)), bool), alike[:2].all(axis=0))
+    again = np.append(np.zeros(min(1, len(h)), bool), alike.all(axis=0))
+    return [x[~again] for x in rows], same[~again]
+
+
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of surroundings sorted by (minimizer, digest, id, place): those equal to an earlier one
-    are repeats from end to end (ask false); the first of each digest is asked for where its
-    minimizer has another digest, too, so that texts travel for partial repeats only.  A row
-    that repeats the one before is the same place of the same document."""
+    """Of surroundings sorted by (later, minimizer, digest, id, place): those equal to an earlier
+    one, also by ``later``, are repeats from end to end (ask false); the first of each digest is
+    asked for where its minimizer has another digest, too, so that texts travel for partial
+    repeats only.  A row that repeats the one before is the same place of the same document."""
     last: tuple[int, int, int, int] | None = None
     held: tuple[int, int, int, bool] | None = None
     for batch in batches:
-        h, d, i, p = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        *columns, later = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if later.any():
+            h, d, i, p = (x[later] for x in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, i, p, np.zeros(len(h), bool))], ["h", "id", "p", "ask"])
+        h, d, i, p = (x[~later] for x in columns)
         if not len(h):
             continue
         new, again = np.ones(len(h), bool), np.zeros(len(h), bool)

@@ -265,6 +265,17 @@ def test_small_pieces_give_the_same_repeats(spark, monkeypatch):
     assert runs[0] == runs[1]
 
 
+def test_settled_surroundings_have_an_earlier_equal():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 400):
+        h, d, i, p = (rng.integers(0, most, n) for most in (3, 4, 9, 5))
+        rows, later = suffix_dedup._settled(h, d, i, p)
+        got = list(zip(*(x.tolist() for x in rows)))
+        every = set(zip(*(x.tolist() for x in (h, d, i, p))))
+        assert len(got) == len(every) and set(got) == every
+        assert later.tolist() == [any(o[:2] == r[:2] and o[2:] < r[2:] for o in every) for r in got]
+
+
 def test_sharding_laws(spark):
     rows = {r.doc_id: r for r in docs(spark).collect()}
     for bucket in (20000, 7):
