@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, compact_windows, exact_dedup, langid, mixing, quality, sharding, simhash, suffix_dedup, surrogates
+from opinara.llm import bpe, compact_windows, exact_dedup, hard_negatives, langid, mixing, quality, quality_classifier, sharding, simhash, suffix_dedup, surrogates, whitening
 
 #: Folder of public tokenizer files; the environment may name another.
 SURROGATE_KEY = os.environ.get("OPINARA_SURROGATE_KEY", "example key, set your own").encode()
@@ -72,6 +72,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,5 +134,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_surrogates": op9_surrogates,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_quality_classifier": op13_quality_classifier,
     "pipeline": pipeline,
 }
