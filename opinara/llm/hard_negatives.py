@@ -91,7 +91,7 @@ def intervals(book: Codebook, codes: np.ndarray, left: np.ndarray, anchors: np.n
     # what single precision can lose in the tables, their sum and the bounds
     most = sum(np.abs(t).max(axis=0) for t in tables)
     norm = np.sqrt((anchors.astype(float) ** 2).sum(axis=1))
-    reach = norm[:, None] * left[None, :] * (1 + 2.0**-20) + ((len(tables) + 8) * 2.0**-23 * (most + norm * left.max(initial=0.0)))[:, None]
+    reach = norm[:, None] * left[None, :] * (1 + 2.0**-20) + ((len(tables) + 8) * 2.0**-23 * most)[:, None]
     reach = reach.astype(np.float32)
     return score - reach, score + reach
 
