@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled rows, distinct by text and label.
+#: Bounds of the fit: labelled rows, distinct by text and label, and steps of the descent, each on one
+#: of them (in whole rounds over all).
 SAMPLE_TEXTS = 4000
+STEPS = 32_000
 #: n-grams of bytes, counting the blank before and after a word, and bits of a bucket's number.
 GRAMS = (2, 3, 4)
 BITS = 16
 DIMS = 8
-EPOCHS = 8
-RATE = 0.5
+RATE = 1.0
 SEED = 13
 #: Texts turned into Python objects at a time, and bytes of a text hashed at once.
 SLICE = 64
@@ -118,13 +119,14 @@ def bags(texts: list[str | None], bits: int = BITS, grams: tuple[int, ...] = GRA
 class Model:
     """Vectors of the buckets, the output layer and its bias, trained by stochastic gradient descent."""
 
-    def __init__(self, known: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, grams: tuple[int, ...] = GRAMS, dims: int = DIMS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED):
+    def __init__(self, known: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, grams: tuple[int, ...] = GRAMS, dims: int = DIMS, steps: int = STEPS, rate: float = RATE, seed: int = SEED):
         self.bits, self.grams = bits, grams
         rng = np.random.default_rng(seed)
         table = rng.uniform(-1 / dims, 1 / dims, (1 << bits, dims)).astype(np.float32)
         out, bias = np.zeros((2, dims), np.float32), np.zeros(2, np.float32)
-        share = [(at, (n / n.sum()).astype(np.float32)) for at, n in known]
-        steps, done = max(1, epochs * len(known)), 0
+        share = [(at, (n / max(1, n.sum())).astype(np.float32)) for at, n in known]
+        epochs, done = -(-steps // max(1, len(known))) if known else 0, 0
+        steps = max(1, epochs * len(known))
         for _ in range(epochs):
             for k in rng.permutation(len(known)):
                 at, w = share[k]
@@ -180,9 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     order = np.lexsort((got.column("label").to_numpy(), got.column("h").to_numpy()))
     at, n = got.column("at"), got.column("n")
-    known_bags = [(at[int(k)].values.to_numpy(), n[int(k)].values.to_numpy()) for k in order]
-    some = [k for k, (b, _) in enumerate(known_bags) if len(b)]
-    return Model([known_bags[k] for k in some], got.column("label").to_numpy()[order][some])
+    # a text without words has an empty bag, from which the bias learns
+    return Model([(at[int(k)].values.to_numpy(), n[int(k)].values.to_numpy()) for k in order], got.column("label").to_numpy()[order])
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_TEXTS) -> DataFrame:
