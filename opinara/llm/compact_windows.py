@@ -149,9 +149,10 @@ def _batch(columns: list[list[np.ndarray]], names: list[str], kinds: list[pa.Dat
 
 
 def _windows(docs: DataFrame, width: int, run: int) -> DataFrame:
-    """(v, id, c, after, d) of the compact windows of the first function: min-hash, place,
-    shingles of the surroundings after it, and a digest of the surroundings."""
-    names, kinds = ["v", "id", "c", "after", "d"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    """(v, id, c, after, d) of the compact windows of the first function: min-hash (48 bits, as it
+    only brings windows together), place, shingles of the surroundings after it, and a digest of
+    the surroundings (64 bits, as windows equal in v and d are linked without a further look)."""
+    names, kinds = ["v", "id", "c", "after", "d"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,13 +166,13 @@ def _windows(docs: DataFrame, width: int, run: int) -> DataFrame:
                     value = _mixed(each, 0)
                     _, c, _ = compact_windows(value, run)
                     hi = np.minimum(c + width, len(each))
-                    d = Digests(each).of(np.maximum(c - width + 1, 0), hi) >> np.uint64(33)
-                    for column, x in zip(out, (value[c].view(np.int64), np.full(len(c), i), c, hi - 1 - c, d.astype(np.int64))):
+                    d = Digests(each).of(np.maximum(c - width + 1, 0), hi)
+                    for column, x in zip(out, ((value[c] >> np.uint64(16)).astype(np.int64), np.full(len(c), i), c, hi - 1 - c, d.view(np.int64))):
                         column.append(x)
                 if out[0]:
                     yield _batch(out, names, kinds)
 
-    return docs.mapInArrow(work, "v bigint, id bigint, c int, after int, d int")
+    return docs.mapInArrow(work, "v bigint, id bigint, c int, after int, d bigint")
 
 
 def segments(each: np.ndarray, at: np.ndarray, run: int, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

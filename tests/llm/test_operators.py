@@ -559,3 +559,15 @@ def test_pipeline_equals_its_parts(spark):
     assert Counter(r.doc_id for r in got) == Counter({i: n for i, n in want.items() if n})
     own = bpe.codec(queries.tokenizer_spec())
     assert all(list(r.ids) == own.encode(left[r.doc_id]) and r.n_tokens == len(r.ids) for r in got)
+
+
+def test_surroundings_whose_short_digests_collide_are_not_linked(spark):
+    """Two texts with 26 words in common whose surroundings agree in the upper 31 bits of their digests."""
+
+    def text(seed):
+        r = random.Random(seed)
+        front, back = ([f"{x}{r.getrandbits(40)}" for _ in range(28)] for x in "ab")
+        return " ".join([*front, *(f"c{k}" for k in range(26)), *back])
+
+    d = spark.createDataFrame([(k, text(s)) for k, s in enumerate((719287115027508283, 381286971214065716, 5))], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_words) for r in compact_windows.near_passages(d).collect()) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
