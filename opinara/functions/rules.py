@@ -101,3 +101,32 @@ def literals(words: str) -> list[str]:
             out.append((plain[:-1] if rest[:1] in ("?", "*", "{") else plain).lower())
             start = k + 1
     return sorted(set(out))
+
+# Degree words of the published valence rules, and how much they add or take off.
+_MORE = (
+    "absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous enormously entirely especially "
+    "exceptional exceptionally extreme extremely fabulously flipping flippin frackin fracking fricking frickin frigging friggin fully "
+    "fuckin fucking fuggin fugging greatly hella highly hugely incredible incredibly intensely major majorly more most particularly "
+    "purely quite really remarkably so substantially thoroughly total totally tremendous tremendously uber unbelievably unusually utter utterly very"
+).split()
+_LESS = (
+    "almost,barely,hardly,just enough,kind of,kinda,kindof,kind-of,less,little,marginal,marginally,occasional,occasionally,partly,"
+    "scarce,scarcely,slight,slightly,somewhat,sort of,sorta,sortof,sort-of"
+).split(",")
+DEGREES = {w: 0.293 for w in _MORE} | {w: -0.293 for w in _LESS}
+
+# Negations of these rules; a token with n't is one, too.
+NEGATIONS = (
+    "aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't doesn't dont hadnt hasnt havent isnt "
+    "mightnt mustnt neither don't hadn't hasn't haven't isn't mightn't mustn't neednt needn't never none nope nor not nothing nowhere "
+    "oughtnt shant shouldnt uhuh wasnt werent oughtn't shan't shouldn't uh-uh wasn't weren't without wont wouldnt won't wouldn't rarely seldom despite"
+).split()
+
+# Idioms whose valence is not that of their words.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5,
+    "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
+
+# Capitals, a negation, degree words further away, exclamation and question marks, the compound's normalisation.
+CAPITALS, TURN, FADING, CALL, ASK, ASKS, ALPHA = 0.733, -0.74, (1.0, 0.95, 0.9), 0.292, 0.18, 0.96, 15

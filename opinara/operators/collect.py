@@ -2,65 +2,22 @@
 
 from __future__ import annotations
 
-import html as html_lib
-import json
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opinara.functions import text as T
 
-# Names under which providers give a record's fields; the first that is not null counts.
-KEYS = {
-    "record_id": ("review_id", "reviewId", "id"), "text": ("review_text", "reviewText", "text", "body", "content", "comment", "description"), "rating": ("rating", "stars", "score"),
-    "date": ("date", "review_date", "created_at", "timestamp"), "url": ("url", "link", "permalink"), "source": ("source", "author", "user"),
-}
-TITLES = ("product_title", "productTitle", "product_name", "title", "name")
-RECORD = "title string, " + ", ".join(f"{k} string" for k in KEYS)
-
-
-def walk(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Records in JSON payloads of any shape: every object with a text under one of its names, with
-    the title of the nearest object above it that has one.  A payload that is no JSON has none."""
-
-    def candidates(value, title):
-        if isinstance(value, dict):
-            title = next((str(value[k]) for k in TITLES if value.get(k) is not None and not isinstance(value[k], (dict, list))), title)
-            row = {f: next((str(value[k]) for k in names if value.get(k) is not None and not isinstance(value[k], (dict, list))), None) for f, names in KEYS.items()}
-            if row["text"]:
-                yield {"title": title, **row}
-            value = list(value.values())
-        if isinstance(value, list):
-            for x in value:
-                yield from candidates(x, title)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["title", *KEYS]
-        schema = pa.schema([(n, pa.string()) for n in names])
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                try:
-                    rows = list(candidates(json.loads(text or "null"), None))
-                except ValueError:
-                    rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return payloads.select(column).mapInArrow(work, RECORD)
-
-
-def normalize(records: DataFrame, by: list[str] | None = None, least_chars: int = 12) -> DataFrame:
-    """Records with a text of ``least_chars`` or more, dates and ratings parsed; of those that agree
-    on id, URL and the first 160 characters, or on these characters where ids differ, the first."""
-    clean = F.trim("text")
-    rows = records.where(F.length(clean) >= least_chars).withColumn("text", clean).withColumn("stars", T.parse_rating(F.col("rating"))).withColumn("day", T.parse_date(F.col("date")))
-    order = Window.partitionBy(*(by or []), F.lower(F.substring("text", 1, 160))).orderBy(F.length("record_id"), "record_id", "url")
-    return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+def normalize(records: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Records with their rating as ``stars`` and their date as ``day``; of those that agree on id (or
+    URL, without an id) and the first 160 characters, per ``by``, the first by path."""
+    stable = F.concat(F.coalesce("record_id", "url", F.lit("")), F.lit(":"), F.substring(F.lower("text"), 1, 160))
+    rows = records.withColumn("stars", T.parse_rating(F.col("rating"))).withColumn("day", T.parse_date(F.col("date")))
+    # the digest is what meets; copies of one record are reduced before they travel
+    first = rows.withColumn("_k", F.sha2(stable, 256)).groupBy(*(by or []), "_k").agg(F.min_by(F.struct(*rows.columns), "path").alias("_r"))
+    return first.select("_r.*")
 
 
 def issue_time(raw: Column) -> Column:
@@ -102,6 +59,10 @@ def product_url(url: Column, keep: tuple[str, ...] = ("pid", "lid")) -> Column:
     return F.concat(T.canonical_url(url), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+# Words that make another product of a name they stand beside.
+VARIANTS = ("ultra", "plus", "fe", "pro", "max", "mini", "lite", "se")
+
+
 @dataclass(frozen=True)
 class Entity:
     """What a product is known by."""
@@ -113,8 +74,7 @@ class Entity:
     url: str | None = None
     identifiers: tuple[str, ...] = ()
     aliases: tuple[str, ...] = ()
-    #: Words that make another product of the name, where the name does not hold them.
-    variants: tuple[str, ...] = field(default=("mini", "max", "pro", "plus", "ultra", "lite"))
+    variants: tuple[str, ...] = VARIANTS
 
 
 def canonical_name(name: str, model: str | None) -> str:
@@ -129,21 +89,48 @@ def discovered(name: str) -> tuple[str | None, str | None]:
     return (words[0] if words else None), next((w for w in words if any(c.isdigit() for c in w)), None)
 
 
+def _squeezed(text: str | None) -> str:
+    return " ".join((text or "").split())[:200].lower()
+
+
+def _standing(compact: Column, words: str) -> Column:
+    """Whether ``words`` stand in the text with no letter or digit of ASCII beside them."""
+    return compact.contains(words) & compact.rlike(f"(?<![a-z0-9])\\Q{words}\\E(?![a-z0-9])")
+
+
 def identified(records: DataFrame, entity: Entity) -> DataFrame:
-    """Records (title, sku, url) that are the entity's, with method and confidence: by SKU 0.99, URL
-    0.98, identifier 0.99, name 0.95 (unless the title has a variant's word that the name lacks),
-    brand and model 0.92, alias 0.90; the first that fits."""
-    title = F.lower(F.coalesce("title", F.lit("")))
-    has = lambda x: title.contains(x.lower())
-    other = [w for w in entity.variants if w not in entity.name.lower().split()]
-    veto = title.rlike(r"(?U)\b(" + "|".join(other) + r")\b") if other else F.lit(False)
-    tests = [("sku", 0.99, F.lower("sku") == entity.sku.lower() if entity.sku else None), ("url", 0.98, T.canonical_url(F.col("url")) == T.canonical_url(F.lit(entity.url)) if entity.url else None)]
-    tests += [("identifier", 0.99, has(x)) for x in entity.identifiers]
-    tests += [("name", 0.95, has(entity.name) & ~veto)]
-    tests += [("brand_model", 0.92, has(entity.brand) & has(entity.model))] if entity.brand and entity.model else []
-    tests += [("alias", 0.90, has(x)) for x in entity.aliases]
-    found = F.coalesce(*[F.when(t, F.struct(F.lit(m).alias("method"), F.lit(c).alias("confidence"))) for m, c, t in tests if t is not None])
-    return records.withColumn("_m", found).where("_m IS NOT NULL").select(*records.columns, "_m.*")
+    """Records (title, text, sku, url) that are the entity's, with method and confidence.
+
+    In this order: SKU 0.99; product URL (host without www, path without its last slash) 0.98;
+    name 0.95, which rejects for good where a variant's word is among the first two words of
+    what stays without the name; brand and model 0.92; identifier 0.99, equal to the SKU or to
+    all that is said; alias 0.90.  Names are looked for as whole words in title and text with
+    everything but ASCII letters and digits as blanks.  ``text`` and ``sku`` may be missing."""
+    have = set(records.columns)
+    said = F.lower(F.concat_ws(" ", *[F.col(c) for c in ("title", "text") if c in have]))
+    sku = F.lower(F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("sku", "record_id") if c in have], F.lit("")))
+    rows = records.withColumn("_c", F.trim(F.regexp_replace(said, "[^a-z0-9]+", " "))).withColumn("_s", sku)
+    compact, name = F.col("_c"), _squeezed(entity.name)
+    at = F.instr(compact, name)
+    rest = F.split(F.trim(F.concat(F.substring(compact, F.lit(1), at - 1), F.lit(" "), F.substring(compact, at + len(name), F.length(compact)))), " +")
+    other = F.exists(F.slice(rest, 1, 2), lambda w: w.isin(*entity.variants)) if entity.variants else F.lit(False)
+    hit = lambda method, c: F.struct(F.lit(method).alias("method"), F.lit(c).alias("confidence"))
+    tests: list[tuple[Column, Column]] = []
+    if entity.sku:
+        tests.append((F.col("_s") == _squeezed(entity.sku), hit("sku", 0.99)))
+    if entity.url:
+        place = lambda u: F.struct(F.regexp_replace(F.lower(F.try_parse_url(u, F.lit("HOST"))), r"^www\.", ""), F.rtrim(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), F.lit("/")))
+        web = lambda u: F.coalesce(F.lower(F.try_parse_url(u, F.lit("PROTOCOL"))).isin("http", "https"), F.lit(False))
+        shown = F.col("product_url" if "product_url" in have else "url")
+        tests.append((web(shown) & web(F.lit(entity.url)) & (place(shown) == place(F.lit(entity.url))), hit("url", 0.98)))
+    if name:
+        tests += [(_standing(compact, name) & other, hit("rejected", 0.0)), (_standing(compact, name), hit("name", 0.95))]
+    if entity.brand and entity.model:
+        tests.append((_standing(compact, _squeezed(entity.brand)) & _standing(compact, _squeezed(entity.model)), hit("brand_model", 0.92)))
+    tests += [((F.col("_s") == x.lower()) | (compact == x.lower()), hit("identifier", 0.99)) for x in entity.identifiers if x]
+    tests += [(_standing(compact, _squeezed(x)), hit("alias", 0.9)) for x in entity.aliases if x.strip()]
+    found = F.coalesce(*[F.when(t, m) for t, m in tests]) if tests else F.lit(None).cast("struct<method:string,confidence:double>")
+    return rows.withColumn("_m", found).where("_m.confidence > 0").select(*records.columns, "_m.*")
 
 
 def verified(records: DataFrame, entity: Entity, level: int, method: str, provider: str) -> DataFrame:
@@ -152,54 +139,6 @@ def verified(records: DataFrame, entity: Entity, level: int, method: str, provid
     return some.withColumn("metadata", F.create_map(F.lit("level"), F.lit(str(level)), F.lit("collection_method"), F.lit(method), F.lit("provider"), F.lit(provider)))
 
 
-class _Records(HTMLParser):
-    """Records in a page: elements with item properties, else of known classes, else articles."""
-
-    BODIES = (("itemprop", "reviewBody"), ("class", "review-text"), ("class", "review-body"), ("class", "comment"), ("tag", "article"))
-    VOID = {"br", "img", "hr", "meta", "input", "link"}
-
-    def __init__(self):
-        super().__init__()
-        self.depth, self.open, self.found = 0, [], {k: [] for k in self.BODIES}
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        self.depth += 1
-        have = {k: (v or "").split() for k, v in attrs} | {"tag": [tag]}
-        self.open += [(k, self.depth, []) for k in self.BODIES if k[1] in have.get(k[0], [])]
-
-    def handle_endtag(self, tag):
-        if tag in self.VOID:
-            return
-        for k, depth, parts in [x for x in self.open if x[1] >= self.depth]:
-            self.found[k].append(" ".join(" ".join(parts).split()))
-        self.open = [x for x in self.open if x[1] < self.depth]
-        self.depth = max(0, self.depth - 1)
-
-    def handle_data(self, data):
-        for _, _, parts in self.open:
-            parts.append(html_lib.unescape(data))
-
-
-def html_records(pages: DataFrame, most: int = 50) -> DataFrame:
-    """(page_id, k, text): of each page the records of the first kind that it has any of, item
-    properties before class names, ``most`` of a page."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page, html in zip(*(c.to_pylist() for c in batch.columns)):
-                parser = _Records()
-                parser.feed(html or "")
-                texts = next(([t for t in x if t] for x in parser.found.values() if any(x)), [])
-                rows += [(page, k, t) for k, t in enumerate(texts[:most])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string()))], ["page_id", "k", "text"])
-
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(work, "page_id bigint, k int, text string")
-
-
 def prototype_records(payload: DataFrame, entity: str, most: int = 100) -> DataFrame:
     """(text, rating, day) of a JSON array's first ``most`` items that name the entity: texts of 10,000
     characters at most, ratings from 0 to 5, ISO dates."""

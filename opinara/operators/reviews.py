@@ -73,37 +73,6 @@ def sentiment(df: DataFrame, lexicon: dict[str, float], text_col: str = "text")
     return scored.withColumns({"confidence": size, "label": T.compound_label(F.col("compound")), **parts})
 
 
-#: Words that turn or strengthen a valence up to three tokens before it, as parameters of ``heuristic_sentiment``.
-NEGATIONS = ["not", "no", "never", "none", "nor", "cannot", "can't", "don't", "doesn't", "didn't", "isn't", "wasn't", "won't", "without"]
-BOOSTERS = {"very": 0.293, "really": 0.293, "extremely": 0.293, "absolutely": 0.293, "so": 0.293, "totally": 0.293, "slightly": -0.293, "somewhat": -0.293, "barely": -0.293, "hardly": -0.293}
-REACH = 3
-
-
-def heuristic_sentiment(df: DataFrame, lexicon: dict[str, float], text_col: str = "text", negations: list[str] | None = None, boosters: dict[str, float] | None = None) -> DataFrame:
-    """``df`` with compound and label of an engine in which a negation among the three tokens before a
-    word turns its valence (times -0.74) and boosters there add to its size (less from further
-    away); compound is s / sqrt(s^2 + 15), four digits."""
-    negations, boosters = negations or NEGATIONS, boosters or BOOSTERS
-    valence = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
-    boost = F.create_map(*[F.lit(x) for pair in boosters.items() for x in pair])
-    t = F.col("_t")
-
-    def scored(w, k):
-        v, total = F.element_at(valence, w), F.lit(0.0)
-        turned = F.lit(False)
-        for back in range(1, REACH + 1):
-            other = F.get(t, k - back)
-            total = total + F.coalesce(F.try_element_at(boost, other), F.lit(0.0)) * (1.0, 0.95, 0.9)[back - 1]
-            turned = turned | F.coalesce(other.isin(*negations), F.lit(False))
-        sized = v + F.signum(v) * total
-        return F.when(turned, sized * -0.74).otherwise(sized)
-
-    words = df.withColumn("_t", F.filter(_tokens(F.col(text_col)), lambda w: w != ""))
-    total = F.aggregate(F.filter(F.transform(t, lambda w, k: F.when(w.isin(*lexicon), scored(w, k))), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
-    summed = words.withColumn("_s", once(total)).withColumn("compound", F.bround(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15), 4))
-    return summed.withColumn("label", T.compound_label(F.col("compound"))).drop("_t", "_s")
-
-
 def token_valences(df: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
     """``keep``, place, token, lowered, valence, matched: tokens ``\\S+`` whose lower-cased form without
     punctuation at its ends is not empty."""

@@ -34,6 +34,17 @@ SENTENCES = [
     "Call me at +1 (212) 555-0100 or write to ann.lee@corp.example.com.",
     "Globex is fine, Initech is okay, nothing special.",
 ]
+#: Sentences that try the rules of emphasis; a review whose id is a multiple of three gets one of them.
+EMPHATIC = [
+    "The screen is VERY good, but the battery is not great!!!",
+    "At least it isn't a horrible phone.",
+    "Never so good, and without doubt excellent??",
+    "It was kind of slow, hardly fast and no good at all.",
+    "AWFUL support; I LOVE the sound though!",
+    "Yeah right, a great phone to die for.",
+    "The least helpful, least friendly shop, yet not the worst???",
+    "No love, no perfect camera, nor a good one.",
+]
 COMPETITORS = ["Acme", "Globex", "Initech"]
 _FLAGS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 

@@ -42,17 +42,17 @@ def category_evidence(spark, d):
 
 @query(
     WITH
-    + rf""", s AS ({_sql_spans("(SELECT * FROM eligible WHERE review_id % 5 = 0)", lit(T.SENTENCE))}), t AS (SELECT review_id, x.start + length(x.evidence) - length(ltrim(x.evidence, E' \t\n\r\f\x0b')) AS a, trim(x.evidence, E' \t\n\r\f\x0b') AS text FROM s)
+    + rf""", s AS ({_sql_spans("eligible", lit(T.SENTENCE))}), t AS (SELECT review_id, x.start + length(x.evidence) - length(ltrim(x.evidence, E' \t\n\r\f\x0b')) AS a, trim(x.evidence, E' \t\n\r\f\x0b') AS text FROM s)
 SELECT review_id, CAST(a AS INT) AS start, CAST(a + length(text) AS INT) AS "end", text FROM t WHERE length(text) > 0"""
 )
 def sentence_evidence(spark, d):
-    rows = R.eligible(reviews(spark, d)).where("review_id % 5 = 0")
+    rows = R.eligible(reviews(spark, d))
     return rows.select("review_id", F.explode(T.sentence_spans(F.col("text"))).alias("x")).select("review_id", "x.*")
 
 
-@query(WITH + r", t AS (SELECT review_id, label, unnest(regexp_extract_all(text, '\S+')) AS token FROM scored WHERE review_id % 5 = 0), l AS (SELECT *, regexp_replace(regexp_replace(lower(token), '^[!-/:-@\[-`{-~]+', ''), '[!-/:-@\[-`{-~]+$', '') AS lowered FROM t) SELECT review_id, lowered, CAST(" + Q._LEX.replace("lower(w)", "lowered") + " AS DOUBLE) AS valence, count(*) AS n FROM l WHERE lowered <> '' GROUP BY 1, 2, 3 HAVING valence <> 0")
+@query(WITH + r", t AS (SELECT review_id, label, unnest(regexp_extract_all(text, '\S+')) AS token FROM scored), l AS (SELECT *, regexp_replace(regexp_replace(lower(token), '^[!-/:-@\[-`{-~]+', ''), '[!-/:-@\[-`{-~]+$', '') AS lowered FROM t) SELECT review_id, lowered, CAST(" + Q._LEX.replace("lower(w)", "lowered") + " AS DOUBLE) AS valence, count(*) AS n FROM l WHERE lowered <> '' GROUP BY 1, 2, 3 HAVING valence <> 0")
 def token_valences(spark, d):
-    rows = Q.scored(spark, d).where("review_id % 5 = 0").select("review_id", "text")
+    rows = Q.alive(spark, d).select("review_id", "text")
     got = R.token_valences(rows, B.LEXICON, ["review_id"]).where("matched")
     return got.groupBy("review_id", "lowered", "valence").agg(F.count(F.lit(1)).alias("n"))
 
@@ -68,11 +68,6 @@ def contributing_terms(spark, d):
     return R.contributing(tokens, rows.drop("text"))
 
 
-@query()
-def heuristic_sentiment(spark, d):
-    return R.heuristic_sentiment(Q.alive(spark, d), B.LEXICON).select("review_id", "compound", "label")
-
-
 # -- orders -----------------------------------------------------------------
 
 
@@ -285,29 +280,8 @@ def evidence_lookup(spark, d):
 # -- collected records ------------------------------------------------------
 
 
-@query()
-def page_records(spark, d):
-    return C.html_records(table(spark, d, "pages"))
-
-
 @query("SELECT page_id, CASE WHEN contains(h, 'amazon.') THEN 'amazon' WHEN contains(h, 'flipkart.') THEN 'flipkart' WHEN contains(h, 'reddit.com') THEN 'reddit' WHEN contains(h, 'github.com') THEN 'github_issues' ELSE 'website' END AS source_type FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS h FROM pages)")
 def source_types(spark, d):
     return table(spark, d, "pages").select("page_id", C.source_type(F.col("url")).alias("source_type"))
 
 
-@query("SELECT conv_id, role, count(*) AS n FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, lower(left(trim(text), 160)) ORDER BY turn) AS k FROM conversations WHERE length(trim(text)) >= 12) WHERE k = 1 GROUP BY 1, 2")
-def provider_records(spark, d):
-    """Conversations as a provider's nested payload: one object per conversation, its turns inside."""
-    inner = F.struct(F.col("turn").cast("string").alias("review_id"), F.col("role").alias("source"), F.col("text").alias("review_text"))
-    payload = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", inner.alias("r")))).alias("x"))
-    nested = payload.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("product_title"), F.struct(F.transform("x", lambda y: y["r"]).alias("items")).alias("data"))).alias("payload"))
-    got = C.normalize(C.walk(nested), by=["title"])
-    return got.groupBy(F.col("title").cast("long").alias("conv_id"), F.col("source").alias("role")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(WITH + """ SELECT review_id, CASE WHEN contains(lower(text), 'globex') THEN 'name' WHEN contains(lower(text), 'acme') AND contains(lower(text), '2.4.1') THEN 'brand_model' WHEN contains(lower(text), 'initech') THEN 'alias' END AS method,
- CASE WHEN contains(lower(text), 'globex') THEN 0.95::DOUBLE WHEN contains(lower(text), 'acme') AND contains(lower(text), '2.4.1') THEN 0.92::DOUBLE WHEN contains(lower(text), 'initech') THEN 0.9::DOUBLE END AS confidence FROM alive WHERE contains(lower(text), 'globex') OR (contains(lower(text), 'acme') AND contains(lower(text), '2.4.1')) OR contains(lower(text), 'initech')""")
-def identity_matches(spark, d):
-    entity = C.Entity(name="Globex", brand="Acme", model="2.4.1", aliases=("Initech",))
-    got = C.identified(Q.alive(spark, d).select("review_id", F.col("text").alias("title"), F.lit(None).cast("string").alias("sku"), F.lit(None).cast("string").alias("url")), entity)
-    return got.select("review_id", "method", "confidence")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opinara.functions.text import dedup_key
 from opinara.operators.reviews import label_counts, sentiment
@@ -29,41 +25,3 @@ def dated(batch: DataFrame, time_col: str = "ts") -> tuple[DataFrame, DataFrame]
     """For ``foreachBatch``: the rows with a time, and per project how many have none."""
     none = batch.where(F.col(time_col).isNull()).groupBy("project_id").agg(F.count(F.lit(1)).alias("skipped"))
     return batch.where(F.col(time_col).isNotNull()), none
-
-
-def _counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per theme: counts by day, the latest of which is compared with the day before."""
-    seen = dict(zip(*state.get)) if state.exists else {}
-    for frame in frames:
-        for day, n in frame.groupby("day").size().items():
-            seen[int(day)] = seen.get(int(day), 0) + int(n)
-    last = max(seen)
-    seen = {d: n for d, n in seen.items() if d >= last - 1}
-    state.update((list(seen), list(seen.values())))
-    yield pd.DataFrame({"theme": [key[0]], "day": [last], "current_count": [seen[last]], "baseline_count": [seen.get(last - 1, 0)]})
-
-
-def adjacent_days(stream: DataFrame, time_col: str = "ts") -> DataFrame:
-    """(theme, day, current_count, baseline_count): on each update of a theme, its latest day (a number
-    since the epoch) beside the day before; the state of a theme is two counts."""
-    days = stream.withColumn("day", F.unix_date(F.to_date(time_col)))
-    return days.select("theme", "day").groupBy("theme").applyInPandasWithState(_counted, "theme string, day long, current_count long, baseline_count long", "days array<long>, counts array<long>", "update", GroupStateTimeout.NoTimeout)
-
-
-def _edges(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    was = state.get[0] if state.exists else False
-    raised = []
-    for frame in frames:
-        for row in frame.sort_values("ts").itertuples():
-            if row.triggered and not was:
-                raised.append(row.ts)
-            was = bool(row.triggered)
-    state.update((was,))
-    if raised:
-        yield pd.DataFrame({"rule": [key[0]] * len(raised), "project_id": [key[1]] * len(raised), "ts": raised})
-
-
-def raised_alerts(evaluations: DataFrame) -> DataFrame:
-    """(rule, project_id, ts) where a rule's evaluations (rule, project_id, ts, triggered) turn from false
-    to true; the state is one flag."""
-    return evaluations.select("rule", "project_id", "ts", "triggered").groupBy("rule", "project_id").applyInPandasWithState(_edges, "rule string, project_id long, ts timestamp", "was boolean", "append", GroupStateTimeout.NoTimeout)

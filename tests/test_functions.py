@@ -99,25 +99,6 @@ def test_urls_and_terms(spark):
     assert C.canonical_name("Acme Phone", "Phone X2") == "Acme Phone X2" and C.discovered("Acme Phone X2") == ("Acme", "X2")
 
 
-def test_heuristics_turn_and_strengthen(spark):
-    df = spark.createDataFrame([(1, "good"), (2, "not good"), (3, "very good"), (4, "not a very good one"), (5, "table")], "review_id int, text string")
-    got = {r.review_id: r.compound for r in R.heuristic_sentiment(df, {"good": 1.9}).collect()}
-    assert got[2] < 0 < got[1] < got[3] and got[4] < got[2] and got[5] == 0
-
-
-def test_identity(spark):
-    entity = C.Entity(name="Acme One", brand="Acme", model="X2", sku="S-1", url="https://a.b/p", aliases=("Oney",))
-    rows = [("Acme One", None, None), ("Acme One Max", None, None), ("new acme x2", None, None), ("Oney!", None, None), ("other", "s-1", None), ("other", None, "https://A.b/p/?q=1"), ("other", None, None)]
-    got = C.identified(spark.createDataFrame(rows, "title string, sku string, url string"), entity).collect()
-    assert [(r.method, r.confidence) for r in got] == [("name", 0.95), ("brand_model", 0.92), ("alias", 0.9), ("sku", 0.99), ("url", 0.98)]
-
-
-def test_payloads(spark):
-    payload = json.dumps({"product_title": "P", "data": [{"items": [{"reviewText": "a text that is long enough", "stars": 4}]}, {"body": "short"}]})
-    got = C.normalize(C.walk(spark.createDataFrame([(payload,), ("no json",), (None,)], "payload string"))).collect()
-    assert [(r.title, r.stars) for r in got] == [("P", 4.0)]
-
-
 def test_excel_and_key_order(spark, tmp_path):
     import zipfile
 
@@ -153,25 +134,6 @@ def test_long_chain_is_one_component(spark):
     assert {r.component for r in S.components(chain, "a", "b").collect()} == {0}
 
 
-def test_alert_stream_raises_on_edges(spark, tmp_path):
-    rows = [("r", 1, dt.datetime(2024, 1, 1, k), k in (2, 3, 6)) for k in range(8)]
-    df = spark.createDataFrame(rows, "rule string, project_id long, ts timestamp, triggered boolean")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = ST.raised_alerts(stream).writeStream.format("memory").queryName("raised").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.ts.hour for r in spark.table("raised").collect()) == [2, 6]
-
-
-def test_stream_compares_adjacent_days(spark, tmp_path):
-    rows = [("t", dt.datetime(2024, 1, d)) for d in (1, 1, 2, 2, 2)]
-    df = spark.createDataFrame(rows, "theme string, ts timestamp")
-    df.write.parquet(str(tmp_path / "in"))
-    q = ST.adjacent_days(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("days").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.current_count, r.baseline_count) for r in spark.table("days").collect()] == [(3, 2)]
-
-
 def test_first_seen_stream_drops_repeats(spark, tmp_path):
     rows = [(0, dt.datetime(2024, 1, 1), t) for t in ("One text", "one  TEXT", "two")]
     df = spark.createDataFrame(rows, "project_id int, ts timestamp, text string")
