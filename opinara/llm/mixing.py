@@ -124,14 +124,15 @@ def _fitted(table: DataFrame, targets: dict[str, float], budget: float | None, t
         reach = new
 
 
-def fitted(table: DataFrame, targets: dict[str, float], budget: float | None = None, tolerance: float = 1e-7, max_steps: int = 64) -> list[list[float]]:
-    """The steps that lead from rate 1 to the fitted rates.  Warns where a domain misses its
-    target: no nonnegative rates may meet the targets, or more steps than ``max_steps`` be needed."""
+def fitted(table: DataFrame, targets: dict[str, float], budget: float | None = None, tolerance: float = 1e-7, max_steps: int = 64) -> tuple[list[list[float]], float]:
+    """The steps that lead from rate 1 to the fitted rates, and the largest domain's miss as a share
+    of the budget.  Warns where a domain misses its target: no nonnegative rates may meet the
+    targets, or more steps than ``max_steps`` be needed."""
     steps, miss, settled = _fitted(table, targets, budget, tolerance, max_steps)
     if miss > 1e-3:
         why = "no nonnegative rates meet the targets" if settled else f"rates did not settle in {max_steps} steps"
         warnings.warn(f"{why}: a domain misses its own by {miss:.4f} of all tokens", stacklevel=2)
-    return steps
+    return steps, miss
 
 
 def solve(table: DataFrame, targets: dict[str, float], budget: float | None = None, tolerance: float = 1e-7, max_steps: int = 64) -> tuple[DataFrame, float]:
@@ -149,7 +150,8 @@ def _rate(steps: list[list[float]], size: int) -> Column:
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: id, tokens, p (posteriors), rate.
+    """One row per input row: id, tokens, p (posteriors), rate, and miss: by what share of all tokens
+    the rates miss the target of the domain that they miss most.
 
     Null and empty texts have no tokens, the prior as posterior, and rate 1.  Repeated
     rows get equal rates.  Without labels the posteriors are equal.  An empty table
@@ -159,7 +161,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     model = fit(docs, labels, list(targets), id_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     table = cut(posteriors(rows, model, ["id"]))
-    return table.withColumn("rate", _rate(fitted(table, targets), len(targets))).withColumnRenamed("id", id_col)
+    steps, miss = fitted(table, targets)
+    return table.withColumn("rate", _rate(steps, len(targets))).withColumn("miss", F.lit(miss)).withColumnRenamed("id", id_col)
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
@@ -174,7 +177,7 @@ def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     targets = targets or TARGETS
     model = fit(docs, labels, list(targets), id_col, text_col)
     text = F.col(f"`{text_col}`").alias("text")
-    steps = fitted(cut(posteriors(docs.select(text), model, [])), targets)
+    steps, _ = fitted(cut(posteriors(docs.select(text), model, [])), targets)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 30)) / float(1 << 30)
     scored = posteriors(docs.select(row, text, draw.alias("draw")), model, ["row", "draw"])

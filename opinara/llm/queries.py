@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import secrets
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from opinara.llm import bpe, compact_windows, exact_dedup, hard_negatives, langid, mixing, quality, quality_classifier, sharding, simhash, suffix_dedup, surrogates, whitening
 
+#: Key of the surrogates.  Without one in the environment each process draws its own, so that nobody
+#: can compute them again, and results agree within a process only.
+SURROGATE_KEY = os.environ["OPINARA_SURROGATE_KEY"].encode() if os.environ.get("OPINARA_SURROGATE_KEY") else secrets.token_bytes(32)
 #: Folder of public tokenizer files; the environment may name another.
-SURROGATE_KEY = os.environ.get("OPINARA_SURROGATE_KEY", "example key, set your own").encode()
 TOKENIZERS = os.environ.get("OPINARA_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -41,7 +44,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     shares = [F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(mixing.TARGETS)]
-    return got.select("doc_id", F.col("tokens").alias("n_tokens"), *shares, "rate")
+    return got.select("doc_id", F.col("tokens").alias("n_tokens"), *shares, "rate", "miss")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
