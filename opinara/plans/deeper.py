@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinara.functions import rules as X
+from opinara.functions import text as T
 from opinara.operators import collect as C
+from opinara.operators import ingest as I
 from opinara.operators import nested as N
 from opinara.operators import pages as H
+from opinara.operators import reports as P
+from opinara.operators import reviews as R
 from opinara.operators import valence as V
 from opinara.plans import bindings as B
 from opinara.plans import more  # noqa: F401  (its queries are registered first)
 from opinara.plans import queries as Q
-from opinara.plans.bindings import table
+from opinara.plans.bindings import reviews, table
 from opinara.plans.queries import ORACLES, QUERIES, WITH, lit, query  # noqa: F401
 
 # -- emphasis ---------------------------------------------------------------
@@ -172,3 +176,107 @@ SELECT review_id, method, CASE method WHEN 'name' THEN 0.95::DOUBLE WHEN 'brand_
 def identity_matches(spark, d):
     entity = C.Entity(name="Globex", brand="Acme", model="camera", aliases=("Initech", "Fast  shipping"), variants=("the", "is"))
     return C.identified(Q.alive(spark, d).select("review_id", F.col("text").alias("title")), entity).select("review_id", "method", "confidence")
+
+
+# -- evidence, profile, comparison, report ----------------------------------
+
+
+@query(
+    WITH
+    + """ SELECT review_id, project_id, source, review_date, CASE WHEN length(text) > 300 THEN rtrim(left(text, 270)) || '...' ELSE text END AS content, length(text) <= 300 AS whole, length(text) AS chars,
+ '{"source":"' || source || '","lang":"' || lang || '","dataset_id":' || dataset_id || '}' AS provenance FROM eligible WHERE review_id IN (5, 10, 15, 20, 25, 30, 35, 40, 999999)"""
+)
+def evidence_lookup(spark, d):
+    return P.lookup(R.eligible(reviews(spark, d)), [5, 10, 15, 20, 25, 30, 35, 40, 999999])
+
+
+@query(
+    more._PROFILE
+    + f", mm AS (SELECT stars, round_even({Q._score('clean')}, 4) AS compound FROM ok), "
+    + """f AS (SELECT (SELECT count(*) FROM classified) AS row_count, count(*) AS valid, (SELECT count(*) FROM classified WHERE is_duplicate) AS duplicates,
+ (SELECT least(3, count(*) FILTER (stars <= 2 AND compound >= 0.4)) + least(3, count(*) FILTER (stars >= 4 AND compound <= -0.4)) FROM mm) AS mismatches,
+ count(*) FILTER (language = 'non_english_or_unknown') AS unknown_language, count(*) FILTER (list_contains(flags, 'extremely_short_text')) AS short, count(*) FILTER (list_contains(flags, 'excessive_caps')) AS caps FROM ok),
+w AS (SELECT *, list_filter([CASE WHEN row_count = 0 THEN 'zero_rows' END, CASE WHEN valid = 0 THEN 'no_valid_rows' END, CASE WHEN valid > 0 AND duplicates / greatest(1, row_count) >= 0.25 THEN 'duplicates' END, CASE WHEN mismatches >= 3 THEN 'rating_mismatch' END,
+ CASE WHEN unknown_language > 0 AND unknown_language >= greatest(1, row_count // 4) THEN 'language' END, CASE WHEN short > 0 AND short >= greatest(1, valid // 5) THEN 'short_texts' END, CASE WHEN caps > 0 THEN 'caps' END], lambda x: x IS NOT NULL) AS w FROM f)
+SELECT CASE WHEN row_count = 0 OR valid = 0 THEN 'error' WHEN len(w) > 0 THEN 'warning' ELSE 'info' END AS severity, array_to_string(w, ',') AS warnings FROM w"""
+)
+def profile_warnings(spark, d):
+    rows = R.sentiment(I.classify(Q.raw(spark, d)), B.LEXICON, "clean")
+    ok, flags = F.col("reason").isNull(), T.quality_flags(F.col("clean"))
+    low, high = (ok & (F.col("stars") <= 2) & (F.col("compound") >= 0.4)), (ok & (F.col("stars") >= 4) & (F.col("compound") <= -0.4))
+    # of each kind three samples are kept, and samples are what is counted
+    facts = rows.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(ok).alias("valid"), F.count_if("is_duplicate").alias("duplicates"), (F.least(F.lit(3), F.count_if(low)) + F.least(F.lit(3), F.count_if(high))).alias("mismatches"),
+        F.count_if(ok & (T.language_hint(F.col("clean")) == "non_english_or_unknown")).alias("unknown_language"), F.count_if(ok & F.array_contains(flags, "extremely_short_text")).alias("short"), F.count_if(ok & F.array_contains(flags, "excessive_caps")).alias("caps"),
+    )
+    return I.warnings_of(facts)
+
+
+_ALL_LINKS = Q._LINKS.replace("FROM eligible WHERE regexp_matches", "FROM alive WHERE regexp_matches")
+_COMPARED = (
+    _ALL_LINKS
+    + f""", ts AS (SELECT project_id, count(*) AS total, count(label) AS analysed, {Q._COUNTS}, {Q._CONF}, round_even(avg(rating), 2) AS average_rating FROM scored GROUP BY 1),
+ac AS (SELECT project_id, aspect, {Q._COUNTS} FROM links GROUP BY 1, 2), tp AS (SELECT project_id, arg_min(aspect, (-positive, aspect)) FILTER (positive > 0) AS top_positive_aspect, arg_min(aspect, (-negative, aspect)) FILTER (negative > 0) AS top_negative_aspect FROM ac GROUP BY 1),
+kw AS (SELECT project_id, string_agg(keyword, ',' ORDER BY rank) AS top_keywords FROM ({Q._kw_sql(5, True)}) GROUP BY 1),
+tm AS (SELECT project_id, strftime(review_date, '%Y-%m') AS period, {Q._COUNTS} FROM scored WHERE review_date IS NOT NULL GROUP BY 1, 2), tr AS (SELECT project_id, string_agg(period || '=' || positive || '/' || negative || '/' || neutral, ',' ORDER BY period) AS trend FROM tm GROUP BY 1),
+ce AS (SELECT ts.*, {Q._pcts('analysed')}, top_positive_aspect, top_negative_aspect, top_keywords, trend FROM ts LEFT JOIN tp USING (project_id) LEFT JOIN kw USING (project_id) LEFT JOIN tr USING (project_id) WHERE project_id IN (0, 2))"""
+)
+
+
+def _compared(spark, d):
+    rows = Q.scored(spark, d)
+    return P.comparison(rows, R.aspects(Q.alive(spark, d), B.ASPECTS, B.LEXICON), R.keywords(rows.where("NOT is_spam"), Q.STOP, 5), [0, 2], B.keys(spark, d).select("project_id"))
+
+
+@query(_COMPARED + " SELECT * FROM ce")
+def comparison_of_projects(spark, d):
+    return _compared(spark, d)
+
+
+@query(
+    _COMPARED
+    + """ SELECT arg_min('Project ' || project_id || ' has the highest positive sentiment percentage (' || positive_pct || '%).', (-positive_pct, project_id)) || ' ' ||
+ string_agg('Project ' || project_id || '''s most common negative feedback relates to "' || top_negative_aspect || '".', ' ' ORDER BY project_id) AS text FROM ce"""
+)
+def comparison_narrative(spark, d):
+    return P.comparison_narrative(_compared(spark, d))
+
+
+_BETWEEN = "(review_date IS NULL OR review_date BETWEEN DATE '2024-02-01' AND DATE '2024-04-30')"
+
+
+def _report_sql() -> str:
+    counts = "count(*) AS n, " + Q._COUNTS
+    stops = ", ".join(map(lit, Q.STOP))
+    none = "NULL::BIGINT AS n, NULL::BIGINT AS positive, NULL::BIGINT AS negative, NULL::BIGINT AS neutral"
+    return _ALL_LINKS + ", " + Q._SEC.split(WITH + ", ", 1)[1] + f""", sr AS (SELECT * FROM scored WHERE {_BETWEEN}), ok AS (SELECT * FROM sr WHERE NOT is_spam AND NOT is_duplicate),
+tg AS (SELECT project_id, 'projectOverview' AS section, 'reviews' AS item, label, review_date, review_id FROM sr
+ UNION ALL SELECT project_id, 'sentimentDistribution', label, label, review_date, review_id FROM sr UNION ALL SELECT project_id, 'sentimentTrends', strftime(review_date, '%Y-%m'), label, review_date, review_id FROM sr WHERE review_date IS NOT NULL
+ UNION ALL SELECT project_id, 'representativeReviews', review_id::VARCHAR, label, review_date, review_id FROM ok UNION ALL SELECT project_id, 'sourceProvenance', coalesce(source, 'unknown'), label, review_date, review_id FROM ok
+ UNION ALL SELECT project_id, 'keywordAnalysis', unnest(list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]{{3,}}'), lambda w: lower(w))), lambda w: w NOT IN ({stops}))), label, review_date, review_id FROM sr WHERE NOT is_spam
+ UNION ALL SELECT project_id, 'aspectSentiment', aspect, label, review_date, review_id FROM links WHERE {_BETWEEN}
+ UNION ALL SELECT e.project_id, 'securityFindings', finding_type, NULL, review_date, review_id FROM sec JOIN (SELECT review_id, project_id, review_date FROM eligible) e USING (review_id) WHERE {_BETWEEN}),
+it AS (SELECT project_id, section, item, {counts}, max(review_date) AS last FROM tg GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY project_id, section ORDER BY CASE WHEN section IN ('sentimentTrends', 'securityFindings') THEN 0 WHEN section = 'representativeReviews' THEN -coalesce(last - DATE '1970-01-01', -99999999) ELSE -n END,
+  CASE WHEN section = 'representativeReviews' THEN item::BIGINT END, item) AS rank FROM it),
+wh AS (SELECT project_id, section, {counts}, coalesce(min(review_date)::VARCHAR, '?') || ' to ' || coalesce(max(review_date)::VARCHAR, '?') AS span FROM tg GROUP BY 1, 2),
+ur AS (SELECT *, round_even(negative / n * 100, 2) AS share FROM rk WHERE section = 'aspectSentiment' AND n >= 3 AND round_even(negative / n * 100, 2) >= 50),
+cc AS (SELECT w.project_id, w.n, greatest(w.positive, w.negative, w.neutral) AS main, CASE WHEN positive >= greatest(negative, neutral) THEN 'positive' WHEN negative >= neutral THEN 'negative' ELSE 'neutral' END AS label, a.item AS top
+  FROM wh w JOIN (SELECT project_id, item FROM rk WHERE section = 'aspectSentiment' AND rank = 1) a USING (project_id) WHERE section = 'sentimentDistribution'),
+al AS (SELECT project_id, 'alert ' || project_id AS item, 'open' AS line FROM (SELECT DISTINCT project_id FROM reviews) WHERE project_id % 2 = 0),
+rp AS (SELECT project_id, section, 0 AS rank, NULL AS item, n, positive, negative, neutral, CASE WHEN section = 'projectOverview' THEN span END AS line FROM wh
+ UNION ALL SELECT project_id, section, rank, item, n, positive, negative, neutral, NULL FROM rk WHERE rank <= CASE section WHEN 'keywordAnalysis' THEN 20 WHEN 'representativeReviews' THEN 30 ELSE 1000000000 END
+ UNION ALL SELECT project_id, 'recommendations', row_number() OVER (PARTITION BY project_id ORDER BY share DESC, n DESC, item), item, n, positive, negative, neutral, CASE WHEN share >= 75 THEN 'high' WHEN share >= 60 THEN 'medium' ELSE 'low' END FROM ur
+ UNION ALL SELECT project_id, 'conclusion', 1, NULL, {none}, 'Based on ' || n || ' reviews, the dominant sentiment is ' || label || ' (' || round_even(main / n * 100, 2) || '%). The most-discussed aspect is "' || top || '".' FROM cc
+ UNION ALL SELECT project_id, 'alerts', 1, item, {none}, line FROM al)
+SELECT project_id, section, CAST(rank AS INT) AS rank, item, n, positive, negative, neutral, line FROM rp
+UNION ALL SELECT p.project_id, 'skipped', 0, s.item, {none}, NULL FROM (SELECT DISTINCT project_id FROM tg) p, (SELECT unnest([{', '.join(map(lit, P.SECTIONS))}]) AS item) s WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.project_id = p.project_id AND rp.section = s.item)"""
+
+
+@query(_report_sql())
+def report_sections(spark, d):
+    within = lambda df: R.filtered(df, "2024-02-01", "2024-04-30", undated=True)
+    found = Q.findings(spark, d).join(Q.alive(spark, d).select("review_id", "project_id", "review_date"), "review_id")
+    alerts = B.keys(spark, d).select("project_id").distinct().where("project_id % 2 = 0").select("project_id", F.concat(F.lit("alert "), F.col("project_id").cast("string")).alias("item"), F.lit("open").alias("line"))
+    tagged = P.tags(within(Q.scored(spark, d)), within(R.aspects(Q.alive(spark, d), B.ASPECTS, B.LEXICON)), within(found), Q.STOP)
+    return P.report(tagged, {"alerts": alerts}, reviews=30)

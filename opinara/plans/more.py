@@ -96,7 +96,7 @@ def competitors_ordered(spark, d):
 
 @query(Q._IND + ", g AS (SELECT kind, value, count(DISTINCT review_id) AS reviews FROM ind GROUP BY 1, 2 HAVING count(DISTINCT review_id) >= 2) SELECT *, row_number() OVER (ORDER BY reviews DESC, kind, value) AS rank FROM g ORDER BY rank LIMIT 200")
 def correlations_ordered(spark, d):
-    got = S.correlate(S.indicators(Q.alive(spark, d))).select("kind", "value", "reviews")
+    got = S.correlate(S.indicators(R.eligible(reviews(spark, d)))).select("kind", "value", "reviews")
     return R.ordered(got, [F.desc("reviews"), "kind", "value"], 200)
 
 
@@ -155,11 +155,11 @@ def dup_links_insert(spark, d):
     return R.insert_missing(old, links, "anchor_id", "review_id")
 
 
-@query(Q._DUP + """, url AS (SELECT project_id, review_id, review_id // 40 AS u FROM alive WHERE NOT is_spam AND review_id % 10 < 5), byurl AS (SELECT project_id, min(review_id) OVER (PARTITION BY project_id, u) AS anchor_id, review_id, 0 AS r, 'CANONICAL_URL' AS method FROM url),
+@query(Q._DUP + """, url AS (SELECT project_id, review_id, review_id // 40 AS u FROM eligible2 WHERE review_id % 10 < 5), byurl AS (SELECT project_id, min(review_id) OVER (PARTITION BY project_id, u) AS anchor_id, review_id, 0 AS r, 'CANONICAL_URL' AS method FROM url),
 x AS (SELECT * FROM byurl WHERE review_id > anchor_id UNION ALL SELECT project_id, anchor_id, review_id, 1, method FROM dup) SELECT project_id, anchor_id, review_id, method FROM x QUALIFY row_number() OVER (PARTITION BY project_id, anchor_id, review_id ORDER BY r) = 1""")
 def dup_links_by_url(spark, d):
     url = F.when(F.col("review_id") % 10 < 5, F.concat(F.lit("https://Shop.Example/p/"), F.floor(F.col("review_id") / 40), F.lit("?x=1")))
-    rows = B.keys(spark, d).where("NOT is_deleted AND NOT is_spam").withColumn("url_key", T.canonical_url(url))
+    rows = Q.restored(B.keys(spark, d)).withColumn("url_key", T.canonical_url(url))
     return S.duplicate_links(rows)
 
 
@@ -195,12 +195,6 @@ def trend_skipped(spark, d):
     return P.undated(Q.alive(spark, d))
 
 
-@query(Q._LINKS + f""", p AS (SELECT project_id, count(*) AS volume, {Q._COUNTS} FROM es GROUP BY 1), a AS (SELECT project_id, string_agg(aspect, ',' ORDER BY n DESC, aspect) AS top_aspects FROM (SELECT project_id, aspect, count(*) AS n, row_number() OVER (PARTITION BY project_id ORDER BY count(*) DESC, aspect) AS k FROM links GROUP BY 1, 2) WHERE k <= 3 GROUP BY 1)
-SELECT p.*, top_aspects, {Q._pcts('volume')} FROM p LEFT JOIN a USING (project_id) WHERE project_id IN (0, 2)""".replace("FROM es", "FROM (SELECT * FROM scored WHERE NOT is_spam AND NOT is_duplicate)"))
-def comparison_of_projects(spark, d):
-    return P.comparison(R.eligible(Q.scored(spark, d)), Q.links(spark, d), [0, 2], Q.B.keys(spark, d).select("project_id").distinct())
-
-
 @query("SELECT user_id AS workflow, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'partial' WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'click') THEN 'running' WHEN bool_and(event_type IN ('purchase', 'view')) THEN 'completed' ELSE 'pending' END AS status, count(*) AS steps FROM events GROUP BY 1")
 def workflow_status(spark, d):
     kind = F.col("event_type")
@@ -247,17 +241,6 @@ def mismatch_samples(spark, d):
     return I.mismatch_samples(Q.scored(spark, d))
 
 
-@query(_PROFILE + ", f AS (SELECT (SELECT count(*) FROM classified) AS row_count, count(*) AS valid, (SELECT count(*) FROM classified WHERE is_duplicate) AS duplicates, 0 AS mismatches, count(*) FILTER (language = 'non_english_or_unknown') AS unknown_language, count(*) FILTER (list_contains(flags, 'extremely_short_text')) AS short, count(*) FILTER (list_contains(flags, 'excessive_caps')) AS caps FROM ok), w AS (SELECT *, list_filter([CASE WHEN row_count = 0 THEN 'zero_rows' END, CASE WHEN valid = 0 THEN 'no_valid_rows' END, CASE WHEN valid > 0 AND duplicates / greatest(1, row_count) >= 0.25 THEN 'duplicates' END, CASE WHEN mismatches >= 3 THEN 'rating_mismatch' END, CASE WHEN unknown_language > 0 AND unknown_language >= greatest(1, row_count // 4) THEN 'language' END, CASE WHEN short > 0 AND short >= greatest(1, valid // 5) THEN 'short_texts' END, CASE WHEN caps > 0 THEN 'caps' END], lambda x: x IS NOT NULL) AS w FROM f) SELECT CASE WHEN row_count = 0 OR valid = 0 THEN 'error' WHEN len(w) > 0 THEN 'warning' ELSE 'info' END AS severity, array_to_string(w, ',') AS warnings FROM w")
-def profile_warnings(spark, d):
-    rows = I.classify(Q.raw(spark, d))
-    ok, flags = F.col("reason").isNull(), T.quality_flags(F.col("clean"))
-    facts = rows.agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if(ok).alias("valid"), F.count_if("is_duplicate").alias("duplicates"), F.lit(0).alias("mismatches"), F.count_if(ok & (T.language_hint(F.col("clean")) == "non_english_or_unknown")).alias("unknown_language"),
-        F.count_if(ok & F.array_contains(flags, "extremely_short_text")).alias("short"), F.count_if(ok & F.array_contains(flags, "excessive_caps")).alias("caps"),
-    )
-    return I.warnings_of(facts)
-
-
 # -- composites -------------------------------------------------------------
 
 
@@ -266,17 +249,6 @@ def topic_sizes(spark, d):
     return M.topic_distribution(M.topics(R.eligible(reviews(spark, d)), 6), Q.scored(spark, d))
 
 
-@query(WITH + f", s AS (SELECT project_id, count(*) AS total, {Q._COUNTS} FROM scored WHERE review_date IS NULL OR review_date BETWEEN DATE '2024-02-01' AND DATE '2024-04-30' GROUP BY 1), g AS (SELECT *, {Q._pcts()} FROM s), " + "q AS (SELECT project_id, count(*) AS total, count(*) FILTER (is_spam) AS spam, count(*) FILTER (is_duplicate) AS duplicates FROM alive WHERE review_date IS NULL OR review_date BETWEEN DATE '2024-02-01' AND DATE '2024-04-30' GROUP BY 1) SELECT project_id, 'sentiment' AS section, 'total=' || total || ', positive=' || positive || ', negative=' || negative || ', neutral=' || neutral AS line FROM g UNION ALL SELECT project_id, 'data_quality', 'total=' || total || ', spam=' || spam || ', duplicates=' || duplicates FROM q")
-def report_sections(spark, d):
-    rows = R.filtered(Q.scored(spark, d), "2024-02-01", "2024-04-30", undated=True)
-    return P.sections(rows)
-
-
-@query(WITH + " SELECT review_id, source, review_date, left(text, 270) = text AS whole, length(text) AS chars FROM eligible WHERE review_id IN (5, 10, 15, 20, 999999)")
-def evidence_lookup(spark, d):
-    return P.lookup(R.eligible(reviews(spark, d)), [5, 10, 15, 20, 999999])
-
-
 # -- collected records ------------------------------------------------------
 
 

@@ -327,12 +327,11 @@ def competitor_summary(spark, d):
     return got.groupBy("project_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_if("switching").alias("switching_intent"), F.size(F.collect_set("competitor")).cast("long").alias("competitors"))
 
 
-_SEC = WITH + ", sec AS (" + " UNION ALL ".join(f"SELECT review_id, source, '{k}' AS finding_type, '{sev}' AS severity, regexp_extract(text, '(?i)\\b(?:{rx})\\b', 0) AS evidence FROM alive WHERE {hit(rx)}" for k, (sev, rx) in X.SECURITY.items()) + ")"
+_SEC = WITH + ", sec AS (" + " UNION ALL ".join(f"SELECT review_id, source, '{k}' AS finding_type, '{sev}' AS severity, regexp_extract(text, '(?i)\\b(?:{rx})\\b', 0) AS evidence FROM eligible WHERE {hit(rx)}" for k, (sev, rx) in X.SECURITY.items()) + ")"
 
 
 def findings(spark, d):
-    return S.security_signals(alive(spark, d), B.SECURITY)
-
+    return S.security_signals(R.eligible(reviews(spark, d)), B.SECURITY)
 
 @query(_SEC + " SELECT * FROM sec")
 def security_signals(spark, d):
@@ -352,24 +351,24 @@ def finding_reconcile(spark, d):
 
 _PARTS = T.URL_PARTS
 # separators are doubled, so that one of them can end a match and another begin the next
-_IND = WITH + rf""", u AS (SELECT review_id, source, regexp_replace(unnest(regexp_extract_all(text, '(?i)https?://[^\s<>"'']+')), '[.,;:!?)\]}}>]+$', '') AS b FROM alive),
+_IND = WITH + rf""", u AS (SELECT review_id, source, regexp_replace(unnest(regexp_extract_all(text, '(?i)https?://[^\s<>"'']+')), '[.,;:!?)\]}}>]+$', '') AS b FROM eligible),
 urls AS (SELECT review_id, source, lower(regexp_extract(b, '{_PARTS}', 1)) || '://' || lower(regexp_extract(b, '{_PARTS}', 2)) || CASE WHEN regexp_extract(b, '{_PARTS}', 3) <> '' THEN ':' || regexp_extract(b, '{_PARTS}', 3) ELSE '' END || left(regexp_extract(b, '{_PARTS}', 4), 512) AS value FROM u WHERE regexp_matches(b, '{_PARTS}')),
-ips AS (SELECT review_id, source, unnest(regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{N}}_.])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_.])((?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})(?:$|[^\p{{L}}\p{{N}}_.])', 1)) AS value FROM alive),
-sha AS (SELECT review_id, source, lower(unnest(regexp_extract_all(regexp_replace(text, '([^0-9a-fA-F])', '\1\1', 'g'), '(?:^|[^0-9a-fA-F])([0-9a-fA-F]{{64}})(?:$|[^0-9a-fA-F])', 1))) AS value FROM alive),
-dom AS (SELECT review_id, source, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '(?i)https?://[^\s<>"'']+', ' ', 'g'), '([^\p{{L}}\p{{N}}_.-])', '\1\1', 'g'), '(?i)(?:^|[^\p{{L}}\p{{N}}_.-])((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,63}})(?:$|[^\p{{L}}\p{{N}}_.-])', 1))) AS value FROM alive),
+ips AS (SELECT review_id, source, unnest(regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{N}}_.])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_.])((?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})(?:$|[^\p{{L}}\p{{N}}_.])', 1)) AS value FROM eligible),
+sha AS (SELECT review_id, source, lower(unnest(regexp_extract_all(regexp_replace(text, '([^0-9a-fA-F])', '\1\1', 'g'), '(?:^|[^0-9a-fA-F])([0-9a-fA-F]{{64}})(?:$|[^0-9a-fA-F])', 1))) AS value FROM eligible),
+dom AS (SELECT review_id, source, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '(?i)https?://[^\s<>"'']+', ' ', 'g'), '([^\p{{L}}\p{{N}}_.-])', '\1\1', 'g'), '(?i)(?:^|[^\p{{L}}\p{{N}}_.-])((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,63}})(?:$|[^\p{{L}}\p{{N}}_.-])', 1))) AS value FROM eligible),
 ind AS (SELECT review_id, source, 'URL' AS kind, value FROM urls UNION SELECT review_id, source, 'DOMAIN', regexp_extract(value, '^https?://([^/:]+)', 1) FROM urls WHERE contains(regexp_extract(value, '^https?://([^/:]+)', 1), '.')
- UNION SELECT review_id, source, 'CVE', upper(unnest(regexp_extract_all(text, '(?i)\bCVE-[0-9]{{4}}-[0-9]{{4,}}\b'))) FROM alive UNION SELECT review_id, source, 'IP', value FROM ips WHERE list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT))) <= 255
+ UNION SELECT review_id, source, 'CVE', upper(unnest(regexp_extract_all(text, '(?i)\bCVE-[0-9]{{4}}-[0-9]{{4,}}\b'))) FROM eligible UNION SELECT review_id, source, 'IP', value FROM ips WHERE list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT))) <= 255
  UNION SELECT review_id, source, 'HASH_SHA256', value FROM sha UNION SELECT review_id, source, 'DOMAIN', value FROM dom)"""
 
 
 @query(_IND + " SELECT * FROM ind")
 def indicator_extract(spark, d):
-    return S.indicators(alive(spark, d))
+    return S.indicators(R.eligible(reviews(spark, d)))
 
 
 @query(_IND + ", g AS (SELECT kind, value, count(DISTINCT review_id) AS reviews, count(DISTINCT source) AS sources FROM ind GROUP BY 1, 2) SELECT *, CASE WHEN sources >= 2 THEN 'POSSIBLE_INCIDENT' ELSE 'OBSERVED_PATTERN' END AS status FROM g WHERE reviews >= 2")
 def indicator_correlate(spark, d):
-    return S.correlate(S.indicators(alive(spark, d)))
+    return S.correlate(S.indicators(R.eligible(reviews(spark, d))))
 
 
 @query(rf"SELECT doc_id AS review_id, sha256(regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '(^|{X.EDGE})(\+?[0-9][0-9 .()-]{{7,}}[0-9])($|{X.EDGE})', '\1[PHONE]\3', 'g')) AS redacted_sha256 FROM documents")
@@ -389,11 +388,18 @@ def source_label(spark, d):
 
 _DUP = WITH + f""", k AS (SELECT project_id, review_id, source, {_KEY} AS k FROM eligible2 WHERE length({_KEY}) >= 24),
 f AS (SELECT *, min(review_id) OVER (PARTITION BY project_id, k) AS anchor_id FROM k), dup AS (SELECT project_id, anchor_id, review_id, 'NORMALIZED_CONTENT_SHA256' AS method FROM f WHERE review_id > anchor_id)"""
-_DUP = _DUP.replace(", k AS", ", eligible2 AS (SELECT * FROM alive WHERE NOT is_spam), k AS", 1)
+# a duplicate's flag keeps it out of links and source statistics; someone has taken the flag from even ids
+_RESTORED = ", eligible2 AS (SELECT * FROM alive WHERE NOT is_spam AND NOT (is_duplicate AND review_id % 2 = 1)), k AS"
+_DUP = _DUP.replace(", k AS", _RESTORED, 1)
+
+
+def restored(df: DataFrame) -> DataFrame:
+    """Eligible rows where flags of duplicates with even ids have been taken off by hand."""
+    return R.eligible(df.withColumn("is_duplicate", F.col("is_duplicate") & (F.col("review_id") % 2 == 1)))
 
 
 def dups(spark, d):
-    return S.duplicate_links(B.keys(spark, d).where("NOT is_deleted AND NOT is_spam"))
+    return S.duplicate_links(restored(B.keys(spark, d)))
 
 
 @query(_DUP + " SELECT * FROM dup")
@@ -401,9 +407,9 @@ def dup_links(spark, d):
     return dups(spark, d)
 
 
-@query(_DUP + " SELECT l.anchor_id, l.review_id, a.source AS left_source, b.source AS right_source FROM dup l JOIN alive a ON a.review_id = l.anchor_id JOIN alive b ON b.review_id = l.review_id WHERE a.source <> b.source")
+@query(_DUP + " SELECT l.anchor_id, l.review_id, a.source AS left_source, b.source AS right_source FROM dup l JOIN eligible2 a ON a.review_id = l.anchor_id JOIN eligible2 b ON b.review_id = l.review_id WHERE a.source <> b.source")
 def dup_links_eligible_selfjoin(spark, d):
-    r = B.keys(spark, d).where("NOT is_deleted").select("review_id", "source")
+    r = restored(B.keys(spark, d)).select("review_id", "source")
     a, b = r.select(F.col("review_id").alias("anchor_id"), F.col("source").alias("left_source")), r.withColumnRenamed("source", "right_source")
     return dups(spark, d).join(a, "anchor_id").join(b, "review_id").where("left_source <> right_source").select("anchor_id", "review_id", "left_source", "right_source")
 
@@ -420,7 +426,7 @@ _HIST = "string_agg(category || '=' || n, ',' ORDER BY category)"
 @query(
     _DUP + ", " + _cats(False) + ", " + _SEC.split(WITH + ", ", 1)[1]
     + f""", st AS (SELECT s.source, count(*) AS records, count(*) FILTER (x.review_id IS NULL) AS canonical, count(*) FILTER (x.review_id IS NOT NULL) AS duplicates, min(review_date) AS first_date, max(review_date) AS last_date, count(review_date) AS dated, {_COUNTS}
- FROM scored s LEFT JOIN (SELECT DISTINCT review_id FROM dup) x USING (review_id) GROUP BY 1), hs AS (SELECT source, {_HIST} AS categories FROM (SELECT source, category, count(*) AS n FROM cats WHERE category <> 'OTHER' GROUP BY 1, 2) GROUP BY 1),
+ FROM (SELECT * FROM scored WHERE review_id IN (SELECT review_id FROM eligible2)) s LEFT JOIN (SELECT DISTINCT review_id FROM dup) x USING (review_id) GROUP BY 1), hs AS (SELECT source, {_HIST} AS categories FROM (SELECT source, category, count(*) AS n FROM cats WHERE category <> 'OTHER' GROUP BY 1, 2) GROUP BY 1),
 fs AS (SELECT source, count(*) AS findings FROM sec GROUP BY 1), names AS (SELECT DISTINCT source FROM reviews UNION SELECT 'a source without reviews')
 SELECT names.source, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('records', 'canonical', 'duplicates', 'dated', 'positive', 'negative', 'neutral', 'findings'))}, first_date, last_date, coalesce(categories, '') AS categories
  FROM names LEFT JOIN st USING (source) LEFT JOIN hs USING (source) LEFT JOIN fs USING (source)"""
@@ -428,7 +434,7 @@ SELECT names.source, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('records',
 def source_statistics(spark, d):
     names = B.keys(spark, d).select("source").unionByName(spark.createDataFrame([("a source without reviews",)], "source string")).distinct()
     links = dups(spark, d)
-    return S.source_statistics(scored(spark, d).drop("text"), links, S.components(links, "anchor_id", "review_id"), names, cats(spark, d, False), findings(spark, d))
+    return S.source_statistics(restored(scored(spark, d)).drop("text"), links, S.components(links, "anchor_id", "review_id"), names, cats(spark, d, False), findings(spark, d))
 
 
 @query(WITH + " SELECT project_id, source, lang, count(*) AS n, count(review_date) AS dated, min(review_date) AS first_date, max(review_date) AS last_date FROM eligible GROUP BY 1, 2, 3")
