@@ -8,6 +8,7 @@ from opinara.functions import rules as X
 from opinara.functions import text as T
 from opinara.operators import collect as C
 from opinara.operators import ingest as I
+from opinara.operators import ledger as L
 from opinara.operators import nested as N
 from opinara.operators import pages as H
 from opinara.operators import reports as P
@@ -18,6 +19,7 @@ from opinara.plans import more  # noqa: F401  (its queries are registered first)
 from opinara.plans import queries as Q
 from opinara.plans.bindings import reviews, table
 from opinara.plans.queries import ORACLES, QUERIES, WITH, lit, query  # noqa: F401
+from opinara.session import cut
 
 # -- emphasis ---------------------------------------------------------------
 
@@ -280,3 +282,54 @@ def report_sections(spark, d):
     alerts = B.keys(spark, d).select("project_id").distinct().where("project_id % 2 = 0").select("project_id", F.concat(F.lit("alert "), F.col("project_id").cast("string")).alias("item"), F.lit("open").alias("line"))
     tagged = P.tags(within(Q.scored(spark, d)), within(R.aspects(Q.alive(spark, d), B.ASPECTS, B.LEXICON)), within(found), Q.STOP)
     return P.report(tagged, {"alerts": alerts}, reviews=30)
+
+
+# -- evidence ledger --------------------------------------------------------
+
+_SEARCHED = "contains(text, 'Globex')"
+_ENTRIES_SQL = (
+    Q._CATS + ", " + Q._SEC.split(WITH + ", ", 1)[1]
+    + f""", led AS (SELECT DISTINCT project_id AS run_id, tool, {_uuid('review_id::VARCHAR')} AS evidence_id, source FROM (
+ SELECT 'search' AS tool, review_id FROM eligible WHERE {_SEARCHED} UNION ALL SELECT 'categories', review_id FROM cats WHERE category <> 'OTHER' UNION ALL SELECT 'security', review_id FROM sec) JOIN (SELECT review_id, project_id, coalesce(source, 'unknown') AS source FROM eligible) USING (review_id))"""
+)
+
+
+def _ledger(spark, d):
+    ident = N.uuid_of(F.md5(F.col("review_id").cast("string").cast("binary")))
+    rows = R.eligible(reviews(spark, d))
+    owner = rows.select("review_id", "project_id")
+    hits = rows.where(F.col("text").contains("Globex")).select(F.lit("search").alias("tool"), "review_id")
+    hits = hits.unionByName(Q.cats(spark, d).where("category <> 'OTHER'").select(F.lit("categories").alias("tool"), "review_id")).unionByName(Q.findings(spark, d).select(F.lit("security").alias("tool"), "review_id"))
+    step = F.when(F.col("tool") == "search", 0).when(F.col("tool") == "categories", 1).otherwise(2)
+    payload = F.to_json(F.struct(F.struct(F.array(F.struct(ident.alias("evidenceId"))).alias("items")).alias("result")))
+    # one payload for each hit, as a tool returns them page by page; ids that are not eligible drop out
+    outputs = hits.join(owner, "review_id").select(F.col("project_id").alias("run_id"), "tool", step.alias("step"), payload.alias("payload"))
+    return L.entries(outputs, rows.select(ident.alias("evidence_id"), "source"))
+
+
+@query(_ENTRIES_SQL + " SELECT * FROM led")
+def investigation_ledger(spark, d):
+    return _ledger(spark, d)
+
+
+@query(_ENTRIES_SQL + ", ids AS (SELECT DISTINCT run_id, source, evidence_id FROM led), c AS (SELECT run_id, source, count(*) AS evidence FROM ids GROUP BY 1, 2) SELECT *, round_even(evidence / sum(evidence) OVER (PARTITION BY run_id) * 100, 2) AS share FROM c")
+def investigation_sources(spark, d):
+    return L.composition(_ledger(spark, d))
+
+
+@query(
+    _ENTRIES_SQL
+    + """, f AS (SELECT run_id, tool AS finding_id, min(evidence_id) AS a, max(evidence_id) AS b FROM led GROUP BY 1, 2), other AS (SELECT run_id, min(evidence_id) AS o FROM led GROUP BY 1),
+fx AS (SELECT f.*, CASE WHEN f.run_id % 2 = 1 AND finding_id = 'search' THEN (SELECT o FROM other WHERE other.run_id = f.run_id - 1) END AS foreign_id FROM f),
+ci AS (SELECT run_id, finding_id, a AS evidence_id FROM fx UNION SELECT run_id, finding_id, b FROM fx UNION SELECT run_id, finding_id, foreign_id FROM fx WHERE foreign_id IS NOT NULL),
+ck AS (SELECT run_id, finding_id, count(*) AS cited, count(*) FILTER (NOT EXISTS (SELECT 1 FROM led WHERE led.run_id = ci.run_id AND led.evidence_id = ci.evidence_id)) AS unavailable FROM ci GROUP BY 1, 2)
+SELECT *, CASE WHEN unavailable > 0 THEN 'rejected' ELSE 'valid' END AS state FROM ck"""
+)
+def citation_check(spark, d):
+    """Findings that cite the first and last id of a tool; some cite another run's evidence as well."""
+    led = cut(_ledger(spark, d))
+    each = led.groupBy("run_id", F.col("tool").alias("finding_id")).agg(F.min("evidence_id").alias("a"), F.max("evidence_id").alias("b"))
+    other = led.groupBy((F.col("run_id") + 1).alias("run_id")).agg(F.min("evidence_id").alias("o"))
+    foreign = F.when((F.col("run_id") % 2 == 1) & (F.col("finding_id") == "search"), F.col("o"))
+    findings = each.join(other, "run_id", "left").select("run_id", "finding_id", F.array_compact(F.array("a", F.upper("b"), foreign)).alias("evidence_ids"))
+    return L.checked(findings, led).select("run_id", "finding_id", "cited", "unavailable", "state")
