@@ -86,17 +86,21 @@ DOMAIN = r"(?iU)(?<![\w.-])(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63
 def indicators(df: DataFrame) -> DataFrame:
     """(review_id, source, kind, value): distinct URLs (without query), CVE ids, addresses, SHA-256
     digests and domains of each text, as observations; a domain inside a URL counts once."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    found = lambda rx: F.regexp_extract_all(t, F.lit(rx), F.lit(0))
-    urls = F.array_compact(F.transform(found(URL), T.safe_url))
+    t, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast("array<string>")
+    # each kind has a plain sign without which its regular expression need not run
+    web, dotted, low = t.contains("://"), t.rlike(r"\.[^\s.]"), F.lower(t)
+    found = lambda rx, sign, of=t: F.when(sign, F.regexp_extract_all(of, F.lit(rx), F.lit(0))).otherwise(none)
+    urls = F.array_compact(F.transform(found(URL, web), T.safe_url))
     hosts = F.filter(F.transform("_urls", lambda u: F.regexp_extract(u, "^https?://([^/:]+)", 1)), lambda h: h.contains("."))
-    octets = F.filter(found(IP), lambda v: F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255))
-    bare = F.regexp_replace(t, URL, " ")
-    some = df.where(F.col("text").rlike(r"(?i)://|cve-|[0-9]\.[0-9]|[0-9a-f]{64}|[a-z0-9]\.[a-z]"))
-    read = some.select("review_id", "source", F.col("text"), urls.alias("_urls"))
-    kinds = [("URL", F.col("_urls")), ("DOMAIN", hosts), ("CVE", F.transform(found(CVE), lambda v: F.upper(v))), ("IP", octets), ("HASH_SHA256", F.transform(found(SHA256), lambda v: F.lower(v))), ("DOMAIN", F.transform(F.regexp_extract_all(bare, F.lit(DOMAIN), F.lit(0)), lambda v: F.lower(v)))]
-    pairs = F.array_distinct(F.concat(*[F.transform(v, _pair(k)) for k, v in kinds]))
-    return read.select("review_id", "source", F.explode(pairs).alias("i")).select("review_id", "source", "i.kind", "i.value")
+    octets = F.filter(found(IP, dotted & t.rlike(r"[0-9]\.[0-9]")), lambda v: F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255))
+    # a domain has no blank in it: only the words with a dot inside are looked at
+    bare = F.when(web, F.regexp_replace(t, URL, " ")).otherwise(t)
+    words = F.array_join(F.filter(F.split(bare, r"\s+"), lambda w: w.rlike(r"\.[^.]")), " ")
+    digests = found(SHA256, low.rlike("[0-9a-f]{64}"))
+    kinds = [("CVE", F.transform(found(CVE, low.contains("cve-")), lambda v: F.upper(v))), ("IP", octets), ("HASH_SHA256", F.transform(digests, lambda v: F.lower(v))), ("DOMAIN", F.transform(found(DOMAIN, dotted, words), lambda v: F.lower(v)))]
+    read = df.select("review_id", "source", urls.alias("_urls"), F.concat(*[F.transform(v, _pair(k)) for k, v in kinds]).alias("_more"))
+    pairs = F.array_distinct(F.concat(F.transform("_urls", _pair("URL")), F.transform(hosts, _pair("DOMAIN")), F.col("_more")))
+    return read.where("size(_urls) > 0 OR size(_more) > 0").select("review_id", "source", F.explode(pairs).alias("i")).select("review_id", "source", "i.kind", "i.value")
 
 
 def _pair(kind: str):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.rules import ASPECTS, CATEGORIES, LEXICON, SECURITY  # noqa: F401
 from opinara.functions.text import dedup_key
-from opinara.session import stored
+from opinara.session import drop_stored, stored
 
 SENTENCES = [
     "I love the screen, excellent quality and great sound.",
@@ -46,7 +46,7 @@ EMPHATIC = [
     "No love, no perfect camera, nor a good one.",
 ]
 COMPETITORS = ["Acme", "Globex", "Initech"]
-_FLAGS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_INGESTED: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,39 +62,54 @@ def _text() -> Column:
     return F.when(i % 5 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said)).otherwise(F.col("text"))
 
 
-def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What ingestion keeps of each review beside its text: the digest and length of the
-    normalised text, the first review of the project with that text, and the flags.
-
-    A table of narrow rows, written once for a session and directory, as the flags of a
-    stored review are; no text is shuffled for it."""
-    return _ingested(spark, sf_dir)[0]
-
-
-def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _FLAGS:
-        i = F.col("doc_id")
-        named = table(spark, sf_dir, "documents").select(i.alias("review_id"), (i % 4).alias("project_id"), "source", (i % 23 == 0).alias("is_deleted"), dedup_key(_text()).alias("_k"))
-        keyed = named.select("review_id", "project_id", "source", "is_deleted", F.sha2("_k", 256).alias("content_key"), F.length("_k").alias("content_chars"))
-        first = keyed.groupBy("project_id", "content_key").agg(F.min("review_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-        bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("review_id"), F.lit(True).alias("is_spam")).distinct()
-        both = keyed.join(first, ["project_id", "content_key"], "left").join(bad, "review_id", "left")
-        flags = stored(both.withColumn("is_spam", F.coalesce("is_spam", F.lit(False))).withColumn("is_duplicate", F.coalesce(F.col("review_id") > F.col("first_id"), F.lit(False))).drop("first_id"))
-        marked = flags.where("is_spam OR is_duplicate").select("review_id", "is_spam", "is_duplicate")
-        # the list of flagged reviews is sent to all executors where its size allows it
-        _FLAGS[at] = flags, F.broadcast(marked) if marked.count() * 64 <= 24 << 20 else marked
-    return _FLAGS[at]
-
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews as ingestion writes them: their columns and text, the digest and length of the
+    normalised text, and the flags of spam and of texts that the project had before.
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document; duplicates are flagged per project, first row wins."""
+    One row per document; the first row of a text wins.  Only digests are shuffled to find
+    repeats; the flags meet the texts once, here, and every query reads them side by side."""
     i = F.col("doc_id")
     base = table(spark, sf_dir, "documents").select(
         i.alias("review_id"), (i % 4).alias("project_id"), _text().alias("text"), "source", "lang",
         F.when(i % 17 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (i % 120).cast("int"))).alias("review_date"),
         F.when(i % 7 != 0, (i % 11) / 2.0).alias("rating"),
         (i % 23 == 0).alias("is_deleted"), (i % 3).alias("dataset_id"),
-    )
-    marked = base.join(_ingested(spark, sf_dir)[1], "review_id", "left")
-    return marked.withColumn("is_spam", F.coalesce("is_spam", F.lit(False))).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+    ).withColumn("_k", dedup_key(F.col("text")))
+    keyed = base.withColumn("content_key", F.sha2("_k", 256)).withColumn("content_chars", F.length("_k")).drop("_k")
+    narrow = stored(keyed.select("review_id", "project_id", "content_key"))
+    first = narrow.groupBy("project_id", "content_key").agg(F.min("review_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    again = narrow.join(first, ["project_id", "content_key"]).where("review_id > first_id").select("review_id", F.lit(True).alias("is_duplicate"))
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("review_id"), F.lit(True).alias("is_spam")).distinct()
+    marked = stored(again.join(bad, "review_id", "full_outer").groupBy("review_id").agg(F.max("is_duplicate").alias("is_duplicate"), F.max("is_spam").alias("is_spam")))
+    # the list of flagged reviews is sent to all executors where its size allows it; beyond that the texts move, once
+    flags = F.broadcast(marked) if marked.count() * 64 <= 24 << 20 else marked
+    rows = keyed.join(flags, "review_id", "left").fillna(False, ["is_duplicate", "is_spam"])
+    out = stored(rows)
+    drop_stored(narrow)
+    drop_stored(marked)
+    return out
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a folder or file was changed, and its bytes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingested reviews, written once for a session and the state of its input."""
+    at = (spark.sparkContext.applicationId, sf_dir, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")))
+    if at not in _INGESTED:
+        _INGESTED[at] = ingested(spark, sf_dir)
+    return _INGESTED[at]
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingested reviews with their texts and flags."""
+    return _kept(spark, sf_dir).drop("content_key", "content_chars")
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each review what finds repeats and is narrow: no text is read for it."""
+    return _kept(spark, sf_dir).select("review_id", "project_id", "source", "is_deleted", "is_spam", "is_duplicate", "content_key", "content_chars")

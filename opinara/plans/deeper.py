@@ -333,3 +333,13 @@ def citation_check(spark, d):
     foreign = F.when((F.col("run_id") % 2 == 1) & (F.col("finding_id") == "search"), F.col("o"))
     findings = each.join(other, "run_id", "left").select("run_id", "finding_id", F.array_compact(F.array("a", F.upper("b"), foreign)).alias("evidence_ids"))
     return L.checked(findings, led).select("run_id", "finding_id", "cited", "unavailable", "state")
+
+
+# -- ingestion --------------------------------------------------------------
+
+
+@query(WITH + f" SELECT project_id, count(*) AS reviews, count(*) FILTER (is_duplicate) AS duplicates, count(*) FILTER (is_spam) AS spam, CAST(sum(length({Q._KEY})) AS BIGINT) AS chars FROM reviews GROUP BY 1")
+def ingest_reviews(spark, d):
+    """Ingestion itself, anew each time: what the other queries read as written."""
+    rows = B.ingested(spark, d)
+    return rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("reviews"), F.count_if("is_duplicate").alias("duplicates"), F.count_if("is_spam").alias("spam"), F.sum("content_chars").cast("long").alias("chars"))
