@@ -13,6 +13,7 @@ from opinara.operators import nested as N
 from opinara.operators import pages as H
 from opinara.operators import reports as P
 from opinara.operators import reviews as R
+from opinara.operators import summaries as S
 from opinara.operators import valence as V
 from opinara.plans import bindings as B
 from opinara.plans import more  # noqa: F401  (its queries are registered first)
@@ -343,3 +344,41 @@ def ingest_reviews(spark, d):
     """Ingestion itself, anew each time: what the other queries read as written."""
     rows = B.ingested(spark, d)
     return rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("reviews"), F.count_if("is_duplicate").alias("duplicates"), F.count_if("is_spam").alias("spam"), F.sum("content_chars").cast("long").alias("chars"))
+
+
+# -- summaries --------------------------------------------------------------
+
+
+@query(
+    Q._STATS
+    + f""", su AS (SELECT project_id, count(label) AS analysed, {Q._COUNTS}, {Q._CONF} FROM scored GROUP BY 1), sp AS (SELECT *, {Q._pcts('analysed')} FROM su),
+ra AS (SELECT *, row_number() OVER (PARTITION BY project_id, positive > 0 ORDER BY positive_pct DESC, frequency DESC, aspect) AS kp, row_number() OVER (PARTITION BY project_id, negative > 0 ORDER BY negative_pct DESC, frequency DESC, aspect) AS kn FROM stats),
+po AS (SELECT project_id, string_agg('"' || aspect || '" — ' || positive_pct || '% positive across ' || frequency || ' mentions', '; ' ORDER BY kp) AS lines, max(CASE WHEN kp = 1 THEN '"' || aspect || '" is the most frequently identified positive aspect (' || positive_pct || '% positive across ' || frequency || ' mentions).' END) AS best FROM ra WHERE positive > 0 AND kp <= 3 GROUP BY 1),
+ne AS (SELECT project_id, string_agg('"' || aspect || '" — ' || negative_pct || '% negative across ' || frequency || ' mentions', '; ' ORDER BY kn) AS lines, max(CASE WHEN kn = 1 THEN '"' || aspect || '" is the most frequently identified negative aspect in the analysed feedback (' || negative_pct || '% negative across ' || frequency || ' mentions).' END) AS worst FROM ra WHERE negative > 0 AND kn <= 3 GROUP BY 1),
+kw AS (SELECT project_id, string_agg(keyword, ', ' ORDER BY rank) AS terms FROM ({Q._kw_sql(5, True)}) GROUP BY 1),
+mo AS (SELECT project_id, strftime(review_date, '%Y-%m') AS period, {Q._COUNTS}, count(*) AS total FROM scored WHERE review_date IS NOT NULL GROUP BY 1, 2), mp AS (SELECT *, {Q._pcts()} FROM mo),
+ml AS (SELECT project_id, negative_pct - lag(negative_pct) OVER (PARTITION BY project_id ORDER BY period) AS d, row_number() OVER (PARTITION BY project_id ORDER BY period DESC) AS k FROM mp),
+di AS (SELECT project_id, CASE WHEN d > 0 THEN 'increasing' WHEN d < 0 THEN 'decreasing' WHEN d = 0 THEN 'stable' END AS direction FROM ml WHERE k = 1),
+op AS (SELECT project_id, count(*) AS n FROM stats WHERE frequency >= 3 AND negative_pct >= 50 GROUP BY 1),
+al AS (SELECT sp.project_id, 'Of ' || analysed || ' analysed reviews, ' || positive_pct || '% were positive, ' || negative_pct || '% negative and ' || neutral_pct || '% neutral (average confidence ' || round_even(avg_confidence * 100, 1) || '%).' AS fact,
+ coalesce(nullif(concat_ws(' ', worst, best), ''), 'No aspect-level data is available for this date range yet.') AS aspect, po.lines AS pl, ne.lines AS nl, terms, direction,
+ CASE WHEN op.n > 0 THEN op.n || ' system-generated recommendation(s) are currently open and awaiting review.' ELSE 'No open recommendations have been generated for this project.' END AS waiting
+ FROM sp LEFT JOIN po USING (project_id) LEFT JOIN ne USING (project_id) LEFT JOIN kw USING (project_id) LEFT JOIN di USING (project_id) LEFT JOIN op USING (project_id))
+SELECT project_id, 'overall' AS kind, concat_ws(' ', fact, 'The most prominent topics identified in the feedback are "first", "second".', aspect, 'Frequently mentioned terms include ' || terms || '.') AS text FROM al
+UNION ALL SELECT project_id, 'executive', concat_ws(' ', fact, aspect, 'The negative-sentiment share has been ' || direction || ' over the most recent periods.', waiting) FROM al
+UNION ALL SELECT project_id, 'positive', coalesce('Aspects with the strongest positive sentiment: ' || pl || '.', 'No aspect-level positive-sentiment data is available for this date range yet.') FROM al
+UNION ALL SELECT project_id, 'negative', coalesce('Aspects with the strongest negative sentiment: ' || nl || '. ' || waiting, 'No aspect-level negative-sentiment data is available for this date range yet.') FROM al
+UNION ALL SELECT project_id, 'comparative', coalesce('Negative-sentiment share is ' || direction || ' compared to the previous period in this date range. ' || fact, 'Not enough historical data across periods to generate a period-over-period comparison yet.') FROM al
+UNION ALL SELECT project_id, 'periodic', 'From 2024-01-01 onward: ' || fact || ' The most prominent topics identified in the feedback are "first", "second".' FROM al"""
+)
+def summaries(spark, d):
+    rows, found = Q.scored(spark, d), Q.stats(spark, d)
+    topics = B.keys(spark, d).select("project_id").distinct().withColumn("t", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.lit("first").alias("name")), F.struct(F.lit(2).alias("rank"), F.lit("second").alias("name"))))).select("project_id", "t.*")
+    return S.texts(R.summary(rows), found, R.keywords(rows.where("NOT is_spam"), Q.STOP, 5), R.trend(rows, "monthly"), topics, found.where("frequency >= 3 AND negative_pct >= 50"), date_from="2024-01-01")
+
+
+@query(Q._CATS + " SELECT (SELECT count(*) FROM eligible) AS reviews_scanned, (SELECT count(DISTINCT review_id) FROM cats WHERE category <> 'OTHER') AS classified_reviews, (SELECT count(*) FROM cats WHERE category = 'OTHER') AS other")
+def feedback_scan(spark, d):
+    # a review without a category has one row, OTHER; the rows of the others are counted by review
+    per = Q.cats(spark, d).groupBy("review_id").agg(F.bool_or(F.col("category") != "OTHER").alias("classified"))
+    return per.agg(F.count(F.lit(1)).alias("reviews_scanned"), F.count_if("classified").alias("classified_reviews"), F.count_if(~F.col("classified")).alias("other"))
