@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import re
+import zipfile
+from functools import lru_cache
+from pathlib import Path
+
+import pyspark
 
 # Valences of the starter lexicon.
 LEXICON = {
@@ -130,3 +135,12 @@ IDIOMS = {
 
 # Capitals, a negation, degree words further away, exclamation and question marks, the compound's normalisation.
 CAPITALS, TURN, FADING, CALL, ASK, ASKS, ALPHA = 0.733, -0.74, (1.0, 0.95, 0.9), 0.292, 0.18, 0.96, 15
+
+
+@lru_cache
+def stop_words(*languages: str) -> tuple[str, ...]:
+    """Spark's own stop words of the languages, as keyword tokens: three ASCII letters or more."""
+    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as z:
+        words = [w for x in languages for w in z.read(f"org/apache/spark/ml/feature/stopwords/{x}.txt").decode().split()]
+    return tuple(dict.fromkeys(w for w in words if re.fullmatch("[a-z]{3,}", w)))

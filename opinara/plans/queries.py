@@ -14,7 +14,7 @@ from opinara.operators import topics as M
 from opinara.plans import bindings as B
 from opinara.plans.bindings import reviews, table
 
-STOP = ["the", "and", "of", "to", "in", "is", "that", "for", "der", "die", "und", "les", "des", "que", "una", "los"]
+STOP = list(X.stop_words("english", "german", "french", "spanish"))
 TODAY = "2024-04-15"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
