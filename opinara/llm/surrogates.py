@@ -14,6 +14,7 @@ surname, and so does "Bond" alone in a text that names him in full or by title.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -35,26 +36,89 @@ NAMES = {
 }
 GIVEN = {name: gender for gender, names in NAMES.items() for name in names} | {"James": "m", "John": "m", "Peter": "m", "Michael": "m", "David": "m", "Robert": "m", "Mary": "f", "Jane": "f", "Anne": "f", "Elizabeth": "f", "Sarah": "f", "Emma": "f"}
 _LATER = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+"
-_KEYED = "|".join(f"(?<={re.escape(word + sep)})" for word in ("token", "secret", "api_key", "password") for sep in (' = "', '="', "=", ": ", ': "'))
-PATTERN = re.compile(
-    r"(?P<email>[^\W_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?<![0-9A-Za-z_-])(?=[0-9A-Za-z_-]{16})(?:" + _KEYED + r")[0-9A-Za-z_-]+)"
-    r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))"
+_KEYS = ("token", "secret", "api_key", "password", "secret_key", "access_key", "apikey", "client_secret", "auth_token", "passwd")
+_KEYED = "|".join(f"(?<={re.escape(word + sep)})" for word in _KEYS for sep in (' = "', '="', "=", ": ", ': "'))
+_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
+_NAMED = rf"[{_UPPER}][^\W\d_]*[^\W\d_{_UPPER}]"
+#: What stands before a name for certain.
+SAYS_NAME = ("my name is ", "My name is ", "Name: ", "Author: ", "Dear ", "Signed, ", "Contact: ", "Patient: ")
+#: Names that are words as well: alone, they are not taken for the person.
+WORDS = frozenset("January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
+_NUMBERS_AND_NAMES = (
+    r"(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))"
     r"|(?P<phone>\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3}[ -]?\d{4}(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
-    r"|\b(?P<name>(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? [^\W\d_]+(?: " + _LATER + r")?)"
-    r"|\b(?P<person>(?:" + "|".join(sorted(GIVEN)) + r") " + _LATER + r")"
+    r"|\b(?=[A-Z])(?P<name>(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? [^\W\d_]+(?: " + _LATER + r")?)"
+    r"|\b(?=[A-Z])(?P<person>(?:" + "|".join(sorted(GIVEN)) + r") " + _LATER + r")"
+)
+_FREQUENT = (
+    r"(?P<email>(?<![^\W_])[^\W_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"|(?P<secret>(?<![0-9A-Za-z_-])(?=[0-9A-Za-z_-]{16})(?:" + _KEYED + r")[0-9A-Za-z_-]+)"
+    r"|" + _NUMBERS_AND_NAMES
 )
+PATTERN = re.compile(_FREQUENT)
+#: For texts without mail addresses and secrets: what is left begins with a digit, a plus or a capital.
+LEAN = re.compile(r"(?=[0-9+A-Z])(?:" + _NUMBERS_AND_NAMES + ")")
+#: With entities that few texts have; they go first, as parts of them look like others.
+RARE = re.compile(
+    r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7})[0-9A-Fa-f:]{3,39}(?![\w:]))"
+    r"|(?P<cloudkey>(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9]))"
+    r"|(?P<bearer>(?<=earer )[A-Za-z0-9._~+/-]{16,}=*)"
+    r"|(?P<local>(?<![\d)+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\d-]))"
+    r"|(?P<full>(?:" + "|".join(f"(?<={re.escape(x)})" for x in SAYS_NAME) + rf"){_NAMED}(?: {_NAMED})?)"
+    "|" + _FREQUENT
+)
+_SIGNS = ("AKIA", "ASIA", "earer ", "::", *SAYS_NAME)
+_SIGN = re.compile(r"\(\d{3}\)|\b\d{3}[-.]\d{3}[-.]\d|\b[A-Z]{2}\d{2} ?[A-Z0-9]{4}|(?:[0-9A-Fa-f]{1,4}:){7}")
 #: A text without any of these has no entity.
-HINT = r"[0-9@]|\b(" + "|".join([*TITLES, *sorted(GIVEN)]) + r")\b|(token|secret|api_key|password)( = |=|: )"
+HINT = r"[0-9@]|\b(" + "|".join([*TITLES, *sorted(GIVEN)]) + r")\b|(" + "|".join(_KEYS) + r")( = |=|: )|A[KS]IA|earer |" + "|".join(SAYS_NAME)
+
+
+def _iban_rest(value: str) -> int:
+    """An IBAN's check: the number that its letters and digits make, modulo 97, is 1."""
+    bare = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def _holds(kind: str, value: str) -> bool:
+    """Whether a match is what its form says, by its own check digits, structure or letters."""
+    if kind == "iban":
+        return 15 <= len(value.replace(" ", "")) <= 34 and _iban_rest(value) == 1
+    if kind == "ipv6":
+        try:
+            return bool(ipaddress.IPv6Address(value))
+        except ValueError:
+            return False
+    # what follows "Bearer" is a secret where its letters are mixed as no word's are
+    return kind != "bearer" or len(set(value)) >= 10 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def matches(text: str) -> Iterator[re.Match]:
+    """Entities of a text, in order; a match that does not hold is read again without its form."""
+    if not (any(x in text for x in _SIGNS) or _SIGN.search(text)):
+        yield from (PATTERN if "@" in text or any(x in text for x in _KEYS) else LEAN).finditer(text)
+        return
+    at = 0
+    while m := RARE.search(text, at):
+        if not _holds(m.lastgroup, m.group()):
+            inner = PATTERN.search(text, m.start(), m.end())
+            if not inner:
+                at = m.start() + 1
+                continue
+            m = inner
+        yield m
+        at = m.end()
 
 
 def _words(kind: str, value: str) -> list[tuple[str, str]]:
     """(type, value) of the parts of a match that are replaced: the words of a name, else all of it."""
-    if kind not in ("name", "person"):
+    if kind not in ("name", "person", "full"):
         return [(kind, value)]
     first, *rest = value.split(" ")
+    if kind == "full":
+        return [("surname", w) for w in (first, *rest)]
     if kind == "person":
         return [(f"given_{GIVEN[first]}", first), ("surname", rest[0])]
     gender = TITLES[first.rstrip(".")]
@@ -63,7 +127,7 @@ def _words(kind: str, value: str) -> list[tuple[str, str]]:
 
 def entities(text: str | None) -> list[tuple[str, str]]:
     """Distinct (type, value) of a text, in order of first appearance."""
-    return list(dict.fromkeys((m.lastgroup, m.group()) for m in PATTERN.finditer(text or "")))
+    return list(dict.fromkeys((m.lastgroup, m.group()) for m in matches(text or "")))
 
 
 def parts(text: str | None) -> list[tuple[str, str]]:
@@ -73,11 +137,11 @@ def parts(text: str | None) -> list[tuple[str, str]]:
 
 def rewritten(text: str, to: dict[tuple[str, str], str]) -> str:
     """``text`` with the surrogates ``to`` of its parts, surnames that stand alone included."""
-    surnames = sorted((v for k, v in to if k == "surname" and len(v) > 2 and v[0].isupper()), key=len, reverse=True)
+    surnames = sorted((v for k, v in to if k == "surname" and len(v) > 2 and v[0].isupper() and v not in WORDS), key=len, reverse=True)
     alone = re.compile(r"\b(?:" + "|".join(map(re.escape, surnames)) + r")\b") if surnames else None
     rest = lambda x: alone.sub(lambda m: to["surname", m.group()], x) if alone else x
     out, at = [], 0
-    for m in PATTERN.finditer(text):
+    for m in matches(text):
         words = _words(m.lastgroup, m.group())
         title = [m.group().split(" ")[0]] if m.lastgroup == "name" else []
         out += [rest(text[at : m.start()]), " ".join([*title, *(to[w] for w in words)])]
@@ -128,6 +192,18 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
         return "".join(_char(c, draw) for c in local) + longer + "@" + "".join(_char(c, draw) for c in host) + "." + top
+    if kind == "iban":
+        bare = value.replace(" ", "")
+        body = "".join(_char(c, draw) for c in bare[4:])
+        check = f"{98 - _iban_rest(bare[:2] + '00' + body):02d}"
+        made = iter(bare[:2] + check + body)
+        return "".join(c if c == " " else next(made) for c in value)
+    if kind == "ipv6":
+        return "".join(c if c == ":" else "123456789abcdef"[draw.below(15)] for c in value)
+    if kind == "cloudkey":
+        return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in value[4:])
+    if kind == "local":
+        return "".join(str(2 + draw.below(8)) if c.isdigit() else c for c in value)
     if kind == "phone":
         lead = re.match(r"\+\d{1,3}?(?=[ (-])|\+\d", value).group()
         return lead + "".join(_char(c, draw) for c in value[len(lead) :])
