@@ -17,6 +17,7 @@ import hashlib
 import ipaddress
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,8 +73,9 @@ RARE = re.compile(
 )
 _SIGNS = ("AKIA", "ASIA", "earer ", "::", *SAYS_NAME)
 _SIGN = re.compile(r"\(\d{3}\)|\b\d{3}[-.]\d{3}[-.]\d|\b[A-Z]{2}\d{2} ?[A-Z0-9]{4}|(?:[0-9A-Fa-f]{1,4}:){7}")
-#: A text without any of these has no entity.
-HINT = r"[0-9@]|\b(" + "|".join([*TITLES, *sorted(GIVEN)]) + r")\b|(" + "|".join(_KEYS) + r")( = |=|: )|A[KS]IA|earer |" + "|".join(SAYS_NAME)
+#: A text that has no match of these expressions and holds none of the plain texts has no entity.
+HINT = ("[0-9@]", r"\b(?=[A-Z])(" + "|".join([*TITLES, *sorted(GIVEN)]) + r")\b")
+HELD = ("token", "secret", "_key", "apikey", "passw", "AKIA", "ASIA", *SAYS_NAME)
 
 
 def _iban_rest(value: str) -> int:
@@ -271,7 +273,8 @@ def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
                 made = [rewritten(t, {(p["kind"], p["value"]): p["surrogate"] for p in pairs}) for t, pairs in zip(texts, part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(made, pa.string())], ["id", "n_entities", "text"])
 
-    may = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    signs = [F.col("text").rlike(x) for x in HINT] + [F.col("text").contains(x) for x in HELD]
+    may = F.coalesce(reduce(lambda x, y: x | y, signs), F.lit(False))
     found = read.where(may).mapInArrow(detect, f"id {kind}, text string, found {shape}")
     marked = cut(found.where(F.size("found") > 0).withColumn("uid", F.monotonically_increasing_id()))
     each = marked.select("uid", F.explode("found").alias("e")).select("uid", "e.*")
