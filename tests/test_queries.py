@@ -1,7 +1,7 @@
 import pytest
 from conftest import SF, oracle_rows, spark_rows
 
-from opinara.plans.more import ORACLES, QUERIES
+from opinara.plans.deeper import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -19,11 +19,6 @@ def test_topics_assign_every_review_once(spark):
 def test_every_oracle_has_rows(spark):
     from conftest import oracle_rows as rows
 
-    for name in ("recommendations", "root_cause_claims", "emerging_themes", "competitor_summary", "finding_reconcile"):
+    for name in ("recommendations", "root_cause_claims", "emerging_themes", "competitor_summary", "finding_reconcile", "page_records", "identity_matches", "citation_check", "dup_links", "evidence_ids"):
         columns = sorted(QUERIES[name](spark, "/root/testdata/sf0.01").columns)
         assert rows(ORACLES[name], columns, "/root/testdata/sf0.01"), name
-
-
-def test_page_records(spark):
-    got = QUERIES["page_records"](spark, SF).collect()
-    assert got and all(r.text and r.k == 0 for r in got)
