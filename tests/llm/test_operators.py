@@ -597,3 +597,20 @@ def test_rare_entities_on_a_planted_fixture(spark):
         assert value not in got[k] and len(got[k]) == len(text) and [x for x, _ in made] == [kind], (text, got[k])
         assert kind != "iban" or surrogates._iban_rest(made[0][1]) == 1 and made[0][1][:2] == value[:2]
     assert got[100 + 7].endswith("came in May.") and not got[100 + 7].startswith("James May")
+
+
+def test_encoding_and_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spec = queries.tokenizer_spec()
+    assert bpe.encode(awkward(spark).select("doc_id", "text"), spec).count() == 15 and bpe.encode(empty(spark).select("doc_id", "text"), spec).collect() == []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, d in (("odd", awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")), ("none", empty(spark))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels(spark).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "n_tokens", "ids"]
+        rows = got.collect()
+        # of the two equal long texts one passes all stages at most; all others are too short for the first
+        assert {r.doc_id for r in rows} <= {7, 8} and (name == "odd" or not rows) and all(r.n_tokens == len(r.ids) for r in rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
