@@ -8,14 +8,17 @@ blocks of 64 fingerprints are stored as 64 bit planes, a query's bits select eac
 plane or its complement, carry-save counters add up all 64 distances at once, and a
 block is abandoned when every member exceeds the radius.  Links form components.
 
-At Jaccard 0.8 the bits of two texts differ in about ten places, too many for keys of
-64 bits, so ``kept_rows`` (the pipeline's stage) has candidates meet by bands of min-hashes
-and verifies them by their sets of shingles.
+``kept_rows`` (the pipeline's stage) links at a Jaccard similarity of 0.8, where about one
+bit of six differs, too many for parts of 64 bits.  It makes wider fingerprints of the sets of
+shingles by the same rule, has them meet by bands of their bits, compares those that meet
+by the same bit planes, and verifies what is left by the sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -31,8 +34,15 @@ from opinara.session import cut
 SEED = 42
 #: Members of one key that are compared in one group; larger keys are dealt out in pairs of chunks.
 CHUNK = 4096
-#: Keys of four min-hashes each under which texts meet for an exact comparison.
-BANDS = 24
+#: Bits of a wide fingerprint that are compared where two texts meet.
+BITS = 192
+#: Chance that a bit differs at a Jaccard similarity of 0.8: for sets of five shingles or more at most
+#: this, arccos(8/9)/pi = 0.152 for large ones (of four shingles beside five: 0.1875).
+DIFFER = 0.1612
+#: Chances that a pair at 0.8 meets under no band, and that more of its BITS differ than are looked for.
+MISS, FAR = 3e-6, 1e-6
+#: Bits of a band where the number of rows is not known, and rows that are compared at a time.
+BAND, AT_ONCE = 13, 1 << 14
 #: Texts that are turned into Python objects at a time.
 SLICE = 64
 #: Bytes that a table may take when it is sent to all executors.
@@ -89,30 +99,39 @@ def _exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.nd
     return over | more
 
 
-def near(planes: np.ndarray, left: np.ndarray, right: np.ndarray, query: int, radius: int) -> np.ndarray:
-    """For each pair of blocks: bits of the right block's members within ``radius`` of member ``query`` of the left block.
+def near(planes: np.ndarray, left: np.ndarray, right: np.ndarray, query: int | np.ndarray, radius: int, valid: np.ndarray | None = None, band: int = 0, table: np.ndarray | None = None) -> np.ndarray:
+    """For each pair of blocks: bits of the right block's members within ``radius`` of member ``query`` (one
+    for all, or one a pair) of the left block.  Of the right block's members only ``valid`` count, and, where
+    ``table`` is given, those that agree on none of the bands of ``band`` bits before the pair's own one.
 
-    planes: uint64[blocks, 64], plane p's bit m is bit p of member m.
+    planes: uint64[blocks, 64 or a multiple], plane p's bit m is bit p of member m.
     """
     out = np.zeros(len(left), np.uint64)
     live = np.arange(len(left))
     wide = radius.bit_length()
     counters = [np.zeros(len(left), np.uint64) for _ in range(wide)]
-    over = np.zeros(len(left), np.uint64)
-    q = np.uint64(query)
-    for p in range(64):
-        mask = np.uint64(0) - ((planes[left[live], p] >> q) & np.uint64(1))
-        carry = planes[right[live], p] ^ mask
+    over = np.zeros(len(left), np.uint64) if valid is None else ~valid
+    differ = np.zeros(len(left), np.uint64)
+    q = np.broadcast_to(np.asarray(query, np.uint64), left.shape)
+    for p in range(planes.shape[1]):
+        mask = np.uint64(0) - ((planes[left, p] >> q) & np.uint64(1))
+        carry = planes[right, p] ^ mask
+        if table is not None:
+            differ = differ | carry
+            if p % band == band - 1:
+                over = np.where(p // band < table, over | ~differ, over)
+                differ = np.zeros(len(left), np.uint64)
         for k in range(wide):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
-        if p % 8 == 7:
+        if p % 8 == 7 and p >= radius:
             gone = _exceeds(counters, over, radius)
             stay = gone != ~np.uint64(0)
-            if p == 63:
+            if p == planes.shape[1] - 1:
                 out[live] = ~gone
             elif not stay.all():
-                live, over, counters = live[stay], over[stay], [c[stay] for c in counters]
+                live, left, right, q, over, differ, counters = live[stay], left[stay], right[stay], q[stay], over[stay], differ[stay], [c[stay] for c in counters]
+                table = None if table is None else table[stay]
                 if not len(live):
                     break
     return out
@@ -241,20 +260,59 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, full: bool) -> DataFrame:
+@lru_cache
+def bands_of(bits: int) -> int:
+    """Bands of ``bits`` bits, so many that a pair at 0.8 agrees on none with a chance of MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((1 - DIFFER) ** bits)))
+
+
+@lru_cache
+def radius_of(bits: int) -> int:
+    """Most places in which ``bits`` bits are looked for: at 0.8 more differ with a chance of FAR at most."""
+    tail = 1.0
+    for r in range(bits):
+        tail -= math.comb(bits, r) * DIFFER**r * (1 - DIFFER) ** (bits - r)
+        if tail <= FAR:
+            return r
+    return bits
+
+
+def band_bits(rows: int) -> int:
+    """Bits of a band, so that some 2000 of ``rows`` unlike texts at most meet under one (up to 2^35 rows)."""
+    return min(24, max(BAND, rows.bit_length() - 11))
+
+
+@lru_cache
+def _salts(words: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, words).astype(np.uint64)
+
+
+def set_fingerprint(each: np.ndarray, bits: int) -> np.ndarray:
+    """SimHash of a set of 64-bit hashes, as words of 64 bits: a bit is 1 if set in over half of them.
+    Each hash is mixed anew for each word."""
+    words = -(-bits // 64)
+    salts = _salts(words)
+    counts = np.zeros(64 * words, np.int64)
+    # 255 at a time, so that counts fit a byte
+    for at in range(0, len(each), 255):
+        x = each[at : at + 255, None] ^ salts
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(each), bitorder="little").view(np.uint64)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, full: bool, bits: int = BAND) -> DataFrame:
     """(id, h, k, s): h is a hash of the text, k names its set of five-word shingles (a shorter text is
-    one shingle); s is the set if ``full``, else its min-hashes, a band of four 16-bit values in each long."""
-    rng = np.random.default_rng(SEED)
-    odd, plus = (rng.integers(0, 1 << 63, 4 * BANDS).astype(np.uint64) << np.uint64(1) | np.uint64(k) for k in (1, 0))
+    one shingle); s is the set if ``full``, else its fingerprint, wide enough for bands of ``bits`` bits."""
+    width = max(BITS, bits * bands_of(bits))
 
     def one(text: str | None) -> tuple[int, np.ndarray]:
         words = (text or "").encode().lower().split()
         each = np.unique(shingles(text)) if len(words) >= SHINGLE else np.full(min(1, len(words)), xxhash.xxh64_intdigest(b" ".join(words), SEED), np.uint64)
         k = xxhash.xxh3_64_intdigest(each.tobytes())
-        if full or not len(each):
-            return k, each
-        low = np.array([(each * m + c).min() for m, c in zip(odd, plus)])
-        return k, np.ascontiguousarray((low >> np.uint64(40)).astype(np.uint16)).view(np.uint64)
+        return k, each if full or not len(each) else set_fingerprint(each, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,15 +331,15 @@ def _text_hash(text_col: str) -> Column:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows that agree on their first four columns, from batches sorted by these."""
+    """Rows that agree on their first two columns, from batches sorted by these."""
     held: list[tuple] = []
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE):
             part = batch.slice(lo, SLICE)
-            lists = [c.flatten().to_numpy(zero_copy_only=False) for c in part.columns[5:]]
-            ends = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in part.columns[5:]]
-            for n, r in enumerate(zip(*(c.to_pylist() for c in part.columns[:5]))):
-                if held and held[0][:4] != r[:4]:
+            lists = [c.flatten().to_numpy(zero_copy_only=False) for c in part.columns[4:]]
+            ends = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in part.columns[4:]]
+            for n, r in enumerate(zip(*(c.to_pylist() for c in part.columns[:4]))):
+                if held and held[0][:2] != r[:2]:
                     yield held
                     held = []
                 held.append((*r, *(x[e[n] : e[n + 1]].copy() for x, e in zip(lists, ends))))
@@ -289,44 +347,98 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _likely(rows: list[tuple], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of a group whose min-hashes agree in at least ``least``, the most similar first;
-    a pair that meets under several bands belongs to the first of them."""
-    bands = np.array([r[5] for r in rows])
-    low = bands.view(np.uint16)
-    found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
-    for i in range(len(rows) - 1):
-        share = (low[i + 1 :] == low[i]).mean(axis=1)
-        j = np.nonzero(share >= least)[0]
-        j = j[(bands[i + 1 + j] == bands[i]).argmax(axis=1) == rows[0][0]]
-        found.append((np.full(len(j), i), i + 1 + j, share[j]))
-    i, j, share = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(-share, kind="stable")
-    return i[order], j[order]
-
-
-def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, chunk: int = 512) -> DataFrame:
-    """(src, dst) of ``classes`` (k, least: id and h of a row, s as min-hashes) whose shingle sets have at least the
-    Jaccard similarity ``similar``: at least a spanning forest of all such links.
-
-    Classes meet under bands of min-hashes: at 0.8, a pair meets under none with a chance of
-    (1 - 0.8^4)^24 = 3e-6.  Pairs whose min-hashes agree in more than ``similar`` - 0.2 (five
-    deviations) are compared by their sets; these travel to groups where such a pair is."""
-    order = ["t", "key", "lo", "hi"]
-    # min-hashes stay behind until it is known who meets
-    keyed = classes.where(F.size("s") > 0).select("k", F.posexplode("s").alias("t", "key"))
-    counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(counts, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
-    groups = met.select("t", "key", "c", "k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")).select("t", "key", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "k")
-    dealt = groups.join(classes.select("k", "s"), "k").select(*order, "k", "s")
-    least = similar - 0.2
+def _changes(*cols: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return np.nonzero(new)[0]
+
+
+def _close(g: np.ndarray, part: np.ndarray, c: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, block, hits) of rows sorted by group (g, part) and chunk c: members of a later block of 64 rows
+    that are near a row of the same group, in a group of two chunks those of the other one only.  A pair that
+    agrees on several bands belongs to the first of them, as far as BITS show."""
+    n = len(g)
+    to = lambda starts: np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    ends, own = to(_changes(g, part)), to(_changes(g, part, c))
+    starts = np.where(part >> 21 == part & (1 << 21) - 1, np.arange(n) + 1, own)
+    padded = np.zeros((-(-n // 64) * 64, fps.shape[1]), np.uint64)
+    padded[:n] = fps
+    bit = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8 * fps.shape[1]), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(np.packbits(bit.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64).reshape(len(bit), -1)
+    count = np.where(starts < ends, (ends - 1) // 64 - starts // 64 + 1, 0)
+    rows = np.repeat(np.arange(n), count)
+    blocks = starts[rows] // 64 + np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    full = ~np.uint64(0)
+    for at in range(0, len(rows), AT_ONCE):
+        row, block = rows[at : at + AT_ONCE], blocks[at : at + AT_ONCE]
+        low = np.maximum(starts[row] - 64 * block, 0).astype(np.uint64)
+        high = np.minimum(ends[row] - 64 * block, 64).astype(np.uint64)
+        valid = (full << low) & (full >> (np.uint64(64) - high))
+        hits = near(planes, row // 64, block, (row % 64).astype(np.uint64), radius_of(64 * fps.shape[1]), valid, bits, g[row] >> 32)
+        some = np.nonzero(hits)[0]
+        yield row[some], block[some], hits[some]
+
+
+def _members(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+
+
+def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, chunk: int = 2048, bits: int = BAND) -> DataFrame:
+    """(src, dst) of ``classes`` (k, least: id and h of a row, s as fingerprint) whose shingle sets have at least the
+    Jaccard similarity ``similar`` (0.8 or more): at least a spanning forest of all such links.
+
+    Classes meet under bands of ``bits`` bits of their fingerprints and are compared bit-sliced; a pair at
+    0.8 is not found with a chance of MISS + FAR.  Pairs that are near are compared by their sets; these
+    travel to groups where such a pair is."""
+    if similar < 0.8:
+        raise ValueError("bands and radius are made for a similarity of 0.8 or more")
+    bands, words = bands_of(bits), BITS // 64
+    narrow = [f"f{w}" for w in range(words)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4 * SLICE):
+                k, s = batch.slice(at, 4 * SLICE).columns
+                s = s.flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
+                bit = np.unpackbits(np.ascontiguousarray(s).view(np.uint8), axis=1, bitorder="little")[:, : bands * bits].reshape(len(k), bands, bits)
+                g = (bit.astype(np.int64) << np.arange(bits)).sum(axis=2) | np.arange(bands) << 32
+                each = lambda x: pa.array(np.repeat(x, bands))
+                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), each(k.to_numpy()), *(each(s[:, w]) for w in range(words))], ["g", "k", *narrow])
+
+    keyed = classes.where(F.size("s") > 0).select("k", "s").mapInArrow(deal, f"g bigint, k bigint, {', '.join(f + ' bigint' for f in narrow)}")
+    hot = cut(keyed.groupBy("g").count().where(F.col("count") > chunk).select("g", F.ceil(F.col("count") / chunk).alias("chunks")))
+    met = keyed.join(_sized(hot), "g", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("k"), "chunks"))
+    # chunks lo and hi of a band's members meet in the group lo << 21 | hi
+    part = (F.shiftleft(F.least("c", "d"), 21) + F.greatest("c", "d")).alias("part")
+    dealt = met.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("g", part, "c", "k", *narrow)
+    order = ["g", "part", "c"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            i, j = _likely(rows, least)
-            some = [rows[x] for x in np.unique(np.concatenate([i, j])).tolist()]
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], [*order, "k", "s"])
+        def asked(cols: list[np.ndarray]) -> pa.RecordBatch:
+            fps = np.column_stack(cols[4:]).view(np.uint64)
+            some = np.zeros(len(fps), bool)
+            others = np.zeros(-(-len(fps) // 64), np.uint64)
+            for row, block, hits in _close(*cols[:3], fps, bits):
+                some[row] = True
+                np.bitwise_or.at(others, block, hits)
+            at, member = _members(others)
+            some[64 * at + member] = True
+            lists = pa.array(list(fps[some].view(np.int64)), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in cols[:4]), lists], [*order, "k", "s"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= AT_ONCE:
+                cols = [np.concatenate(x) for x in zip(*held)]
+                last = _changes(*cols[:2])[-1]
+                held = [[c[last:].copy() for c in cols]]
+                if last:
+                    yield asked([c[:last] for c in cols])
+        cols = [np.concatenate(x) for x in zip(*held)]
+        if cols and len(cols[0]):
+            yield asked(cols)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
@@ -338,25 +450,33 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
                     x = up[x]
                 return x
 
+            fps = np.array([r[4] for r in rows]).view(np.uint64)
+            found = [(np.zeros(0, np.int64),) * 2]
+            for row, block, hits in _close(*(np.array([r[x] for r in rows]) for x in range(3)), fps, bits):
+                at, member = _members(hits)
+                found.append((row[at], 64 * block[at] + member))
+            i, j = (np.concatenate(x) for x in zip(*found))
+            # the most similar first: a link saves the comparisons that it implies
+            nearest = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), kind="stable")
             out = []
-            for i, j in zip(*(x.tolist() for x in _likely(rows, least))):
+            for i, j in zip(i[nearest].tolist(), j[nearest].tolist()):
                 a, b = root(i), root(j)
-                x, y = rows[i][6], rows[j][6]
+                x, y = rows[i][5], rows[j][5]
                 if a != b and min(len(x), len(y)) >= similar * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both >= similar * (len(x) + len(y) - both):
                         up[b] = a
-                        out.append((rows[i][4], rows[j][4]))
+                        out.append((rows[i][3], rows[j][3]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
 
-    shape = "t int, key bigint, lo int, hi int, k bigint, s array<bigint>"
-    asked = cut(dealt.repartition(*order).sortWithinPartitions(*order, "k").mapInArrow(ask, shape))
+    shape = "g bigint, part bigint, c bigint, k bigint, s array<bigint>"
+    asked = cut(dealt.repartition("g", "part").sortWithinPartitions(*order).mapInArrow(ask, shape))
     wanted = asked.select("k").distinct().join(classes.select("k", "least"), "k").select("least.id", "least.h").distinct()
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("h"))
     again = named.join(_sized(wanted), named["id"].eqNullSafe(wanted["id"]) & (named["h"] == wanted["h"]), "left_semi")
     sets = _sets(again, "id", "text", True).select("k", F.col("s").alias("full")).dropDuplicates(["k"])
-    return asked.join(sets, "k").select(*order, "k", "s", "full").repartition(*order).sortWithinPartitions(*order, "k").mapInArrow(compare, "src bigint, dst bigint")
+    return asked.join(sets, "k").select(*order, "k", "s", "full").repartition("g", "part").sortWithinPartitions(*order, "k").mapInArrow(compare, "src bigint, dst bigint")
 
 
 def _sized(table: DataFrame, row_bytes: int = 64) -> DataFrame:
@@ -373,10 +493,11 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text one stays; rows that repeat an id with another text are documents of their own.  An empty
     table gives no rows.  Only what goes, or is repeated, is joined with the texts: these move only
     where that list exceeds BROADCAST_BYTES."""
-    rows = cut(_sets(docs, id_col, text_col, False))
+    bits = band_bits(docs.count())
+    rows = cut(_sets(docs, id_col, text_col, False, bits))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")
     classes = cut(rows.groupBy("k").agg(least, F.first("s").alias("s")))
-    joined = connected_components(jaccard_links(docs, classes, id_col, text_col, similar)).withColumnRenamed("node", "k")
+    joined = connected_components(jaccard_links(docs, classes, id_col, text_col, similar, bits=bits)).withColumnRenamed("node", "k")
     merged = classes.join(joined, "k", "left").select("least", F.coalesce("component", "k").alias("component"))
     stay = merged.groupBy("component").agg(F.min("least").alias("x")).select(F.col("x.id").alias("i"), F.col("x.h").alias("g"), F.lit(True).alias("stays"))
     each = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))

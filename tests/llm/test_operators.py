@@ -198,6 +198,43 @@ def test_near_copies_of_a_hot_band_in_chunks(spark):
     assert components(sorted(name.values()), got) == {i: want[i] for i in name.values()}
 
 
+def test_near_copies_meet_by_simhash(spark):
+    """What the stage's candidates meet by are fingerprints: a bit is 1 if set in over half of a set's mixed hashes."""
+    rows = near_fixture()
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = {r.id: np.array(r.s, np.int64).view(np.uint64) for r in simhash._sets(d, "doc_id", "text", False).collect()}
+    sets, apart = five_word_sets(rows), {True: [], False: []}
+    for a in prints:
+        for b in prints:
+            if a < b and len(sets[a]) > 4 and len(sets[b]) > 4:
+                share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                if share >= 0.8 or not share:
+                    apart[share > 0].append(int(np.bitwise_count((prints[a] ^ prints[b])[: simhash.BITS // 64]).sum()))
+    assert max(apart[True]) <= simhash.radius_of(simhash.BITS) < np.mean(apart[False]) - 30
+
+
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_bit_sliced_comparison_of_wide_fingerprints_equals_brute_force(chunks):
+    rng = np.random.default_rng(9)
+    base, n = rng.integers(0, 1 << 63, (6, 3)).astype(np.uint64), 300
+    flips = np.packbits(rng.random((n, 192)) < rng.choice([0.02, 0.15, 0.2], (n, 1)), axis=1).view(np.uint64)
+    all_fps, of = base[rng.integers(0, 6, n)] ^ flips, rng.integers(0, chunks, n)
+    radius, bits, table = simhash.radius_of(192), 13, 2
+    got = []
+    for lo in range(chunks):
+        for hi in range(lo, chunks):
+            name = np.nonzero((of == lo) | (of == hi))[0]
+            name = name[np.argsort(of[name], kind="stable")]
+            g, part = np.full(len(name), table << 32 | 5), np.full(len(name), lo << 21 | hi)
+            for row, block, hits in simhash._close(g, part, of[name], all_fps[name], bits):
+                at, member = simhash._members(hits)
+                got += [tuple(sorted(p)) for p in zip(name[row[at]].tolist(), name[64 * block[at] + member].tolist())]
+    number = [sum(int(w) << 64 * k for k, w in enumerate(f)) for f in all_fps]
+    agree = lambda x, t: not x >> t * bits & (1 << bits) - 1
+    want = [(a, b) for b in range(n) for a in range(b) for x in [number[a] ^ number[b]] if x.bit_count() <= radius and not any(agree(x, t) for t in range(table))]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
 def test_links_of_a_hot_key_in_chunks(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)
