@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zipfile
 from functools import lru_cache
 from pathlib import Path
 
 import pyspark
+from pyspark.ml.feature import StopWordsRemover
 
 # Valences of the starter lexicon.
 LEXICON = {
@@ -137,10 +139,20 @@ IDIOMS = {
 CAPITALS, TURN, FADING, CALL, ASK, ASKS, ALPHA = 0.733, -0.74, (1.0, 0.95, 0.9), 0.292, 0.18, 0.96, 15
 
 
+def _stop_list(language: str) -> list[str]:
+    """Spark's list of a language: from the running session, else from the jar of the Spark that would be started."""
+    try:
+        return StopWordsRemover.loadDefaultStopWords(language)
+    except AttributeError:  # no session runs in this process
+        for home in (Path(pyspark.__file__).parent, Path(os.environ.get("SPARK_HOME", "/"))):
+            for jar in home.glob("jars/spark-mllib_*.jar"):
+                with zipfile.ZipFile(jar) as z:
+                    return z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode().split()
+    raise LookupError("no Spark session runs and no jar of Spark's is found: start a session before stop words are asked for")
+
+
 @lru_cache
 def stop_words(*languages: str) -> tuple[str, ...]:
     """Spark's own stop words of the languages, as keyword tokens: three ASCII letters or more."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        words = [w for x in languages for w in z.read(f"org/apache/spark/ml/feature/stopwords/{x}.txt").decode().split()]
+    words = [w for x in languages for w in _stop_list(x)]
     return tuple(dict.fromkeys(w for w in words if re.fullmatch("[a-z]{3,}", w)))

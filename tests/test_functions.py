@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from opinara.functions import rules
 from opinara.functions import text as T
 from opinara.operators import collect as C
 from opinara.operators import ingest as I
@@ -27,6 +28,12 @@ def test_parse_rating(spark, raw, value):
     assert one(spark, raw, T.parse_rating) == value
 
 
+def test_stop_words_come_from_the_session_where_pyspark_has_no_jars(spark, monkeypatch, tmp_path):
+    want = rules.stop_words("english", "german", "french", "spanish")
+    monkeypatch.setattr(rules.pyspark, "__file__", str(tmp_path / "__init__.py"))
+    assert rules.stop_words.__wrapped__("english", "german", "french", "spanish") == want and len(want) > 500
+
+
 def test_text_functions(spark):
     assert one(spark, " <b>Hi</b>  there ", T.clean_text) == "Hi there"
     assert one(spark, None, T.clean_text) == ""
