@@ -41,8 +41,12 @@ BITS = 192
 DIFFER = 0.1612
 #: Chances that a pair at 0.8 meets under no band, and that more of its BITS differ than are looked for.
 MISS, FAR = 3e-6, 1e-6
-#: Bits of a band where the number of rows is not known, and rows that are compared at a time.
-BAND, AT_ONCE = 13, 1 << 14
+#: Bits of a band where the number of rows is not known, members of a band's key that are compared in one
+#: group (larger ones are dealt out in pairs of chunks), and bands that meet before the others.
+BAND, MEMBERS, FIRST = 10, 1 << 12, 4
+#: Rows that are sorted into groups at a time, pairs of a row and a block that are compared at a time, and
+#: near pairs after which those that are linked by then are left out.
+ROWS, AT_ONCE, ASKED = 1 << 14, 1 << 13, 1 << 10
 #: Texts that are turned into Python objects at a time.
 SLICE = 64
 #: Bytes that a table may take when it is sent to all executors.
@@ -99,39 +103,30 @@ def _exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.nd
     return over | more
 
 
-def near(planes: np.ndarray, left: np.ndarray, right: np.ndarray, query: int | np.ndarray, radius: int, valid: np.ndarray | None = None, band: int = 0, table: np.ndarray | None = None) -> np.ndarray:
-    """For each pair of blocks: bits of the right block's members within ``radius`` of member ``query`` (one
-    for all, or one a pair) of the left block.  Of the right block's members only ``valid`` count, and, where
-    ``table`` is given, those that agree on none of the bands of ``band`` bits before the pair's own one.
+def near(planes: np.ndarray, left: np.ndarray, right: np.ndarray, query: int, radius: int) -> np.ndarray:
+    """For each pair of blocks: bits of the right block's members within ``radius`` of member ``query`` of the left block.
 
-    planes: uint64[blocks, 64 or a multiple], plane p's bit m is bit p of member m.
+    planes: uint64[blocks, 64], plane p's bit m is bit p of member m.
     """
     out = np.zeros(len(left), np.uint64)
     live = np.arange(len(left))
     wide = radius.bit_length()
     counters = [np.zeros(len(left), np.uint64) for _ in range(wide)]
-    over = np.zeros(len(left), np.uint64) if valid is None else ~valid
-    differ = np.zeros(len(left), np.uint64)
-    q = np.broadcast_to(np.asarray(query, np.uint64), left.shape)
-    for p in range(planes.shape[1]):
-        mask = np.uint64(0) - ((planes[left, p] >> q) & np.uint64(1))
-        carry = planes[right, p] ^ mask
-        if table is not None:
-            differ = differ | carry
-            if p % band == band - 1:
-                over = np.where(p // band < table, over | ~differ, over)
-                differ = np.zeros(len(left), np.uint64)
+    over = np.zeros(len(left), np.uint64)
+    q = np.uint64(query)
+    for p in range(64):
+        mask = np.uint64(0) - ((planes[left[live], p] >> q) & np.uint64(1))
+        carry = planes[right[live], p] ^ mask
         for k in range(wide):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
-        if p % 8 == 7 and p >= radius:
+        if p % 8 == 7:
             gone = _exceeds(counters, over, radius)
             stay = gone != ~np.uint64(0)
-            if p == planes.shape[1] - 1:
+            if p == 63:
                 out[live] = ~gone
             elif not stay.all():
-                live, left, right, q, over, differ, counters = live[stay], left[stay], right[stay], q[stay], over[stay], differ[stay], [c[stay] for c in counters]
-                table = None if table is None else table[stay]
+                live, over, counters = live[stay], over[stay], [c[stay] for c in counters]
                 if not len(live):
                     break
     return out
@@ -278,8 +273,8 @@ def radius_of(bits: int) -> int:
 
 
 def band_bits(rows: int) -> int:
-    """Bits of a band, so that some 2000 of ``rows`` unlike texts at most meet under one (up to 2^35 rows)."""
-    return min(24, max(BAND, rows.bit_length() - 11))
+    """Bits of a band, so that some 16000 of ``rows`` unlike texts at most meet under one (up to 2^38 rows)."""
+    return min(24, max(BAND, rows.bit_length() - 14))
 
 
 @lru_cache
@@ -331,15 +326,15 @@ def _text_hash(text_col: str) -> Column:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows that agree on their first two columns, from batches sorted by these."""
+    """Rows of one group (the first column but for its last bit), from batches sorted by it."""
     held: list[tuple] = []
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE):
             part = batch.slice(lo, SLICE)
-            lists = [c.flatten().to_numpy(zero_copy_only=False) for c in part.columns[4:]]
-            ends = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in part.columns[4:]]
-            for n, r in enumerate(zip(*(c.to_pylist() for c in part.columns[:4]))):
-                if held and held[0][:2] != r[:2]:
+            lists = [c.flatten().to_numpy(zero_copy_only=False) for c in part.columns[3:]]
+            ends = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in part.columns[3:]]
+            for n, r in enumerate(zip(*(c.to_pylist() for c in part.columns[:3]))):
+                if held and held[0][0] >> 1 != r[0] >> 1:
                     yield held
                     held = []
                 held.append((*r, *(x[e[n] : e[n + 1]].copy() for x, e in zip(lists, ends))))
@@ -354,95 +349,205 @@ def _changes(*cols: np.ndarray) -> np.ndarray:
     return np.nonzero(new)[0]
 
 
-def _close(g: np.ndarray, part: np.ndarray, c: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+class _Adders:
+    """Carry-save adders: sums of bit planes, 64 to a word, in counters of ``wide`` bits; what exceeds these is in ``over``."""
+
+    def __init__(self, wide: int, over: np.ndarray):
+        self.over, self.sums, self.waits = over, [None] * wide, [None] * wide
+
+    def add(self, x: np.ndarray, level: int = 0) -> None:
+        """Two planes of a weight wait for each other and go into its sum at once; ``x`` is used up."""
+        while level < len(self.sums):
+            other, total = self.waits[level], self.sums[level]
+            if other is None:
+                self.waits[level] = x
+                return
+            self.waits[level] = None
+            if total is None:
+                total = other ^ x
+                x &= other
+            else:
+                carry = total & other
+                total ^= other
+                np.bitwise_and(total, x, out=other)
+                total ^= x
+                carry |= other
+                x = carry
+            self.sums[level] = total
+            level += 1
+        self.over |= x
+
+    def exceed(self, radius: int) -> np.ndarray:
+        """Bits whose sum is above the radius; no plane waits any more."""
+        for level in range(len(self.waits)):
+            if (other := self.waits[level]) is not None:
+                self.waits[level] = None
+                total = np.zeros_like(other) if self.sums[level] is None else self.sums[level]
+                carry = total & other
+                self.sums[level] = total ^ other
+                self.add(carry, level + 1)
+        return _exceeds([np.zeros_like(self.over) if c is None else c for c in self.sums], self.over, radius)
+
+    def keep(self, stay: np.ndarray) -> None:
+        self.over, self.sums = self.over[stay], [c if c is None else c[stay] for c in self.sums]
+
+
+def near_rows(planes: np.ndarray, fps: np.ndarray, row: np.ndarray, block: np.ndarray, valid: np.ndarray, radius: int, band: int, table: np.ndarray) -> np.ndarray:
+    """For each pair of a row (ascending) and a block: bits of the block's ``valid`` members within ``radius`` of
+    the row's fingerprint that agree with it on none of the bands of ``band`` bits before the pair's own, ``table``.
+
+    planes: uint64[bits, blocks], plane p's bit m is bit p of member m."""
+    out = np.zeros(len(row), np.uint64)
+    live = np.arange(len(row))
+    first = row[0]
+    own = np.ascontiguousarray(np.unpackbits(fps[first : row[-1] + 1].view(np.uint8), axis=1, bitorder="little").T)
+    mine = row - first
+    masks = np.array([0, ~np.uint64(0)], np.uint64)
+    adders = _Adders(radius.bit_length(), ~valid)
+    last = int(table.max())
+    differ = np.zeros(len(row), np.uint64)
+    for p in range(len(planes)):
+        x = planes[p].take(block)
+        x ^= masks.take(own[p]).take(mine)
+        if p // band < last:
+            differ |= x
+            if p % band == band - 1:
+                adders.over |= np.where(p // band < table, ~differ, np.uint64(0))
+                differ[:] = 0
+        adders.add(x)
+        # from here on hardly a block of unlike members is left
+        if (p + 1) % 32 == 0 and (p + 1) / 2 - radius > 1.75 * (p + 1) ** 0.5 or p + 1 == len(planes):
+            gone = adders.exceed(radius)
+            stay = gone != ~np.uint64(0)
+            if p + 1 == len(planes):
+                out[live] = ~gone
+            elif not stay.all():
+                live, mine, block, table, differ = live[stay], mine[stay], block[stay], table[stay], differ[stay]
+                adders.keep(stay)
+                if not len(live):
+                    break
+    return out
+
+
+def _close(g: np.ndarray, part: np.ndarray, c: np.ndarray, fps: np.ndarray, bits: int, same: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, block, hits) of rows sorted by group (g, part) and chunk c: members of a later block of 64 rows
     that are near a row of the same group, in a group of two chunks those of the other one only.  A pair that
-    agrees on several bands belongs to the first of them, as far as BITS show."""
+    agrees on several bands belongs to the first of them, as far as BITS show.  Rows that are the ``same`` are
+    not paired; where they lie side by side they are not compared, either."""
     n = len(g)
     to = lambda starts: np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
     ends, own = to(_changes(g, part)), to(_changes(g, part, c))
-    starts = np.where(part >> 21 == part & (1 << 21) - 1, np.arange(n) + 1, own)
+    beside = np.arange(n) + 1 if same is None else to(_changes(g, part, c, same))
+    starts = np.where(part >> 21 == part & (1 << 21) - 1, beside, own)
     padded = np.zeros((-(-n // 64) * 64, fps.shape[1]), np.uint64)
     padded[:n] = fps
     bit = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8 * fps.shape[1]), axis=2, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bit.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64).reshape(len(bit), -1)
+    planes = np.ascontiguousarray(np.packbits(bit.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0].copy()
     count = np.where(starts < ends, (ends - 1) // 64 - starts // 64 + 1, 0)
-    rows = np.repeat(np.arange(n), count)
-    blocks = starts[rows] // 64 + np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    upto = np.cumsum(count)
     full = ~np.uint64(0)
-    for at in range(0, len(rows), AT_ONCE):
-        row, block = rows[at : at + AT_ONCE], blocks[at : at + AT_ONCE]
+    radius = radius_of(64 * fps.shape[1])
+    for at in range(0, int(upto[-1]), AT_ONCE):
+        each = np.arange(at, min(at + AT_ONCE, int(upto[-1])))
+        row = np.searchsorted(upto, each, side="right")
+        block = starts[row] // 64 + each - (upto[row] - count[row])
         low = np.maximum(starts[row] - 64 * block, 0).astype(np.uint64)
         high = np.minimum(ends[row] - 64 * block, 64).astype(np.uint64)
         valid = (full << low) & (full >> (np.uint64(64) - high))
-        hits = near(planes, row // 64, block, (row % 64).astype(np.uint64), radius_of(64 * fps.shape[1]), valid, bits, g[row] >> 32)
+        hits = near_rows(planes, padded, row, block, valid, radius, bits, g[row] >> 32)
         some = np.nonzero(hits)[0]
-        yield row[some], block[some], hits[some]
+        row, block, hits = row[some], block[some], hits[some]
+        if same is not None and len(some):
+            name = np.append(same, np.zeros(len(padded) - n, same.dtype)).reshape(-1, 64)
+            hits &= ~np.packbits(name[block] == same[row][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        yield row, block, hits
 
 
 def _members(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
 
 
-def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, chunk: int = 2048, bits: int = BAND) -> DataFrame:
+#: Bits of a group's name for each chunk of a pair; below them one tells which chunk a row is of, above them
+#: stand the band and 24 bits of its key.
+_CHUNK_BITS = 14
+
+
+def _named(name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(g, part, c) for ``_close``."""
+    most = (1 << _CHUNK_BITS) - 1
+    pair = name >> 1
+    key = pair >> 2 * _CHUNK_BITS
+    return key >> 24 << 32 | key & (1 << 24) - 1, (pair >> _CHUNK_BITS & most) << 21 | pair & most, name & 1
+
+
+def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, chunk: int = MEMBERS, bits: int = BAND) -> DataFrame:
     """(src, dst) of ``classes`` (k, least: id and h of a row, s as fingerprint) whose shingle sets have at least the
     Jaccard similarity ``similar`` (0.8 or more): at least a spanning forest of all such links.
 
     Classes meet under bands of ``bits`` bits of their fingerprints and are compared bit-sliced; a pair at
     0.8 is not found with a chance of MISS + FAR.  Pairs that are near are compared by their sets; these
-    travel to groups where such a pair is."""
+    travel to groups where such a pair is.  FIRST bands come before the others, where classes that are
+    linked by then are not compared again, so a large group of near copies is not verified under every band."""
     if similar < 0.8:
         raise ValueError("bands and radius are made for a similarity of 0.8 or more")
-    bands, words = bands_of(bits), BITS // 64
-    narrow = [f"f{w}" for w in range(words)]
+    own = classes.select("k", "least", "s", F.lit(0).cast("long").alias("x"))
+    found = cut(_links_of_bands(docs, own, id_col, text_col, similar, chunk, bits, 0, FIRST))
+    linked = connected_components(found).select(F.col("node").alias("k"), F.col("component").bitwiseXOR(F.col("node")).alias("x"))
+    known = classes.join(_sized(linked), "k", "left").select("k", "least", "s", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
+    return found.unionByName(_links_of_bands(docs, known, id_col, text_col, similar, chunk, bits, FIRST, bands_of(bits)))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4 * SLICE):
-                k, s = batch.slice(at, 4 * SLICE).columns
-                s = s.flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
-                bit = np.unpackbits(np.ascontiguousarray(s).view(np.uint8), axis=1, bitorder="little")[:, : bands * bits].reshape(len(k), bands, bits)
-                g = (bit.astype(np.int64) << np.arange(bits)).sum(axis=2) | np.arange(bands) << 32
-                each = lambda x: pa.array(np.repeat(x, bands))
-                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), each(k.to_numpy()), *(each(s[:, w]) for w in range(words))], ["g", "k", *narrow])
-
-    keyed = classes.where(F.size("s") > 0).select("k", "s").mapInArrow(deal, f"g bigint, k bigint, {', '.join(f + ' bigint' for f in narrow)}")
-    hot = cut(keyed.groupBy("g").count().where(F.col("count") > chunk).select("g", F.ceil(F.col("count") / chunk).alias("chunks")))
+
+def _links_of_bands(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, similar: float, chunk: int, bits: int, lo: int, hi: int) -> DataFrame:
+    """``jaccard_links`` under the bands from ``lo`` to before ``hi``, between classes whose k ^ x differ."""
+    words = BITS // 64
+    narrow = [f"f{w}" for w in range(words)]
+    banded = classes.where(F.size("s") > 0).select("k", "x", "s", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("t")).select("*", F.expr(f"t * {bits} DIV 64").cast("int").alias("w"), F.expr(f"t * {bits} % 64").alias("o"))
+    # a band may lie across two words
+    key = F.expr(f"shiftrightunsigned(s[w], o) | CASE WHEN o + {bits} > 64 THEN shiftleft(s[w + 1], 64 - o) ELSE 0L END").bitwiseAND(F.lit((1 << bits) - 1))
+    keyed = banded.select(F.shiftleft(F.col("t").cast("long"), 24).bitwiseOR(key).alias("g"), "k", "x", *(F.col("s")[w].alias(f) for w, f in enumerate(narrow)))
+    chunks = F.least(F.ceil(F.col("count") / chunk), F.lit(1 << _CHUNK_BITS)).alias("chunks")
+    hot = cut(keyed.groupBy("g").count().where(F.col("count") > chunk).select("g", chunks))
     met = keyed.join(_sized(hot), "g", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("k"), "chunks"))
-    # chunks lo and hi of a band's members meet in the group lo << 21 | hi
-    part = (F.shiftleft(F.least("c", "d"), 21) + F.greatest("c", "d")).alias("part")
-    dealt = met.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("g", part, "c", "k", *narrow)
-    order = ["g", "part", "c"]
+    # chunks c and d of a band's members meet in one group, whose name ends with 1 for the rows of the greater one
+    pair = F.shiftleft(F.shiftleft("g", _CHUNK_BITS) + F.least("c", "d"), _CHUNK_BITS) + F.greatest("c", "d")
+    name = (F.shiftleft(pair, 1) + (F.col("c") > F.col("d")).cast("long")).alias("name")
+    dealt = met.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(name, "k", "x", *narrow)
+    group = F.shiftright("name", 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked(cols: list[np.ndarray]) -> pa.RecordBatch:
-            fps = np.column_stack(cols[4:]).view(np.uint64)
+            same = cols[1] ^ cols[2]
+            order = np.lexsort((same, cols[0]))
+            (name, k), same, fps = (c[order] for c in cols[:2]), same[order], np.column_stack([c[order] for c in cols[3:]]).view(np.uint64)
             some = np.zeros(len(fps), bool)
             others = np.zeros(-(-len(fps) // 64), np.uint64)
-            for row, block, hits in _close(*cols[:3], fps, bits):
-                some[row] = True
+            for row, block, hits in _close(*_named(name), fps, bits, same):
+                some[row[hits != 0]] = True
                 np.bitwise_or.at(others, block, hits)
             at, member = _members(others)
             some[64 * at + member] = True
             lists = pa.array(list(fps[some].view(np.int64)), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in cols[:4]), lists], [*order, "k", "s"])
+            return pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(k[some]), pa.array(same[some]), lists], ["name", "k", "same", "s"])
 
         held: list[list[np.ndarray]] = []
+        n, most = 0, ROWS
         for batch in batches:
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if sum(len(h[0]) for h in held) >= AT_ONCE:
+            n += batch.num_rows
+            if n >= most:
                 cols = [np.concatenate(x) for x in zip(*held)]
-                last = _changes(*cols[:2])[-1]
-                held = [[c[last:].copy() for c in cols]]
+                last = _changes(cols[0] >> 1)[-1]
+                held, n = [[c[last:].copy() for c in cols]], n - last
+                most = max(ROWS, 2 * n)
                 if last:
                     yield asked([c[:last] for c in cols])
-        cols = [np.concatenate(x) for x in zip(*held)]
-        if cols and len(cols[0]):
-            yield asked(cols)
+        if n:
+            yield asked([np.concatenate(x) for x in zip(*held)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            up = list(range(len(rows)))
+            at: dict[int, int] = {}
+            up = [at.setdefault(r[2], n) for n, r in enumerate(rows)]
 
             def root(x: int) -> int:
                 while up[x] != x:
@@ -450,33 +555,40 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
                     x = up[x]
                 return x
 
-            fps = np.array([r[4] for r in rows]).view(np.uint64)
-            found = [(np.zeros(0, np.int64),) * 2]
-            for row, block, hits in _close(*(np.array([r[x] for r in rows]) for x in range(3)), fps, bits):
-                at, member = _members(hits)
-                found.append((row[at], 64 * block[at] + member))
-            i, j = (np.concatenate(x) for x in zip(*found))
-            # the most similar first: a link saves the comparisons that it implies
-            nearest = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), kind="stable")
+            name, _, same = (np.array(x) for x in zip(*(r[:3] for r in rows)))
+            fps = np.array([r[3] for r in rows]).view(np.uint64)
             out = []
-            for i, j in zip(i[nearest].tolist(), j[nearest].tolist()):
-                a, b = root(i), root(j)
-                x, y = rows[i][5], rows[j][5]
-                if a != b and min(len(x), len(y)) >= similar * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= similar * (len(x) + len(y) - both):
-                        up[b] = a
-                        out.append((rows[i][3], rows[j][3]))
+            for row, block, hits in _close(*_named(name), fps, bits, same):
+                pair, member = _members(hits)
+                i, j = row[pair], 64 * block[pair] + member
+                # the most similar first: a link saves the comparisons that it implies
+                nearest = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), kind="stable")
+                i, j = i[nearest], j[nearest]
+                while len(i):
+                    for m, n in zip(i[:ASKED].tolist(), j[:ASKED].tolist()):
+                        a, b = root(m), root(n)
+                        x, y = rows[m][4], rows[n][4]
+                        if a != b and min(len(x), len(y)) >= similar * max(len(x), len(y)):
+                            both = len(np.intersect1d(x, y, assume_unique=True))
+                            if both >= similar * (len(x) + len(y) - both):
+                                up[b] = a
+                                out.append((rows[m][1], rows[n][1]))
+                    i, j = i[ASKED:], j[ASKED:]
+                    tree = np.array(up)
+                    while (tree[tree] != tree).any():
+                        tree = tree[tree]
+                    apart = tree[i] != tree[j]
+                    i, j = i[apart], j[apart]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
 
-    shape = "g bigint, part bigint, c bigint, k bigint, s array<bigint>"
-    asked = cut(dealt.repartition("g", "part").sortWithinPartitions(*order).mapInArrow(ask, shape))
+    shape = "name bigint, k bigint, same bigint, s array<bigint>"
+    asked = cut(dealt.repartition(group).sortWithinPartitions("name").mapInArrow(ask, shape))
     wanted = asked.select("k").distinct().join(classes.select("k", "least"), "k").select("least.id", "least.h").distinct()
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("h"))
     again = named.join(_sized(wanted), named["id"].eqNullSafe(wanted["id"]) & (named["h"] == wanted["h"]), "left_semi")
     sets = _sets(again, "id", "text", True).select("k", F.col("s").alias("full")).dropDuplicates(["k"])
-    return asked.join(sets, "k").select(*order, "k", "s", "full").repartition("g", "part").sortWithinPartitions(*order, "k").mapInArrow(compare, "src bigint, dst bigint")
+    return asked.join(sets, "k").select("name", "k", "same", "s", "full").repartition(group).sortWithinPartitions("name", "same").mapInArrow(compare, "src bigint, dst bigint")
 
 
 def _sized(table: DataFrame, row_bytes: int = 64) -> DataFrame:
@@ -493,11 +605,12 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text one stays; rows that repeat an id with another text are documents of their own.  An empty
     table gives no rows.  Only what goes, or is repeated, is joined with the texts: these move only
     where that list exceeds BROADCAST_BYTES."""
-    bits = band_bits(docs.count())
+    count = docs.count()
+    bits = band_bits(count)
     rows = cut(_sets(docs, id_col, text_col, False, bits))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")
     classes = cut(rows.groupBy("k").agg(least, F.first("s").alias("s")))
-    joined = connected_components(jaccard_links(docs, classes, id_col, text_col, similar, bits=bits)).withColumnRenamed("node", "k")
+    joined = connected_components(jaccard_links(docs, classes, id_col, text_col, similar, max(MEMBERS, 2 * count >> bits), bits)).withColumnRenamed("node", "k")
     merged = classes.join(joined, "k", "left").select("least", F.coalesce("component", "k").alias("component"))
     stay = merged.groupBy("component").agg(F.min("least").alias("x")).select(F.col("x.id").alias("i"), F.col("x.h").alias("g"), F.lit(True).alias("stays"))
     each = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
