@@ -11,7 +11,7 @@ block is abandoned when every member exceeds the radius.  Links form components.
 ``kept_rows`` (the pipeline's stage) links at a Jaccard similarity of 0.8, where about one
 bit of six differs, too many for parts of 64 bits.  It makes wider fingerprints of the sets of
 shingles by the same rule, has them meet by bands of their bits, compares those that meet
-by the same bit planes, and verifies what is left by the sets themselves.
+in bit planes, too, and verifies components of what is near by the sets themselves.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ MISS, FAR = 3e-6, 1e-6
 #: group (larger ones are dealt out in pairs of chunks), and bands that meet before the others.
 BAND, MEMBERS, FIRST = 10, 1 << 12, 4
 #: Rows that are sorted into groups at a time, pairs of a row and a block that are compared at a time, and
-#: near pairs after which those that are linked by then are left out.
-ROWS, AT_ONCE, ASKED = 1 << 14, 1 << 13, 1 << 10
+#: members of a component of near rows whose sets are compared in one task.
+ROWS, AT_ONCE, VERIFIED = 1 << 14, 1 << 13, 1 << 9
 #: Texts that are turned into Python objects at a time.
 SLICE = 64
 #: Bytes that a table may take when it is sent to all executors.
@@ -326,15 +326,15 @@ def _text_hash(text_col: str) -> Column:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of one group (the first column but for its last bit), from batches sorted by it."""
+    """Rows that agree on their first two columns, from batches sorted by these."""
     held: list[tuple] = []
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE):
             part = batch.slice(lo, SLICE)
-            lists = [c.flatten().to_numpy(zero_copy_only=False) for c in part.columns[3:]]
-            ends = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in part.columns[3:]]
-            for n, r in enumerate(zip(*(c.to_pylist() for c in part.columns[:3]))):
-                if held and held[0][0] >> 1 != r[0] >> 1:
+            lists = [c.flatten().to_numpy(zero_copy_only=False) for c in part.columns[4:]]
+            ends = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in part.columns[4:]]
+            for n, r in enumerate(zip(*(c.to_pylist() for c in part.columns[:4]))):
+                if held and held[0][:2] != r[:2]:
                     yield held
                     held = []
                 held.append((*r, *(x[e[n] : e[n + 1]].copy() for x, e in zip(lists, ends))))
@@ -485,20 +485,22 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
     Jaccard similarity ``similar`` (0.8 or more): at least a spanning forest of all such links.
 
     Classes meet under bands of ``bits`` bits of their fingerprints and are compared bit-sliced; a pair at
-    0.8 is not found with a chance of MISS + FAR.  Pairs that are near are compared by their sets; these
-    travel to groups where such a pair is.  FIRST bands come before the others, where classes that are
-    linked by then are not compared again, so a large group of near copies is not verified under every band."""
+    0.8 is not found with a chance of MISS + FAR.  Components of near classes are then compared by their sets,
+    which travel once, in components of more than VERIFIED once for each VERIFIED members.  FIRST bands come
+    before the others; classes of one component by then are not compared under the rest."""
     if similar < 0.8:
         raise ValueError("bands and radius are made for a similarity of 0.8 or more")
-    own = classes.select("k", "least", "s", F.lit(0).cast("long").alias("x"))
-    found = cut(_links_of_bands(docs, own, id_col, text_col, similar, chunk, bits, 0, FIRST))
+    none = F.lit(0).cast("long")
+    found = cut(_near_pairs(classes.select("k", "s", none.alias("x")), chunk, bits, 0, FIRST))
     linked = connected_components(found).select(F.col("node").alias("k"), F.col("component").bitwiseXOR(F.col("node")).alias("x"))
-    known = classes.join(_sized(linked), "k", "left").select("k", "least", "s", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
-    return found.unionByName(_links_of_bands(docs, known, id_col, text_col, similar, chunk, bits, FIRST, bands_of(bits)))
+    known = classes.select("k", "s").join(_sized(linked), "k", "left").select("k", "s", F.coalesce("x", none).alias("x"))
+    pairs = cut(found.unionByName(_near_pairs(known, chunk, bits, FIRST, bands_of(bits))))
+    return _verified(docs, classes, connected_components(pairs), id_col, text_col, similar, min(chunk, VERIFIED))
 
 
-def _links_of_bands(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, similar: float, chunk: int, bits: int, lo: int, hi: int) -> DataFrame:
-    """``jaccard_links`` under the bands from ``lo`` to before ``hi``, between classes whose k ^ x differ."""
+def _near_pairs(classes: DataFrame, chunk: int, bits: int, lo: int, hi: int) -> DataFrame:
+    """(src, dst) of classes (k, s, x) that are near and meet under a band from ``lo`` to before ``hi``, but for those
+    whose k ^ x are equal: at least a spanning forest of each group that meets."""
     words = BITS // 64
     narrow = [f"f{w}" for w in range(words)]
     banded = classes.where(F.size("s") > 0).select("k", "x", "s", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("t")).select("*", F.expr(f"t * {bits} DIV 64").cast("int").alias("w"), F.expr(f"t * {bits} % 64").alias("o"))
@@ -517,17 +519,21 @@ def _links_of_bands(docs: DataFrame, classes: DataFrame, id_col: str, text_col:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked(cols: list[np.ndarray]) -> pa.RecordBatch:
             same = cols[1] ^ cols[2]
-            order = np.lexsort((same, cols[0]))
+            order = np.lexsort((cols[1], same, cols[0]))
             (name, k), same, fps = (c[order] for c in cols[:2]), same[order], np.column_stack([c[order] for c in cols[3:]]).view(np.uint64)
-            some = np.zeros(len(fps), bool)
-            others = np.zeros(-(-len(fps) // 64), np.uint64)
+            trees = np.arange(len(name))
+            src, dst = [], []
             for row, block, hits in _close(*_named(name), fps, bits, same):
-                some[row[hits != 0]] = True
-                np.bitwise_or.at(others, block, hits)
-            at, member = _members(others)
-            some[64 * at + member] = True
-            lists = pa.array(list(fps[some].view(np.int64)), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(k[some]), pa.array(same[some]), lists], ["name", "k", "same", "s"])
+                pair, member = _members(hits)
+                i, j = row[pair], 64 * block[pair] + member
+                # trees that the pairs before have made are left out
+                apart = trees[i] != trees[j]
+                i, j = i[apart], j[apart]
+                tree = spanning(trees[i], trees[j])
+                src.append(k[i[tree]])
+                dst.append(k[j[tree]])
+                trees = _merged(trees, trees[i[tree]], trees[j[tree]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (src, dst)], ["src", "dst"])
 
         held: list[list[np.ndarray]] = []
         n, most = 0, ROWS
@@ -544,51 +550,60 @@ def _links_of_bands(docs: DataFrame, classes: DataFrame, id_col: str, text_col:
         if n:
             yield asked([np.concatenate(x) for x in zip(*held)])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            at: dict[int, int] = {}
-            up = [at.setdefault(r[2], n) for n, r in enumerate(rows)]
+    return dealt.repartition(group).sortWithinPartitions("name").mapInArrow(ask, "src bigint, dst bigint")
+
+
+def _merged(trees: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Trees (the name of each row's) after a and b have been joined."""
+    up = np.arange(len(trees))
+    for x, y in zip(a.tolist(), b.tolist()):
+        while up[x] != x:
+            x = up[x]
+        while up[y] != y:
+            y = up[y]
+        up[max(x, y)] = min(x, y)
+    while (up[up] != up).any():
+        up = up[up]
+    return up[trees]
 
-            def root(x: int) -> int:
-                while up[x] != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                return x
 
-            name, _, same = (np.array(x) for x in zip(*(r[:3] for r in rows)))
-            fps = np.array([r[3] for r in rows]).view(np.uint64)
+def _verified(docs: DataFrame, classes: DataFrame, near: DataFrame, id_col: str, text_col: str, similar: float, chunk: int) -> DataFrame:
+    """(src, dst) of classes of one component of ``near`` (node, component) whose sets have the similarity ``similar``."""
+    radius = radius_of(BITS)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            fps = np.array([r[4][: BITS // 64] for r in rows]).view(np.uint64)
+            c = np.array([r[2] for r in rows])
+            trees = np.arange(len(rows))
             out = []
-            for row, block, hits in _close(*_named(name), fps, bits, same):
-                pair, member = _members(hits)
-                i, j = row[pair], 64 * block[pair] + member
+            for i in range(len(rows) - 1):
+                j = i + 1 + np.nonzero((trees[i + 1 :] != trees[i]) & ((c[i + 1 :] != c[i]) | (c[0] == c[-1])))[0]
+                far = np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1)
                 # the most similar first: a link saves the comparisons that it implies
-                nearest = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), kind="stable")
-                i, j = i[nearest], j[nearest]
-                while len(i):
-                    for m, n in zip(i[:ASKED].tolist(), j[:ASKED].tolist()):
-                        a, b = root(m), root(n)
-                        x, y = rows[m][4], rows[n][4]
-                        if a != b and min(len(x), len(y)) >= similar * max(len(x), len(y)):
-                            both = len(np.intersect1d(x, y, assume_unique=True))
-                            if both >= similar * (len(x) + len(y) - both):
-                                up[b] = a
-                                out.append((rows[m][1], rows[n][1]))
-                    i, j = i[ASKED:], j[ASKED:]
-                    tree = np.array(up)
-                    while (tree[tree] != tree).any():
-                        tree = tree[tree]
-                    apart = tree[i] != tree[j]
-                    i, j = i[apart], j[apart]
+                for m in j[np.argsort(far, kind="stable")[: int((far <= radius).sum())]].tolist():
+                    x, y = rows[i][5], rows[m][5]
+                    if trees[i] != trees[m] and min(len(x), len(y)) >= similar * max(len(x), len(y)):
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if both >= similar * (len(x) + len(y) - both):
+                            trees[trees == trees[m]] = trees[i]
+                            out.append((rows[i][3], rows[m][3]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["src", "dst"])
 
-    shape = "name bigint, k bigint, same bigint, s array<bigint>"
-    asked = cut(dealt.repartition(group).sortWithinPartitions("name").mapInArrow(ask, shape))
-    wanted = asked.select("k").distinct().join(classes.select("k", "least"), "k").select("least.id", "least.h").distinct()
+    members = cut(near.select(F.col("node").alias("k"), F.col("component").alias("g")).join(classes.select("k", "least", "s"), "k"))
+    wanted = members.select("least.id", "least.h").distinct()
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("h"))
     again = named.join(_sized(wanted), named["id"].eqNullSafe(wanted["id"]) & (named["h"] == wanted["h"]), "left_semi")
     sets = _sets(again, "id", "text", True).select("k", F.col("s").alias("full")).dropDuplicates(["k"])
-    return asked.join(sets, "k").select("name", "k", "same", "s", "full").repartition(group).sortWithinPartitions("name", "same").mapInArrow(compare, "src bigint, dst bigint")
+    many = cut(members.groupBy("g").count().where(F.col("count") > chunk).select("g", F.ceil(F.col("count") / chunk).alias("chunks")))
+    dealt = members.join(sets, "k").join(_sized(many), "g", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("k"), "chunks"))
+    # chunks lo and hi of a component meet in the group lo << 32 | hi
+    part = (F.shiftleft(F.least("c", "d"), 32) + F.greatest("c", "d")).alias("part")
+    met = dealt.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("g", part, "c", "k", "s", "full")
+    # a number is given, as these rows are few for the work they make
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, "g", "part").sortWithinPartitions("g", "part", "c", "k").mapInArrow(compare, "src bigint, dst bigint")
 
 
 def _sized(table: DataFrame, row_bytes: int = 64) -> DataFrame:

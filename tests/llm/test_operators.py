@@ -198,6 +198,21 @@ def test_near_copies_of_a_hot_band_in_chunks(spark):
     assert components(sorted(name.values()), got) == {i: want[i] for i in name.values()}
 
 
+def test_near_copies_give_few_pairs_to_verify(spark):
+    """Of a large group of near copies no band adds a forest of its own, so links and pairs grow with its rows alone."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(n, " ".join(w if rng.random() > 0.02 else f"x{n}y{k}" for k, w in enumerate(base))) for n in range(300)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")
+    classes = simhash._sets(d, "doc_id", "text", False).groupBy("k").agg(least, F.first("s").alias("s")).localCheckpoint()
+    name = {r.k: r.least.id for r in classes.collect()}
+    got = [(name[r.src], name[r.dst]) for r in simhash.jaccard_links(d, classes).collect()]
+    want = near_want(rows)
+    assert components(sorted(name.values()), got) == {i: want[i] for i in name.values()}
+    assert 100 < len(got) < 2 * len(name)
+
+
 def test_near_copies_meet_by_simhash(spark):
     """What the stage's candidates meet by are fingerprints: a bit is 1 if set in over half of a set's mixed hashes."""
     rows = near_fixture()
