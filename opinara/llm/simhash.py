@@ -41,9 +41,9 @@ BITS = 192
 DIFFER = 0.1612
 #: Chances that a pair at 0.8 meets under no band, and that more of its BITS differ than are looked for.
 MISS, FAR = 3e-6, 1e-6
-#: Bits of a band where the number of rows is not known, members of a band's key that are compared in one
-#: group (larger ones are dealt out in pairs of chunks), and bands that meet before the others.
-BAND, MEMBERS, FIRST = 10, 1 << 12, 4
+#: Bits of a band where the number of rows is not known, and members of a band's key that are compared in one
+#: group (larger ones are dealt out in pairs of chunks).
+BAND, MEMBERS = 10, 1 << 12
 #: Rows that are sorted into groups at a time, pairs of a row and a block that are compared at a time, and
 #: members of a component of near rows whose sets are compared in one task.
 ROWS, AT_ONCE, VERIFIED = 1 << 14, 1 << 13, 1 << 9
@@ -429,16 +429,14 @@ def near_rows(planes: np.ndarray, fps: np.ndarray, row: np.ndarray, block: np.nd
     return out
 
 
-def _close(g: np.ndarray, part: np.ndarray, c: np.ndarray, fps: np.ndarray, bits: int, same: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _close(g: np.ndarray, part: np.ndarray, c: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, block, hits) of rows sorted by group (g, part) and chunk c: members of a later block of 64 rows
     that are near a row of the same group, in a group of two chunks those of the other one only.  A pair that
-    agrees on several bands belongs to the first of them, as far as BITS show.  Rows that are the ``same`` are
-    not paired; where they lie side by side they are not compared, either."""
+    agrees on several bands belongs to the first of them, as far as BITS show."""
     n = len(g)
     to = lambda starts: np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
     ends, own = to(_changes(g, part)), to(_changes(g, part, c))
-    beside = np.arange(n) + 1 if same is None else to(_changes(g, part, c, same))
-    starts = np.where(part >> 21 == part & (1 << 21) - 1, beside, own)
+    starts = np.where(part >> 21 == part & (1 << 21) - 1, np.arange(n) + 1, own)
     padded = np.zeros((-(-n // 64) * 64, fps.shape[1]), np.uint64)
     padded[:n] = fps
     bit = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8 * fps.shape[1]), axis=2, bitorder="little")
@@ -456,11 +454,7 @@ def _close(g: np.ndarray, part: np.ndarray, c: np.ndarray, fps: np.ndarray, bits
         valid = (full << low) & (full >> (np.uint64(64) - high))
         hits = near_rows(planes, padded, row, block, valid, radius, bits, g[row] >> 32)
         some = np.nonzero(hits)[0]
-        row, block, hits = row[some], block[some], hits[some]
-        if same is not None and len(some):
-            name = np.append(same, np.zeros(len(padded) - n, same.dtype)).reshape(-1, 64)
-            hits &= ~np.packbits(name[block] == same[row][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        yield row, block, hits
+        yield row[some], block[some], hits[some]
 
 
 def _members(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -486,44 +480,38 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
 
     Classes meet under bands of ``bits`` bits of their fingerprints and are compared bit-sliced; a pair at
     0.8 is not found with a chance of MISS + FAR.  Components of near classes are then compared by their sets,
-    which travel once, in components of more than VERIFIED once for each VERIFIED members.  FIRST bands come
-    before the others; classes of one component by then are not compared under the rest."""
+    which travel once, in components of more than VERIFIED once for each VERIFIED members."""
     if similar < 0.8:
         raise ValueError("bands and radius are made for a similarity of 0.8 or more")
-    none = F.lit(0).cast("long")
-    found = cut(_near_pairs(classes.select("k", "s", none.alias("x")), chunk, bits, 0, FIRST))
-    linked = connected_components(found).select(F.col("node").alias("k"), F.col("component").bitwiseXOR(F.col("node")).alias("x"))
-    known = classes.select("k", "s").join(_sized(linked), "k", "left").select("k", "s", F.coalesce("x", none).alias("x"))
-    pairs = cut(found.unionByName(_near_pairs(known, chunk, bits, FIRST, bands_of(bits))))
+    pairs = cut(_near_pairs(classes.select("k", "s"), chunk, bits))
     return _verified(docs, classes, connected_components(pairs), id_col, text_col, similar, min(chunk, VERIFIED))
 
 
-def _near_pairs(classes: DataFrame, chunk: int, bits: int, lo: int, hi: int) -> DataFrame:
-    """(src, dst) of classes (k, s, x) that are near and meet under a band from ``lo`` to before ``hi``, but for those
-    whose k ^ x are equal: at least a spanning forest of each group that meets."""
+def _near_pairs(classes: DataFrame, chunk: int, bits: int) -> DataFrame:
+    """(src, dst) of classes (k, s) that are near and meet under a band: a spanning forest of each group that meets."""
     words = BITS // 64
     narrow = [f"f{w}" for w in range(words)]
-    banded = classes.where(F.size("s") > 0).select("k", "x", "s", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("t")).select("*", F.expr(f"t * {bits} DIV 64").cast("int").alias("w"), F.expr(f"t * {bits} % 64").alias("o"))
+    banded = classes.where(F.size("s") > 0).select("k", "s", F.explode(F.sequence(F.lit(0), F.lit(bands_of(bits) - 1))).alias("t")).select("*", F.expr(f"t * {bits} DIV 64").cast("int").alias("w"), F.expr(f"t * {bits} % 64").alias("o"))
     # a band may lie across two words
     key = F.expr(f"shiftrightunsigned(s[w], o) | CASE WHEN o + {bits} > 64 THEN shiftleft(s[w + 1], 64 - o) ELSE 0L END").bitwiseAND(F.lit((1 << bits) - 1))
-    keyed = banded.select(F.shiftleft(F.col("t").cast("long"), 24).bitwiseOR(key).alias("g"), "k", "x", *(F.col("s")[w].alias(f) for w, f in enumerate(narrow)))
+    keyed = banded.select(F.shiftleft(F.col("t").cast("long"), 24).bitwiseOR(key).alias("g"), "k", *(F.col("s")[w].alias(f) for w, f in enumerate(narrow)))
     chunks = F.least(F.ceil(F.col("count") / chunk), F.lit(1 << _CHUNK_BITS)).alias("chunks")
     hot = cut(keyed.groupBy("g").count().where(F.col("count") > chunk).select("g", chunks))
     met = keyed.join(_sized(hot), "g", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("k"), "chunks"))
     # chunks c and d of a band's members meet in one group, whose name ends with 1 for the rows of the greater one
     pair = F.shiftleft(F.shiftleft("g", _CHUNK_BITS) + F.least("c", "d"), _CHUNK_BITS) + F.greatest("c", "d")
     name = (F.shiftleft(pair, 1) + (F.col("c") > F.col("d")).cast("long")).alias("name")
-    dealt = met.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(name, "k", "x", *narrow)
+    dealt = met.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(name, "k", *narrow)
     group = F.shiftright("name", 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked(cols: list[np.ndarray]) -> pa.RecordBatch:
-            same = cols[1] ^ cols[2]
-            order = np.lexsort((cols[1], same, cols[0]))
-            (name, k), same, fps = (c[order] for c in cols[:2]), same[order], np.column_stack([c[order] for c in cols[3:]]).view(np.uint64)
+            # the smallest come first, so that many bands give the same pairs
+            order = np.lexsort((cols[1], cols[0]))
+            (name, k), fps = (c[order] for c in cols[:2]), np.column_stack([c[order] for c in cols[2:]]).view(np.uint64)
             trees = np.arange(len(name))
             src, dst = [], []
-            for row, block, hits in _close(*_named(name), fps, bits, same):
+            for row, block, hits in _close(*_named(name), fps, bits):
                 pair, member = _members(hits)
                 i, j = row[pair], 64 * block[pair] + member
                 # trees that the pairs before have made are left out
