@@ -373,7 +373,7 @@ def indicator_correlate(spark, d):
 
 @query(rf"SELECT doc_id AS review_id, sha256(regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '(^|{X.EDGE})(\+?[0-9][0-9 .()-]{{7,}}[0-9])($|{X.EDGE})', '\1[PHONE]\3', 'g')) AS redacted_sha256 FROM documents")
 def pii_redact(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), F.sha2(T.redact(F.col("text")), 256).alias("redacted_sha256"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), F.sha2(T.redact_apart(F.col("text")), 256).alias("redacted_sha256"))
 
 
 @query(r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS url FROM pages")

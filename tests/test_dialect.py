@@ -14,6 +14,11 @@ ODD = {
         "Acmé acme² ACME", "I choose İnitech, or choose ınitech; ınıtech INITECH", "ſwitch to Globex, xſwitch to Acme",
         "émoving to Globex because I can", "we choose Globex, as", "no end because\nI choose Acme since yes\nand Globex", "Globex", None, "",
     ],
+    "pii_redact": [
+        "call 2125550100 +442071234567 now", "2125550100,2125550101,2125550102", "2125550100\n2125550101", "+1 (212) 555-0100\n", "(212) 555-0100",
+        "é2125550100 2125550100² 2125550100_ ٣2125550100", "ñann.lee@example.comé", "a@b.com.c@d.ef", "x@y.deß @ann@lee.org", "ann@example.coſ",
+        "$1 2125550100 \\ann@example.com", "12345678 123456789", None, "",
+    ],
 }
 
 
